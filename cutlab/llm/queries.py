@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlab.llm import bpe, exact_dedup, langid, token_store
+from cutlab.llm import bpe, cube_mix, ego_join, exact_dedup, langid, line_chunks, minhash, site_style, token_store, toxicity
 from cutlab.llm.common import held_out, table
 
-#: The tokenizer of the contracts; a name in the folder of public tokenizers, or a path.
+#: The tokenizer of the contracts; a name in the folder of public tokenizers.
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -20,10 +20,25 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), content=False)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~held_out())
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored_ids(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -34,15 +49,30 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_chunks.dedup_lines(docs)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube_mix.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op5_token_store, op6_language_id, op8_exact_dedup)}
+    all_ = (op1_main_text, op2_bpe, op3_toxicity, op4_near_vectors, op5_token_store, op6_language_id, op7_line_dedup, op8_exact_dedup, op9_mix_sources, op10_near_duplicates)
+    return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
+    """Exact dedup is the one operator here that SQL expresses; the others are tested against brute force, round trips or held-out accuracy."""
     return {
         "op8_exact_dedup": r"""
             WITH d AS (
