@@ -93,7 +93,8 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _balanced(pdf: pd.DataFrame, round_: int, landing: bool) -> pd.DataFrame:
-    pdf = pdf.sort_values(["order", "id", "size"], na_position="first", kind="stable").reset_index(drop=True)
+    # Large documents settle first, so that what stays open to the end, and is rounded, is small.
+    pdf = pdf.sort_values(["size", "order", "id"], ascending=[False, True, True], na_position="first", kind="stable").reset_index(drop=True)
     name = f"{pdf['source'].iloc[0]}|{pdf['block'].iloc[0]}|{round_}"
     size = pdf["size"].to_numpy(float)
     p = fly(pdf["p"].to_numpy(float), size, np.random.default_rng(zlib.crc32(name.encode())))
