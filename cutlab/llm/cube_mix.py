@@ -55,12 +55,15 @@ def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray
     """The flight phase: moves probabilities through the null space of the two totals until at most two stay fractional.
 
     Three fractional units span one direction that keeps both the sum of the
-    probabilities and the sum of probability times size; a step along it, in
-    either sense with the chance that keeps every expectation, settles a unit.
+    probabilities and the sum of probability times size; a step along it settles
+    a unit. The sense of the steps is drawn once for the unit that has waited
+    longest, with its own probability, so that a very large document is settled
+    by the small ones after it and is not left to be rounded.
     """
     p = p.copy()
     draws = iter(rng.random(len(p) + 8).tolist())
     window: list[int] = []
+    rising, drawn_for = True, -1
     for k in range(len(p)):
         if EPSILON < p[k] < 1 - EPSILON:
             window.append(k)
@@ -68,12 +71,15 @@ def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray
             p[k] = round(p[k])
         while len(window) == 3:
             a, b, c = window
+            if a != drawn_for:
+                rising, drawn_for = next(draws, 0.5) < p[a], a
             u = (size[c] - size[b], size[a] - size[c], size[b] - size[a])
             if u == (0, 0, 0):
                 u = (1.0, -1.0, 0.0)
             up = min((1 - p[i]) / d if d > 0 else -p[i] / d for i, d in zip(window, u) if d)
             down = min(p[i] / d if d > 0 else (p[i] - 1) / d for i, d in zip(window, u) if d)
-            step = up if next(draws, 0.5) * (up + down) < down else -down
+            lead = u[0] or u[1]
+            step = up if rising == (lead > 0) else -down
             for i, d in zip(window, u):
                 p[i] = min(1.0, max(0.0, p[i] + step * d))
             settled = [i for i in window if not EPSILON < p[i] < 1 - EPSILON]
@@ -93,8 +99,10 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _balanced(pdf: pd.DataFrame, round_: int, landing: bool) -> pd.DataFrame:
-    # Large documents settle first, so that what stays open to the end, and is rounded, is small.
-    pdf = pdf.sort_values(["size", "order", "id"], ascending=[False, True, True], na_position="first", kind="stable").reset_index(drop=True)
+    # Large documents come first and the others in hash order: what stays open to the end, and is rounded, is then small.
+    large = pdf["size"].where(pdf["size"] > 4 * pdf["size"].mean(), 0)
+    pdf = pdf.assign(large=large).sort_values(["large", "order", "id", "size"], ascending=[False, True, True, True], na_position="first", kind="stable")
+    pdf = pdf.drop(columns="large").reset_index(drop=True)
     name = f"{pdf['source'].iloc[0]}|{pdf['block'].iloc[0]}|{round_}"
     size = pdf["size"].to_numpy(float)
     p = fly(pdf["p"].to_numpy(float), size, np.random.default_rng(zlib.crc32(name.encode())))
