@@ -11,17 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutlab.llm.common import drop_stored, stored, text_or_empty
+from cutlab.llm.common import stored, text_or_empty
 from cutlab.llm.components import connected_components
 
-#: Signature coordinates: BANDS bands of ROWS minima. Two texts of Jaccard similarity 0.75 share no band with probability 2e-4.
-BANDS, ROWS = 32, 5
+#: Signature coordinates: BANDS bands of ROWS minima. Two texts of Jaccard similarity 0.75 share no band with probability 1e-4.
+BANDS, ROWS = 24, 4
 #: Words in a shingle.
 WORDS = 5
 #: Bytes of text hashed at once.
 WINDOW = 1 << 20
-#: Rounds in which a bucket's smallest member meets the others; pairs that remain after them are listed.
-STAR_ROUNDS = 4
+#: Pairs are listed one by one once there are at most this many for each row of the buckets that are left.
+LISTED_PAIRS = 4
 _RANDOM = np.random.default_rng(0xC0FFEE)
 _BYTE_CODE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -94,14 +94,17 @@ def circulant_minima(shingles: np.ndarray, n: int) -> np.ndarray:
     first = (_mix(shingles * np.uint64(0xA24BAED4963EE407)) >> np.uint64(32)).astype(np.uint32)
     shift = np.arange(n, dtype=np.uint32)[:, None]
     out = np.full(n, 0xFFFFFFFF, np.uint32)
-    wide = max(1, 65536 // n)
+    wide = max(1, 32768 // n)
+    x, y = np.empty((2, n, min(wide, max(1, len(first)))), np.uint32)
     for at in range(0, len(first), wide):
-        x = first[None, at : at + wide] - shift
-        x ^= x >> np.uint32(16)
-        x *= np.uint32(0x85EBCA6B)
-        x ^= x >> np.uint32(13)
-        x *= np.uint32(0xC2B2AE35)
-        x ^= x >> np.uint32(16)
+        part = first[None, at : at + wide]
+        if part.shape[1] < x.shape[1]:
+            x, y = x[:, : part.shape[1]], y[:, : part.shape[1]]
+        np.subtract(part, shift, out=x)
+        np.multiply(x, np.uint32(0x85EBCA6B), out=x)
+        np.right_shift(x, np.uint32(15), out=y)
+        np.bitwise_xor(x, y, out=x)
+        np.multiply(x, np.uint32(0xC2B2AE35), out=x)
         np.minimum(out, x.min(axis=1), out=out)
     return out
 
@@ -152,9 +155,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 75, bands: int = BANDS, rows: int = ROWS, star_rounds: int = STAR_ROUNDS
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * intersection >= percent * union of their
@@ -163,62 +164,63 @@ def near_duplicates(
     nothing; texts with equal sets form a class that goes on as one; rows that
     repeat an id are one vertex, linked if any of their texts is.
 
-    A bucket's pairs are never all listed. In each round the smallest member of
+    A bucket's pairs are not all listed. In each round the smallest member of
     every bucket meets the others that are not yet in its component; then it
     leaves the bucket, and buckets whose members are all in one component are
-    done. Copies, however many, thus cost one pair each. What still spans several
-    components after the last round is listed pair by pair across components, so
+    done. Copies, however many, thus cost one pair each. As soon as the pairs
+    that still span components are few for the rows left, they are listed, so
     that no candidate pair is dropped.
     """
     sig = stored(signatures(docs, id_col, text_col, words, bands, rows))
-    classes = sig.filter("set_hash is not null").groupBy("set_hash").agg(F.min("id").alias("rep"))
+    filled = sig.filter("set_hash is not null").select("id", "n_shingles", "set_hash")
+    classes = stored(filled.groupBy("set_hash").agg(F.min("id").alias("rep")))
     reps = sig.join(classes, (sig.set_hash == classes.set_hash) & (sig.id == classes.rep), "left_semi")
-    members = stored(_several(reps.select("id", "n_shingles", F.explode("bands").alias("bucket"))))
+    left = _several(reps.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")))
+    left = stored(left.withColumn("component", F.col("id")))
 
-    wanted = members.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    texts = stored(texts.join(wanted, "id", "left_semi"))
+    texts = stored(texts.join(left.select("id").distinct(), "id", "left_semi"))
 
     fits = (F.least("n", "lead_n") * 100) >= (F.greatest("n", "lead_n") * percent)
-    links, component = None, None
-    left = members.select("bucket", "id", F.col("n_shingles").alias("n"), F.col("id").alias("component"))
-    for round_ in range(star_rounds + 1):
-        last = round_ == star_rounds
-        if last:
+    component, listing = None, False
+    while True:
+        if listing:
             other = left.select("bucket", F.col("id").alias("a"), F.col("n").alias("lead_n"), F.col("component").alias("lead_component"))
-            pairs = left.withColumnRenamed("id", "b").join(other, "bucket").filter("a < b and component <> lead_component")
         else:
             least = F.min(F.struct("id", "n", "component")).alias("h")
-            heads = left.groupBy("bucket").agg(least).select("bucket", F.col("h.id").alias("a"), F.col("h.n").alias("lead_n"), F.col("h.component").alias("lead_component"))
-            heads = stored(heads)  # so that the join below can split a large bucket
-            pairs = left.withColumnRenamed("id", "b").join(heads, "bucket").filter("a <> b and component <> lead_component")
-        pairs = stored(pairs.filter(fits).select("a", "b").distinct())
-        if not pairs.isEmpty():
-            found = stored(_verified(pairs, texts, words, percent))
-            links = found if links is None else links.unionByName(found)
-            component = connected_components(links)
-        drop_stored(pairs)
-        if last:
+            other = left.groupBy("bucket").agg(least).select("bucket", F.col("h.id").alias("a"), F.col("h.n").alias("lead_n"), F.col("h.component").alias("lead_component"))
+            other = stored(other)  # so that the join below can split a large bucket
+        pairs = left.withColumnRenamed("id", "b").join(other, "bucket").filter("a < b and component <> lead_component").filter(fits)
+        found = stored(_verified(pairs.select("a", "b").distinct(), texts, words, percent))
+        component = _joined(component, found)
+        if listing:
             break
         # Heads have met everyone in their bucket; they leave it.
-        left = left.join(heads.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n")
-        if component is not None:
-            left = left.join(component.withColumnRenamed("component", "c"), "id", "left").select("bucket", "id", "n", F.coalesce("c", "id").alias("component"))
-        else:
-            left = left.withColumn("component", F.col("id"))
-        left = stored(left)
-        spans = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        left = stored(left.join(stored(spans.select("bucket")), "bucket", "left_semi"))
-        if left.isEmpty():
+        left = left.join(other.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n")
+        left = stored(left.join(component.withColumnRenamed("component", "c"), "id", "left").select("bucket", "id", "n", F.coalesce("c", "id").alias("component")))
+        sizes = left.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+        sizes = stored(sizes.filter("parts > 1"))
+        total = sizes.agg(F.sum("k").alias("rows"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs")).first()
+        if not total.pairs:
             break
+        left = stored(left.join(sizes.select("bucket"), "bucket", "left_semi"))
+        listing = total.pairs <= LISTED_PAIRS * total.rows
 
-    filled = sig.filter("set_hash is not null").select("id", "n_shingles", "set_hash").join(classes, "set_hash")
-    if component is not None:
-        filled = filled.join(component, filled.rep == component.id, "left").select(filled.id, "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    else:
-        filled = filled.select("id", "n_shingles", F.col("rep").alias("component_id"))
+    out = filled.join(classes, "set_hash").select("id", "n_shingles", "rep")
+    out = out.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     empty = sig.filter("set_hash is null").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return filled.unionByName(empty).select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.unionByName(empty).select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def _joined(component: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) after new links between the components so far."""
+    if component is None:
+        return connected_components(links)
+    a, b = (component.select(F.col("id").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
+    moved = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    above = connected_components(moved)
+    old = component.join(above.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    return stored(old.unionByName(above.join(component, "id", "left_anti")))
 
 
 def _several(rows: DataFrame) -> DataFrame:
