@@ -43,8 +43,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     slim = stored(texts.select("id", "size", "hash", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha")))
     best = F.max(F.struct(F.col("size"), (-F.col("id")).alias("minus_id"))).alias("best")
     groups = slim.groupBy("hash").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), best)
+    groups = stored(groups)  # so that the join below can split a large group
     rows = stored(slim.join(groups, "hash").select("id", "size", "hash", "sha", "n", "first_id", (-F.col("best.minus_id")).alias("keep_id")))
-    drop_stored(slim)
+    drop_stored(slim, groups)
 
     again = rows.filter("n > 1").select("id", "hash", "n", "first_id").distinct()
     members = texts.select("id", "hash", "text").join(again, ["id", "hash"])

@@ -15,31 +15,30 @@ LONG_WORDS = 50
 SALT_ROWS = 512
 
 
-def _chunks(divisor: int, long_words: int) -> Column:
-    """array<struct<at, n_lines, text>> from the columns lines, hashes and long."""
+def _stops(divisor: int) -> Column:
+    """Positions of the last line of each chunk, from the columns lines, hashes and long."""
     last = F.size("lines") - 1
 
     def ends(i: Column) -> Column:
         rolling = F.xxhash64(F.get("hashes", i - 1), F.get("hashes", i))
         return (i == last) | F.get("long", i) | F.get("long", i + 1) | ((i > 0) & (F.pmod(rolling, F.lit(divisor)) == 0))
 
-    stops = F.filter(F.sequence(F.lit(0), last), ends)
+    return F.filter(F.sequence(F.lit(0), last), ends)
 
-    def chunk(stop: Column, k: Column) -> Column:
-        start = F.when(k == 0, F.lit(0)).otherwise(F.get("stops", k - 1) + 1)
-        n = stop - start + 1
-        return F.struct(k.alias("at"), n.alias("n_lines"), F.array_join(F.slice("lines", start + 1, n), "\n").alias("text"))
 
-    return stops, lambda: F.transform("stops", chunk)
+def _between(stop: Column, k: Column) -> Column:
+    """The chunk that ends with line ``stop``: its number, its lines and their text, from the columns lines and stops."""
+    start = F.when(k == 0, F.lit(0)).otherwise(F.get("stops", k - 1) + 1)
+    n = stop - start + 1
+    return F.struct(k.alias("at"), n.alias("n_lines"), F.array_join(F.slice("lines", start + 1, n), "\n").alias("text"))
 
 
 def with_chunks(docs: DataFrame, text_col: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
     """Adds chunks: runs of lines whose boundaries depend on the lines next to them alone, so that inserted lines shift none elsewhere."""
-    stops, chunks = _chunks(divisor, long_words)
     rows = docs.withColumn("lines", F.split(text_or_empty(text_col), "\n", -1))
     rows = rows.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
     rows = rows.withColumn("long", F.transform("lines", lambda x: (F.length(x) > 2 * long_words) & (F.regexp_count(x, F.lit(WORD)) > long_words)))
-    return rows.withColumn("stops", stops).withColumn("chunks", chunks()).drop("lines", "hashes", "long", "stops")
+    return rows.withColumn("stops", _stops(divisor)).withColumn("chunks", F.transform("stops", _between)).drop("lines", "hashes", "long", "stops")
 
 
 def _hash(text: Column) -> Column:
