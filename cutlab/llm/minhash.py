@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutlab.llm.common import stored, text_or_empty
@@ -20,8 +20,8 @@ BANDS, ROWS = 24, 4
 WORDS = 5
 #: Bytes of text hashed at once.
 WINDOW = 1 << 20
-#: Pairs are listed one by one once there are at most this many for each row of the buckets that are left.
-LISTED_PAIRS = 4
+#: Pairs are listed one by one once there are at most this many for each document.
+LISTED_PAIRS = 1.0
 _RANDOM = np.random.default_rng(0xC0FFEE)
 _BYTE_CODE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -164,14 +164,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing; texts with equal sets form a class that goes on as one; rows that
     repeat an id are one vertex, linked if any of their texts is.
 
-    A bucket's pairs are not all listed. In each round the smallest member of
-    every bucket meets the others that are not yet in its component; then it
-    leaves the bucket, and buckets whose members are all in one component are
-    done. Copies, however many, thus cost one pair each. As soon as the pairs
+    A bucket's pairs are not all listed. In each round one member of every
+    bucket's largest component, the smallest at first and then one by hash,
+    meets the bucket's other components; then it leaves the bucket, and buckets
+    within one component are done. Copies, however many, thus cost one pair
+    each. As soon as the pairs
     that still span components are few for the rows left, they are listed, so
     that no candidate pair is dropped.
     """
     sig = stored(signatures(docs, id_col, text_col, words, bands, rows))
+    n_docs = sig.count()
     filled = sig.filter("set_hash is not null").select("id", "n_shingles", "set_hash")
     classes = stored(filled.groupBy("set_hash").agg(F.min("id").alias("rep")))
     reps = sig.join(classes, (sig.set_hash == classes.set_hash) & (sig.id == classes.rep), "left_semi")
@@ -182,29 +184,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = stored(texts.join(left.select("id").distinct(), "id", "left_semi"))
 
     fits = (F.least("n", "lead_n") * 100) >= (F.greatest("n", "lead_n") * percent)
-    component, listing = None, False
+    component, rare = None, False
     while True:
+        # One row a bucket that spans components: its head, from its largest component, and how many pairs span.
+        head = F.min(F.struct(F.when(F.lit(component is not None), F.xxhash64("bucket", "id")).otherwise(F.col("id")).alias("order"), "id", "n")).alias("head")
+        parts = left.groupBy("bucket", "component").agg(F.count("*").alias("k"), head)
+        top = F.max(F.struct(F.col("k"), (-F.col("component")).alias("minus"), F.col("head"))).alias("top")
+        buckets = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), top).filter("parts > 1")
+        buckets = buckets.select("bucket", ((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs"), F.col("top.head.id").alias("a"), F.col("top.head.n").alias("lead_n"), (-F.col("top.minus")).alias("lead_component"))
+        buckets = stored(buckets)  # so that the joins below can split a large bucket
+        spanning = buckets.agg(F.sum("pairs")).first()[0]
+        if not spanning:
+            break
+        listing = component is not None and spanning <= LISTED_PAIRS * n_docs
+        if component is not None and not listing and not rare:
+            # Texts that share much, yet too little: only their rare shingles can tell them apart.
+            left = left.join(buckets.select("bucket"), "bucket", "left_semi").select("id", "n", "component").distinct()
+            left, rare = stored(_rare_shingles(texts, stored(left), words, percent)), True
+            continue
         if listing:
+            left = stored(left.join(buckets.select("bucket"), "bucket", "left_semi"))
             other = left.select("bucket", F.col("id").alias("a"), F.col("n").alias("lead_n"), F.col("component").alias("lead_component"))
+            pairs = left.withColumnRenamed("id", "b").join(other, "bucket").filter("a < b")
         else:
-            least = F.min(F.struct("id", "n", "component")).alias("h")
-            other = left.groupBy("bucket").agg(least).select("bucket", F.col("h.id").alias("a"), F.col("h.n").alias("lead_n"), F.col("h.component").alias("lead_component"))
-            other = stored(other)  # so that the join below can split a large bucket
-        pairs = left.withColumnRenamed("id", "b").join(other, "bucket").filter("a < b and component <> lead_component").filter(fits)
-        found = stored(_verified(pairs.select("a", "b").distinct(), texts, words, percent))
-        component = _joined(component, found)
+            pairs = left.withColumnRenamed("id", "b").join(buckets, "bucket")
+        pairs = pairs.filter("component <> lead_component").filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        component = _joined(component, stored(_verified(pairs.distinct(), texts, words, percent)))
         if listing:
             break
-        # Heads have met everyone in their bucket; they leave it.
-        left = left.join(other.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n")
+        # Heads have met everyone in their bucket and leave it, as do buckets that span nothing.
+        left = left.join(buckets.select("bucket", "a"), "bucket").filter("id <> a").select("bucket", "id", "n")
         left = stored(left.join(component.withColumnRenamed("component", "c"), "id", "left").select("bucket", "id", "n", F.coalesce("c", "id").alias("component")))
-        sizes = left.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        sizes = stored(sizes.filter("parts > 1"))
-        total = sizes.agg(F.sum("k").alias("rows"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs")).first()
-        if not total.pairs:
-            break
-        left = stored(left.join(sizes.select("bucket"), "bucket", "left_semi"))
-        listing = total.pairs <= LISTED_PAIRS * total.rows
+    if component is None:
+        component = connected_components(left.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
 
     out = filled.join(classes, "set_hash").select("id", "n_shingles", "rep")
     out = out.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
@@ -223,6 +235,29 @@ def _joined(component: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(old.unionByName(above.join(component, "id", "left_anti")))
 
 
+def _rare_shingles(texts: DataFrame, left: DataFrame, words: int, percent: int) -> DataFrame:
+    """(bucket, id, n, component): the rarest shingles of each document, as many as a similar pair needs to share one.
+
+    A pair that is similar enough shares at least percent of the larger set, so
+    the first n - ceil(percent * n) + 1 shingles of both, in one common order,
+    overlap. With the rarest first, a passage that very many documents share
+    comes last and brings none of them together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for id_, text in zip(batch.column("id"), batch.column("text")):
+                s = shingle_set(text.as_py(), words).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"id": pa.array(np.full(len(s), id_.as_py(), np.int64)), "bucket": pa.array(s)})
+
+    rows = stored(texts.join(left.select("id"), "id", "left_semi").mapInArrow(run, "id long, bucket long"))
+    shared = stored(rows.groupBy("bucket").agg(F.count("*").alias("df")))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "bucket"))
+    ranked = rows.join(shared, "bucket").withColumn("place", place).join(left, "id")
+    prefix = ranked.filter((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
+    return prefix.select("bucket", "id", "n", "component")
+
+
 def _several(rows: DataFrame) -> DataFrame:
     """Rows of buckets that hold more than one id."""
     shared = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("bucket")
