@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +54,14 @@ def drop_stored(*frames: DataFrame) -> None:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
             hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def linked_heads(near: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows and columns of a matrix of links: the smallest id that each can reach within it."""
+    head_a, head_b, top = ids_a.copy(), ids_b.copy(), np.iinfo(np.int64).max
+    while True:
+        new_a = np.minimum(head_a, np.where(near, head_b[None, :], top).min(axis=1))
+        new_b = np.minimum(head_b, np.where(near, new_a[:, None], top).min(axis=0))
+        if (new_a == head_a).all() and (new_b == head_b).all():
+            return head_a, head_b
+        head_a, head_b = new_a, new_b

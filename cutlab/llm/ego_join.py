@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutlab.llm.common import drop_stored, stored
+from cutlab.llm.common import drop_stored, linked_heads, stored
 from cutlab.llm.components import connected_components
 
 #: Leading principal dimensions that order the grid and bound the blocks.
@@ -139,13 +139,7 @@ def _links(pairs: DataFrame, blocks: DataFrame, cosine: float) -> DataFrame:
                 near = near[np.ix_(rows, columns)]
                 ids_a, ids_b = ids_a[rows], ids_b[columns]
                 n_a, n_b = np.frombuffer(r["counts_a"], np.int64)[rows], np.frombuffer(r["counts_b"], np.int64)[columns]
-                head_a, head_b, top = ids_a.copy(), ids_b.copy(), np.iinfo(np.int64).max
-                while True:
-                    new_a = np.minimum(head_a, np.where(near, head_b[None, :], top).min(axis=1))
-                    new_b = np.minimum(head_b, np.where(near, new_a[:, None], top).min(axis=0))
-                    if (new_a == head_a).all() and (new_b == head_b).all():
-                        break
-                    head_a, head_b = new_a, new_b
+                head_a, head_b = linked_heads(near, ids_a, ids_b)
                 found.append((ids_a, near @ n_b, head_a))
                 if r["a"] != r["b"]:
                     found.append((ids_b, near.T @ n_a, head_b))

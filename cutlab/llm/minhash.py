@@ -8,10 +8,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutlab.llm.common import stored, text_or_empty
+from cutlab.llm.common import linked_heads, stored, text_or_empty
 from cutlab.llm.components import connected_components
 
 #: Signature coordinates: BANDS bands of ROWS minima. Two texts of Jaccard similarity 0.75 share no band with probability 1e-4.
@@ -20,8 +20,8 @@ BANDS, ROWS = 24, 4
 WORDS = 5
 #: Bytes of text hashed at once.
 WINDOW = 1 << 20
-#: Pairs are listed one by one once there are at most this many for each document.
-LISTED_PAIRS = 1.0
+#: Documents of a bucket that meet others at once.
+BLOCK = 128
 _RANDOM = np.random.default_rng(0xC0FFEE)
 _BYTE_CODE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -173,50 +173,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that no candidate pair is dropped.
     """
     sig = stored(signatures(docs, id_col, text_col, words, bands, rows))
-    n_docs = sig.count()
     filled = sig.filter("set_hash is not null").select("id", "n_shingles", "set_hash")
     classes = stored(filled.groupBy("set_hash").agg(F.min("id").alias("rep")))
     reps = sig.join(classes, (sig.set_hash == classes.set_hash) & (sig.id == classes.rep), "left_semi")
     left = _several(reps.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")))
-    left = stored(left.withColumn("component", F.col("id")))
+    left = stored(left)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     texts = stored(texts.join(left.select("id").distinct(), "id", "left_semi"))
 
-    fits = (F.least("n", "lead_n") * 100) >= (F.greatest("n", "lead_n") * percent)
-    component, rare = None, False
-    while True:
-        # One row a bucket that spans components: its head, from its largest component, and how many pairs span.
-        head = F.min(F.struct(F.when(F.lit(component is not None), F.xxhash64("bucket", "id")).otherwise(F.col("id")).alias("order"), "id", "n")).alias("head")
-        parts = left.groupBy("bucket", "component").agg(F.count("*").alias("k"), head)
-        top = F.max(F.struct(F.col("k"), (-F.col("component")).alias("minus"), F.col("head"))).alias("top")
-        buckets = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), top).filter("parts > 1")
-        buckets = buckets.select("bucket", ((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs"), F.col("top.head.id").alias("a"), F.col("top.head.n").alias("lead_n"), (-F.col("top.minus")).alias("lead_component"))
-        buckets = stored(buckets)  # so that the joins below can split a large bucket
-        spanning = buckets.agg(F.sum("pairs")).first()[0]
-        if not spanning:
-            break
-        listing = component is not None and spanning <= LISTED_PAIRS * n_docs
-        if component is not None and not listing and not rare:
-            # Texts that share much, yet too little: only their rare shingles can tell them apart.
-            left = left.join(buckets.select("bucket"), "bucket", "left_semi").select("id", "n", "component").distinct()
-            left, rare = stored(_rare_shingles(texts, stored(left), words, percent)), True
-            continue
-        if listing:
-            left = stored(left.join(buckets.select("bucket"), "bucket", "left_semi"))
-            other = left.select("bucket", F.col("id").alias("a"), F.col("n").alias("lead_n"), F.col("component").alias("lead_component"))
-            pairs = left.withColumnRenamed("id", "b").join(other, "bucket").filter("a < b")
-        else:
-            pairs = left.withColumnRenamed("id", "b").join(buckets, "bucket")
-        pairs = pairs.filter("component <> lead_component").filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        component = _joined(component, stored(_verified(pairs.distinct(), texts, words, percent)))
-        if listing:
-            break
-        # Heads have met everyone in their bucket and leave it, as do buckets that span nothing.
-        left = left.join(buckets.select("bucket", "a"), "bucket").filter("id <> a").select("bucket", "id", "n")
-        left = stored(left.join(component.withColumnRenamed("component", "c"), "id", "left").select("bucket", "id", "n", F.coalesce("c", "id").alias("component")))
-    if component is None:
-        component = connected_components(left.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    heads = left.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("h")).select("bucket", F.col("h.id").alias("a"), F.col("h.n").alias("lead_n"))
+    heads = stored(heads)  # so that the join below can split a large bucket
+    fits = F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent
+    pairs = left.withColumnRenamed("id", "b").join(heads, "bucket").filter(fits & (F.col("a") != F.col("b")))
+    links = stored(_verified(pairs.select("a", "b").distinct(), texts, words, percent))
+    component = connected_components(links)
+
+    # Heads have met everyone in their bucket; of the others, those in buckets that span components meet in blocks.
+    left = left.join(heads.select("bucket", "a"), "bucket").filter("id <> a").select("bucket", "id")
+    left = left.join(component.withColumnRenamed("component", "c"), "id", "left").select("bucket", "id", F.coalesce("c", "id").alias("component"))
+    left = stored(left)
+    spanning = left.groupBy("bucket").agg(F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    spanning = stored(spanning.select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")))
+    if not spanning.isEmpty():
+        left = left.join(spanning, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        more = _met_in_blocks(left.select("bucket", "block", "id", "component"), texts, words, percent)
+        component = connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(stored(more)))
 
     out = filled.join(classes, "set_hash").select("id", "n_shingles", "rep")
     out = out.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
@@ -224,38 +206,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.unionByName(empty).select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
-def _joined(component: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(id, component) after new links between the components so far."""
-    if component is None:
-        return connected_components(links)
-    a, b = (component.select(F.col("id").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
-    moved = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    above = connected_components(moved)
-    old = component.join(above.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
-    return stored(old.unionByName(above.join(component, "id", "left_anti")))
+def _met_in_blocks(left: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links that connect the components of every bucket, from rows (bucket, block, id, component).
 
-
-def _rare_shingles(texts: DataFrame, left: DataFrame, words: int, percent: int) -> DataFrame:
-    """(bucket, id, n, component): the rarest shingles of each document, as many as a similar pair needs to share one.
-
-    A pair that is similar enough shares at least percent of the larger set, so
-    the first n - ceil(percent * n) + 1 shingles of both, in one common order,
-    overlap. With the rarest first, a passage that very many documents share
-    comes last and brings none of them together.
+    A block holds about BLOCK documents of a bucket. Tasks take pairs of blocks
+    of a bucket, count the shared shingles of all their documents at once, and
+    return one link a document, to the head of what it is connected with there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(maxsize=4 * BLOCK)
+        def shingles(text: str) -> np.ndarray:
+            return shingle_set(text, words)
+
         for batch in batches:
-            for id_, text in zip(batch.column("id"), batch.column("text")):
-                s = shingle_set(text.as_py(), words).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"id": pa.array(np.full(len(s), id_.as_py(), np.int64)), "bucket": pa.array(s)})
-
-    rows = stored(texts.join(left.select("id"), "id", "left_semi").mapInArrow(run, "id long, bucket long"))
-    shared = stored(rows.groupBy("bucket").agg(F.count("*").alias("df")))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "bucket"))
-    ranked = rows.join(shared, "bucket").withColumn("place", place).join(left, "id")
-    prefix = ranked.filter((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
-    return prefix.select("bucket", "id", "n", "component")
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for row in range(batch.num_rows):
+                x, y = batch.column("docs_a")[row].as_py(), batch.column("docs_b")[row].as_py()
+                sets_x, sets_y = [shingles(d["text"]) for d in x], [shingles(d["text"]) for d in y]
+                n_x, n_y = (np.array([len(s) for s in sets]) for sets in (sets_x, sets_y))
+                both = shared_counts(sets_x, sets_y)
+                near = 100 * both >= percent * (n_x[:, None] + n_y[None, :] - both)
+                near &= np.array([d["component"] for d in x])[:, None] != np.array([d["component"] for d in y])[None, :]
+                if near.any():
+                    ids_x, ids_y = np.array([d["id"] for d in x]), np.array([d["id"] for d in y])
+                    head_x, head_y = linked_heads(near, ids_x, ids_y)
+                    found += [(ids_x[near.any(axis=1)], head_x[near.any(axis=1)]), (ids_y[near.any(axis=0)], head_y[near.any(axis=0)])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
+
+    blocks = left.join(texts, "id").groupBy("bucket", "block").agg(F.collect_list(F.struct("id", "component", "text")).alias("docs"))
+    blocks = stored(blocks)
+    names = blocks.select("bucket", "block")
+    pairs = names.withColumnRenamed("block", "block_a").join(names.withColumnRenamed("block", "block_b"), "bucket").filter("block_a <= block_b")
+    for s in "ab":
+        pairs = pairs.join(blocks.select("bucket", F.col("block").alias(f"block_{s}"), F.col("docs").alias(f"docs_{s}")), ["bucket", f"block_{s}"])
+    return pairs.select("docs_a", "docs_b").mapInArrow(run, "a long, b long")
+
+
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of x shares with each set of y; a slice of the elements at a time."""
+
+    def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+    (v_x, i_x), (v_y, i_y) = flat(x), flat(y)
+    names = np.intersect1d(v_x, v_y)
+    out = np.zeros((len(x), len(y)), np.int64)
+    for at in range(0, len(names), 4096):
+        part = names[at : at + 4096]
+        sides = []
+        for v, i, n in ((v_x, i_x, len(x)), (v_y, i_y, len(y))):
+            k = np.minimum(np.searchsorted(part, v), len(part) - 1)
+            hit = part[k] == v
+            m = np.zeros((n, len(part)), np.float32)
+            m[i[hit], k[hit]] = 1
+            sides.append(m)
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    return out
 
 
 def _several(rows: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def test_near_duplicates_equal_brute_force(spark):
 
 def test_chain_of_near_copies_and_rounds(spark, monkeypatch):
     """Neighbours are similar, the ends are not; a bucket cannot be settled by its first member alone."""
-    monkeypatch.setattr(minhash, "LISTED_PAIRS", 0)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
     base = [f"w{k}" for k in range(60)]
     rows = []
     for k in range(12):
