@@ -35,10 +35,20 @@ def _between(stop: Column, k: Column) -> Column:
 
 def with_chunks(docs: DataFrame, text_col: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
     """Adds chunks: runs of lines whose boundaries depend on the lines next to them alone, so that inserted lines shift none elsewhere."""
-    rows = docs.withColumn("lines", F.split(text_or_empty(text_col), "\n", -1))
-    rows = rows.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    rows = rows.withColumn("long", F.transform("lines", lambda x: (F.length(x) > 2 * long_words) & (F.regexp_count(x, F.lit(WORD)) > long_words)))
-    return rows.withColumn("stops", _stops(divisor)).withColumn("chunks", F.transform("stops", _between)).drop("lines", "hashes", "long", "stops")
+    rows = _computed(docs, lines=F.split(text_or_empty(text_col), "\n", -1))
+    count = lambda x: (F.length(x) > 2 * long_words) & (F.regexp_count(x, F.lit(WORD)) > long_words)
+    rows = _computed(rows, hashes=F.transform("lines", lambda x: F.xxhash64(x)), long=F.transform("lines", count))
+    rows = _computed(rows, stops=_stops(divisor)).drop("hashes", "long")
+    return _computed(rows, chunks=F.transform("stops", _between)).drop("lines", "stops")
+
+
+def _computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row, even where functions over arrays use them once an element.
+
+    A generator of one row keeps the optimiser from moving their expressions into those functions.
+    """
+    one = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("_one")
+    return df.select("*", one).select(*df.columns, *[F.col(f"_one.{name}").alias(name) for name in columns])
 
 
 def _hash(text: Column) -> Column:
@@ -88,7 +98,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         stay = differ.join(first_other, ["hash", "text"]).filter(F.struct("id", "at") == F.col("first")).groupBy(F.col("id").alias(id_col)).agg(F.collect_set("at").alias("stay"))
         out = out.join(stay, id_col, "left")
         gone = F.array_except(gone, F.coalesce("stay", F.array().cast("array<int>")))
-    out = out.withColumn("gone", gone)
+    out = _computed(out, gone=gone)
     kept = F.filter("chunks", lambda c: ~F.array_contains("gone", c["at"]))
     text = F.when(F.col(text_col).isNotNull(), F.array_join(F.transform(kept, lambda c: c["text"]), "\n"))
     text = F.when(F.size("gone") == 0, F.col(text_col)).otherwise(text)
