@@ -28,7 +28,9 @@ from cutlab.llm.common import text_or_empty
 CACHE_WORDS = 300_000
 #: Characters that Python splits on but that Unicode does not call white space.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
-_WHITE = regex.compile(r"\p{White_Space}+")
+#: What the library calls white space.
+_WHITE_CLASS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WHITE = regex.compile(f"[{_WHITE_CLASS}]+")
 
 
 class Remembered(dict):
@@ -72,13 +74,17 @@ class Vocabulary:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank = {self.ids[a] * self.size + self.ids[b]: k for k, (a, b) in enumerate(pairs)}
         self.merged = [self.ids[a + b] for a, b in pairs]
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[^\s", f"[^{_WHITE_CLASS}"))
         self.find_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.symbols = byte_symbols()
 
     def pieces(self, word: str) -> list[str]:
-        """The byte-level pieces of a word without white space."""
-        if word.isascii():
+        """The byte-level pieces of a word without white space.
+
+        Characters that Unicode versions disagree on (assigned lately) can fall
+        otherwise than in the library.
+        """
+        if word.isascii() and word.isprintable():
             return self.split.findall(word.lower())
         low = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
         return ["".join([self.symbols[b] for b in piece.encode("utf-8")]) for piece in self.split.findall(low)]
