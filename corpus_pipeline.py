@@ -29,8 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated chunks of lines; documents that lose all their words go."""
-    clean = line_chunks.dedup_lines(docs.select(COLUMNS))
+    """Removes repeated chunks and passages of lines; documents that lose all their words go."""
+    clean = line_chunks.dedup_lines(docs.select(COLUMNS), passage_words=line_chunks.LONG_WORDS)
     clean = clean.filter((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n\r\t\x0b\x0c", "     ")) != ""))
     return clean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 

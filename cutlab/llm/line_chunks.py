@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutlab.llm.common import WORD, drop_stored, stored, text_or_empty
@@ -27,10 +27,10 @@ def _stops(divisor: int) -> Column:
 
 
 def _between(stop: Column, k: Column) -> Column:
-    """The chunk that ends with line ``stop``: its number, its lines and their text, from the columns lines and stops."""
+    """The chunk that ends with line ``stop``: its number, its first line, its lines and their text, from the columns lines and stops."""
     start = F.when(k == 0, F.lit(0)).otherwise(F.get("stops", k - 1) + 1)
     n = stop - start + 1
-    return F.struct(k.alias("at"), n.alias("n_lines"), F.array_join(F.slice("lines", start + 1, n), "\n").alias("text"))
+    return F.struct(k.alias("at"), start.alias("start"), n.alias("n_lines"), F.array_join(F.slice("lines", start + 1, n), "\n").alias("text"))
 
 
 def with_chunks(docs: DataFrame, text_col: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
@@ -55,7 +55,115 @@ def _hash(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS, hashed=_hash) -> DataFrame:
+def _hash_lines(hashes: Column) -> Column:
+    return F.xxhash64(hashes)
+
+
+def _passages(docs: DataFrame, passage_words: int, hashed) -> DataFrame:
+    """(id, hash, at, n, reach): the shortest runs of lines with more than ``passage_words`` words, from each line on and up to each line.
+
+    Every longer run is the union of such runs within it, so that runs found
+    again are exactly these found again. Runs begin and end with lines that are
+    not blank, so none has more than ``passage_words`` + 1 of those, and the
+    work is linear in the lines. ``reach`` is the first line behind the run that
+    is not blank.
+    """
+    longest, unit = passage_words + 1, 1 << 20  # a sum of words and the number of lines that it took, in one number
+    rows = _computed(docs, lines=F.split(text_or_empty("text"), "\n", -1))
+    rows = _computed(rows, words=F.transform("lines", lambda x: F.regexp_count(x, F.lit(WORD))))
+    rows = rows.filter(F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + x) > passage_words)
+    rows = _computed(rows, full=F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("words", i) > 0))
+
+    def with_gap(i: Column, k: Column) -> Column:
+        before = F.when(k == 0, F.lit(-1)).otherwise(F.get("full", k - 1))
+        return F.xxhash64(F.slice("lines", before + 2, i - before))
+
+    rows = _computed(rows, own=F.transform("full", lambda i: F.xxhash64(F.get("lines", i))), hashes=F.transform("full", with_gap), steps=F.transform("full", lambda i: F.get("words", i).cast("long") * unit + 1), end=F.size("lines"))
+    rows = rows.drop("lines", "words")
+
+    def taken(steps: Column) -> Column:
+        total = F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: F.when(a >= longest * unit, a).otherwise(a + x))
+        return F.when(total >= longest * unit, F.pmod(total, F.lit(unit)).cast("int")).otherwise(0)
+
+    places = F.sequence(F.lit(0), F.size("full") - 1)
+    ahead = F.transform(places, lambda k: taken(F.slice("steps", k + 1, F.lit(longest))))
+    back = F.transform(places, lambda k: taken(F.reverse(F.slice("steps", F.greatest(k - passage_words, F.lit(0)) + 1, F.least(k + 1, F.lit(longest))))))
+    rows = _computed(rows, ahead=ahead, back=back).drop("steps")
+    onward = F.transform("ahead", lambda n, k: F.struct(k.alias("k"), n.alias("m")))
+    upto = F.transform("back", lambda n, k: F.struct((k - n + 1).alias("k"), n.alias("m")))
+    runs = F.concat(F.filter(onward, lambda r: r["m"] > 0), F.filter(upto, lambda r: (r["m"] > 0) & (F.get("ahead", r["k"]) != r["m"])))
+    rows = rows.select("id", "end", "full", "own", "hashes", F.explode(runs).alias("r"))
+    k, m = F.col("r.k"), F.col("r.m")
+    at, last = F.get("full", k), F.get("full", k + m - 1)
+    key = hashed(F.concat(F.slice("own", k + 1, F.lit(1)), F.slice("hashes", k + 2, m - 1)))
+    return rows.select("id", key.alias("hash"), at.alias("at"), (last - at + 1).alias("n"), F.coalesce(F.get("full", k + m), F.col("end")).alias("reach"))
+
+
+def _again(found: DataFrame, *key: str) -> DataFrame:
+    """Rows of ``found`` whose key stands earlier, with src and src_at of its first place; a run may not overlap that."""
+    groups = found.groupBy(*key).agg(F.count("*").alias("rows"), F.min(F.struct("id", "at", "n")).alias("first")).filter("rows > 1").drop("rows")
+    groups = stored(groups)  # so that the join below can split a passage that very many documents share
+    later = (F.col("id") != F.col("first.id")) | (F.col("at") >= F.col("first.at") + F.col("first.n"))
+    return found.join(groups, list(key)).filter(later).select("id", "at", "n", "reach", F.col("first.id").alias("src"), F.col("first.at").alias("src_at"))
+
+
+def _joined(runs: DataFrame, by: list[str], upto: Column) -> DataFrame:
+    """Runs (at, n, reach) of equal ``by`` that overlap, or begin at ``upto`` of an earlier one at the latest, made one."""
+    order = Window.partitionBy(*by).orderBy("at", "n")
+    before = F.max(upto).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("is_new", F.when(before >= F.col("at"), 0).otherwise(1))
+    runs = runs.withColumn("part", F.sum("is_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*by, "part").agg(F.min("at").alias("at"), (F.max(F.col("at") + F.col("n")) - F.min("at")).cast("int").alias("n"), F.max("reach").alias("reach")).drop("part")
+
+
+def _slice_text(at: Column, n: Column) -> Column:
+    return F.array_join(F.slice("lines", at + 1, n), "\n")
+
+
+def repeated_passages(docs: DataFrame, passage_words: int = LONG_WORDS, hashed=_hash_lines) -> DataFrame:
+    """(id, cuts array<struct<at, n>>): the lines of each text (id, text) that belong to passages which stand earlier in the corpus.
+
+    A passage is a run of consecutive lines with more than ``passage_words``
+    words that begins and ends with a line that is not blank. Each stands, byte
+    for byte, in a text with a smaller id, or further up in the same one without
+    overlap. Blank lines between two such passages go with them.
+
+    Hashes find the passages; runs of them that are consecutive in one earlier
+    text become one, whose bytes are compared with those of the earlier text.
+    """
+    found = stored(_passages(docs, passage_words, hashed))
+    again = _again(found, "hash").withColumn("shift", F.col("at") - F.col("src_at"))
+    pieces = stored(_joined(again, ["id", "src", "shift"], F.col("at") + F.col("n")).withColumn("src_at", (F.col("at") - F.col("shift")).cast("int")).drop("shift"))
+
+    # The bytes of every piece against those of its source, which is copied once per SALT_ROWS of them.
+    sources = stored(pieces.groupBy("src", "src_at", "n").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")))
+    takers = pieces.groupBy("id").agg(F.collect_list(F.struct("at", "n", "src", "src_at", "reach")).alias("p"))
+    givers = sources.groupBy(F.col("src").alias("id")).agg(F.collect_list(F.struct(F.col("src_at").alias("at"), "n", "salts")).alias("p"))
+    lined = docs.withColumn("lines", F.split("text", "\n", -1)).drop("text")
+    own = lined.join(takers, "id").select("id", "lines", F.explode("p").alias("p"))
+    own = own.select("id", "p.*", _slice_text(F.col("p.at"), F.col("p.n")).alias("text"))
+    own = own.join(sources, ["src", "src_at", "n"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
+    given = lined.join(givers, "id").select("id", "lines", F.explode("p").alias("p"))
+    given = given.select(F.col("id").alias("src"), F.col("p.at").alias("src_at"), F.col("p.n").alias("n"), "p.salts", _slice_text(F.col("p.at"), F.col("p.n")).alias("src_text"))
+    given = given.groupBy("src", "src_at", "n", "salts").agg(F.min("src_text").alias("src_text"))  # rows that repeat an id
+    given = given.select("src", "src_at", "n", "src_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    differ = stored(own.join(given, ["src", "src_at", "n", "salt"]).filter("text <> src_text").select("id", "at", "n", "src", "src_at"))
+    cuts = pieces
+    if not differ.isEmpty():
+        # Hashes that clash: their runs are told apart by their bytes.
+        wrong = differ.select("id", F.col("at").alias("from"), (F.col("at") + F.col("n")).alias("to")).distinct()
+        hashes = found.join(wrong, "id").filter("at >= from and at + n <= to").select("hash").distinct()
+        places = found.join(hashes, "hash", "left_semi").distinct()
+        told = lined.join(places, "id").select("id", "at", "n", "reach", _slice_text(F.col("at"), F.col("n")).alias("text"))
+        cuts = pieces.join(differ, ["id", "at", "n", "src", "src_at"], "left_anti").select("id", "at", "n", "reach")
+        cuts = cuts.unionByName(_again(stored(told), "text").select("id", "at", "n", "reach"))
+    cuts = _joined(cuts.select("id", "at", "n", "reach"), ["id"], F.col("reach"))
+    cuts = stored(cuts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("cuts")))
+    drop_stored(found, pieces, sources, differ)
+    return cuts
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS, hashed=_hash, passage_words: int | None = None, passages_hashed=_hash_lines) -> DataFrame:
     """All columns of ``docs`` with the text cleaned, plus n_chunks and n_removed (replacing columns of these names).
 
     A chunk goes when it has several lines or more than ``long_words`` words, is
@@ -65,6 +173,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     become empty. Rows that repeat an id with the same text are left for exact
     dedup: their chunks count as the same occurrence.
 
+    With ``passage_words``, lines of ``repeated_passages`` go as well, however
+    chunks divide them; n_removed counts chunks that lost lines.
+
     Ids, positions and hashes alone are shuffled to find repeated chunks; texts
     are shuffled once, by id, to be rebuilt. Repeated chunks are compared with
     the first occurrence, which is copied once per SALT_ROWS others.
@@ -78,8 +189,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = stored(groups)  # so that the join below can split a chunk that very many documents share
     again = found.join(groups, "hash").select("id", F.struct("at", "hash", "n", (F.struct("id", "at") == F.col("first")).alias("is_first")).alias("d"))
     marks = again.groupBy("id").agg(F.collect_set("d").alias("marks"))
-    marked = stored(docs.join(marks.withColumnRenamed("id", id_col), id_col, "left"))
+    marked = docs.join(marks.withColumnRenamed("id", id_col), id_col, "left")
+    if passage_words is None:
+        marked = marked.withColumn("cuts", F.lit(None).cast("array<struct<at:int,n:int>>"))
+    else:
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+        cuts = repeated_passages(texts, passage_words, passages_hashed)
+        marked = marked.join(cuts.withColumnRenamed("id", id_col), id_col, "left")
+    marked = stored(marked)
     drop_stored(found)
+    if passage_words is not None:
+        drop_stored(cuts)
 
     # The bytes of every repeated chunk against those of its first occurrence.
     rows = with_chunks(marked.filter("marks is not null").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "marks"), "text", divisor, long_words)
@@ -98,8 +218,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         stay = differ.join(first_other, ["hash", "text"]).filter(F.struct("id", "at") == F.col("first")).groupBy(F.col("id").alias(id_col)).agg(F.collect_set("at").alias("stay"))
         out = out.join(stay, id_col, "left")
         gone = F.array_except(gone, F.coalesce("stay", F.array().cast("array<int>")))
-    out = _computed(out, gone=gone)
-    kept = F.filter("chunks", lambda c: ~F.array_contains("gone", c["at"]))
-    text = F.when(F.col(text_col).isNotNull(), F.array_join(F.transform(kept, lambda c: c["text"]), "\n"))
-    text = F.when(F.size("gone") == 0, F.col(text_col)).otherwise(text)
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.size("chunks").alias("n_chunks"), F.size("gone").alias("n_removed"))
+    out = _computed(out, gone=gone, cuts_=F.coalesce("cuts", F.array().cast("array<struct<at:int,n:int>>"))).drop("cuts")
+
+    def left(c: Column) -> Column:
+        """Lines of a chunk that stay."""
+        cuts = F.filter("cuts_", lambda p: (p["at"] < c["start"] + c["n_lines"]) & (p["at"] + p["n"] > c["start"]))
+        some = F.filter(F.split(c["text"], "\n", -1), lambda x, i: ~F.exists(cuts, lambda p: (c["start"] + i >= p["at"]) & (c["start"] + i < p["at"] + p["n"])))
+        return F.when(F.array_contains("gone", c["at"]), F.array().cast("array<string>")).when(F.size(cuts) > 0, some).otherwise(F.array(c["text"]))
+
+    touched = lambda c: F.array_contains("gone", c["at"]) | F.exists("cuts_", lambda p: (p["at"] < c["start"] + c["n_lines"]) & (p["at"] + p["n"] > c["start"]))
+    removed = F.when((F.size("gone") == 0) & (F.size("cuts_") == 0), F.lit(0)).otherwise(F.size(F.filter("chunks", touched)))
+    text = F.when(F.col(text_col).isNotNull(), F.array_join(F.flatten(F.transform("chunks", left)), "\n"))
+    text = F.when((F.size("gone") == 0) & (F.size("cuts_") == 0), F.col(text_col)).otherwise(text)
+    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.size("chunks").alias("n_chunks"), removed.alias("n_removed"))

@@ -1,0 +1,98 @@
+import random
+
+import pytest
+from cutlab.llm import line_chunks
+from pyspark.sql import functions as F
+from test_dedup import brute_lines, line_rows, words
+
+
+def brute_cuts(rows, limit=50):
+    """Lines of every run over ``limit`` words that stands in an earlier text, or further up in the same one without overlap."""
+    first, runs = {}, []
+    for i, t in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
+        lines = t.split("\n")
+        n = [len(words(x)) for x in lines]
+        for a in range(len(lines)):
+            total = 0
+            for b in range(a, len(lines)):
+                total += n[b]
+                if n[a] and n[b] and total > limit:
+                    key = "\n".join(lines[a : b + 1])
+                    runs.append((i, a, b, key))
+                    first[key] = min(first.get(key, (i, a)), (i, a))
+                if total > 3 * limit:
+                    break
+    cut = {}
+    for i, a, b, key in runs:
+        j, c = first[key]
+        if j != i or a > c + b - a:
+            cut.setdefault(i, set()).update(range(a, b + 1))
+    for i, t in rows:
+        if i in cut:
+            lines = t.split("\n")
+            full = [k for k, x in enumerate(lines) if words(x)]
+            for a, b in zip(full, full[1:]):
+                if a in cut[i] and b in cut[i]:
+                    cut[i] |= set(range(a, b))
+    return cut
+
+
+def passage_rows():
+    rng = random.Random(5)
+    line = lambda tag: f"{tag} " + " ".join(rng.choices("abcdefgh", k=rng.randrange(0, 30)))
+    passages = [[rng.choice(["", " "]) if rng.random() < 0.2 else line(f"p{n}.{k}") for k in range(rng.randrange(2, 12))] for n in range(8)]
+    rows = []
+    for i in range(60):
+        lines = [line(f"own{i}.{k}") for k in range(rng.randrange(0, 5))]
+        for _ in range(rng.randrange(0, 4)):
+            at, p = rng.randrange(0, len(lines) + 1), rng.choice(passages)
+            a = rng.randrange(0, 2)
+            lines[at:at] = p[a : len(p) - rng.randrange(0, 2)]
+        rows.append((i, "\n".join(lines)))
+    many = " ".join(f"x{k}" for k in range(60)), " ".join(f"y{k}" for k in range(60))
+    rows += [(70, "\n\n".join(many)), (71, "\n\n".join(many)), (72, "\n".join(many)), (73, None), (74, ""), (75, "a\n" * 300), (76, "short\n" + many[0] + "\nend"), (77, "other\n" + many[0] + "\nend")]
+    return rows + [(100 + k, "\n".join(f"hot {j} b c d e f g h" for j in range(9))) for k in range(600)]
+
+
+def cut_of(rows):
+    return {r.id: {k for c in r.cuts for k in range(c.at, c.at + c.n)} for r in rows}
+
+
+@pytest.mark.parametrize("hashed", [line_chunks._hash_lines, lambda h: F.pmod(F.xxhash64(h), F.lit(97))])
+def test_repeated_passages_equal_brute_force(spark, hashed):
+    rows = passage_rows()
+    df = spark.createDataFrame(rows, "id long, text string").filter("text is not null").repartition(4)
+    want = brute_cuts(rows)
+    assert len(want) > 620
+    assert cut_of(line_chunks.repeated_passages(df, 50, hashed).collect()) == want
+
+
+def test_line_dedup_with_passages(spark):
+    rows = line_rows() + [(i + 2000, t) for i, t in passage_rows()]
+    got = line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), passage_words=50).collect()
+    cuts, chunks = brute_cuts(rows), {r[0]: r for r in brute_lines(rows)}
+    by_id, changed = dict(rows), 0
+    for r in got:
+        assert (r.n_removed > 0) == (r.text != by_id[r.doc_id])
+        if r.doc_id not in cuts:
+            assert r.text == chunks[r.doc_id][1]
+        elif chunks[r.doc_id][3] == 0:
+            changed += 1
+            assert r.text == "\n".join(x for k, x in enumerate(by_id[r.doc_id].split("\n")) if k not in cuts[r.doc_id])
+        else:  # no line of a passage that stands earlier is left
+            lines = (by_id[r.doc_id] or "").split("\n")
+            left = [x for k, x in enumerate(lines) if k not in cuts[r.doc_id]]
+            assert sum(r.text.split("\n").count(x) for x in set(lines)) <= max(len(left), 1)
+            assert set(r.text.split("\n")) - {""} <= set(left)
+    assert changed > 0
+
+
+def test_two_lines_of_over_fifty_words_go_whole(spark):
+    """Before, a passage kept its lines where chunks of one line fell into it."""
+    rng = random.Random(1)
+    rows = []
+    for k in range(40):
+        two = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(2)]
+        rows += [(k, "\n".join([f"head {k}", *two, f"tail {k}"])), (100 + k, "\n".join([f"other {k}", *two, f"end {k}"]))]
+    got = {r.doc_id: r.text for r in line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), passage_words=50).collect()}
+    assert all(got[k] == dict(rows)[k] and got[100 + k] == f"other {k}\nend {k}" for k in range(40))

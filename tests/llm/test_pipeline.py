@@ -64,3 +64,9 @@ def test_mix_stage_takes_repeated_ids_apart(spark, folder):
     docs = spark.createDataFrame([(1, "a b c", "aa", "s", 5), (1, "d e f", "aa", "s", 5), (1, "d e f", "aa", None, 5), (2, "g h", "aa", "t", 3)], "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.mix(spark, docs, folder[0]).collect()
     assert all(sum(o == r for o in out) <= 3 for r in docs.collect()) and {o for o in out} <= set(docs.collect())
+
+
+def test_lines_stage_drops_a_copy_of_short_lines(spark, folder):
+    """No line of the copy has over 50 words, its four together have."""
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet").filter("doc_id in (0, 1, 603)")
+    assert {r.doc_id for r in corpus_pipeline.lines(spark, docs, folder[0]).collect()} == {0, 1}
