@@ -164,13 +164,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing; texts with equal sets form a class that goes on as one; rows that
     repeat an id are one vertex, linked if any of their texts is.
 
-    A bucket's pairs are not all listed. In each round one member of every
-    bucket's largest component, the smallest at first and then one by hash,
-    meets the bucket's other components; then it leaves the bucket, and buckets
-    within one component are done. Copies, however many, thus cost one pair
-    each. As soon as the pairs
-    that still span components are few for the rows left, they are listed, so
-    that no candidate pair is dropped.
+    In one round the smallest member of every bucket meets all others, so that
+    copies, however many, cost one pair each. In buckets that span components
+    after it, all other members meet in blocks, so that no candidate pair is
+    dropped; pairs within a component are among those, and pairs that share
+    several bands meet in each. The work is quadratic in such a bucket.
     """
     sig = stored(signatures(docs, id_col, text_col, words, bands, rows))
     filled = sig.filter("set_hash is not null").select("id", "n_shingles", "set_hash")
