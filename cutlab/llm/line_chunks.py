@@ -1,233 +1,180 @@
-"""Line dedup by content-defined chunks of lines, in DataFrame functions only."""
+"""Line dedup by content-defined chunks of lines, in DataFrame functions only.
+
+A rolling hash runs over the hashes of two neighbouring lines at a time. A
+boundary falls between two lines where the rolling hash stands nowhere earlier
+in the corpus; lines between two boundaries are a chunk. Boundaries depend on
+the lines next to them alone, so that lines inserted elsewhere shift none, and a
+chunk of several lines is by construction a repeated one, up to its last line.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutlab.llm.common import WORD, drop_stored, stored, text_or_empty
+from cutlab.llm.common import WORD, drop_stored, stored
 
-#: A boundary follows a line when the rolling hash of it and its predecessor is divisible by this.
-DIVISOR = 2
-#: A line with more words is a chunk of its own.
+#: A line with more words is looked up on its own as well.
 LONG_WORDS = 50
-#: Occurrences of a chunk that share one copy of its first text when bytes are compared.
+#: Repetitions that share one copy of their first text when bytes are compared.
 SALT_ROWS = 512
 
+_LETTER = r"[^\x20\x09-\x0D]"
 
-def _stops(divisor: int) -> Column:
-    """Positions of the last line of each chunk, from the columns lines, hashes and long."""
-    last = F.size("lines") - 1
 
-    def ends(i: Column) -> Column:
-        rolling = F.xxhash64(F.get("hashes", i - 1), F.get("hashes", i))
-        return (i == last) | F.get("long", i) | F.get("long", i + 1) | ((i > 0) & (F.pmod(rolling, F.lit(divisor)) == 0))
+def _computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row, even where functions over arrays use them once an element.
 
-    return F.filter(F.sequence(F.lit(0), last), ends)
+    A generator of one row keeps the optimiser from moving their expressions into those functions.
+    """
+    one = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("_one")
+    return df.select("*", one).select(*df.columns, *[F.col(f"_one.{name}").alias(name) for name in columns])
 
 
-def _between(stop: Column, k: Column) -> Column:
-    """The chunk that ends with line ``stop``: its number, its first line, its lines and their text, from the columns lines and stops."""
-    start = F.when(k == 0, F.lit(0)).otherwise(F.get("stops", k - 1) + 1)
-    n = stop - start + 1
-    return F.struct(k.alias("at"), start.alias("start"), n.alias("n_lines"), F.array_join(F.slice("lines", start + 1, n), "\n").alias("text"))
+def _hash(*parts: Column) -> Column:
+    return F.xxhash64(*parts)
 
 
-def with_chunks(docs: DataFrame, text_col: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
-    """Adds chunks: runs of lines whose boundaries depend on the lines next to them alone, so that inserted lines shift none elsewhere."""
-    rows = _computed(docs, lines=F.split(text_or_empty(text_col), "\n", -1))
-    count = lambda x: (F.length(x) > 2 * long_words) & (F.regexp_count(x, F.lit(WORD)) > long_words)
-    rows = _computed(rows, hashes=F.transform("lines", lambda x: F.xxhash64(x)), long=F.transform("lines", count))
-    rows = _computed(rows, stops=_stops(divisor)).drop("hashes", "long")
-    return _computed(rows, chunks=F.transform("stops", _between)).drop("lines", "stops")
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, key, text): all columns in one struct; rows of the same id and text share a key."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    text = F.col("doc").getField(text_col).cast("string")
+    return rows.select("doc", F.struct(F.col("doc").getField(id_col).alias("id"), F.xxhash64(text).alias("t")).alias("key"), text.alias("text"))
 
 
-def _computed(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns that are computed once a row, even where functions over arrays use them once an element.
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
-    A generator of one row keeps the optimiser from moving their expressions into those functions.
+
+def _slice_text(lines: Column, at: Column, to: Column) -> Column:
+    """Lines ``at`` to ``to``, joined."""
+    return F.array_join(F.slice(lines, at + 1, to - at + 1), "\n")
+
+
+def windows(rows: DataFrame, long_words: int = LONG_WORDS, hashed=_hash) -> DataFrame:
+    """(key, hash, at, to) for rows (key, text): the rolling hash over each two neighbouring lines, and the hash of each long line.
+
+    Blank lines count as space between neighbours.
     """
-    one = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("_one")
-    return df.select("*", one).select(*df.columns, *[F.col(f"_one.{name}").alias(name) for name in columns])
+    full = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"].rlike(_LETTER))
+    rows = _computed(rows.select("key", "text"), full=full).drop("text").filter(F.size("full") > 0)
+    n = F.size("full") - 1
+    rolling = F.zip_with(F.slice("full", F.lit(1), n), F.slice("full", F.lit(2), n), lambda a, b: F.struct(hashed(a["x"], b["x"], b["i"] - a["i"]).alias("hash"), a["i"].alias("at"), b["i"].alias("to")))
+    is_long = lambda s: (F.length(s["x"]) > 2 * long_words) & (F.regexp_count(s["x"], F.lit(WORD)) > long_words)
+    alone = F.transform(F.filter("full", is_long), lambda s: F.struct(hashed(s["x"]).alias("hash"), s["i"].alias("at"), s["i"].alias("to")))
+    return rows.select("key", F.explode(F.concat(rolling, alone)).alias("w")).select("key", "w.hash", "w.at", "w.to")
 
 
-def _hash(text: Column) -> Column:
-    return F.unhex(F.md5(text.cast("binary")))
+def _again(found: DataFrame, *by: str) -> DataFrame:
+    """Rows of ``found`` whose ``by`` stands earlier, with the key and place of its first row; a row may not overlap that."""
+    first = stored(found.groupBy(*by).agg(F.min(F.struct("key", "at", "to")).alias("first")))  # so that the join below can split a window that very many documents share
+    later = (F.col("key") != F.col("first.key")) | (F.col("at") > F.col("first.to"))
+    return found.join(first, list(by)).filter(later).select("key", *by, "at", "to", F.col("first.key").alias("src"), F.col("first.at").alias("src_at"))
 
 
-def _hash_lines(hashes: Column) -> Column:
-    return F.xxhash64(hashes)
+def _joined(rows: DataFrame, *by: str, touching: int = 0) -> DataFrame:
+    """Ranges (at, to) of equal ``by`` that overlap, or with ``touching`` follow on one another, made one."""
+    order = Window.partitionBy(*by).orderBy("at", "to")
+    before = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("is_new", F.when(before >= F.col("at") - touching, 0).otherwise(1))
+    rows = rows.withColumn("part", F.sum("is_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*by, "part").agg(F.min("at").alias("at"), F.max("to").alias("to")).drop("part")
 
 
-def _passages(docs: DataFrame, passage_words: int, hashed) -> DataFrame:
-    """(id, hash, at, n, reach): the shortest runs of lines with more than ``passage_words`` words, from each line on and up to each line.
+def _ranges(rows: DataFrame) -> DataFrame:
+    """(key, cuts): the ranges of each key, disjoint and in order."""
+    return _joined(rows.select("key", "at", "to"), "key", touching=1).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "to"))).alias("cuts"))
 
-    Every longer run is the union of such runs within it, so that runs found
-    again are exactly these found again. Runs begin and end with lines that are
-    not blank, so none has more than ``passage_words`` + 1 of those, and the
-    work is linear in the lines. ``reach`` is the first line behind the run that
-    is not blank.
-    """
-    longest, unit = passage_words + 1, 1 << 20  # a sum of words and the number of lines that it took, in one number
-    rows = _computed(docs, lines=F.split(text_or_empty("text"), "\n", -1))
-    rows = _computed(rows, words=F.transform("lines", lambda x: F.regexp_count(x, F.lit(WORD))))
-    rows = rows.filter(F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + x) > passage_words)
-    rows = _computed(rows, full=F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("words", i) > 0))
-
-    def with_gap(i: Column, k: Column) -> Column:
-        before = F.when(k == 0, F.lit(-1)).otherwise(F.get("full", k - 1))
-        return F.xxhash64(F.slice("lines", before + 2, i - before))
-
-    rows = _computed(rows, own=F.transform("full", lambda i: F.xxhash64(F.get("lines", i))), hashes=F.transform("full", with_gap), steps=F.transform("full", lambda i: F.get("words", i).cast("long") * unit + 1), end=F.size("lines"))
-    rows = rows.drop("lines", "words")
-
-    def taken(steps: Column) -> Column:
-        total = F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: F.when(a >= longest * unit, a).otherwise(a + x))
-        return F.when(total >= longest * unit, F.pmod(total, F.lit(unit)).cast("int")).otherwise(0)
-
-    places = F.sequence(F.lit(0), F.size("full") - 1)
-    ahead = F.transform(places, lambda k: taken(F.slice("steps", k + 1, F.lit(longest))))
-    back = F.transform(places, lambda k: taken(F.reverse(F.slice("steps", F.greatest(k - passage_words, F.lit(0)) + 1, F.least(k + 1, F.lit(longest))))))
-    rows = _computed(rows, ahead=ahead, back=back).drop("steps")
-    onward = F.transform("ahead", lambda n, k: F.struct(k.alias("k"), n.alias("m")))
-    upto = F.transform("back", lambda n, k: F.struct((k - n + 1).alias("k"), n.alias("m")))
-    runs = F.concat(F.filter(onward, lambda r: r["m"] > 0), F.filter(upto, lambda r: (r["m"] > 0) & (F.get("ahead", r["k"]) != r["m"])))
-    rows = rows.select("id", "end", "full", "own", "hashes", F.explode(runs).alias("r"))
-    k, m = F.col("r.k"), F.col("r.m")
-    at, last = F.get("full", k), F.get("full", k + m - 1)
-    key = hashed(F.concat(F.slice("own", k + 1, F.lit(1)), F.slice("hashes", k + 2, m - 1)))
-    return rows.select("id", key.alias("hash"), at.alias("at"), (last - at + 1).alias("n"), F.coalesce(F.get("full", k + m), F.col("end")).alias("reach"))
-
-
-def _again(found: DataFrame, *key: str) -> DataFrame:
-    """Rows of ``found`` whose key stands earlier, with src and src_at of its first place; a run may not overlap that."""
-    groups = found.groupBy(*key).agg(F.count("*").alias("rows"), F.min(F.struct("id", "at", "n")).alias("first")).filter("rows > 1").drop("rows")
-    groups = stored(groups)  # so that the join below can split a passage that very many documents share
-    later = (F.col("id") != F.col("first.id")) | (F.col("at") >= F.col("first.at") + F.col("first.n"))
-    return found.join(groups, list(key)).filter(later).select("id", "at", "n", "reach", F.col("first.id").alias("src"), F.col("first.at").alias("src_at"))
-
-
-def _joined(runs: DataFrame, by: list[str], upto: Column) -> DataFrame:
-    """Runs (at, n, reach) of equal ``by`` that overlap, or begin at ``upto`` of an earlier one at the latest, made one."""
-    order = Window.partitionBy(*by).orderBy("at", "n")
-    before = F.max(upto).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = runs.withColumn("is_new", F.when(before >= F.col("at"), 0).otherwise(1))
-    runs = runs.withColumn("part", F.sum("is_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*by, "part").agg(F.min("at").alias("at"), (F.max(F.col("at") + F.col("n")) - F.min("at")).cast("int").alias("n"), F.max("reach").alias("reach")).drop("part")
-
-
-def _slice_text(at: Column, n: Column) -> Column:
-    return F.array_join(F.slice("lines", at + 1, n), "\n")
-
-
-def repeated_passages(docs: DataFrame, passage_words: int = LONG_WORDS, hashed=_hash_lines) -> DataFrame:
-    """(id, cuts array<struct<at, n>>): the lines of each text (id, text) that belong to passages which stand earlier in the corpus.
-
-    A passage is a run of consecutive lines with more than ``passage_words``
-    words that begins and ends with a line that is not blank. Each stands, byte
-    for byte, in a text with a smaller id, or further up in the same one without
-    overlap. Blank lines between two such passages go with them.
-
-    Hashes find the passages; runs of them that are consecutive in one earlier
-    text become one, whose bytes are compared with those of the earlier text.
-    """
-    found = stored(_passages(docs, passage_words, hashed))
-    again = _again(found, "hash").withColumn("shift", F.col("at") - F.col("src_at"))
-    pieces = stored(_joined(again, ["id", "src", "shift"], F.col("at") + F.col("n")).withColumn("src_at", (F.col("at") - F.col("shift")).cast("int")).drop("shift"))
-
-    # The bytes of every piece against those of its source, which is copied once per SALT_ROWS of them.
-    sources = stored(pieces.groupBy("src", "src_at", "n").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")))
-    takers = pieces.groupBy("id").agg(F.collect_list(F.struct("at", "n", "src", "src_at", "reach")).alias("p"))
-    givers = sources.groupBy(F.col("src").alias("id")).agg(F.collect_list(F.struct(F.col("src_at").alias("at"), "n", "salts")).alias("p"))
-    lined = docs.withColumn("lines", F.split("text", "\n", -1)).drop("text")
-    own = lined.join(takers, "id").select("id", "lines", F.explode("p").alias("p"))
-    own = own.select("id", "p.*", _slice_text(F.col("p.at"), F.col("p.n")).alias("text"))
-    own = own.join(sources, ["src", "src_at", "n"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
-    given = lined.join(givers, "id").select("id", "lines", F.explode("p").alias("p"))
-    given = given.select(F.col("id").alias("src"), F.col("p.at").alias("src_at"), F.col("p.n").alias("n"), "p.salts", _slice_text(F.col("p.at"), F.col("p.n")).alias("src_text"))
-    given = given.groupBy("src", "src_at", "n", "salts").agg(F.min("src_text").alias("src_text"))  # rows that repeat an id
-    given = given.select("src", "src_at", "n", "src_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    differ = stored(own.join(given, ["src", "src_at", "n", "salt"]).filter("text <> src_text").select("id", "at", "n", "src", "src_at"))
-    cuts = pieces
-    if not differ.isEmpty():
-        # Hashes that clash: their runs are told apart by their bytes.
-        wrong = differ.select("id", F.col("at").alias("from"), (F.col("at") + F.col("n")).alias("to")).distinct()
-        hashes = found.join(wrong, "id").filter("at >= from and at + n <= to").select("hash").distinct()
-        places = found.join(hashes, "hash", "left_semi").distinct()
-        told = lined.join(places, "id").select("id", "at", "n", "reach", _slice_text(F.col("at"), F.col("n")).alias("text"))
-        cuts = pieces.join(differ, ["id", "at", "n", "src", "src_at"], "left_anti").select("id", "at", "n", "reach")
-        cuts = cuts.unionByName(_again(stored(told), "text").select("id", "at", "n", "reach"))
-    cuts = _joined(cuts.select("id", "at", "n", "reach"), ["id"], F.col("reach"))
-    cuts = stored(cuts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("cuts")))
-    drop_stored(found, pieces, sources, differ)
-    return cuts
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS, hashed=_hash, passage_words: int | None = None, passages_hashed=_hash_lines) -> DataFrame:
-    """All columns of ``docs`` with the text cleaned, plus n_chunks and n_removed (replacing columns of these names).
-
-    A chunk goes when it has several lines or more than ``long_words`` words, is
-    not blank, and its bytes stand earlier in the corpus: in a document with a
-    smaller id, or further up in the same one. The first occurrence stays. A
-    null text stays null, an empty one empty; other texts that lose every chunk
-    become empty. Rows that repeat an id with the same text are left for exact
-    dedup: their chunks count as the same occurrence.
-
-    With ``passage_words``, lines of ``repeated_passages`` go as well, however
-    chunks divide them; n_removed counts chunks that lost lines.
-
-    Ids, positions and hashes alone are shuffled to find repeated chunks; texts
-    are shuffled once, by id, to be rebuilt. Repeated chunks are compared with
-    the first occurrence, which is copied once per SALT_ROWS others.
+
+def repeated(rows: DataFrame, long_words: int = LONG_WORDS, hashed=_hash) -> tuple[DataFrame, DataFrame]:
+    """(again, chunks) of rows (key, text): windows that stand earlier, and chunks of them (key, src, at, to, src_at).
+
+    A chunk's windows follow on one another both in its text and in the one text
+    where they stood first. Both are stored tables.
     """
-    docs = docs.drop("n_chunks", "n_removed")
-    chunked = with_chunks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null"), "text", divisor, long_words)
-    exploded = chunked.select("id", F.explode("chunks").alias("c"))
-    removable = ((F.col("c.n_lines") > 1) | (F.regexp_count("c.text", F.lit(WORD)) > long_words)) & (F.regexp_count("c.text", F.lit(WORD)) > 0)
-    found = stored(exploded.filter(removable).select("id", F.col("c.at").alias("at"), hashed(F.col("c.text")).alias("hash")))
-    groups = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first")).filter("n > 1")
-    groups = stored(groups)  # so that the join below can split a chunk that very many documents share
-    again = found.join(groups, "hash").select("id", F.struct("at", "hash", "n", (F.struct("id", "at") == F.col("first")).alias("is_first")).alias("d"))
-    marks = again.groupBy("id").agg(F.collect_set("d").alias("marks"))
-    marked = docs.join(marks.withColumnRenamed("id", id_col), id_col, "left")
-    if passage_words is None:
-        marked = marked.withColumn("cuts", F.lit(None).cast("array<struct<at:int,n:int>>"))
-    else:
-        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-        cuts = repeated_passages(texts, passage_words, passages_hashed)
-        marked = marked.join(cuts.withColumnRenamed("id", id_col), id_col, "left")
-    marked = stored(marked)
+    found = stored(windows(rows, long_words, hashed))
+    often = stored(found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
+    again = stored(_again(stored(found.join(often, "hash", "left_semi")), "hash"))
     drop_stored(found)
-    if passage_words is not None:
-        drop_stored(cuts)
-
-    # The bytes of every repeated chunk against those of its first occurrence.
-    rows = with_chunks(marked.filter("marks is not null").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "marks"), "text", divisor, long_words)
-    rows = rows.select("id", "chunks", F.explode("marks").alias("d")).select("id", "d.*", F.get("chunks", F.col("d.at")).getField("text").alias("text"))
-    rows = rows.withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int")).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-    first = rows.filter("is_first").groupBy("hash", "salts").agg(F.min("text").alias("first_text"))
-    first = first.select("hash", "first_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    differ = rows.filter("not is_first").join(first, ["hash", "salt"]).filter("text <> first_text").select("id", "at", "hash", "text")
-    differ = stored(differ)
-
-    out = with_chunks(marked, text_col, divisor, long_words)
-    gone = F.transform(F.filter(F.coalesce("marks", F.array()), lambda d: ~d["is_first"]), lambda d: d["at"])
+    shifted = again.withColumn("shift", F.col("at") - F.col("src_at"))
+    chunks = _joined(shifted, "key", "src", "shift").select("key", "src", "at", "to", (F.col("at") - F.col("shift")).cast("int").alias("src_at"))
+    return again, stored(chunks)
+
+
+def _with_tasks(keyed: DataFrame, again: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Adds cuts (ranges to remove), asks (chunks to compare with their source) and gives (texts that chunks ask for)."""
+    salts = F.ceil(F.count("*") / SALT_ROWS).cast("int")
+    asked = chunks.withColumn("more", F.col("to") - F.col("at"))
+    wanted = stored(asked.groupBy("src", "src_at", "more").agg(salts.alias("salts")))
+    asks = asked.join(wanted, ["src", "src_at", "more"])
+    asks = asks.select("key", F.struct("src", "src_at", "at", "to", "salts").alias("ask"), F.lit(None).cast("struct<at:int,to:int,salts:int>").alias("give"))
+    gives = wanted.select(F.col("src").alias("key"), F.lit(None).cast(asks.schema["ask"].dataType).alias("ask"), F.struct(F.col("src_at").alias("at"), (F.col("src_at") + F.col("more")).alias("to"), "salts").alias("give"))
+    tasks = asks.unionByName(gives).groupBy("key").agg(F.collect_list("ask").alias("asks"), F.collect_list("give").alias("gives"))
+    return keyed.join(tasks.join(_ranges(again), "key", "left"), "key", "left")
+
+
+def _differing(tasked: DataFrame) -> DataFrame:
+    """(key, at, to): chunks whose bytes are not those of their source."""
+    rows = tasked.filter("asks is not null").select("key", "asks", "gives", _lines(F.col("text")).alias("lines"))
+    rows = _computed(rows, asked=F.struct("asks", "gives", "lines"))
+    text = lambda x: _slice_text(F.col("asked.lines"), x["at"], x["to"])
+    own = rows.select("key", F.explode(F.transform("asked.asks", lambda a: F.struct(a["src"].alias("src"), a["src_at"].alias("src_at"), a["at"].alias("at"), a["to"].alias("to"), a["salts"].alias("salts"), text(a).alias("text")))).alias("a")).select("key", "a.*")
+    own = own.withColumn("salt", F.pmod(F.xxhash64("key", "at"), F.col("salts")).cast("int")).withColumn("more", F.col("to") - F.col("at")).drop("salts")
+    given = rows.select("key", F.explode(F.transform("asked.gives", lambda g: F.struct(g["at"].alias("at"), (g["to"] - g["at"]).alias("more"), g["salts"].alias("salts"), text(g).alias("text")))).alias("g"))
+    given = given.select(F.col("key").alias("src"), F.col("g.at").alias("src_at"), "g.more", "g.salts", F.col("g.text").alias("src_text")).dropDuplicates(["src", "src_at", "more"])
+    given = given.select("src", "src_at", "more", "src_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return own.join(given, ["src", "src_at", "more", "salt"]).filter("text <> src_text").select("key", "at", "to")
+
+
+def _settled(keyed: DataFrame, again: DataFrame, differ: DataFrame, long_words: int, hashed) -> DataFrame:
+    """The windows to remove where hashes clash: those of the clashing hashes are told apart by their bytes."""
+    wrong = differ.select("key", F.col("at").alias("from"), F.col("to").alias("upto"))
+    clashing = stored(again.join(wrong, "key").filter("at >= from and to <= upto").select("hash").distinct())
+    places = windows(keyed, long_words, hashed).join(clashing, "hash", "left_semi").groupBy("key").agg(F.collect_set(F.struct("at", "to")).alias("places"))
+    told = _computed(keyed.join(places, "key").select("key", "places", _lines(F.col("text")).alias("lines")), both=F.struct("places", "lines"))
+    told = told.select("key", F.explode(F.transform("both.places", lambda p: F.struct(p["at"].alias("at"), p["to"].alias("to"), _slice_text(F.col("both.lines"), p["at"], p["to"]).alias("bytes")))).alias("p")).select("key", "p.*")
+    return again.join(clashing, "hash", "left_anti").select("key", "at", "to").unionByName(_again(stored(told), "bytes").select("key", "at", "to"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS, hashed=_hash) -> DataFrame:
+    """All columns of ``docs`` with the text cleaned, plus n_lines and n_removed (replacing columns of these names).
+
+    A line goes when it belongs to a run of two or more lines that are not blank,
+    or has more than ``long_words`` words, and that run or line stands byte for
+    byte earlier in the corpus: in a document with a smaller id, or further up
+    in the same one without overlap. The first occurrence stays; blank lines
+    inside a removed run, or between two that follow on one another, go with it.
+
+    A null text stays null, an empty one empty; a text that loses every line
+    becomes empty. n_lines counts the lines before, n_removed those that went;
+    both are 0 for a null text. Rows of the same id and text are left for exact
+    dedup: they count as one occurrence. Null ids are one id, before all others.
+    Of different texts with the same id the one with the smaller hash comes
+    first. Any other column may have any name.
+
+    Keys, places and hashes alone are shuffled to find chunks. Texts are
+    shuffled once, to their chunks, and those of repeated chunks once more, to
+    be compared with the first occurrence, which is copied once per SALT_ROWS.
+    """
+    docs = docs.drop("n_lines", "n_removed")
+    keyed = _keyed(docs, id_col, text_col)
+    texts = keyed.filter("text is not null").select("key", "text")
+    again, chunks = repeated(texts, long_words, hashed)
+    tasked = stored(_with_tasks(keyed, again, chunks))
+    differ = stored(_differing(tasked))
     if not differ.isEmpty():
-        # Hashes that clash: of equal bytes among those, all but the first go as well.
-        first_other = differ.groupBy("hash", "text").agg(F.min(F.struct("id", "at")).alias("first"))
-        stay = differ.join(first_other, ["hash", "text"]).filter(F.struct("id", "at") == F.col("first")).groupBy(F.col("id").alias(id_col)).agg(F.collect_set("at").alias("stay"))
-        out = out.join(stay, id_col, "left")
-        gone = F.array_except(gone, F.coalesce("stay", F.array().cast("array<int>")))
-    out = _computed(out, gone=gone, cuts_=F.coalesce("cuts", F.array().cast("array<struct<at:int,n:int>>"))).drop("cuts")
-
-    def left(c: Column) -> Column:
-        """Lines of a chunk that stay."""
-        cuts = F.filter("cuts_", lambda p: (p["at"] < c["start"] + c["n_lines"]) & (p["at"] + p["n"] > c["start"]))
-        some = F.filter(F.split(c["text"], "\n", -1), lambda x, i: ~F.exists(cuts, lambda p: (c["start"] + i >= p["at"]) & (c["start"] + i < p["at"] + p["n"])))
-        return F.when(F.array_contains("gone", c["at"]), F.array().cast("array<string>")).when(F.size(cuts) > 0, some).otherwise(F.array(c["text"]))
-
-    touched = lambda c: F.array_contains("gone", c["at"]) | F.exists("cuts_", lambda p: (p["at"] < c["start"] + c["n_lines"]) & (p["at"] + p["n"] > c["start"]))
-    removed = F.when((F.size("gone") == 0) & (F.size("cuts_") == 0), F.lit(0)).otherwise(F.size(F.filter("chunks", touched)))
-    text = F.when(F.col(text_col).isNotNull(), F.array_join(F.flatten(F.transform("chunks", left)), "\n"))
-    text = F.when((F.size("gone") == 0) & (F.size("cuts_") == 0), F.col(text_col)).otherwise(text)
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.size("chunks").alias("n_chunks"), removed.alias("n_removed"))
+        cuts = stored(_ranges(_settled(texts, again, differ, long_words, hashed)))
+        tasked = tasked.drop("cuts").join(cuts, "key", "left")
+    drop_stored(again, chunks, differ)
+
+    rows = tasked.select("doc", "text", F.coalesce("cuts", F.array().cast("array<struct<at:int,to:int>>")).alias("cuts"))
+    untouched = rows.withColumn("n_lines", F.coalesce(F.size(_lines(F.col("text"))), F.lit(0))).withColumn("n_removed", F.lit(0))
+    split = _computed(rows.filter(F.size("cuts") > 0), lines=_lines(F.col("text")))
+    # What lies before, between and after the removed ranges.
+    begin = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: c["to"] + 1))
+    end = F.concat(F.transform("cuts", lambda c: c["at"]), F.array(F.size("lines")))
+    kept = F.flatten(F.zip_with(begin, end, lambda a, b: F.slice("lines", a + 1, b - a)))
+    split = split.withColumn("kept", kept).select("doc", F.array_join("kept", "\n").alias("text"), "cuts", F.size("lines").alias("n_lines"), (F.size("lines") - F.size("kept")).alias("n_removed"))
+    out = untouched.filter(F.size("cuts") == 0).unionByName(split)
+    text = F.col("text").cast(docs.schema[text_col].dataType)
+    return out.select(*[text.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns], "n_lines", "n_removed")

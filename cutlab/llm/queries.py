@@ -50,8 +50,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_chunks.dedup_lines(docs, passage_words=line_chunks.LONG_WORDS)
+    return line_chunks.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

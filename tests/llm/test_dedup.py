@@ -126,40 +126,28 @@ def test_circulant_minima_estimate_similarity():
     assert abs((x == y).mean() - 300 / 500) < 0.05
 
 
-def brute_lines(rows, divisor=2, long_words=50):
-    def h(s, seed=42):
-        v = xxhash.xxh64_intdigest(s.encode(), seed)
-        return v
-
-    def rolling(a, b):
-        first = xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)
-        v = xxhash.xxh64_intdigest(b.to_bytes(8, "little"), first)
-        return v - 2**64 if v >= 2**63 else v
-
-    found, chunked = {}, []
-    for i, t in rows:
-        if t is None:
-            chunked.append((i, None, []))
-            continue
+def brute_lines(rows, long_words=50):
+    """(id, text, lines, removed): lines go that stand earlier, in a run of two or more or as a long one."""
+    order = sorted({(i is not None, i or 0, xxhash.xxh64_intdigest(t.encode(), 42) - (2**64 if xxhash.xxh64_intdigest(t.encode(), 42) >= 2**63 else 0), t) for i, t in rows if t is not None})
+    first, spans = {}, {}
+    for at, (_, _, _, t) in enumerate(order):
         lines = t.split("\n")
-        long = [len(words(x)) > long_words for x in lines]
-        chunks, start = [], 0
-        for k in range(len(lines)):
-            end = k == len(lines) - 1 or long[k] or long[k + 1] or (k > 0 and rolling(h(lines[k - 1]), h(lines[k])) % divisor == 0)
-            if end:
-                chunks.append(lines[start : k + 1])
-                start = k + 1
-        chunked.append((i, t, chunks))
-        for at, c in enumerate(chunks):
-            text = "\n".join(c)
-            if (len(c) > 1 or len(words(text)) > long_words) and words(text):
-                found[text] = min(found.get(text, (i, at)), (i, at))
+        full = [k for k, x in enumerate(lines) if words(x)]
+        spans[at] = [(a, b, "\n".join(lines[a : b + 1])) for a, b in zip(full, full[1:])] + [(k, k, lines[k]) for k in full if len(words(lines[k])) > long_words]
+        for a, b, x in spans[at]:
+            first[x] = min(first.get(x, (at, a, b)), (at, a, b))
+    cut = {}
+    for at, (has, i, _, t) in enumerate(order):
+        gone = set()
+        for a, b, x in spans[at]:
+            if first[x][0] != at or a > first[x][2]:
+                gone |= set(range(a, b + 1))
+        cut[(i if has else None, t)] = gone
     out = []
-    for i, t, chunks in chunked:
-        gone = [at for at, c in enumerate(chunks) if "\n".join(c) in found and found["\n".join(c)] != (i, at) and (len(c) > 1 or len(words("\n".join(c))) > long_words)]
-        kept = ["\n".join(c) for at, c in enumerate(chunks) if at not in gone]
-        out.append((i, t if not gone else "\n".join(kept), len(chunks), len(gone)))
-    return sorted(out, key=lambda r: (r[0], r[2], r[1] or ""))
+    for i, t in rows:
+        gone = cut.get((i, t), set())
+        out.append((i, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), 0 if t is None else len(t.split("\n")), len(gone)))
+    return sorted(out, key=repr)
 
 
 def line_rows():
@@ -175,25 +163,32 @@ def line_rows():
         if rng.random() < 0.3:
             lines.append(long)
         rows.append((i, "\n".join(lines)))
-    rows += [(100, None), (101, ""), (102, "\n\n\n"), (103, "\n\n\n"), (104, "All rights reserved."), (105, "All rights reserved."), (106, "a\n" * 5000), (107, "\r\nx\r\ny")]
+    rows += [(100, None), (101, ""), (102, "\n\n\n"), (103, "\n\n\n"), (104, "All rights reserved."), (105, "All rights reserved."), (106, "a\n" * 5000), (107, "\r\nx\r\ny"), (108, "a\n\nb"), (109, "a\n\nb"), (110, "a\n \nb"), (110, "z\na\n \nb"), (110, "z\na\n \nb"), (None, "n one\nn two"), (None, "n two\nn one\nn two"), (111, "n one\nn two\nend"), (112, "c\nd\ne\nc\nd\nc\nd\ne"), (113, "word " * 200_000)]
     return rows + [(200 + k, "hot one\nhot two\nhot three\nhot four") for k in range(700)]
 
 
-@pytest.mark.parametrize("hashed", [line_chunks._hash, lambda t: F.unhex(F.md5(F.left(t, F.lit(3)).cast("binary")))])
+CLASHING = {"doc_id": "long", "text": "string", "hash": "int", "key": "string", "doc": "int", "at": "int", "to": "int", "src": "string", "cuts": "array<int>", "marks": "string", "chunks": "array<int>", "lines": "int", "asks": "int", "full": "int", "Text2": "int", "a.b": "int"}
+
+
+@pytest.mark.parametrize("hashed", [line_chunks._hash, lambda *x: F.pmod(F.xxhash64(*x), F.lit(13))], ids=["hash", "clashes"])
 def test_line_dedup_equals_brute_force(spark, hashed):
     rows = line_rows()
-    df = spark.createDataFrame([(i, t, "x", [1]) for i, t in rows], "doc_id long, text string, marks string, chunks array<int>")
-    df = df.withColumnRenamed("marks", "source").drop("chunks")
+    df = spark.createDataFrame([(i, t, *[None] * (len(CLASHING) - 2)) for i, t in rows], ", ".join(f"`{c}` {k}" for c, k in CLASHING.items())).repartition(5)
     got = line_chunks.dedup_lines(df, hashed=hashed)
-    assert got.columns == ["doc_id", "text", "source", "n_chunks", "n_removed"]
+    assert got.columns == [*CLASHING, "n_lines", "n_removed"]
     want = brute_lines(rows)
-    have = sorted(((r.doc_id, r.text, max(r.n_chunks, 0), r.n_removed) for r in got.collect()), key=lambda r: (r[0], r[2], r[1] or ""))
     assert sum(r[3] for r in want) > 100
-    if hashed is line_chunks._hash:
-        assert [(a[0], a[1]) for a in have] == [(a[0], a[1]) for a in want]
-    else:  # clashing hashes: nothing is removed whose bytes stand nowhere before
-        for a, b in zip(have, want):
-            assert a[0] == b[0] and a[3] <= b[3]
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()), key=repr) == want
+
+
+@pytest.mark.parametrize("n_lines", [2, 3, 4, 6, 10])
+def test_planted_passages_go_whole(spark, n_lines):
+    rng = random.Random(n_lines)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+    passages = [[line() for _ in range(n_lines)] for _ in range(30)]
+    rows = [(k + 100 * c, "\n".join([f"head {k} {c}", *p, f"tail {k} {c}"])) for k, p in enumerate(passages) for c in range(3)]
+    got = {r.doc_id: r.text for r in line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == dict(rows)[k] and got[k + 100 * c] == f"head {k} {c}\ntail {k} {c}" for k in range(30) for c in (1, 2))
 
 
 def test_line_dedup_is_native_and_handles_an_empty_table(spark):
