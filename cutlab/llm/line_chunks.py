@@ -36,10 +36,10 @@ def _hash(*parts: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, key, text): all columns in one struct; rows of the same id and text share a key."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    text = F.col("doc").getField(text_col).cast("string")
-    return rows.select("doc", F.struct(F.col("doc").getField(id_col).alias("id"), F.xxhash64(text).alias("t")).alias("key"), text.alias("text"))
+    """(doc, key, text): all other columns in one struct; rows of the same id and text share a key."""
+    others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(others.alias("doc"), F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("t")).alias("key"), text.alias("text"))
 
 
 def _lines(text: Column) -> Column:
