@@ -31,19 +31,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Where that is unset, as in tests on one machine, a temporary folder is set.
+    Where that is unset on one machine, as in tests, a temporary folder is set; on a cluster it has to be set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` once and reads it back: later steps neither recompute it nor hold its lineage."""
     spark, path = df.sparkSession, scratch_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

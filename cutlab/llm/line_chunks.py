@@ -56,7 +56,7 @@ def windows(rows: DataFrame, long_words: int = LONG_WORDS, hashed=_hash) -> Data
 
     Blank lines count as space between neighbours.
     """
-    full = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"].rlike(_LETTER))
+    full = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: (F.ascii(s["x"]) > 32) | s["x"].rlike(_LETTER))
     rows = _computed(rows.select("key", "text"), full=full).drop("text").filter(F.size("full") > 0)
     n = F.size("full") - 1
     rolling = F.zip_with(F.slice("full", F.lit(1), n), F.slice("full", F.lit(2), n), lambda a, b: F.struct(hashed(a["x"], b["x"], b["i"] - a["i"]).alias("hash"), a["i"].alias("at"), b["i"].alias("to")))

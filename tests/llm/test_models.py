@@ -157,21 +157,56 @@ def test_main_text_of_marked_pages(spark):
         "<article><h1>Title &amp; more</h1><p><b>First  line<br><p>Second&nbsp;line <i>it</i>alic</p><div class=ad>Buy</div><script>var x='</p>'</script><!-- c --><ul><li>one<li>two</ul></article>"
         "<aside>Side</aside><div id=comments><p>Nice post</p></div><footer>&copy; me</footer>"
     )
-    rows = [page("h.example", 1, body), (2, None, None), (3, "::bad::url[", ""), (4, "https://h.example/4", "plain < text"), page("h.example", 5, "<div class='has-sidebar'><main>Kept</main></div>"), page("h.example", 6, "<p>" + "long word " * 50_000 + "</p>")]
+    rows = [page("h.example", 1, body), (2, None, None), (3, "::bad::url[", ""), (4, "https://h.example/4", "plain < text"), page("h.example", 5, "<div class='has-sidebar'><main>Kept</main></div>"), page("h.example", 6, "<p>" + "long word " * 50_000 + "</p>"), (None, None, "<p>no id</p>")]
     df = spark.createDataFrame([(*r, "x") for r in rows + rows[:1]], "page_id long, url string, html string, text string")
     got = site_style.main_text(df).collect()
-    assert len(got) == 7 and all(r.n_chars == len(r.text) for r in got)
+    assert len(got) == 8 and all(r.n_chars == len(r.text) for r in got)
     by = {r.page_id: r.text for r in got}
-    assert by[1] == "Title & more First line Second line italic one two" and by[2] == by[3] == "" and by[5] == "Kept"
+    assert by[1] == "Title & more First line Second line italic one two" and by[2] == by[3] == "" and by[5] == "Kept" and by[None] == "no id"
     assert by[4].startswith("plain <") and by[6] == ("long word " * 50_000).strip()
     assert site_style.main_text(df.limit(0)).count() == 0
 
 
+def article_of(html):
+    return " ".join(t for _, w, t in site_style.parse_page(html) if w > site_style.NAMED)
+
+
+@pytest.mark.parametrize("html, text", [
+    ("a<![foo[ x ]]>b<![CDATA[ y > z", "ab z"), ("<p>x</p><!-- oops <p>y", "x"), ("<p>x</p><!--> y", "x y"), ("x <b", "x"), ("x </b", "x"), ("1 < 2", "1 < 2"),
+    ("<article class='news alert'><h1>T</h1><p>body of it</p></article><article class=teaser>More</article>", "T body of it"),
+    ("<article>One</article><article class='teaser'>" + "long " * 50 + "</article>", "One"),
+    ("<article><div class='post-header'><h1>T</h1></div><p class='form-note'>n</p><p>a <span class=ad>buy</span> b</p></article>", "T n a b"),
+    ("<div class='sidebar'><main>Kept</main></div><div>out</div>", "Kept"),
+])
+def test_pages_that_parsers_stumble_on(html, text):
+    assert " ".join(article_of(html).split()) == text
+
+
+def test_deep_pages_take_linear_time():
+    for html, n in (("<div>x" * 100_000, 100_000), ("<div><b>x" * 30_000 + "</section></i>" * 30_000, 30_000), ("<h1><b>x" * 30_000, 30_000)):
+        assert len(site_style.parse_page(html)) == n
+
+
 def test_tree_finds_unmarked_templates_and_spares_copies(spark):
     """div.x1 reads alike on all pages of the host; nothing in its markup says so."""
     tpl = lambda k: f"<div class=x1><p>Welcome to our site</p></div><div class=x2><p>Article {k} says {k * k} things</p><p>and {k} more</p></div><div class=x3>All about us</div>"
     copy = "<div class=x1><p>Same</p></div><div class=x2><p>Everywhere</p></div>"
-    rows = [page("tpl.example", k, tpl(k)) for k in range(30)] + [page("copy.example", 100 + k, copy) for k in range(30)] + [page("few.example", 200 + k, tpl(1)) for k in range(3)]
-    got = {r.page_id: r for r in site_style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[k].text == f"Article {k} says {k * k} things and {k} more" and got[k].n_removed == 2 for k in range(30))
-    assert all(got[100 + k].text == "Same Everywhere" for k in range(30)) and all(got[200 + k].n_removed == 0 for k in range(3))
+    rows = [page("tpl.example", k, tpl(k)) for k in range(30)] + [page("copy.example", 100 + k, copy) for k in range(30)]
+    # Three pages a host tell little, but the same branch of 40 hosts does.
+    rows += [page(f"few{h}.example", 200 + 3 * h + k, f"<div class=y1>Our partners</div><div class=y2>Story {h}-{k} of {h * 7 + k} days</div>") for h in range(40) for k in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r for r in site_style.main_text(df).collect()}
+    assert all(got[k].text == f"Article {k} says {k * k} things and {k} more" and got[k].n_removed == got[k].n_by_tree == 2 for k in range(30))
+    assert all(got[100 + k].text == "Same Everywhere" for k in range(30))
+    assert all(got[200 + 3 * h + k].text == f"Story {h}-{k} of {h * 7 + k} days" for h in range(40) for k in range(3))
+    joined = {r.page_id: r for r in site_style.main_text(df, most_shared=0).collect()}
+    assert joined == got
+
+
+def test_importance_is_the_entropy_of_the_definition(spark):
+    """One node on 16 pages, with a feature on 4 of them and one on all; three forms of presentation."""
+    rows = [(1, 1, 1, 100)] * 16 + [(1, 1, 1, 101)] * 4 + [(1, 1, 0, f) for f in [7] * 8 + [8] * 4 + [9] * 4]
+    got = site_style.node_importance(spark.createDataFrame(rows, "node long, path long, kind int, feature long")).collect()
+    p = np.array([8, 4, 4]) / 16
+    own = 0.1 * -(p * np.log(p)).sum() / np.log(16) + 0.9 * (1 - (1.0 + 0.5) / 2)
+    assert [r.node for r in got] == [1] and abs(got[0].importance - (16 * own + 8) / 24) < 1e-9
