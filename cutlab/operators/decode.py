@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutlab.operators.series import by_clip
+from cutlab.operators.series import by_clip, next_seen
 
 PERSON, MEME = 0, 1
-#: Longest clip that is folded as one array; a fold needs the clip's samples in order.
 _FORCED = 1e9
+#: Samples of a clip that are folded as one array.
+BLOCK = 1024
 
 
-def viterbi_states(curve: DataFrame, threshold: float = 0.32, penalty: float = 1.0, seeds: DataFrame | None = None) -> DataFrame:
+def _between(x: Column, limit: Column) -> Column:
+    return F.greatest(F.least(x, limit), -limit)
+
+
+def viterbi_states(curve: DataFrame, threshold: float | Column = 0.32, penalty: float | Column = 1.0, seeds: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Adds state: 0 where the curve is above the threshold, 1 below, with ``penalty`` for each switch.
 
     All samples up to the clip's seed (default 0) are state 0; ties favour
@@ -20,27 +25,47 @@ def viterbi_states(curve: DataFrame, threshold: float = 0.32, penalty: float = 1
     D becomes clamp(D, -penalty, penalty) + 2 (sim - threshold) from sample to
     sample, and a state is the first certain one from there on: 0 where D is
     above the penalty, 1 where it is below minus the penalty, at the end by sign.
-    One fold over each clip's ordered samples and one window; one shuffle.
+    Threshold and penalty may be columns of ``clip``.
+
+    A clip of any length is folded in blocks of ``block`` positions. What a
+    block does to D is a shift between two limits, and so is what blocks in a
+    row do; a clip gives one such map a block, from which each block's first D
+    follows. Rows of one block fold side by side with those of the others.
     """
-    rows = curve.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("i", "t", "sim"))).alias("s"))
+    limit, level = (x if isinstance(x, Column) else F.lit(float(x)) for x in (penalty, threshold))
+    rows = curve.groupBy("clip", F.expr(f"cast(i div {block} as long)").alias("block")).agg(F.array_sort(F.collect_list(F.struct("i", "t", "sim"))).alias("s"))
     rows = rows.join(seeds.select("clip", "seed"), "clip", "left") if seeds is not None else rows.withColumn("seed", F.lit(0))
-    seed = F.coalesce(F.col("seed"), F.lit(0))
+    # Limits as columns, so that the folds below see plain values.
+    rows = rows.select("clip", "block", "s", F.coalesce("seed", F.lit(0)).alias("seed"), limit.alias("limit"), level.alias("level"))
+    gain = lambda x: F.lit(2.0) * (x["sim"] - F.col("level"))
+    forced = lambda x: x["i"] <= F.col("seed")
+
+    def then(m: Column, x: Column) -> Column:
+        edge = lambda c: F.when(forced(x), F.lit(_FORCED)).otherwise(_between(c, F.col("limit")) + gain(x))
+        return F.struct((m["shift"] + gain(x)).alias("shift"), edge(m["low"]).alias("low"), edge(m["high"]).alias("high"))
+
+    nothing = F.struct(F.lit(0.0).alias("shift"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+    maps = rows.select("clip", "block", F.aggregate("s", nothing, then).alias("map"))
+    maps = maps.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("block", "map"))).alias("maps")).filter(F.size("maps") > 1)
+
+    def begin(done: Column, x: Column) -> Column:
+        after = F.greatest(F.least(done["d"] + x["map"]["shift"], x["map"]["high"]), x["map"]["low"])
+        return F.struct(after.alias("d"), F.concat(done["all"], F.array(F.struct(x["block"].alias("block"), done["d"].alias("d")))).alias("all"))
+
+    none = F.struct(F.lit(_FORCED).alias("d"), F.array().cast("array<struct<block:bigint,d:double>>").alias("all"))
+    starts = maps.select("clip", F.explode(F.aggregate("maps", none, begin, lambda done: done["all"])).alias("b")).select("clip", "b.block", F.col("b.d").alias("first"))
+    rows = rows.join(starts, ["clip", "block"], "left").withColumn("first", F.coalesce("first", F.lit(_FORCED)))
 
     def step(done: Column, x: Column) -> Column:
-        before = F.greatest(F.least(done["d"], F.lit(penalty)), F.lit(-penalty))
-        d = F.when(x["i"] <= seed, F.lit(_FORCED)).otherwise(before + F.lit(2.0) * (x["sim"] - threshold))
+        d = F.when(forced(x), F.lit(_FORCED)).otherwise(_between(done["d"], F.col("limit")) + gain(x))
         return F.struct(d.alias("d"), F.concat(done["all"], F.array(d)).alias("all"))
 
-    start = F.struct(F.lit(_FORCED).alias("d"), F.array().cast("array<double>").alias("all"))
-    lead = F.aggregate("s", start, step, lambda done: done["all"])
-    rows = rows.withColumn("lead", lead).select("clip", F.explode(F.arrays_zip("s", "lead")).alias("x"))
-    rows = rows.select("clip", "x.s.i", "x.s.t", "x.s.sim", F.col("x.lead").alias("lead"))
-    order = by_clip().orderBy("i")
-    last = F.lead("i").over(order).isNull()
-    sure = F.when(F.col("lead") > penalty, PERSON).when(F.col("lead") < -penalty, MEME).when(last & (F.col("lead") >= 0), PERSON).when(last, MEME)
-    rows = rows.withColumn("sure", sure)
-    ahead = order.rowsBetween(0, Window.unboundedFollowing)
-    return rows.select("clip", "i", "t", "sim", F.first("sure", ignorenulls=True).over(ahead).alias("state"))
+    start = F.struct(F.col("first").alias("d"), F.array().cast("array<double>").alias("all"))
+    rows = rows.withColumn("lead", F.aggregate("s", start, step, lambda done: done["all"])).select("clip", "limit", F.explode(F.arrays_zip("s", "lead")).alias("x"))
+    rows = rows.select("clip", "limit", "x.s.i", "x.s.t", "x.s.sim", F.col("x.lead").alias("lead"))
+    last = F.lead("i").over(by_clip().orderBy("i")).isNull()
+    sure = F.when(F.col("lead") > F.col("limit"), PERSON).when(F.col("lead") < -F.col("limit"), MEME).when(last & (F.col("lead") >= 0), PERSON).when(last, MEME)
+    return rows.withColumn("sure", sure).select("clip", "i", "t", "sim", next_seen("sure", "i").alias("state"))
 
 
 def best_split(rows: DataFrame, flag: str = "flag") -> DataFrame:
@@ -54,12 +79,12 @@ def best_split(rows: DataFrame, flag: str = "flag") -> DataFrame:
 
 def pick(shots: DataFrame, threshold: float = 0.35, evidence_floor: float = 0.15) -> DataFrame:
     """(clip, n, best, cut, method) from labelled shots (clip, i, start, sim): where one label gives way to the other, if it does."""
-    split = best_split(shots.withColumn("flag", F.col("sim") >= threshold))
-    best_start = shots.groupBy("clip").agg(F.max("sim").alias("top"), F.map_from_entries(F.collect_list(F.struct("i", "start"))).alias("starts"))
-    r = split.join(best_start, "clip")
+    split = best_split(shots.withColumn("flag", F.col("sim") >= threshold)).join(shots.groupBy("clip").agg(F.max("sim").alias("top")), "clip")
+    at = F.when(F.col("best") == 0, 1).otherwise(F.col("best"))
+    r = split.withColumn("i", at).join(shots.select("clip", "i", F.col("start").alias("start_")), ["clip", "i"], "left")
     bare, one = F.col("top") < evidence_floor, F.col("n") == 1
     prior = (F.col("best") == 0) & ~bare & ~one
-    cut = F.when(one | (F.col("best") == F.col("n")), F.lit(None)).when(prior, F.try_element_at("starts", F.lit(1))).when(F.col("best") > 0, F.try_element_at("starts", F.col("best")))
+    cut = F.when(one | (F.col("best") == F.col("n")), F.lit(None)).when(prior | (F.col("best") > 0), F.col("start_"))
     method = (
         F.when(one & bare, "all_meme_no_creator").when(one, "single_shot_creator").when(F.col("best") == F.col("n"), "all_creator_no_transition").when((F.col("best") == 0) & bare, "all_meme_no_creator")
         .when(prior, "creator_to_meme_prior").otherwise("creator_to_meme")
@@ -110,9 +135,16 @@ def within_shot_cut(curve: DataFrame, threshold: float = 0.35, high: float = 0.4
     return g.select("clip", F.when(fine, F.round("at", digits)).alias("cut"))
 
 
-def label_and_pick(picked: DataFrame, soft: DataFrame, within: DataFrame, low_threshold: DataFrame | None = None) -> DataFrame:
-    """The base decision with its fallbacks: a soft cut where there is none, an earlier one inside the shot, a second detection for single shots."""
-    r = picked.join(soft.select("clip", F.col("cut").alias("soft")), "clip", "left").join(within.select("clip", F.col("cut").alias("inner")), "clip", "left")
+def label_and_pick(picked: DataFrame, shots: DataFrame, soft: DataFrame, within: DataFrame, low_threshold: DataFrame | None = None, least_shot: float = 0.8) -> DataFrame:
+    """The base decision with its fallbacks: a soft cut where there is none, an earlier one inside the last shot before it, a second detection for single shots.
+
+    A cut inside a shot counts only where that shot is longer than ``least_shot``.
+    """
+    r = picked.join(soft.select("clip", F.col("cut").alias("soft")), "clip", "left")
+    before = F.when(F.col("best") > 0, F.col("best") - 1).when(F.col("cut").isNotNull(), 0)  # the shot before the picked one
+    long = shots.filter(F.col("end") - F.col("start") > least_shot).select("clip", F.col("i").alias("before_"))
+    inner = within.join(long, "clip").select("clip", "before_", F.col("cut").alias("inner"))
+    r = r.withColumn("before_", before).join(inner, ["clip", "before_"], "left")
     use_soft = F.col("cut").isNull() & F.col("soft").isNotNull()
     use_inner = F.col("cut").isNotNull() & (F.col("inner") >= F.col("cut") - 2.5) & (F.col("inner") < F.col("cut") - 0.4)
     cut = F.when(use_soft, F.col("soft")).when(use_inner, F.col("inner")).otherwise(F.col("cut"))

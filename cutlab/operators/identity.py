@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutlab.functions.vectors import dot, doubles, normalise
+from cutlab.sources.shared import keep
 
 
 def retry_empty(frames: DataFrame) -> DataFrame:
@@ -72,15 +73,16 @@ def trimmed_centroid(vectors: DataFrame, by: list[str], vector_col: str = "embed
 
     A pass that leaves fewer than ``least`` inliers keeps the centroid of the
     pass before it. No vector gives no row. Means are summed position by
-    position, so a group of any size works.
+    position, so a group of any size works. Unit vectors and the centroids of
+    each pass (one row a group) are kept, so that passes add up.
     """
-    units = vectors.select(*by, normalise(doubles(F.col(vector_col))).alias("unit"))
-    centre = _mean_direction(units, by)
+    units = keep(vectors.select(*by, normalise(doubles(F.col(vector_col))).alias("unit")))
+    centre = keep(_mean_direction(units, by))
     for _ in range(passes):
         near = units.join(centre, by).filter(dot(F.col("unit"), F.col("centroid")) >= inlier)
         enough = near.groupBy(*by).agg(F.count("*").alias("k")).filter(F.col("k") >= least).select(*by)
         trimmed = _mean_direction(near.join(enough, by, "left_semi"), by).withColumnRenamed("centroid", "trimmed")
-        centre = centre.join(trimmed, by, "left").select(*by, F.coalesce("trimmed", "centroid").alias("centroid"))
+        centre = keep(centre.join(trimmed, by, "left").select(*by, F.coalesce("trimmed", "centroid").alias("centroid")))
     scored = units.join(centre, by).withColumn("near", dot(F.col("unit"), F.col("centroid")) >= inlier)
     counts = scored.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("near").alias("n_inliers"))
     return centre.join(counts, by).withColumn("coverage", F.col("n_inliers") / F.col("n"))

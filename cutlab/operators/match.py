@@ -49,6 +49,42 @@ def greedy_match(pairs: DataFrame, tolerance: float) -> DataFrame:
     return out.select(*pairs.columns, tp.alias("tp"), (F.size(F.coalesce("truth", none)) - tp).alias("missed"), F.size("m.pool").alias("extra"), F.col("m.errors").alias("errors"))
 
 
+#: How predictions follow from segments and records; see ``evaluation``.
+RULES = {
+    "flips": lambda: predictions_or_flips(F.col("starts"), F.col("starts").isNotNull(), F.col("flips")),
+    "pick": lambda: predictions_or_pick(F.col("starts"), F.col("picked")),
+    "none": lambda: predictions_or_none(F.col("starts")),
+}
+
+
+def evaluation(truth: DataFrame, segments: DataFrame, records: DataFrame, tolerance: float = 0.5, rule: str = "flips") -> DataFrame:
+    """One row per clip of the truth: truth, pred, tp, missed, extra, errors, verdict, first_right.
+
+    truth: clip, cuts (array), cut (single); segments: clip, seg_idx, start;
+    records: clip, flips (array), picked (single). Clips without segments or
+    records have no predictions of that kind; clips outside the truth do not
+    count. ``rule`` says what stands in for missing segments: label flips, the
+    picked cut, or nothing.
+    """
+    starts = segments.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("seg_idx", "start"))).getField("start").alias("starts"))
+    rows = truth.select("clip", truth_cuts(F.col("cuts"), F.col("cut")).alias("truth")).join(starts, "clip", "left").join(records.select("clip", "flips", "picked"), "clip", "left")
+    rows = with_verdict(greedy_match(rows.select("clip", "truth", RULES[rule]().alias("pred")), tolerance))
+    return rows.withColumn("first_right", first_cut_right(F.col("truth"), F.col("pred"), tolerance))
+
+
+def grade_totals(graded: DataFrame) -> DataFrame:
+    """Counts of the grades of ``grade`` over rows with ``grade`` and ``flipped``, with shares in percent."""
+    of = lambda *g: F.count_if(F.col("grade").isin(*g))
+    t = graded.agg(F.count("*").alias("clips"), of("ok").alias("ok"), of("close").alias("close"), of("bad").alias("bad"), F.count_if("flipped").alias("flipped"))
+    share = lambda c: F.round(F.try_divide(100.0 * c, F.col("clips")), 1)
+    return t.select("*", share(F.col("ok")).alias("ok_percent"), share(F.col("ok") + F.col("close")).alias("within_percent"))
+
+
+def first_flips(graded: DataFrame, most: int = 40) -> DataFrame:
+    """The first ``most`` flipped rows in input order, as the report lists them."""
+    return graded.filter("flipped").orderBy("pos").limit(most)
+
+
 def verdict(n_truth: Column, tp: Column, missed: Column, extra: Column) -> Column:
     return (
         F.when((n_truth == 0) & (extra == 0), "correct_none").when(n_truth == 0, "false_positive").when(tp == 0, "missed").when((missed == 0) & (extra == 0), "correct").otherwise("partial")
@@ -76,8 +112,8 @@ def first_cut_right(truth: Column, pred: Column, tolerance: float) -> Column:
 
 
 def first_offsets(pairs: DataFrame, limit: float = 1.0) -> DataFrame:
-    """Count, mean, median and mean size of the signed offset of the first event, where both exist and it is at most ``limit``."""
-    d = F.get("pred", F.lit(0)) - F.get("truth", F.lit(0))
+    """Count, mean, median and mean size of the offset of the first event, truth less prediction, where both exist and it is at most ``limit``."""
+    d = F.get("truth", F.lit(0)) - F.get("pred", F.lit(0))
     return pairs.withColumn("d", d).filter(F.abs("d") <= limit).agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.median("d").alias("median"), F.avg(F.abs("d")).alias("mae"))
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cutlab.functions.text import bar, pattern
 from cutlab.operators.decode import seed_index, viterbi_states
-from cutlab.operators.series import interval_median, nearest, run_segments, runs
+from cutlab.operators.series import interval_median, last_seen, nearest, next_seen, run_segments, runs
+from cutlab.sources.shared import keep
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,9 @@ class Config:
     refine: bool = True
     return_back: float = 0.8
     return_forward: float = 0.3
+    fade_back: float = 0.3
+    fade_forward: float = 0.5
+    hard_step: float = 34.0
 
 
 def fade_times(boundaries: DataFrame, luma: DataFrame, curve: DataFrame, threshold: float = 0.35, dark: float = 48.0, bright: float = 212.0, hard_step: float = 34.0, back: float = 0.3, forward: float = 0.5) -> DataFrame:
@@ -54,11 +58,9 @@ def snap_times(boundaries: DataFrame, cuts: DataFrame, window: float = 0.35, bac
     one in [b - back, b + forward]. Both are among the last cut before and the
     first one after, so one sort by clip finds them.
     """
-    order = Window.partitionBy("clip").orderBy("b", "is_boundary")
     c = cuts.select("clip", F.col("t").alias("b"), F.col("t").alias("cut"), F.lit(0).alias("is_boundary"))
     both = boundaries.select("clip", "b", F.lit(None).cast("double").alias("cut"), F.lit(1).alias("is_boundary")).unionByName(c)
-    both = both.withColumn("lo", F.last("cut", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("hi", F.first("cut", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    both = both.withColumn("lo", last_seen("cut", "b", "is_boundary")).withColumn("hi", next_seen("cut", "b", "is_boundary"))
 
     def nearer(lo_ok: Column, hi_ok: Column) -> Column:
         lo, hi = F.when(lo_ok, F.col("lo")), F.when(hi_ok, F.col("hi"))
@@ -69,51 +71,77 @@ def snap_times(boundaries: DataFrame, cuts: DataFrame, window: float = 0.35, bac
     return both.filter("is_boundary = 1").select("clip", "b", near.alias("near_cut"), ret.alias("return_cut"))
 
 
+def boundary_moves(boundaries: DataFrame, cuts: DataFrame, luma: DataFrame, curve: DataFrame, config: Config = Config()) -> DataFrame:
+    """(clip, b, near_cut, return_cut, fade): where each boundary (clip, b) could go."""
+    snapped = snap_times(boundaries, cuts, config.snap_window, config.return_back, config.return_forward)
+    if not config.refine:
+        return snapped.withColumn("fade", F.lit(None).cast("double"))
+    return snapped.join(fade_times(boundaries, luma, curve, hard_step=config.hard_step, back=config.fade_back, forward=config.fade_forward), ["clip", "b"], "left")
+
+
+def with_returns(segments: DataFrame) -> DataFrame:
+    """Adds b, the start of each segment but the first, and returns: that it goes back to the first label."""
+    prev = F.lag("state").over(Window.partitionBy("clip").orderBy("seg_idx"))
+    s = segments.withColumn("prev", prev)
+    return s.withColumn("b", F.when(F.col("prev").isNotNull(), F.col("start"))).withColumn("returns", (F.col("prev") == 1) & (F.col("state") == 0)).drop("prev")
+
+
+def moved_segments(segments: DataFrame, snap: bool = True, refine: bool = True, digits: int = 3) -> DataFrame:
+    """Segments with b, returns, near_cut, return_cut and fade, moved: on a return to a cut nearby, else to a fade, else to the nearest cut."""
+    on, fades = F.lit(snap), F.lit(refine)
+    new = F.coalesce(F.when(on & F.col("returns"), F.col("return_cut")), F.when(fades, F.col("fade")), F.when(on, F.col("near_cut")))
+    s = segments.withColumn("new", F.when(F.col("b").isNotNull(), F.round(new, digits)))
+    start, end = F.coalesce("new", "start"), F.coalesce(F.lead("new").over(Window.partitionBy("clip").orderBy("seg_idx")), F.col("end"))
+    return s.select("clip", "seg_idx", start.alias("start"), end.alias("end"), "state", (end - start).alias("dur"), (end - start <= 0).alias("negative_dur"))
+
+
 def place_boundaries(segments: DataFrame, cuts: DataFrame, luma: DataFrame, curve: DataFrame, config: Config = Config(), digits: int = 3) -> DataFrame:
     """Segments with interior boundaries moved: on a return to the first label a cut nearby, else a fade, else the nearest cut.
 
     Each boundary reads its own old place, so the order of moves does not
     matter. ``negative_dur`` marks segments whose boundaries crossed.
     """
-    order = Window.partitionBy("clip").orderBy("seg_idx")
-    s = segments.withColumn("prev", F.lag("state").over(order))
-    b = s.filter("prev is not null").select("clip", "seg_idx", F.col("start").alias("b"), ((F.col("prev") == 1) & (F.col("state") == 0)).alias("returns"))
-    keys = b.select("clip", "b").distinct()
-    snapped = snap_times(keys, cuts, config.snap_window, config.return_back, config.return_forward)
-    moved = b.join(snapped, ["clip", "b"], "left")
-    if config.refine:
-        moved = moved.join(fade_times(keys, luma, curve), ["clip", "b"], "left")
-    else:
-        moved = moved.withColumn("fade", F.lit(None).cast("double"))
-    snap = F.lit(config.snap)
-    new = F.coalesce(F.when(snap & F.col("returns"), F.col("return_cut")), F.col("fade"), F.when(snap, F.col("near_cut")))
-    moved = moved.select("clip", "seg_idx", F.round(new, digits).alias("new"))
-    s = s.join(moved, ["clip", "seg_idx"], "left")
-    start = F.coalesce("new", "start")
-    end = F.coalesce(F.lead("new").over(order), F.col("end"))
-    return s.select("clip", "seg_idx", start.alias("start"), end.alias("end"), "state", (end - start).alias("dur"), (end - start <= 0).alias("negative_dur"))
+    s = with_returns(segments)
+    moves = boundary_moves(s.filter("b is not null").select("clip", "b").distinct(), cuts, luma, curve, config)
+    return moved_segments(s.join(moves, ["clip", "b"], "left"), config.snap, config.refine, digits)
+
+
+def first_cuts(clips: DataFrame) -> DataFrame:
+    """Clips with ``first``: the curve's own first time where it names one, even a null, else the base cut; and an empty method as null."""
+    first = F.when(F.col("has_first"), F.col("first_true")).otherwise(F.col("base_cut"))
+    return clips.withColumn("first", first).withColumn("method", F.nullif("method", F.lit("")))
+
+
+def decode_clips(clips: DataFrame, curve: DataFrame, threshold: float | Column, penalty: float | Column, digits: int = 3) -> DataFrame:
+    """Segments (clip, seg_idx, start, end, state) of clips (clip, dur, first, method), before boundaries are placed.
+
+    A clip without a first time is one segment, of the second label only if its
+    method says so; the others are decoded from their seed on and cut into runs.
+    """
+    whole = clips.filter("first is null").select("clip", F.lit(0).alias("seg_idx"), F.lit(0.0).alias("start"), F.round("dur", digits).alias("end"), F.when(F.col("method") == "all_meme_no_creator", 1).otherwise(0).alias("state"))
+    cut = clips.filter("first is not null")
+    own = curve.join(cut.select("clip", "first"), "clip")
+    seeds = seed_index(own.drop("first"), cut)
+    return whole.unionByName(run_segments(runs(viterbi_states(own, threshold, penalty, seeds)), cut.select("clip", "dur"), digits))
 
 
 def segment_clips(clips: DataFrame, curve: DataFrame, cuts: DataFrame, luma: DataFrame, config: Config = Config(), digits: int = 3) -> tuple[DataFrame, DataFrame]:
     """(segments, decisions) of all clips.
 
     clips: clip, dur, has_first (the curve names a first time, possibly null),
-    first_true, base_cut, method. A clip without a first time is one segment,
-    of the second label only if its method says so. The others are decoded, cut
-    into runs, and their boundaries placed.
+    first_true, base_cut, method. Segments are those of ``decode_clips`` with
+    boundaries placed; a decision's cut is where the second segment starts after
+    that, null if there is one segment only. Decoded and placed segments are
+    kept as tables, since every later part reads them.
     """
-    first = F.when(F.col("has_first"), F.col("first_true")).otherwise(F.col("base_cut"))
-    clips = clips.withColumn("first", first)
-    whole = clips.filter("first is null").select("clip", F.lit(0).alias("seg_idx"), F.lit(0.0).alias("start"), F.col("dur").alias("end"), F.when(F.col("method") == "all_meme_no_creator", 1).otherwise(0).alias("state"), F.col("dur").alias("dur"), F.lit(False).alias("negative_dur"))
-    cut = clips.filter("first is not null")
-    own = curve.join(cut.select("clip"), "clip", "left_semi")
-    states = viterbi_states(own, config.threshold, config.penalty, seed_index(own, cut))
-    placed = place_boundaries(run_segments(runs(states), cut.select("clip", "dur")), cuts, luma, curve, config, digits)
-    segments = interval_median(whole.unionByName(placed), curve, digits).withColumn("label", F.when(F.col("state") == 0, "person").otherwise("meme"))
-    people = segments.groupBy("clip").agg(F.count_if(F.col("state") == 0).alias("people"))
-    method = F.when(F.col("first").isNull(), F.col("method")).when(F.col("people") > 1, "creator_returns").otherwise(F.coalesce("method", F.lit("creator_to_meme")))
-    decisions = clips.join(people, "clip", "left").select("clip", F.col("first").alias("cut"), method.alias("method"))
-    return segments, decisions
+    clips = first_cuts(clips)
+    decoded = keep(with_returns(decode_clips(clips, curve, config.threshold, config.penalty, digits)))
+    moves = boundary_moves(decoded.filter("b is not null").select("clip", "b").distinct(), cuts, luma, curve, config)
+    placed = keep(moved_segments(decoded.join(moves, ["clip", "b"], "left"), config.snap, config.refine, digits).withColumn("dur", F.round("dur", digits)))
+    segments = interval_median(placed, curve, digits).withColumn("label", F.when(F.col("state") == 0, "person").otherwise("meme"))
+    found = placed.groupBy("clip").agg(F.count_if(F.col("state") == 0).alias("people"), F.max(F.when(F.col("seg_idx") == 1, F.col("start"))).alias("cut"))
+    method = F.when(F.col("first").isNull(), F.coalesce("method", F.lit(""))).when(F.col("people") > 1, "creator_returns").otherwise(F.coalesce("method", F.lit("creator_to_meme")))
+    return segments, clips.join(found, "clip", "left").select("clip", "cut", method.alias("method"))
 
 
 def segment_documents(segments: DataFrame) -> DataFrame:
@@ -124,9 +152,8 @@ def segment_documents(segments: DataFrame) -> DataFrame:
 
 
 def predicted_cuts(segments: DataFrame) -> DataFrame:
-    """(clip, t): the starts of all segments but the first."""
-    first = F.row_number().over(Window.partitionBy("clip").orderBy("seg_idx")) == 1
-    return segments.withColumn("is_first", first).filter("not is_first").select("clip", F.col("start").alias("t"))
+    """(clip, seg_idx, t): the starts of all segments but the first."""
+    return segments.filter("seg_idx > 0").select("clip", "seg_idx", F.col("start").alias("t"))
 
 
 def inspect(curve: DataFrame, marks: DataFrame, clip, reach: float = 0.6) -> DataFrame:

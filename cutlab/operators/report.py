@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutlab.functions.text import html_escape, seconds, stem, verdict_colour
+from cutlab.functions.text import html_escape, percent_of, seconds, stem, verdict_colour
 from cutlab.operators.series import label_counter
+from cutlab.sources.shared import keep
 
 SECTIONS = ("problem", "none", "multicut", "clean")
 CATEGORIES = ("unlabeled", "problem", "none", "multicut", "clean")
@@ -29,6 +30,20 @@ def rank_of(value: Column, names: tuple[str, ...]) -> Column:
     return out.otherwise(len(names))
 
 
+def placed(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """Adds place: the row's position, from 1, in the order of the whole table.
+
+    Rows are dealt out by ranges of the order and numbered within each range,
+    from the counts of the ranges before it; no task sees more than a range.
+    ``order`` should leave no ties.
+    """
+    dealt = keep(rows.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = dealt.groupBy("range_").agg(F.count("*").alias("n")).select("range_", before.alias("before"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("range_").orderBy(*order))
+    return dealt.withColumn("own_", own).join(counts, "range_").withColumn("place", F.col("own_") + F.col("before")).drop("range_", "own_", "before")
+
+
 def by_section(rows: DataFrame) -> DataFrame:
     """In section order, then by time with missing times last, then by input position."""
     return rows.orderBy(rank_of(F.col("section"), SECTIONS), F.col("cut").asc_nulls_last(), "pos")
@@ -38,6 +53,25 @@ def by_category(rows: DataFrame) -> DataFrame:
     return rows.orderBy(rank_of(F.col("category"), CATEGORIES), F.col("cut").asc_nulls_last(), "pos")
 
 
+def workbench(records: DataFrame, truth: DataFrame, segments: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One row per record (clip, pos, cut) with what the workbench shows of it.
+
+    truth: clip, edited; segments: clip, start, end; verdicts: clip, verdict; none
+    of them has to know the clip. A clip without segments counts one. ``dur`` is
+    the end of the last segment, at least 1.
+    """
+    s = segments.groupBy("clip").agg(F.count("*").alias("n"), F.max("end").alias("last"))
+    r = records.join(truth.select("clip", "edited"), "clip", "left").join(s, "clip", "left").join(verdicts.select("clip", "verdict"), "clip", "left")
+    r = r.withColumn("n_segments", F.coalesce("n", F.lit(1))).withColumn("dur", F.greatest(F.coalesce("last", F.lit(1.0)), F.lit(1.0)))
+    r = r.withColumn("category", category(F.col("edited"), F.col("verdict"), F.col("cut"), F.col("n_segments")))
+    return r.select("clip", "pos", "cut", "n_segments", "dur", percent_of(F.col("cut"), F.col("dur")).alias("percent"), "category")
+
+
+def bad_clips(flags: DataFrame) -> DataFrame:
+    """The clips flagged bad, for export."""
+    return flags.filter("flag = 'bad'").select("clip")
+
+
 def counts_by(rows: DataFrame, column: str, pos: str = "pos") -> DataFrame:
     """Counts, most frequent first; of equals the one seen first."""
     g = rows.groupBy(column).agg(F.count("*").alias("n"), F.min(pos).alias("first_pos"))

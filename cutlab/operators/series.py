@@ -9,6 +9,16 @@ def by_clip() -> WindowSpec:
     return Window.partitionBy("clip")
 
 
+def last_seen(value: str, *order: str) -> Column:
+    """The last value of the clip that is not null, up to this row."""
+    return F.last(value, ignorenulls=True).over(by_clip().orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def next_seen(value: str, *order: str) -> Column:
+    """The first one from this row on: looked up backwards, since a window that reaches to the end is summed anew for every row."""
+    return F.last(value, ignorenulls=True).over(by_clip().orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0))
+
+
 def nearest(probes: DataFrame, frames: DataFrame) -> DataFrame:
     """Adds idx and pts of the frame nearest in time to each probe's ``at``; a tie goes to the earlier frame.
 
@@ -21,9 +31,7 @@ def nearest(probes: DataFrame, frames: DataFrame) -> DataFrame:
     both = probes.drop("idx", "pts").withColumn("_probe", F.lit(1))
     names = both.columns[:-1]
     both = both.unionByName(f, allowMissingColumns=True)
-    order = by_clip().orderBy("at", "_probe")
-    both = both.withColumn("_before", F.last("_frame", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_after", F.first("_frame", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    both = both.withColumn("_before", last_seen("_frame", "at", "_probe")).withColumn("_after", next_seen("_frame", "at", "_probe"))
     before, after = F.col("_before.pts"), F.col("_after.pts")
     earlier = after.isNull() | (before.isNotNull() & (F.col("at") - before <= after - F.col("at")))
     hit = F.when(earlier, F.col("_before")).otherwise(F.col("_after"))
@@ -86,12 +94,13 @@ def runs(rows: DataFrame, value: str = "state") -> DataFrame:
     return out.select("clip", "run", F.col(f"f.{value}").alias(value), F.col("f.i").alias("i0"), F.col("l.i").alias("i1"), F.col("f.t").alias("t0"), F.col("l.t").alias("t1"), F.col("f.prev_t").alias("before"), F.col("l.next_t").alias("after"))
 
 
-def run_segments(run_rows: DataFrame, durations: DataFrame) -> DataFrame:
-    """Segments from runs: edges lie midway between neighbouring samples, and at 0 and the duration."""
+def run_segments(run_rows: DataFrame, durations: DataFrame, digits: int | None = None) -> DataFrame:
+    """Segments from runs: edges lie midway between neighbouring samples, and at 0 and the duration; rounded if ``digits`` is given."""
+    place = lambda c: c if digits is None else F.round(c, digits)
     r = run_rows.join(durations, "clip")
     start = F.when(F.col("before").isNull(), F.lit(0.0)).otherwise((F.col("before") + F.col("t0")) / 2)
     end = F.when(F.col("after").isNull(), F.col("dur")).otherwise((F.col("t1") + F.col("after")) / 2)
-    return r.select("clip", F.col("run").cast("int").alias("seg_idx"), start.alias("start"), end.alias("end"), "state")
+    return r.select("clip", F.col("run").cast("int").alias("seg_idx"), place(start).alias("start"), place(end).alias("end"), "state")
 
 
 def label_flips(shots: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from cutlab.operators.series import by_clip
 
 #: Events nearer than this to the one before them are the same event.
 LEAST_GAP = 0.0005
+# The names of the patterns with one, two, and three or more cuts; those of whole clips begin with "all".
+PATTERNS = ("person->meme", "person->meme->person", "person->meme->person->meme")
 
 
 def normalise_events(events: DataFrame, digits: int = 3) -> DataFrame:
@@ -30,9 +32,8 @@ def normalise_events(events: DataFrame, digits: int = 3) -> DataFrame:
 
 def predict_pattern(n: Column, current: Column) -> Column:
     """The pattern that a number of cuts suggests; without cuts a pattern for the whole clip stays, any other is cleared."""
-    return (
-        F.when(n == 1, "creator_to_meme").when(n == 2, "creator_meme_creator").when(n >= 3, "multi").when(F.coalesce(current.startswith("all"), F.lit(False)), current).otherwise("")
-    )
+    by_number = F.when(n == 1, PATTERNS[0]).when(n == 2, PATTERNS[1]).when(n >= 3, PATTERNS[2])
+    return F.coalesce(by_number, F.when(current.startswith("all"), current), F.lit(""))
 
 
 def with_cut_fields(clips: DataFrame, events: DataFrame) -> DataFrame:
@@ -95,40 +96,59 @@ def latest_flags(toggles: DataFrame) -> DataFrame:
     return top.select("clip", F.when(F.col("l.n") % 2 == 1, F.col("l.flag")).alias("flag"))
 
 
-def apply_edits(clips: DataFrame, edits: DataFrame) -> DataFrame:
-    """(clip, cuts, edited) after the ordered edits (clip, pos, op, index, value) of each clip.
+def _normal(cuts: list[float]) -> list[float]:
+    s = sorted(max(0.0, round(c, 3)) for c in cuts)
+    return [c for i, c in enumerate(s) if i == 0 or c - s[i - 1] > LEAST_GAP]
 
-    ops: add, nudge (index, seconds), set (index, seconds), remove (index),
-    clear, reset. Each one normalises and marks the clip edited; reset takes the
-    mark off and brings the old cuts back. A clip's edits are a hand-made list,
-    so one group is small.
-    """
 
-    def normal(cuts: list[float]) -> list[float]:
-        s = sorted(max(0.0, round(c, 3)) for c in cuts)
-        return [c for i, c in enumerate(s) if i == 0 or c - s[i - 1] > LEAST_GAP]
+def _guess(n: int, pattern: str) -> str:
+    return PATTERNS[min(n, 3) - 1] if n else pattern if pattern.startswith("all") else ""
+
+
+def apply_edits(clips: DataFrame, edits: DataFrame) -> DataFrame:
+    """(clip, cuts, edited, pattern) after the ordered edits (clip, pos, op, index, value, text) of each clip.
+
+    clips: clip, cuts, edited, pattern, reference. ops: add (seconds), nudge
+    (index, seconds), set (index, seconds; without a value it removes), remove
+    (index), clear, pattern (text; one for the whole clip clears the cuts), copy
+    (the reference's cut, or none), reset. All normalise, and mark the clip
+    edited; add, remove, clear and copy guess the pattern anew. An index out of
+    range does nothing. Reset takes the mark off and leaves the cuts. A clip's
+    edits are a hand-made list, so one group is small.
+    """
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
-            return pd.DataFrame({"clip": [], "cuts": [], "edited": []}, dtype=object)
-        own = left["cuts"].iloc[0]
-        first = [] if own is None else [float(c) for c in own]
-        cuts, edited = list(first), bool(left["edited"].iloc[0])
+            return pd.DataFrame({"clip": [], "cuts": [], "edited": [], "pattern": []}, dtype=object)
+        own = left.iloc[0]
+        cuts, edited, pattern = [] if own["cuts"] is None else [float(c) for c in own["cuts"]], bool(own["edited"]), own["pattern"] or ""
         for e in right.sort_values("pos").itertuples():
-            i = int(e.index_) if e.index_ == e.index_ and e.index_ is not None else -1
-            edited = e.op != "reset"
-            if e.op == "add":
-                cuts = normal([*cuts, e.value])
-            elif e.op in ("nudge", "set") and 0 <= i < len(cuts):
-                cuts = normal([*cuts[:i], e.value + (cuts[i] if e.op == "nudge" else 0.0), *cuts[i + 1 :]])
-            elif e.op == "remove" and 0 <= i < len(cuts):
-                cuts = cuts[:i] + cuts[i + 1 :]
-            elif e.op == "clear":
+            i = int(e.index_) if pd.notna(e.index_) else -1
+            here, value = 0 <= i < len(cuts), float(e.value) if pd.notna(e.value) else None
+            op = "remove" if e.op == "set" and value is None else e.op
+            if op == "reset":
+                edited = False
+                continue
+            if op in ("nudge", "set", "remove") and not here or op == "add" and value is None:
+                continue
+            if op == "add":
+                cuts = _normal([*cuts, value])
+            elif op in ("nudge", "set"):
+                cuts = _normal([*cuts[:i], value + (cuts[i] if op == "nudge" else 0.0), *cuts[i + 1 :]])
+            elif op == "remove":
+                cuts = _normal(cuts[:i] + cuts[i + 1 :])
+            elif op == "clear" or (op == "pattern" and str(e.text).startswith("all")):
                 cuts = []
-            elif e.op == "reset":
-                cuts = list(first)
-        return pd.DataFrame({"clip": [left["clip"].iloc[0]], "cuts": [cuts], "edited": [edited]})
+            elif op == "copy":
+                cuts = _normal([float(own["reference"])]) if pd.notna(own["reference"]) else []
+            if op == "pattern":
+                pattern = e.text
+            elif op in ("add", "remove", "clear", "copy"):
+                pattern = _guess(len(cuts), pattern)
+            edited = True
+        return pd.DataFrame({"clip": [own["clip"]], "cuts": [cuts], "edited": [edited], "pattern": [pattern]})
 
     kind = clips.schema["clip"].dataType.simpleString()
-    right = edits.select("clip", "pos", "op", F.col("index").alias("index_"), "value")
-    return clips.select("clip", "cuts", "edited").groupBy("clip").cogroup(right.groupBy("clip")).applyInPandas(run, f"clip {kind}, cuts array<double>, edited boolean")
+    right = edits.select("clip", "pos", "op", F.col("index").alias("index_"), "value", "text")
+    left = clips.select("clip", "cuts", "edited", "pattern", "reference")
+    return left.groupBy("clip").cogroup(right.groupBy("clip")).applyInPandas(run, f"clip {kind}, cuts array<double>, edited boolean, pattern string")

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from cutlab.functions import text as X
 from cutlab.functions.vectors import doubles, dot, norm, normalise, similarity
 from cutlab.operators import decode, identity, match, place, report, series, truth
-from cutlab.plans.sweep import sweep
+from cutlab.plans.sweep import PENALTIES, THRESHOLDS, sweep
+from cutlab.sources import documents
+from cutlab.sources.shared import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -216,10 +218,10 @@ def _centroid_sql(passes: int, inlier: float) -> str:
     return "WITH " + ",\n".join(parts)
 
 
-@query(_centroid_sql(2, 0.1) + """ SELECT CAST(label AS BIGINT) AS label, CAST(count(*) AS BIGINT) AS n, CAST(count(CASE WHEN list_dot_product(unit, c) >= 0.1 THEN 1 END) AS BIGINT) AS n_inliers,
-    round(count(CASE WHEN list_dot_product(unit, c) >= 0.1 THEN 1 END) / count(*), 6) AS coverage, round(any_value(c)[1], 6) AS c_first FROM u JOIN c2 USING (label) GROUP BY label""")
+@query(_centroid_sql(4, 0.1) + """ SELECT CAST(label AS BIGINT) AS label, CAST(count(*) AS BIGINT) AS n, CAST(count(CASE WHEN list_dot_product(unit, c) >= 0.1 THEN 1 END) AS BIGINT) AS n_inliers,
+    round(count(CASE WHEN list_dot_product(unit, c) >= 0.1 THEN 1 END) / count(*), 6) AS coverage, round(any_value(c)[1], 6) AS c_first FROM u JOIN c4 USING (label) GROUP BY label""")
 def trimmed_centroid(spark, d):
-    c = identity.trimmed_centroid(table(spark, d, "embeddings"), ["label"], inlier=0.1, passes=2)
+    c = identity.trimmed_centroid(table(spark, d, "embeddings"), ["label"], inlier=0.1)
     return c.select("label", "n", "n_inliers", F.round("coverage", 6).alias("coverage"), F.round(F.get("centroid", F.lit(0)), 6).alias("c_first"))
 
 
@@ -321,15 +323,25 @@ LUMA = "lum AS (SELECT clip, i, t, (event_id_ * 37 % 256)::DOUBLE AS luma FROM (
 
 
 def luma(spark, d):
-    return curve(spark, d).select("clip", "i", "t", ((F.col("i") + F.col("clip")) * 37 % 256).cast("double").alias("luma"))
+    return luma_of(curve(spark, d))
 
 
-FADE = f"""{LUMA}, bnd AS (SELECT clip, seg_idx, start_ AS b, lag(state) OVER w = 1 AND state = 0 AS returns_, lag(state) OVER w AS prev FROM seg WINDOW w AS (PARTITION BY clip ORDER BY seg_idx)),
-    w0 AS (SELECT b.clip, b.b, l.i, l.t, l.luma, c.sim FROM bnd b JOIN lum l ON b.clip = l.clip AND l.t >= b.b - 20 AND l.t <= b.b + 30 JOIN curve c ON c.clip = l.clip AND c.i = l.i WHERE b.prev IS NOT NULL),
+def luma_of(c: DataFrame) -> DataFrame:
+    return c.select("clip", "i", "t", ((F.col("i") + F.col("clip")) * 37 % 256).cast("double").alias("luma"))
+
+
+
+
+def fade_sql(threshold: float, hard_step: float, back: float, forward: float) -> str:
+    return f"""bnd AS (SELECT clip, seg_idx, start_ AS b, lag(state) OVER w = 1 AND state = 0 AS returns_, lag(state) OVER w AS prev FROM seg WINDOW w AS (PARTITION BY clip ORDER BY seg_idx)),
+    w0 AS (SELECT b.clip, b.b, l.i, l.t, l.luma, c.sim FROM (SELECT DISTINCT clip, b FROM bnd WHERE prev IS NOT NULL) b JOIN lum l ON b.clip = l.clip AND l.t >= b.b - {back} AND l.t <= b.b + {forward} JOIN curve c ON c.clip = l.clip AND c.i = l.i),
     w1 AS (SELECT *, abs(lead(luma) OVER (PARTITION BY clip, b ORDER BY i) - luma) AS jump FROM w0),
-    fade AS (SELECT clip, b, CASE WHEN count(*) >= 3 AND coalesce(max(jump), 0) <= 200 THEN CASE
-        WHEN min(luma) FILTER (WHERE sim < 0.5) <= 48 THEN (list(t ORDER BY luma, i) FILTER (WHERE sim < 0.5))[1]
-        WHEN max(luma) FILTER (WHERE sim < 0.5) >= 212 THEN (list(t ORDER BY luma DESC, i) FILTER (WHERE sim < 0.5))[1] END END AS fade FROM w1 GROUP BY clip, b)"""
+    fade AS (SELECT clip, b, CASE WHEN count(*) >= 3 AND coalesce(max(jump), 0) <= {hard_step} THEN CASE
+        WHEN min(luma) FILTER (WHERE sim < {threshold}) <= 48 THEN (list(t ORDER BY luma, i) FILTER (WHERE sim < {threshold}))[1]
+        WHEN max(luma) FILTER (WHERE sim < {threshold}) >= 212 THEN (list(t ORDER BY luma DESC, i) FILTER (WHERE sim < {threshold}))[1] END END AS fade FROM w1 GROUP BY clip, b)"""
+
+
+FADE = f"{LUMA}, {fade_sql(0.5, 200, 20, 30)}"
 
 
 @query(SEGMENTS + f", {FADE} SELECT clip, round(b, 6) AS b, round(fade, 6) AS fade FROM fade")
@@ -352,15 +364,55 @@ def place_boundaries(spark, d):
     return p.select("clip", "seg_idx", "state", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "negative_dur")
 
 
-@query()
+#: The clip driver on these tables, whose clock is in hours.
+DRIVER = place.Config(snap_window=6.0, return_back=24.0, return_forward=9.0, fade_back=20.0, fade_forward=30.0, hard_step=200.0)
+
+
+def driver_sql(thr: str, pen: str, own: str = "clip") -> str:
+    """Decoded and placed segments of curve and clips (clip, dur, first_, method); thr, pen and the clip's own number are expressions of clip."""
+    return f"""
+    seed AS (SELECT c.clip, coalesce(max(i) FILTER (WHERE t <= first_), 0) AS seed, {thr} AS thr, {pen} AS pen FROM curve c JOIN clips USING (clip) WHERE first_ IS NOT NULL GROUP BY c.clip),
+    lead_ AS (SELECT clip, i, t, sim, seed, thr, pen, 1e9::DOUBLE AS d FROM curve JOIN seed USING (clip) WHERE i = 0
+        UNION ALL SELECT c.clip, c.i, c.t, c.sim, l.seed, l.thr, l.pen, CASE WHEN c.i <= l.seed THEN 1e9::DOUBLE ELSE greatest(least(l.d, l.pen), -l.pen) + 2.0::DOUBLE * (c.sim - l.thr) END
+        FROM lead_ l JOIN curve c ON c.clip = l.clip AND c.i = l.i + 1),
+    sure_ AS (SELECT *, CASE WHEN d > pen THEN 0 WHEN d < -pen THEN 1 WHEN i = max(i) OVER (PARTITION BY clip) THEN CASE WHEN d >= 0 THEN 0 ELSE 1 END END AS sure FROM lead_),
+    st AS (SELECT clip, i, t, sim, CAST(first_value(sure IGNORE NULLS) OVER (PARTITION BY clip ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS state FROM sure_),
+    {RUNS.replace("seg AS", "seg0 AS")},
+    seg AS MATERIALIZED (SELECT clip, seg_idx, round(start_, 6) AS start_, round(end_, 6) AS end_, state FROM seg0
+        UNION ALL SELECT clip, 0, 0.0, round(dur, 6), CASE WHEN method = 'all_meme_no_creator' THEN 1 ELSE 0 END FROM clips WHERE first_ IS NULL),
+    lum AS (SELECT clip, i, t, ((i + {own}) * 37 % 256)::DOUBLE AS luma FROM curve), {fade_sql(0.35, 200, 20, 30)},
+    cut_ AS (SELECT clip, t FROM curve WHERE event_type = 'purchase'),
+    near_ AS (SELECT b.clip, b.b, arg_min(c.t, (abs(c.t - b.b), c.t)) FILTER (WHERE abs(c.t - b.b) <= 6) AS near_cut, arg_min(c.t, (abs(c.t - b.b), c.t)) FILTER (WHERE c.t >= b.b - 24 AND c.t <= b.b + 9) AS return_cut
+        FROM (SELECT DISTINCT clip, b FROM bnd WHERE prev IS NOT NULL) b JOIN cut_ c USING (clip) GROUP BY b.clip, b.b),
+    moves AS (SELECT s.clip, s.seg_idx, s.start_, s.end_, s.state, bnd.prev, CASE WHEN bnd.returns_ THEN return_cut END AS return_cut, fade, near_cut
+        FROM seg s JOIN bnd ON s.clip = bnd.clip AND s.seg_idx = bnd.seg_idx LEFT JOIN near_ n ON n.clip = s.clip AND n.b = bnd.b AND bnd.prev IS NOT NULL LEFT JOIN fade f ON f.clip = s.clip AND f.b = bnd.b AND bnd.prev IS NOT NULL)"""
+
+
+def placed_sql(name: str, fade: str) -> str:
+    return f"""{name}_ AS (SELECT *, CASE WHEN prev IS NOT NULL THEN round(coalesce(return_cut, {fade}, near_cut), 6) END AS new_ FROM moves),
+    {name} AS (SELECT clip, seg_idx, state, coalesce(new_, start_) AS s, coalesce(lead(new_) OVER (PARTITION BY clip ORDER BY seg_idx), end_) AS e FROM {name}_)"""
+
+
+FIRST = "CASE WHEN {c} % 7 = 0 THEN CASE WHEN {c} % 14 = 0 THEN 30.0::DOUBLE END WHEN {c} % 5 <> 0 THEN 5.0::DOUBLE END AS first_, CASE WHEN {c} % 5 = 0 THEN 'all_meme_no_creator' WHEN {c} % 5 = 1 THEN '' ELSE 'creator_to_meme' END AS method"
+
+
+def clip_records(c: DataFrame) -> DataFrame:
+    method = F.when(F.col("clip") % 5 == 0, "all_meme_no_creator").when(F.col("clip") % 5 == 1, "").otherwise("creator_to_meme")
+    return durations(c).select("clip", "dur", (F.col("clip") % 7 == 0).alias("has_first"), F.when(F.col("clip") % 14 == 0, F.lit(30.0)).alias("first_true"), F.when(F.col("clip") % 5 != 0, F.lit(5.0)).alias("base_cut"), method.alias("method"))
+
+
+@query(f"""WITH RECURSIVE {CURVE}, clips AS (SELECT clip, dur, {FIRST.format(c="clip")} FROM dur), {driver_sql("0.32::DOUBLE", "1.0::DOUBLE")}, {placed_sql("p", "fade")},
+    sims AS (SELECT p.clip, p.seg_idx, coalesce(round(median(sim), 6), 0.0) AS face_sim FROM p LEFT JOIN curve c ON c.clip = p.clip AND c.t >= s AND c.t < e GROUP BY p.clip, p.seg_idx),
+    agg AS (SELECT p.clip, count(*) AS n_segments, string_agg(CASE state WHEN 0 THEN 'pers' ELSE 'meme' END, '→' ORDER BY seg_idx) AS pattern, round(sum(face_sim), 6) AS sim_sum, round(sum(e - s), 6) AS dur_sum,
+        max(CASE WHEN seg_idx = 1 THEN s END) AS cut, count(CASE WHEN state = 0 THEN 1 END) AS people FROM p JOIN sims USING (clip, seg_idx) GROUP BY p.clip)
+    SELECT clip, n_segments, pattern, sim_sum, dur_sum, round(cut, 6) AS cut, CASE WHEN first_ IS NULL THEN method WHEN people > 1 THEN 'creator_returns' ELSE coalesce(nullif(method, ''), 'creator_to_meme') END AS method FROM agg JOIN clips USING (clip)""")
 def segment_clips(spark, d):
-    """The whole clip driver with every step on; its parts have SQL forms of their own."""
-    c = curve(spark, d)
-    clips = durations(c).select("clip", "dur", (F.col("clip") % 7 == 0).alias("has_first"), F.when(F.col("clip") % 14 == 0, F.lit(30.0)).alias("first_true"), F.when(F.col("clip") % 5 != 0, F.lit(5.0)).alias("base_cut"), F.when(F.col("clip") % 5 == 0, "all_meme_no_creator").otherwise("creator_to_meme").alias("method"))
-    config = place.Config(snap_window=6.0, return_back=24.0, return_forward=9.0)
-    s, decisions = place.segment_clips(clips, c, times_of(spark, d, "purchase"), luma(spark, d), config, 6)
-    docs = place.segment_documents(s).select("clip", "n_segments", "pattern", F.round(F.aggregate("segments.face_sim", F.lit(0.0), lambda a, x: a + x), 6).alias("sim_sum"))
-    return docs.join(decisions, "clip").select("clip", "n_segments", "pattern", "sim_sum", F.round("cut", 6).alias("cut"), "method")
+    """The whole clip driver with every step on."""
+    c = keep(curve(spark, d))
+    s, decisions = place.segment_clips(clip_records(c), c, c.filter("event_type = 'purchase'").select("clip", "t"), luma_of(c), DRIVER, 6)
+    total = lambda f: F.round(F.aggregate(f"segments.{f}", F.lit(0.0), lambda a, x: a + x), 6)
+    docs = place.segment_documents(s).select("clip", "n_segments", "pattern", total("face_sim").alias("sim_sum"), total("dur").alias("dur_sum"))
+    return docs.join(decisions, "clip").select("clip", "n_segments", "pattern", "sim_sum", "dur_sum", F.round("cut", 6).alias("cut"), "method")
 
 
 @query(f"WITH RECURSIVE {CURVE}, {LISTS}, {greedy_sql('lists', TOL)} SELECT clip, tp, missed, extra, round(error_, 6) AS error FROM matched")
@@ -385,7 +437,7 @@ def precision_recall(spark, d):
     return t.select("tp", "missed", "extra", "clips", "full", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("mean_error", 6).alias("mean_error"))
 
 
-@query(f"""WITH {CURVE}, {LISTS}, o AS (SELECT pred[1] - truth[1] AS d FROM lists WHERE abs(pred[1] - truth[1]) <= 12)
+@query(f"""WITH {CURVE}, {LISTS}, o AS (SELECT truth[1] - pred[1] AS d FROM lists WHERE abs(pred[1] - truth[1]) <= 12)
     SELECT count(*) AS n, round(avg(d), 6) AS mean, round(median(d), 6) AS median, round(avg(abs(d)), 6) AS mae FROM o""")
 def first_cut_offset(spark, d):
     o = match.first_offsets(cut_lists(spark, d), 12.0)
@@ -405,26 +457,27 @@ def stage_score(spark, d):
     return cut_lists(spark, d).select("clip", match.grade(old, new, 15.0, 5.0).alias("grade"), match.flipped(old, new, 5.0).alias("flipped"))
 
 
-def _sweep_sql(thresholds: list[float], penalties: list[float], tol: float) -> str:
-    cfg = ", ".join(f"({i * len(penalties) + j}, {t}::DOUBLE, {p}::DOUBLE)" for i, t in enumerate(thresholds) for j, p in enumerate(penalties))
-    return f"""WITH RECURSIVE {CURVE}, cfg AS (SELECT * FROM (VALUES {cfg}) v(cfg, thr, pen)),
-    cc AS MATERIALIZED (SELECT cfg, thr, pen, clip, i, t, sim - thr AS s FROM curve, cfg),
-    lead_ AS (SELECT cfg, pen, clip, i, t, 1e9::DOUBLE AS d FROM cc WHERE i = 0
-        UNION ALL SELECT c.cfg, c.pen, c.clip, c.i, c.t, greatest(least(l.d, c.pen), -c.pen) + 2.0::DOUBLE * c.s FROM lead_ l JOIN cc c ON c.cfg = l.cfg AND c.clip = l.clip AND c.i = l.i + 1),
-    sure_ AS (SELECT *, CASE WHEN d > pen THEN 0 WHEN d < -pen THEN 1 WHEN i = max(i) OVER (PARTITION BY cfg, clip) THEN CASE WHEN d >= 0 THEN 0 ELSE 1 END END AS sure FROM lead_),
-    st AS (SELECT cfg, clip, i, t, first_value(sure IGNORE NULLS) OVER (PARTITION BY cfg, clip ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS state FROM sure_),
-    ch AS (SELECT *, lag(state) OVER w AS ps, lag(t) OVER w AS pt FROM st WINDOW w AS (PARTITION BY cfg, clip ORDER BY i)),
-    pr AS (SELECT cfg, clip, list((pt + t) / 2 ORDER BY t) AS pred FROM ch WHERE ps IS NOT NULL AND ps <> state GROUP BY cfg, clip), {LISTS},
-    pairs AS (SELECT c.cfg, l.clip, l.truth, coalesce(p.pred, []) AS pred FROM lists l CROSS JOIN cfg c LEFT JOIN pr p ON p.cfg = c.cfg AND p.clip = l.clip),
-    {greedy_sql("pairs", tol, "cfg, clip")}, tt AS (SELECT cfg, {TOTALS} FROM matched GROUP BY cfg)
-    SELECT CAST(cfg AS BIGINT) AS cfg, thr AS threshold, pen AS penalty, tp, missed, extra, full_ AS "full", round(precision_, 6) AS precision, round(recall_, 6) AS recall FROM tt JOIN cfg USING (cfg)
-    ORDER BY full_ DESC, precision_ + recall_ DESC, cfg LIMIT 3"""
+def _sweep_sql(tol: float) -> str:
+    points = [(t, p) for t in THRESHOLDS for p in PENALTIES]
+    own, pick = f"(clip // {len(points)})", lambda k: f"([{', '.join(str(x[k]) for x in points)}]::DOUBLE[])[CAST(clip % {len(points)} AS BIGINT) + 1]"
+    pred = lambda name: f"{name}_l AS (SELECT clip, list(s ORDER BY seg_idx) AS pred FROM {name} WHERE seg_idx > 0 GROUP BY clip)"
+    return f"""WITH RECURSIVE {CURVE.replace("curve AS MATERIALIZED", "curve0 AS MATERIALIZED").replace("FROM curve GROUP", "FROM curve0 GROUP")}, {LISTS.replace("FROM curve", "FROM curve0")},
+    g AS (SELECT unnest(range({len(points)})) AS g), curve AS MATERIALIZED (SELECT clip * {len(points)} + g AS clip, i, t, sim, event_type FROM curve0, g), dur2 AS (SELECT clip * {len(points)} + g AS clip, dur FROM dur, g),
+    clips AS (SELECT clip, dur, {FIRST.format(c=own)} FROM dur2), {driver_sql(pick(0), pick(1), own).replace("JOIN dur USING", "JOIN dur2 USING")}, {placed_sql("p", "fade")}, {placed_sql("q", "CAST(NULL AS DOUBLE)")}, {pred("p")}, {pred("q")},
+    pairs AS (SELECT (c.clip % {len(points)}) * 2 AS cfg, c.clip AS key, l.truth, coalesce(p_l.pred, []) AS pred FROM clips c JOIN lists l ON l.clip = c.clip // {len(points)} LEFT JOIN p_l ON p_l.clip = c.clip
+        UNION ALL SELECT (c.clip % {len(points)}) * 2 + 1, c.clip, l.truth, coalesce(q_l.pred, []) FROM clips c JOIN lists l ON l.clip = c.clip // {len(points)} LEFT JOIN q_l ON q_l.clip = c.clip),
+    {greedy_sql("pairs", tol, "cfg, key").replace("g AS (SELECT", "gr AS (SELECT", 1).replace("FROM g WHERE k < len(truth)) g)", "FROM gr WHERE k < len(truth)) g)").replace("FROM g WHERE k = len(truth)", "FROM gr WHERE k = len(truth)")}, tt AS (SELECT cfg, {TOTALS} FROM matched GROUP BY cfg)
+    SELECT CAST(cfg AS BIGINT) AS cfg, ([{', '.join(str(x[0]) for x in points)}]::DOUBLE[])[CAST(cfg // 2 AS BIGINT) + 1] AS threshold, ([{', '.join(str(x[1]) for x in points)}]::DOUBLE[])[CAST(cfg // 2 AS BIGINT) + 1] AS penalty, cfg % 2 = 0 AS refine,
+        tp, missed, extra, full_ AS "full", round(precision_, 6) AS precision, round(recall_, 6) AS recall FROM tt ORDER BY full_ DESC, precision_ + recall_ DESC, cfg LIMIT 15"""
 
 
-@query(_sweep_sql([0.32, 0.5], [0.5, 1.0], 12.0))
+@query(_sweep_sql(12.0))
 def sweep_grid(spark, d):
-    s = sweep(curve(spark, d), durations(curve(spark, d)), cut_lists(spark, d).select("clip", "truth"), spark, [0.32, 0.5], [0.5, 1.0], 12.0, 3)
-    return s.select("cfg", "threshold", "penalty", "tp", "missed", "extra", "full", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    """4 thresholds, 4 penalties, with and without refining, through the whole clip driver; the best 15."""
+    c = keep(curve(spark, d))
+    truth_cuts = c.groupBy("clip").agg(F.array_sort(F.collect_list(F.when(F.col("event_type") == "purchase", F.col("t")))).alias("truth"))
+    s = sweep(spark, clip_records(c), c, c.filter("event_type = 'purchase'").select("clip", "t"), luma_of(c), truth_cuts, 12.0, config=DRIVER, digits=6)
+    return s.select("cfg", "threshold", "penalty", "refine", "tp", "missed", "extra", "full", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 REVIEW = """rv AS (SELECT d.doc_id AS pos, CASE WHEN quality IS NULL THEN NULL WHEN quality = 1 THEN 'correct' WHEN toxic = 1 THEN 'missed' ELSE 'partial' END AS verdict,
@@ -442,12 +495,10 @@ SECTION = "CASE WHEN verdict IN ('wrong_time', 'missed', 'false_positive') THEN
 CATEGORY = "CASE WHEN edited = false THEN 'unlabeled' WHEN verdict IS NOT NULL AND verdict NOT IN ('correct', 'correct_none') THEN 'problem' WHEN cut IS NULL THEN 'none' WHEN n_shots > 2 THEN 'multicut' ELSE 'clean' END"
 
 
-@query(f"WITH {REVIEW} SELECT pos, cut, {SECTION} AS section, row_number() OVER (ORDER BY CASE {SECTION} WHEN 'problem' THEN 0 WHEN 'none' THEN 1 WHEN 'multicut' THEN 2 ELSE 3 END, cut ASC NULLS LAST, pos) AS place FROM rv ORDER BY place LIMIT 500")
+@query(f"WITH {REVIEW} SELECT pos, cut, {SECTION} AS section, row_number() OVER (ORDER BY CASE {SECTION} WHEN 'problem' THEN 0 WHEN 'none' THEN 1 WHEN 'multicut' THEN 2 ELSE 3 END, cut ASC NULLS LAST, pos) AS place FROM rv")
 def report_sections(spark, d):
     r = review(spark, d).withColumn("section", report.section(F.col("verdict"), F.col("cut"), F.col("n_shots")))
-    order = (report.rank_of(F.col("section"), report.SECTIONS), F.col("cut").asc_nulls_last(), F.col("pos"))
-    top = report.by_section(r).limit(500)  # the report shows this many cards
-    return top.select("pos", "cut", "section", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    return report.placed(r, report.rank_of(F.col("section"), report.SECTIONS), F.col("cut").asc_nulls_last(), "pos").select("pos", "cut", "section", "place")
 
 
 @query(f"WITH {REVIEW} SELECT pos, {CATEGORY} AS category FROM rv")
@@ -495,10 +546,10 @@ def normalize_events(spark, d):
     return truth.normalise_events(curve(spark, d).filter("event_type = 'click'").select("clip", (F.col("t") - 20).alias("sec")))
 
 
-@query("""SELECT doc_id, CASE WHEN n = 1 THEN 'creator_to_meme' WHEN n = 2 THEN 'creator_meme_creator' WHEN n >= 3 THEN 'multi' WHEN cur LIKE 'all%' THEN cur ELSE '' END AS pattern
-    FROM (SELECT doc_id, n_chars % 5 AS n, CASE WHEN lang = 'en' THEN 'all_creator' WHEN lang = 'de' THEN 'multi' END AS cur FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN n = 1 THEN 'person->meme' WHEN n = 2 THEN 'person->meme->person' WHEN n >= 3 THEN 'person->meme->person->meme' WHEN cur LIKE 'all%' THEN cur ELSE '' END AS pattern
+    FROM (SELECT doc_id, n_chars % 5 AS n, CASE WHEN lang = 'en' THEN 'all person' WHEN lang = 'de' THEN 'person->meme' END AS cur FROM documents)""")
 def pattern_by_count(spark, d):
-    cur = F.when(F.col("lang") == "en", "all_creator").when(F.col("lang") == "de", "multi")
+    cur = F.when(F.col("lang") == "en", "all person").when(F.col("lang") == "de", "person->meme")
     return table(spark, d, "documents").select("doc_id", truth.predict_pattern(F.col("n_chars") % 5, cur).alias("pattern"))
 
 
@@ -569,12 +620,11 @@ def bands_and_bars(spark, d):
     return c.select("clip", "i", X.similarity_band(F.col("sim"), 0.35).alias("band"), X.bar(F.col("sim")).alias("bar"), F.round(X.percent_of(F.col("t"), F.col("dur")), 6).alias("percent"))
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(left(html, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, left(coalesce(url, ''), 45) AS notes,
+@query("""SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, left(coalesce(url, ''), 45) AS notes,
     CASE WHEN page_id % 3 = 0 THEN 'none' ELSE printf('%.2fs', page_id / 4.0::DOUBLE) END AS cut_text, printf('%02d_%s.mp4', page_id % 7, 'meme') AS file FROM pages""")
 def card_texts(spark, d):
     t = F.when(F.col("page_id") % 3 != 0, F.col("page_id") / 4.0)
-    # A card shows the head of a text.
-    return table(spark, d, "pages").select("page_id", X.html_escape(F.left("html", F.lit(200))).alias("escaped"), X.head(F.col("url")).alias("notes"), X.seconds(t).alias("cut_text"), X.segment_file((F.col("page_id") % 7), F.lit("meme")).alias("file"))
+    return table(spark, d, "pages").select("page_id", X.html_escape(F.col("html")).alias("escaped"), X.head(F.col("url")).alias("notes"), X.seconds(t).alias("cut_text"), X.segment_file((F.col("page_id") % 7), F.lit("meme")).alias("file"))
 
 
 @query(f"""WITH {CURVE}, s AS (SELECT clip, i, t AS start_, lead(t) OVER (PARTITION BY clip ORDER BY i) AS end_ FROM curve WHERE event_type = 'view'),
@@ -603,6 +653,183 @@ def seed_index(spark, d):
     return decode.seed_index(c, c.filter("event_type = 'purchase'").groupBy("clip").agg(F.min("t").alias("first")))
 
 
+def of_kind(c: DataFrame, kind: str, name: str) -> DataFrame:
+    """(clip, name): the ordered times of one kind of event."""
+    return c.filter(F.col("event_type") == kind).groupBy("clip").agg(F.array_sort(F.collect_list("t")).alias(name))
+
+
+EVALUATED = f"""ev2 AS (SELECT DISTINCT clip FROM curve), kinds AS (SELECT clip, list(t ORDER BY t) FILTER (WHERE event_type = 'purchase') AS cuts_, list(t ORDER BY t) FILTER (WHERE event_type = 'signup' AND clip % 3 <> 0) AS starts,
+        list(t ORDER BY t) FILTER (WHERE event_type = 'click' AND clip % 5 <> 0) AS flips FROM curve GROUP BY clip),
+    base AS (SELECT clip, CASE WHEN clip % 4 <> 0 AND len(cuts_) > 0 THEN cuts_ WHEN clip % 8 <> 0 THEN [12.5::DOUBLE] ELSE CAST([] AS DOUBLE[]) END AS truth, starts, flips, CASE WHEN clip % 5 <> 0 THEN flips[1] END AS picked FROM kinds),
+    lists2 AS (SELECT clip, 'flips' AS rule, truth, CASE WHEN starts IS NOT NULL THEN starts[2:] ELSE coalesce(flips, []) END AS pred FROM base
+        UNION ALL SELECT clip, 'pick', truth, CASE WHEN len(starts) > 1 THEN starts[2:] WHEN picked IS NOT NULL THEN [picked] ELSE [] END FROM base
+        UNION ALL SELECT clip, 'none', truth, coalesce(starts[2:], []) FROM base)"""
+
+
+@query(f"""WITH RECURSIVE {CURVE}, {EVALUATED}, {greedy_sql("lists2", TOL, "clip, rule")} SELECT clip, rule, tp, missed, extra, round(error_, 6) AS error, {VERDICT_SQL} AS verdict,
+    CASE WHEN len(truth) = 0 AND len(pred) = 0 THEN true ELSE coalesce(abs(truth[1] - pred[1]) <= {TOL}, false) END AS first_right FROM matched""")
+def evaluate_predictions(spark, d):
+    """Truth left join segments left join records, under the three rules for clips without segments."""
+    c = keep(curve(spark, d))
+    cuts = c.select("clip").distinct().join(of_kind(c, "purchase", "cuts"), "clip", "left")
+    gt = cuts.select("clip", F.when(F.col("clip") % 4 != 0, F.col("cuts")).alias("cuts"), F.when(F.col("clip") % 8 != 0, F.lit(12.5)).alias("cut"))
+    order = F.row_number().over(Window.partitionBy("clip").orderBy("t")) - 1
+    s = c.filter("event_type = 'signup' and clip % 3 <> 0").select("clip", order.alias("seg_idx"), F.col("t").alias("start"))
+    r = of_kind(c.filter("clip % 5 <> 0"), "click", "flips").withColumn("picked", F.get("flips", F.lit(0)))
+    out = None
+    for rule in match.RULES:
+        e = match.evaluation(gt, s, r, TOL, rule).withColumn("rule", F.lit(rule))
+        out = e if out is None else out.unionByName(e)
+    return out.select("clip", "rule", "tp", "missed", "extra", F.round(F.aggregate("errors", F.lit(0.0), lambda a, x: a + x), 6).alias("error"), "verdict", "first_right")
+
+
+@query(f"""WITH {CURVE}, {LISTS}, g AS (SELECT truth[1] AS old_, pred[1] AS new_ FROM lists), k AS (SELECT CASE WHEN (old_ IS NULL AND new_ IS NULL) OR abs(old_ - new_) <= 5 THEN 'ok' WHEN abs(old_ - new_) <= 15 THEN 'close' ELSE 'bad' END AS grade,
+        ((old_ IS NULL) <> (new_ IS NULL)) OR coalesce(abs(old_ - new_) > 5, false) AS flipped FROM g),
+    t AS (SELECT count(*) AS clips, count(CASE WHEN grade = 'ok' THEN 1 END) AS ok, count(CASE WHEN grade = 'close' THEN 1 END) AS close, count(CASE WHEN grade = 'bad' THEN 1 END) AS bad, count(CASE WHEN flipped THEN 1 END) AS flipped FROM k)
+    SELECT *, round(100.0::DOUBLE * ok / clips, 1) AS ok_percent, round(100.0::DOUBLE * (ok + close) / clips, 1) AS within_percent FROM t""")
+def stage_totals(spark, d):
+    old, new = F.get("truth", F.lit(0)), F.get("pred", F.lit(0))
+    return match.grade_totals(cut_lists(spark, d).select(match.grade(old, new, 15.0, 5.0).alias("grade"), match.flipped(old, new, 5.0).alias("flipped")))
+
+
+@query(f"""WITH {CURVE}, {LISTS}, g AS (SELECT clip AS pos, truth[1] AS old_, pred[1] AS new_ FROM lists) SELECT pos, round(old_, 6) AS old_cut, round(new_, 6) AS new_cut FROM g
+    WHERE ((old_ IS NULL) <> (new_ IS NULL)) OR coalesce(abs(old_ - new_) > 5, false) ORDER BY pos LIMIT 40""")
+def first_flips(spark, d):
+    """The report lists the first 40 clips whose cut changed."""
+    old, new = F.get("truth", F.lit(0)), F.get("pred", F.lit(0))
+    f = match.first_flips(cut_lists(spark, d).select(F.col("clip").alias("pos"), old.alias("old"), new.alias("new"), match.flipped(old, new, 5.0).alias("flipped")))
+    return f.select("pos", F.round("old", 6).alias("old_cut"), F.round("new", 6).alias("new_cut"))
+
+
+def few_shots(s: DataFrame) -> DataFrame:
+    return s.filter("i <= clip % 4").withColumn("end", F.col("start") + F.when(F.col("clip") % 6 == 0, F.lit(0.5)).otherwise(F.lit(2.5)))
+
+
+FEW = PICK.replace("FROM conversations)", "FROM conversations WHERE turn <= conv_id % 4)")
+
+
+def _low(sql: str) -> str:
+    """The same shots, found and scored a second time."""
+    sql = sql.replace("(length(text) % 100) / 100.0::DOUBLE", "(length(text) % 70) / 80.0::DOUBLE").replace("turn <= conv_id % 4", "turn <= conv_id % 4 + conv_id % 2")
+    for name in ("sh", "fl", "sp0", "sp1", "split", "top", "picked"):
+        sql = sql.replace(f"{name} AS (", f"{name}_2 AS (").replace(f"FROM {name}", f"FROM {name}_2").replace(f"JOIN {name} ", f"JOIN {name}_2 ").replace(f"{name}.", f"{name}_2.")
+    return sql
+
+
+@query(f"""WITH {FEW}, {_low(FEW)}, j AS (SELECT p.clip, p.n, p.best, p.cut, p.method, CASE WHEN p.clip % 3 = 0 THEN 4.0::DOUBLE END AS soft, CASE WHEN p.clip % 6 <> 0 THEN p.cut - p.clip % 4 END AS inner_ FROM picked p),
+    k AS (SELECT clip, n, CASE WHEN cut IS NULL AND soft IS NOT NULL THEN soft WHEN cut IS NOT NULL AND inner_ >= cut - 2.5 AND inner_ < cut - 0.4 THEN inner_ ELSE cut END AS cut,
+        CASE WHEN cut IS NULL AND soft IS NOT NULL THEN 'creator_to_meme_soft' WHEN cut IS NOT NULL AND inner_ >= cut - 2.5 AND inner_ < cut - 0.4 THEN 'creator_to_meme_softcut' ELSE method END AS method FROM j)
+    SELECT k.clip, k.n, CASE WHEN again THEN l.cut ELSE k.cut END AS cut, CASE WHEN again THEN l.method ELSE k.method END AS method
+    FROM (SELECT k.*, k.n = 1 AND k.cut IS NULL AND coalesce(q.n > 1 AND q.cut IS NOT NULL, false) AS again FROM k LEFT JOIN picked_2 q USING (clip)) k LEFT JOIN picked_2 l ON l.clip = k.clip""")
+def base_decisions(spark, d):
+    """The base pick with a soft cut, a cut inside the last shot before it, and a second detection for single shots."""
+    s = few_shots(shots(spark, d))
+    picked = decode.pick(s)
+    soft = picked.select("clip", F.when(F.col("clip") % 3 == 0, F.lit(4.0)).alias("cut"))
+    within = picked.select("clip", (F.col("cut") - F.col("clip") % 4).alias("cut"))
+    again = table(spark, d, "conversations").filter("turn <= conv_id % 4 + conv_id % 2").select(F.col("conv_id").alias("clip"), F.col("turn").cast("int").alias("i"), (F.col("turn") * 2.5).cast("double").alias("start"), ((F.length("text") % 70) / 80.0).alias("sim"))
+    return decode.label_and_pick(picked, s, soft, within, decode.pick(again))
+
+
+@query(f"""WITH {CURVE}, n AS (SELECT clip, dur, rate, greatest(2, CAST(trunc(dur * rate) AS BIGINT)) AS n FROM dur, (VALUES (0.05::DOUBLE), (0.08::DOUBLE)) v(rate)),
+    s AS (SELECT clip, rate, k, dur * (k + 0.5::DOUBLE) / n AS at_ FROM n, unnest(range(n)) u(k)),
+    j AS (SELECT s.clip, rate, k, i, t, sim, event_type, row_number() OVER (PARTITION BY s.clip, rate, k ORDER BY abs(t - at_), t, i) AS rn FROM s JOIN curve c ON s.clip = c.clip)
+    SELECT clip, CASE WHEN rate = 0.05::DOUBLE THEN 'sim' ELSE 'luma' END AS kind, k AS i, round(t, 3) AS t, CASE WHEN rate = 0.05::DOUBLE THEN CASE WHEN event_type <> 'view' THEN round(sim, 4) ELSE 0.0 END ELSE ((i + clip) * 37 % 256)::DOUBLE END AS value FROM j WHERE rn = 1""")
+def dense_curves(spark, d):
+    """Similarity and luma, each sampled evenly in real time; frames without a face have similarity 0."""
+    c = keep(curve(spark, d))
+    frames = c.select("clip", F.col("i").alias("idx"), F.col("t").alias("pts"))
+    sims = series.dense_curve(durations(c), frames, c.filter("event_type <> 'view'").select("clip", F.col("i").alias("idx"), F.col("sim").alias("v")), 0.05)
+    lumas = series.dense_curve(durations(c), frames, luma_of(c).select("clip", F.col("i").alias("idx"), F.col("luma").alias("v")), 0.08, 2)
+    return sims.withColumn("kind", F.lit("sim")).unionByName(lumas.withColumn("kind", F.lit("luma"))).select("clip", "kind", "i", "t", F.col("sim").alias("value"))
+
+
+@query(f"""WITH rec AS (SELECT doc_id AS clip, doc_id AS pos, CASE WHEN n_chars % 4 <> 0 THEN (n_chars % 1000) / 100.0::DOUBLE END AS cut FROM documents), gt AS (SELECT doc_id AS clip, toxic = 1 AS edited FROM labels WHERE doc_id % 4 <> 1),
+    s AS (SELECT conv_id AS clip, count(*) AS n, max(turn) * 2.5::DOUBLE AS last FROM conversations GROUP BY conv_id), v AS (SELECT doc_id AS clip, CASE WHEN quality = 1 THEN 'correct' ELSE 'missed' END AS verdict FROM labels WHERE doc_id % 2 = 0),
+    j AS (SELECT rec.*, edited, verdict, coalesce(n, 1) AS n_shots, greatest(coalesce(last, 1.0), 1.0) AS dur FROM rec LEFT JOIN gt USING (clip) LEFT JOIN s USING (clip) LEFT JOIN v USING (clip)), k AS (SELECT *, {CATEGORY} AS category FROM j)
+    SELECT clip, cut, n_shots AS n_segments, dur, round(cut / dur * 100, 6) AS percent, category, row_number() OVER (ORDER BY CASE category WHEN 'unlabeled' THEN 0 WHEN 'problem' THEN 1 WHEN 'none' THEN 2 WHEN 'multicut' THEN 3 ELSE 4 END, cut ASC NULLS LAST, pos) AS place FROM k""")
+def workbench_rows(spark, d):
+    """Records left join truth left join segments left join verdicts, in the order of the workbench."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    records = docs.select(F.col("doc_id").alias("clip"), F.col("doc_id").alias("pos"), F.when(F.col("n_chars") % 4 != 0, (F.col("n_chars") % 1000) / 100.0).alias("cut"))
+    gt = labels.filter("doc_id % 4 <> 1").select(F.col("doc_id").alias("clip"), (F.col("toxic") == 1).alias("edited"))
+    seg = table(spark, d, "conversations").select(F.col("conv_id").alias("clip"), (F.col("turn") * 2.5).alias("end"))
+    ver = labels.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("clip"), F.when(F.col("quality") == 1, "correct").otherwise("missed").alias("verdict"))
+    w = report.placed(report.workbench(records, gt, seg, ver), report.rank_of(F.col("category"), report.CATEGORIES), F.col("cut").asc_nulls_last(), "pos")
+    return w.select("clip", "cut", "n_segments", F.col("dur").cast("double").alias("dur"), F.round("percent", 6).alias("percent"), "category", "place")
+
+
+@query(f"""WITH {CURVE}, e AS (SELECT clip, greatest(round(t - 20, 3), 0.0) AS sec FROM curve WHERE event_type = 'click' AND clip % 3 <> 0), g AS (SELECT clip, sec, sec - lag(sec) OVER (PARTITION BY clip ORDER BY sec) AS gap FROM e),
+    k AS (SELECT clip, list(sec ORDER BY sec) AS cuts FROM g WHERE gap IS NULL OR gap > 0.0005 GROUP BY clip)
+    SELECT dur.clip, coalesce(len(cuts), 0) AS n, cuts[1] AS cut_sec, coalesce(len(cuts), 0) > 0 AS has_transition, coalesce(len(cuts), 0) >= 2 AS returns FROM dur LEFT JOIN k USING (clip)""")
+def cut_fields(spark, d):
+    c = keep(curve(spark, d))
+    events = truth.normalise_events(c.filter("event_type = 'click' and clip % 3 <> 0").select("clip", (F.col("t") - 20).alias("sec")))
+    return truth.with_cut_fields(c.select("clip").distinct(), events).select("clip", F.size("cuts").alias("n"), "cut_sec", "has_transition", "returns")
+
+
+@query(f"WITH {REVIEW} SELECT count(CASE WHEN coalesce(edited, false) THEN 1 END) AS kept, count(CASE WHEN NOT coalesce(edited, false) THEN 1 END) AS cleared, count(*) AS total FROM rv")
+def blanking_counts(spark, d):
+    return truth.blanking_counts(review(spark, d))
+
+
+@query(f"""WITH {REVIEW} SELECT count(*) AS "all", count(CASE WHEN NOT coalesce(edited, false) THEN 1 END) AS unedited, count(CASE WHEN coalesce(edited, false) THEN 1 END) AS edited, count(CASE WHEN cut IS NULL THEN 1 END) AS no_cut, count(CASE WHEN n_shots = 5 THEN 1 END) AS differs FROM rv""")
+def filter_counts(spark, d):
+    r = review(spark, d).withColumn("cuts", F.when(F.col("cut").isNotNull(), F.array("cut"))).withColumn("differs", F.col("n_shots") == 5)
+    return truth.filter_counts(r)
+
+
+@query("""WITH c AS (SELECT page_id, concat('c<', page_id, '>.mp4') AS clip, CASE page_id % 3 WHEN 0 THEN 'problem' WHEN 1 THEN 'none' ELSE 'clean' END AS section, CASE page_id % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'close' WHEN 2 THEN 'missed' END AS verdict,
+        CASE WHEN page_id % 5 <> 0 THEN page_id * 0.37::DOUBLE END AS cut, CASE WHEN page_id % 2 = 0 THEN url END AS notes FROM pages)
+    SELECT replace(replace(clip, '<', '&lt;'), '>', '&gt;') AS title, section, CASE WHEN page_id % 7 < 5 THEN concat('thumbs/c<', page_id, '>_', section, '.jpg') END AS thumbnail, CASE WHEN cut IS NULL THEN 'none' ELSE printf('%.2fs', cut) END AS cut_text,
+        replace(replace(replace(replace(coalesce(notes, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS notes_html, CASE WHEN verdict = 'correct' THEN 'green' WHEN verdict = 'close' THEN 'amber' ELSE 'red' END AS colour FROM c""")
+def report_cards(spark, d):
+    """Cards of a report, with the thumbnail that goes with the clip and its section, if there is one."""
+    of = lambda c, *names: F.when(c == 0, names[0]).when(c == 1, names[1]).when(c == 2, names[2]).otherwise(names[3])
+    p = F.col("page_id")
+    rows = table(spark, d, "pages").select("page_id", F.concat(F.lit("c<"), p.cast("string"), F.lit(">.mp4")).alias("clip"), of(p % 3, "problem", "none", "clean", None).alias("section"), of(p % 4, "correct", "close", "missed", None).alias("verdict"),
+                                           F.when(p % 5 != 0, p * 0.37).alias("cut"), F.when(p % 2 == 0, F.col("url")).alias("notes"))
+    files = rows.filter("page_id % 7 < 5").select(F.concat(F.lit("thumbs/c<"), p.cast("string"), F.lit(">_"), "section", F.lit(".jpg")).alias("path"))
+    return report.cards(rows, files).select("title", "section", "thumbnail", "cut_text", "notes_html", "colour")
+
+
+@query(SEGMENTS + """ SELECT clip, seg_idx, concat('segments/u', clip, '/', printf('%02d_%s.mp4', CAST(seg_idx + 1 AS INTEGER), CASE state WHEN 0 THEN 'person' ELSE 'meme' END)) AS file, round(start_, 6) AS start, round(greatest(0.05, end_ - start_), 6) AS dur FROM seg""")
+def clip_video_plan(spark, d):
+    s = keep(segments(spark, d).withColumn("label", F.when(F.col("state") == 0, "person").otherwise("meme")))
+    clips = s.select("clip").distinct().withColumn("name", F.concat(F.lit("u"), F.col("clip").cast("string"), F.lit(".mp4")))
+    return report.clip_video_plan(s, clips).select("clip", "seg_idx", "file", F.round("start", 6).alias("start"), F.round("dur", 6).alias("dur"))
+
+
+@query("""SELECT c.conv_id AS clip, c.n FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) c WHERE conv_id % 4 <> 3 AND conv_id % 5 <> 0 AND EXISTS (SELECT 1 FROM documents WHERE doc_id = conv_id AND doc_id % 3 <> 0)""")
+def usable_records(spark, d):
+    """Records with shots and without an error, whose file is there."""
+    s = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("clip")).agg(F.collect_list("turn").alias("all_"))
+    records = s.select("clip", F.size("all_").alias("n"), F.when(F.col("clip") % 4 != 3, F.col("all_")).alias("shots"), F.when(F.col("clip") % 5 == 0, "no frames").alias("error"))
+    files = table(spark, d, "documents").filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("name"))
+    return documents.usable(records, files).select("clip", "n")
+
+
+@query("""WITH x AS (SELECT doc_id, n_chars % 90 AS f, (n_chars % 7) / 2.0::DOUBLE AS s, n_chars / 16.0::DOUBLE AS now FROM documents), y AS (SELECT *, coalesce(CASE WHEN f <> 0 THEN f::DOUBLE END / CASE WHEN s <> 0 THEN s END, 30.0) AS fps FROM x)
+    SELECT doc_id, round(fps, 6) AS fps, CAST(floor(now * 25.0::DOUBLE + 0.5) AS BIGINT) AS frame, least(greatest(now - 10, 0.0), 60.0) AS seek FROM y""")
+def playhead(spark, d):
+    x = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 90).alias("f"), ((F.col("n_chars") % 7) / 2.0).alias("s"), (F.col("n_chars") / 16.0).alias("now"))
+    return x.select("doc_id", F.round(X.frames_per_second(F.col("f"), F.col("s")), 6).alias("fps"), X.frame_number(F.col("now"), F.lit(25.0)).alias("frame"), X.clamp(F.col("now") - 10, F.lit(0.0), F.lit(60.0)).alias("seek"))
+
+
+@query(f"""WITH {CURVE}, m AS (SELECT clip, t AS mt FROM curve WHERE event_type = 'purchase') SELECT c.i, round(c.t, 6) AS t, repeat('#', CAST(trunc(c.sim * 40) AS INTEGER)) AS bar, count(mt) AS marks
+    FROM curve c LEFT JOIN m ON m.clip = c.clip AND abs(mt - c.t) < 6 WHERE c.clip = 3 GROUP BY c.i, c.t, c.sim""")
+def inspect_clip(spark, d):
+    """One clip's curve, with the marks near each sample; which clip is the question asked."""
+    c = keep(curve(spark, d))
+    marks = c.filter("event_type = 'purchase'").select("clip", "t", F.lit("gt").alias("kind"))
+    return place.inspect(c, marks, 3, 6.0).select("i", F.round("t", 6).alias("t"), "bar", F.size("marks").alias("marks"))
+
+
+@query("SELECT doc_id AS clip FROM labels WHERE toxic = 1")
+def bad_clips(spark, d):
+    return report.bad_clips(table(spark, d, "labels").select(F.col("doc_id").alias("clip"), F.when(F.col("toxic") == 1, "bad").otherwise("ok").alias("flag")))
+
+
 @query("SELECT conv_id AS clip, CASE WHEN n % 2 = 1 THEN flag END AS flag FROM (SELECT conv_id, count(*) AS n, 'ok' AS flag FROM conversations GROUP BY conv_id)")
 def flag_toggles(spark, d):
     return truth.latest_flags(table(spark, d, "conversations").select(F.col("conv_id").alias("clip"), F.col("turn").alias("pos"), F.lit("ok").alias("flag")))
@@ -611,8 +838,9 @@ def flag_toggles(spark, d):
 @query()
 def apply_edits(spark, d):
     """Ordered edits of hand labels, a fold in Python per clip."""
-    lists = cut_lists(spark, d).select("clip", F.col("truth").alias("cuts"), F.lit(False).alias("edited"))
-    op = F.when(F.col("turn") % 4 == 0, "add").when(F.col("turn") % 4 == 1, "nudge").when(F.col("turn") % 4 == 2, "remove").otherwise("set")
-    edits = table(spark, d, "conversations").select(F.col("conv_id").alias("clip"), F.col("turn").alias("pos"), op.alias("op"), (F.col("turn") % 3).alias("index"), (F.length("text") % 50).cast("double").alias("value"))
+    lists = cut_lists(spark, d).select("clip", F.col("truth").alias("cuts"), F.lit(False).alias("edited"), F.lit("person->meme").alias("pattern"), F.when(F.col("clip") % 2 == 0, F.get("pred", F.lit(0))).alias("reference"))
+    ops = ["add", "nudge", "remove", "set", "pattern", "copy", "clear", "reset"]
+    op = F.element_at(F.array(*map(F.lit, ops)), (F.length("text") % 11 % 8 + 1).cast("int"))
+    edits = table(spark, d, "conversations").select(F.col("conv_id").alias("clip"), F.col("turn").alias("pos"), op.alias("op"), (F.col("turn") % 3).alias("index"), (F.length("text") % 50).cast("double").alias("value"), F.when(F.col("turn") % 2 == 0, "all meme").otherwise("person->meme").alias("text"))
     out = truth.apply_edits(lists, edits)
-    return out.select("clip", "edited", F.size("cuts").alias("n"), F.round(F.aggregate("cuts", F.lit(0.0), lambda a, x: a + x), 3).alias("cut_sum"))
+    return out.select("clip", "edited", "pattern", F.size("cuts").alias("n"), F.round(F.aggregate("cuts", F.lit(0.0), lambda a, x: a + x), 3).alias("cut_sum"))

@@ -3,37 +3,48 @@
 from __future__ import annotations
 
 import itertools
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutlab.operators.match import greedy_match, totals
-from cutlab.operators.place import predicted_cuts
-from cutlab.operators.series import run_segments, runs
-from cutlab.operators.decode import viterbi_states
+from cutlab.operators.place import Config, boundary_moves, decode_clips, first_cuts, moved_segments, predicted_cuts, with_returns
+from cutlab.sources.shared import keep
 
+THRESHOLDS, PENALTIES = (0.28, 0.30, 0.32, 0.35), (0.5, 1.0, 1.5, 2.0)
 
-def grid(spark: SparkSession, thresholds: list[float], penalties: list[float]) -> DataFrame:
-    rows = [(k, t, p) for k, (t, p) in enumerate(itertools.product(thresholds, penalties))]
-    return spark.createDataFrame(rows, "cfg int, threshold double, penalty double")
 
+def sweep(
+    spark: SparkSession, clips: DataFrame, curve: DataFrame, cuts: DataFrame, luma: DataFrame, truth: DataFrame, tolerance: float = 0.5, top: int = 15,
+    thresholds: tuple[float, ...] = THRESHOLDS, penalties: tuple[float, ...] = PENALTIES, config: Config = Config(), digits: int = 3,
+) -> DataFrame:
+    """Scores of the clip driver under every threshold, penalty and with and without refining, best first.
 
-def sweep(curve: DataFrame, durations: DataFrame, truth: DataFrame, spark: SparkSession, thresholds: list[float], penalties: list[float], tolerance: float, top: int = 15) -> DataFrame:
-    """Scores of every configuration, best first: by clips wholly right, then precision plus recall, then grid position.
-
-    The grid is a few rows, so the penalty is built in per configuration while
-    thresholds and clips go through one plan: (cfg, clip) is the clip key.
+    Best by clips wholly right, then precision plus recall, then grid position
+    (refined before not). clips, curve, cuts and luma as in ``segment_clips``,
+    truth (clip, truth array). Thresholds and penalties go through one decoding
+    with (grid row, clip) as the clip; where a boundary can move does not depend
+    on them and is looked up once for all. ``top`` is how many rows a sweep
+    reports.
     """
+    points = list(itertools.product(thresholds, penalties))
+    grid = spark.createDataFrame([(g, float(t), float(p)) for g, (t, p) in enumerate(points)], "g int, threshold double, penalty double")
+    point = F.struct("g", "threshold", "penalty", "clip").alias("clip")
+    # A few rows of a literal grid.
+    many = lambda df: df.crossJoin(F.broadcast(grid)).select(point, *[c for c in df.columns if c != "clip"])
+    clips = first_cuts(clips)
+    decoded = decode_clips(many(clips.select("clip", "dur", "first", "method")), many(curve.select("clip", "i", "t", "sim")), F.col("clip.threshold"), F.col("clip.penalty"), digits)
+    decoded = keep(with_returns(decoded).withColumn("own", F.col("clip.clip")))
+    edges = decoded.filter("b is not null").select(F.col("own").alias("clip"), "b").distinct()
+    moves = boundary_moves(edges, cuts, luma, curve, replace(config, refine=True)).withColumnRenamed("clip", "own")
+    ready = keep(decoded.join(moves, ["own", "b"], "left"))
     scored = None
-    for p_no, penalty in enumerate(penalties):
-        g = grid(spark, thresholds, [penalty]).withColumnRenamed("cfg", "t_no")
-        # A few rows of a literal grid.
-        c = curve.crossJoin(F.broadcast(g)).select(F.struct("t_no", "clip").alias("clip"), "i", "t", (F.col("sim") - F.col("threshold")).alias("sim"))
-        d = durations.crossJoin(F.broadcast(g)).select(F.struct("t_no", "clip").alias("clip"), "dur")
-        segments = run_segments(runs(viterbi_states(c, 0.0, penalty)), d)
-        pred = predicted_cuts(segments).groupBy("clip").agg(F.array_sort(F.collect_list("t")).alias("pred")).select(F.col("clip.t_no").alias("t_no"), F.col("clip.clip").alias("clip"), "pred")
-        pairs = truth.crossJoin(F.broadcast(g)).join(pred, ["t_no", "clip"], "left").withColumn("cfg", F.col("t_no") * len(penalties) + p_no)
-        matched = greedy_match(pairs.select("cfg", "threshold", "penalty", "clip", "truth", "pred"), tolerance)
+    for k, refine in enumerate((True, False)):
+        pred = predicted_cuts(moved_segments(ready, config.snap, refine, digits)).groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("seg_idx", "t"))).getField("t").alias("pred"))
+        pairs = many(truth.select("clip", "truth")).join(pred, "clip", "left")
+        pairs = pairs.select((F.col("clip.g") * 2 + k).alias("cfg"), F.col("clip.threshold").alias("threshold"), F.col("clip.penalty").alias("penalty"), F.lit(refine).alias("refine"), "truth", "pred")
+        matched = greedy_match(pairs, tolerance)
         scored = matched if scored is None else scored.unionByName(matched)
-    t = totals(scored, "cfg", "threshold", "penalty")
-    return t.orderBy(F.desc("full_percent"), F.desc(F.col("precision") + F.col("recall")), "cfg").limit(top)
+    t = totals(scored, "cfg", "threshold", "penalty", "refine")
+    return t.orderBy(F.desc("full"), F.desc(F.col("precision") + F.col("recall")), "cfg").limit(top)

@@ -2,42 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def with_model(rows: DataFrame, load: Callable[[], object], apply: Callable[[object, pd.Series], Iterable[dict]], schema: str) -> DataFrame:
-    """Rows that a model makes of each input row, plus an ``error`` column; the model is loaded once a task.
+def with_model(rows: DataFrame, load: Callable[[], object], apply: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What a model makes of whole batches of rows, plus an ``error`` column; the model is loaded once a task.
 
-    A row that fails gives one row with its key columns and the error, and the others go on.
+    ``apply`` gets a batch and returns rows with ``clip`` and the columns of
+    ``schema``. If a batch fails, its rows go one by one; one that fails then
+    gives one row with its clip and the error, and the others go on.
     """
+    full = T.StructType.fromDDL(f"clip string, error string, {schema}")
+    names = full.names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for batch in batches:
-            out = []
-            for _, row in batch.iterrows():
+            try:
+                yield apply(model, batch).assign(error=None).reindex(columns=names)
+                continue
+            except Exception:  # noqa: BLE001 - found again below, row by row
+                pass
+            for at in range(len(batch)):
+                row = batch.iloc[at : at + 1]
                 try:
-                    out += [{"clip": row["clip"], "error": None} | r for r in apply(model, row)]
+                    out = apply(model, row).assign(error=None)
                 except Exception as error:  # noqa: BLE001 - kept with the row, not swallowed
-                    out.append({"clip": row["clip"], "error": f"{type(error).__name__}: {error}"})
-            yield pd.DataFrame(out, columns=names)
+                    out = pd.DataFrame({"clip": row["clip"].to_list(), "error": [f"{type(error).__name__}: {error}"]})
+                yield out.reindex(columns=names)
 
-    full = f"clip string, error string, {schema}"
-    names = [f.strip().split(" ")[0] for f in _fields(full)]
     return rows.mapInPandas(run, full)
 
 
-def _fields(schema: str) -> list[str]:
-    depth, parts, at = 0, [], 0
-    for i, c in enumerate(schema):
-        depth += (c == "<") - (c == ">")
-        if c == "," and depth == 0:
-            parts.append(schema[at:i])
-            at = i + 1
-    return [*parts, schema[at:]]
+def probed_duration(answer: Column) -> Column:
+    """A media tool's answer as seconds, 0 where it gave none or no number."""
+    return F.coalesce(F.trim(answer).try_cast("double"), F.lit(0.0))
 
 
 def execute(plan: DataFrame, act: Callable[[dict], None]) -> None:

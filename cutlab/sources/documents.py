@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 
@@ -88,21 +89,52 @@ def write_version(df: DataFrame, root: str) -> str:
     return path
 
 
+def only(rows: DataFrame, ids: list[str] | None = None, limit: int | None = None, key: str = "clip") -> DataFrame:
+    """The rows of the named clips, or the first ones by name; all of them without either."""
+    rows = rows.filter(F.col(key).isin(ids)) if ids else rows
+    return rows.orderBy(key).limit(limit) if limit else rows
+
+
 def write_documents(df: DataFrame, path: str) -> None:
+    """A folder of JSON lines, of any size."""
     df.write.mode("overwrite").json(path)
 
 
+def write_document(df: DataFrame, path: str, key: str | None = None, most: int = 1_000_000) -> str:
+    """One JSON file that people and other tools read: an array of the rows, or with ``key`` a map from that column to the row.
+
+    It is written aside and then put in place in one step. Such documents are
+    small; more than ``most`` rows raise, and belong into ``write_documents``.
+    """
+    rows = df.select(*([F.col(key).cast("string").alias("key_")] if key else []), F.to_json(F.struct(*df.columns)).alias("json_")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; use write_documents")
+    body = {r.key_: json.loads(r.json_) for r in rows} if key else [json.loads(r.json_) for r in rows]
+    _replace(df.sparkSession, path, json.dumps(body, indent=2, ensure_ascii=False).encode())
+    return path
+
+
+def _replace(spark: SparkSession, path: str, content: bytes) -> None:
+    """Writes a file beside ``path`` and renames it over it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    aside = jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{uuid.uuid4().hex}")
+    out = place.getFileSystem(conf).create(aside)
+    out.write(bytearray(content))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    full = place.getFileSystem(conf)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(full.getUri(), conf).rename(full.makeQualified(aside), full.makeQualified(place), overwrite)
+
+
 def save_truth(df: DataFrame, folder: str, name: str, allowed: tuple[str, ...] = ("ground_truth.json",)) -> str:
-    """Saves a label document under one of the allowed names: written aside first, then renamed into its place."""
+    """Saves a label document, a row a document, under one of the allowed names; the first version of it stays as ``.bak``."""
     if not re.fullmatch(r"[\w.-]+", name) or name not in allowed:
         raise PermissionError(f"{name} is not one of {allowed}")
-    spark = df.sparkSession
-    aside, place = f"{folder}/.{uuid.uuid4().hex}", f"{folder}/{name}"
-    df.coalesce(1).write.json(aside)
+    spark, place = df.sparkSession, f"{folder}/{name}"
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(path(place)) and not fs.exists(path(f"{place}.bak")):
-        fs.rename(path(place), path(f"{place}.bak"))
-    fs.delete(path(place), True)
-    fs.rename(path(aside), path(place))
-    return place
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, path(place), fs, path(f"{place}.bak"), False, spark._jsc.hadoopConfiguration())
+    return write_document(df, place)

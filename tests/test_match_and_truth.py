@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -52,11 +53,34 @@ def test_merge_takes_a_whole_row_then_falls_back_per_field(spark):
     assert {r.id: (r.a, r.b, r.label_source) for r in out.collect()} == {0: (7, 1, "local"), 1: (6, 8, "second"), 2: (9, None, "third"), 3: (None, None, "none")}
 
 
+def edited_by_hand(cuts, ops, reference):
+    cuts, edited, pattern = list(cuts or []), False, "all meme"
+    tidy = lambda c: [x for k, x in enumerate(s) if k == 0 or x - s[k - 1] > 0.0005] if (s := sorted(max(0.0, round(x, 3)) for x in c)) else []
+    for op, i, value, text in ops:
+        there = i is not None and 0 <= i < len(cuts)
+        if op == "reset":
+            edited = False
+        elif op == "pattern":
+            cuts, pattern, edited = [] if text.startswith("all") else cuts, text, True
+        elif op in ("add", "clear", "copy") or (there and (op == "remove" or (op == "set" and value is None))):
+            cuts = {"add": lambda: tidy([*cuts, value]), "clear": list, "copy": lambda: [] if reference is None else [reference]}.get(op, lambda: cuts[:i] + cuts[i + 1 :])()
+            pattern = ["", "person->meme", "person->meme->person", "person->meme->person->meme"][min(3, len(cuts))] if cuts or not pattern.startswith("all") else pattern
+            edited = True
+        elif there:
+            cuts, edited = tidy(cuts[:i] + [value + (cuts[i] if op == "nudge" else 0)] + cuts[i + 1 :]), True
+    return cuts, edited, pattern
+
+
 def test_edits(spark):
-    clips = spark.createDataFrame([("a", [1.0, 2.0], False), ("b", [3.0], False), ("c", None, False)], "clip string, cuts array<double>, edited boolean")
-    ops = [("a", 0, "add", None, 1.5), ("a", 1, "nudge", 0, 0.001), ("a", 2, "remove", 2, None), ("b", 0, "clear", None, None), ("b", 1, "reset", None, None), ("z", 0, "add", None, 1.0)]
-    edits = spark.createDataFrame(ops, "clip string, pos int, op string, index int, value double")
-    assert {r.clip: (r.cuts, r.edited) for r in truth.apply_edits(clips, edits).collect()} == {"a": ([1.001, 1.5], True), "b": ([3.0], False), "c": ([], False)}
+    rng = random.Random(12)
+    names = ["add", "nudge", "set", "remove", "clear", "pattern", "copy", "reset"]
+    clips = {f"c{k}": ([round(rng.random() * 9, 3) for _ in range(0)] or None if k % 5 == 0 else sorted(round(rng.random() * 9, 3) for _ in range(k % 4)), rng.choice([None, 2.5])) for k in range(30)}
+    ops = {c: [(rng.choice(names), rng.choice([None, 0, 1, 2, 7]), rng.choice([None, -1.0, 0.001, 1.5, 4.25]), rng.choice(["all person", "person->meme"])) for _ in range(rng.randrange(0, 7))] for c in clips}
+    ops = {c: [(o, i, 1.25 if o in ("add", "nudge") and v is None else v, t) for o, i, v, t in rows] for c, rows in ops.items()} | {"z": [("add", None, 1.0, "x")]}
+    df = spark.createDataFrame([(c, cuts, False, "all meme", ref) for c, (cuts, ref) in clips.items()], "clip string, cuts array<double>, edited boolean, pattern string, reference double")
+    edits = spark.createDataFrame([(c, k, *o) for c, rows in ops.items() for k, o in enumerate(rows)], "clip string, pos int, op string, index int, value double, text string").repartition(3)
+    got = {r.clip: (r.cuts, r.edited, r.pattern) for r in truth.apply_edits(df, edits).collect()}
+    assert got == {c: edited_by_hand(cuts, ops[c], ref) for c, (cuts, ref) in clips.items()}
 
 
 def test_flags_toggle(spark):
@@ -128,7 +152,34 @@ def test_documents(spark, tmp_path):
         documents.required(lambda: documents.read_rows(spark, str(tmp_path / "no.json"), documents.SEGMENTS), "run it first")
     with pytest.raises(PermissionError):
         documents.save_truth(spark.range(1), str(tmp_path), "../evil.json")
-    assert spark.read.json(documents.save_truth(spark.range(2), str(tmp_path), "ground_truth.json")).count() == 2
+    first, second = spark.createDataFrame([(1,)], "n int"), spark.createDataFrame([(2,), (3,)], "n int")
+    place = documents.save_truth(first, str(tmp_path), "ground_truth.json")
+    documents.save_truth(second, str(tmp_path), "ground_truth.json")
+    documents.save_truth(first, str(tmp_path), "ground_truth.json")
+    assert json.loads(open(place).read()) == [{"n": 1}] and json.loads(open(place + ".bak").read()) == [{"n": 1}]
+    named = spark.createDataFrame([("a", 1.5), ("b", None)], "short string, x double")
+    assert json.loads(open(documents.write_document(named, str(tmp_path / "m.json"), "short")).read()) == {"a": {"short": "a", "x": 1.5}, "b": {"short": "b"}}
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        documents.write_document(named, str(tmp_path / "m.json"), most=1)
+    for name in ("b.mp4", "a.mp4", "c.txt"):
+        (tmp_path / name).write_text("x")
+    assert [r.name for r in documents.list_files(spark, str(tmp_path)).collect()] == ["a.mp4", "b.mp4"]
+    clips = documents.list_files(spark, str(tmp_path)).withColumnRenamed("name", "clip")
+    assert [r.clip for r in documents.only(clips, ["b.mp4", "z"]).collect()] == ["b.mp4"] and [r.clip for r in documents.only(clips, limit=1).collect()] == ["a.mp4"]
+
+
+def test_models_get_batches_and_keep_errors(spark):
+    from cutlab.sources import adapters
+
+    def apply(model, batch):
+        if (batch["clip"] == "bad").any():
+            raise RuntimeError("no frames")
+        return batch[["clip"]].assign(n=len(batch) * model)
+
+    df = spark.createDataFrame([("a",), ("bad",), ("c",)], "clip string").coalesce(1)
+    got = sorted((r.clip, r.n, r.error) for r in adapters.with_model(df, lambda: 10, apply, "n int").collect())
+    assert got == [("a", 10, None), ("bad", None, "RuntimeError: no frames"), ("c", 10, None)]
+    assert [r[0] for r in spark.createDataFrame([("3.5\n",), ("N/A",), (None,)], "s string").select(adapters.probed_duration(F.col("s"))).collect()] == [3.5, 0.0, 0.0]
 
 
 def test_stream_of_clips(spark, tmp_path):

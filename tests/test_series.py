@@ -119,10 +119,11 @@ def test_pick_table(spark):
     assert got == {c: want for c, (_, want) in cases.items()}
 
 
-def test_segments_plan_has_no_python_and_one_shuffle_by_clip(spark):
+def test_decoding_plan_has_no_python_and_few_exchanges(spark):
+    """By block (planned twice, run once), by clip for the maps of blocks, to bring them back, and by clip for the runs."""
     df = spark.createDataFrame([("a", 0, 0.0, 1.0)], "clip string, i int, t double, sim double")
     plan = series.runs(decode.viterbi_states(df))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and plan.count("Exchange hashpartitioning") - plan.count("clip#") * 0 <= 2
+    assert "Python" not in plan and plan.count("Exchange hashpartitioning") <= 5
 
 
 def test_label_flips_and_counters(spark):
