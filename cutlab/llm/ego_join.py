@@ -1,9 +1,14 @@
-"""Near-duplicate vectors by an epsilon grid order join."""
+"""Near-duplicate vectors by an epsilon grid order join.
+
+Vectors are sorted by grid cells along their leading principal axes and cut into
+blocks. Blocks in a row form intervals, those again longer ones. The join starts
+with the longest intervals and opens only pairs of them whose bounding boxes are
+not provably further apart than epsilon, level by level down to the blocks.
+"""
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -17,8 +22,10 @@ from cutlab.llm.components import connected_components
 
 #: Leading principal dimensions that order the grid and bound the blocks.
 GRID_DIMS = 8
-#: Vectors in a block: an interval of the sorted sequence.
+#: Vectors in a block, the shortest interval of the sorted sequence.
 BLOCK = 256
+#: An interval holds 2 ** FAN_BITS intervals of the level below.
+FAN_BITS = 4
 
 
 def _unit_vectors(rows: DataFrame) -> DataFrame:
@@ -78,9 +85,12 @@ def _placed(classes: DataFrame, axes: dict[int, np.ndarray], epsilon: float) ->
     return classes.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema) + ", place array<double>, cells array<int>")
 
 
-def _blocks(placed: DataFrame, key_dims: int) -> DataFrame:
-    """Cuts the epsilon grid order into blocks of at most BLOCK vectors that share label and leading cells, with their bounding boxes."""
-    order = ["label", "dim", *[F.get("cells", F.lit(i)) for i in range(GRID_DIMS)], "id"]
+def _blocks(placed: DataFrame) -> DataFrame:
+    """Cuts the epsilon grid order into blocks of at most BLOCK vectors of one label and length, with their bounding boxes.
+
+    (part, number) is the place of a block: the range of the sequence that a task held, and the block's number in it.
+    """
+    order = ["label", "dim", *[F.get("cells", F.lit(i)) for i in range(GRID_DIMS)], "cid"]
     rows = placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id().cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,39 +99,61 @@ def _blocks(placed: DataFrame, key_dims: int) -> DataFrame:
         def block() -> pa.RecordBatch:
             places = np.array([h[2] for h in held])
             columns = {
-                "block": pa.array([(held[0][4] << 32) + number], pa.int64()), "label": pa.array([key[0]], pa.string()), "dim": pa.array([key[1]], pa.int32()), "cells": pa.array([list(key[2])], pa.list_(pa.int32())),
+                "part": pa.array([held[0][4]], pa.int64()), "number": pa.array([number], pa.int64()), "label": pa.array([key[0]], pa.string()), "dim": pa.array([key[1]], pa.int32()),
                 "lo": pa.array([places.min(axis=0)], pa.list_(pa.float64())), "hi": pa.array([places.max(axis=0)], pa.list_(pa.float64())),
                 "ids": pa.array([np.array([h[0] for h in held], np.int64).tobytes()], pa.binary()), "counts": pa.array([np.array([h[1] for h in held], np.int64).tobytes()], pa.binary()), "units": pa.array([b"".join(h[3] for h in held)], pa.binary()),
             }
             return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
-            for id_, n, label, dim, cells, place, unit, part in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "label", "dim", "cells", "place", "unit", "part"))):
-                own = (label, dim, tuple(cells[:key_dims]))
-                if held and (own != key or len(held) == BLOCK):
+            for cid, n, label, dim, place, unit, part in zip(*(batch.column(c).to_pylist() for c in ("cid", "n", "label", "dim", "place", "unit", "part"))):
+                if held and ((label, dim) != key or len(held) == BLOCK):
                     yield block()
                     number, held = number + 1, []
-                key = own
-                held.append((id_, n, place, unit, part))
+                key = (label, dim)
+                held.append((cid, n, place, unit, part))
         if held:
             yield block()
 
-    return rows.mapInArrow(run, "block long, label string, dim int, cells array<int>, lo array<double>, hi array<double>, ids binary, counts binary, units binary")
+    return rows.mapInArrow(run, "part long, number long, label string, dim int, lo array<double>, hi array<double>, ids binary, counts binary, units binary")
+
 
+_LO, _HI = [f"lo{i}" for i in range(GRID_DIMS)], [f"hi{i}" for i in range(GRID_DIMS)]
 
-def _close_blocks(blocks: DataFrame, key_dims: int, epsilon: float) -> DataFrame:
-    """Pairs (a, b) of blocks in the same or neighbouring cells whose boxes are not provably further apart than epsilon."""
-    box = blocks.select("block", "label", "dim", "cells", "lo", "hi")
-    steps = F.array(*[F.array(*map(F.lit, s)) for s in itertools.product((-1, 0, 1), repeat=key_dims)])
-    near = box.select(F.col("block").alias("b"), "label", "dim", F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), "cells", F.explode(steps).alias("step"))
-    near = near.withColumn("cells", F.zip_with("cells", "step", lambda c, s: c + s)).drop("step")
-    pairs = box.withColumnRenamed("block", "a").join(near, ["label", "dim", "cells"]).filter("a <= b")
-    gap = F.zip_with(F.zip_with("lo", "hi_b", lambda x, y: x - y), F.zip_with("lo_b", "hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
-    return pairs.filter(F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g) <= epsilon * epsilon).select("a", "b")
+
+def _near_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
+    """Pairs (a, b), a <= b, of blocks of one label and length whose boxes are not provably further apart than epsilon.
+
+    Level by level: pairs of intervals are opened into pairs of those they hold,
+    and the distant ones among these fall at once with all that lies in them.
+    """
+    edges = [F.get("lo", F.lit(i)).alias(c) for i, c in enumerate(_LO)] + [F.get("hi", F.lit(i)).alias(c) for i, c in enumerate(_HI)]
+    level = stored(blocks.select("label", "dim", F.col("block").alias("at"), *edges))
+    levels = [level]
+    bits = max(1, int(level.agg(F.max("at")).first()[0] or 0).bit_length())
+    for _ in range((bits - 1) // FAN_BITS):
+        wider = level.groupBy("label", "dim", F.shiftright("at", FAN_BITS).alias("at")).agg(*[F.min(c).alias(c) for c in _LO], *[F.max(c).alias(c) for c in _HI])
+        level = stored(wider)
+        levels.append(level)
+
+    def side(of: DataFrame, s: str) -> DataFrame:
+        return of.select("label", "dim", F.col("at").alias(s), F.shiftright("at", FAN_BITS).alias(f"up_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in (*_LO, *_HI)])
+
+    gaps = [F.greatest(F.col(f"{lo}_a") - F.col(f"{hi}_b"), F.col(f"{lo}_b") - F.col(f"{hi}_a"), F.lit(0.0)) for lo, hi in zip(_LO, _HI)]
+    near = (F.col("a") <= F.col("b")) & (sum((g * g for g in gaps), F.lit(0.0)) <= epsilon * epsilon)
+    pairs = None
+    for level in reversed(levels):
+        if pairs is None:  # at most 2 ** FAN_BITS intervals a label
+            found = side(level, "a").join(side(level, "b"), ["label", "dim"])
+        else:
+            found = pairs.join(side(level, "a"), ["label", "dim", "up_a"]).join(side(level, "b"), ["label", "dim", "up_b"])
+        found = stored(found.filter(near).select("label", "dim", "a", "b"))
+        pairs = found.select("label", "dim", F.col("a").alias("up_a"), F.col("b").alias("up_b"))
+    return found.select("a", "b")
 
 
 def _links(pairs: DataFrame, blocks: DataFrame, cosine: float) -> DataFrame:
-    """(id, linked, root): for every vector of a block pair with a link in it, the vectors it links with there, and the head of its connected part."""
+    """(id, linked, root): for every class of a block pair with a link in it, the vectors it links with there, and the head of its connected part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,38 +188,41 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     Vectors of the same label link when their cosine, in double precision, is at
     least ``cosine``. A null label, and a vector that is null, empty, zero or
     holds null or non-finite parts, links with nothing; vectors of different
-    lengths never link. Rows that repeat an id count as vectors each.
-
-    Equal vectors form a class that is joined once; a class counts with its
-    size. On unit vectors the limit is a distance epsilon. They are sorted by
-    grid cells of side epsilon along leading principal axes; the sequence is cut
-    into blocks, and only blocks of neighbouring cells whose bounding boxes come
-    within epsilon meet. A task handles one pair of blocks at a time and returns
-    counts and the heads of connected parts, never the links one by one.
+    lengths never link. Rows that repeat an id are vectors each, with links and
+    a component of their own; a null id is the smallest one. An empty table
+    gives no rows, and other columns do not matter.
+
+    Equal vectors form a class, with a key of its own, that is joined once and
+    counts with its size. On unit vectors the limit is a distance epsilon. They
+    are sorted by grid cells of side epsilon along leading principal axes and
+    joined interval by interval (``_near_pairs``). A task handles one pair of
+    blocks at a time and returns counts and the heads of connected parts, never
+    the links one by one.
     """
     epsilon = math.sqrt(2 - 2 * cosine) * (1 + 1e-9)
     source = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("vector"))
     units = _unit_vectors(source)
-    classes = stored(units.groupBy("label", "dim", "key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("unit").alias("unit")))
+    same = units.groupBy("label", "dim", "key").agg(F.min(F.struct("id")).getField("id").alias("id"), F.count("*").alias("n"), F.first("unit").alias("unit"))
+    classes = stored(same.withColumn("cid", F.monotonically_increasing_id()))
     dims = classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     if dims is None:
         return source.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     axes = {dims["dim"]: _principal_axes(classes, dims["dim"], min(GRID_DIMS, dims["dim"]))}
-    # More cells where there are more vectors, so that a cell stays a small number of blocks.
-    key_dims = max(1, min(4, round(math.log10(max(10, dims["count"])) / 2)))
-    placed = stored(_placed(classes.select("id", "n", "label", "dim", "unit"), axes, epsilon))
-    blocks = stored(_blocks(placed, key_dims))
-    links = stored(_links(_close_blocks(blocks, key_dims, epsilon), blocks, cosine))
-    drop_stored(placed, blocks)
-    component = connected_components(links, "id", "root").withColumnRenamed("id", "rep")
-    counts = links.groupBy(F.col("id").alias("rep")).agg(F.sum("linked").alias("linked"))
-
-    reps = classes.select("label", "dim", "key", F.col("id").alias("rep"), "n").join(counts, "rep", "left").join(component, "rep", "left")
-    reps = stored(reps.select("label", "dim", "key", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    blocks = stored(_blocks(_placed(classes.select("cid", "n", "label", "dim", "unit"), axes, epsilon)))
+    bits = int(blocks.agg(F.max("number")).first()[0]).bit_length()
+    blocks = blocks.withColumn("block", F.shiftleft("part", bits) + F.col("number"))
+    links = stored(_links(_near_pairs(blocks, epsilon), blocks, cosine))
+    component = connected_components(links, "id", "root").withColumnRenamed("id", "cid")
+    counts = links.groupBy(F.col("id").alias("cid")).agg(F.sum("linked").alias("linked"))
+
+    known = classes.select("label", "dim", "key", "cid", "id", "n").join(counts, "cid", "left").join(component, "cid", "left")
+    known = stored(known.select("label", "dim", "key", "id", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component")))
+    least = stored(known.groupBy("component").agg(F.min(F.struct("id")).getField("id").alias("component_id")))
+    reps = stored(known.join(least, "component").select("label", "dim", "key", "n_links", "component_id"))
+    drop_stored(known, least)
     linked = units.select("id", "label", "dim", "key").join(reps, ["label", "dim", "key"]).select("id", "n_links", "component_id")
-    alone = _unlinkable(source)
-    out = linked.unionByName(alone)
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    out = linked.unionByName(_unlinkable(source))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _unlinkable(source: DataFrame) -> DataFrame:

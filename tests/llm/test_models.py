@@ -67,8 +67,10 @@ def brute_vectors(rows, limit):
                 if j not in seen:
                     seen.add(j)
                     todo.append(j)
-        out[ok[k][0]] = (len(links[k]), min(ok[j][0] for j in seen))
-    return sorted((i, *out.get(i, (0, i)), out.get(i, (0, i))[1] == i) for i, _, _ in rows)
+        out[k] = (len(links[k]), min(ok[j][0] for j in seen))
+    usable = {id(r[2]) for r in rows if r[1] is not None and r[2] and all(x is not None and np.isfinite(x) for x in r[2]) and np.any(r[2])}
+    found = [(ok[k][0], *v) for k, v in out.items()] + [(i, 0, i) for i, l, v in rows if l is None or id(v) not in usable]
+    return sorted((i, n, c, c == i) for i, n, c in found)
 
 
 @pytest.mark.parametrize("block", [256, 7])
@@ -82,12 +84,34 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch, block):
             rows.append((len(rows), int(c % 3), (centre + rng.normal(size=16) * rng.choice([0.02, 0.12, 0.16])).astype(np.float32).tolist()))
     same = rows[0][2]
     rows += [(1000 + k, 0, same) for k in range(40)] + [(2000, None, same), (2001, 0, None), (2002, 0, [0.0] * 16), (2003, 0, [float("nan")] * 16), (2004, 0, [None] + same[1:]), (2005, 0, [float("inf")] * 16), (2006, 0, []), (2007, 0, same[:3]), (2008, 0, [x * 3 for x in same]), (2009, 0, [-x for x in same])]
+    # Ids that repeat over labels and vectors are vectors each.
+    rows += [(1, 1, rows[3][2]), (1, 2, [-x for x in same]), (4, 2, [-x for x in same]), (1, 2, [-x for x in same])]
     df = spark.createDataFrame([(i, l, v, 5) for i, l, v in rows], "vec_id long, label int, embedding array<float>, n int").repartition(4)
     got = ego_join.near_vectors(df)
     exact = [(i, l, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, l, v in rows]
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got.collect()) == brute_vectors(exact, 0.98)
 
 
+def test_repeated_ids_keep_their_own_links(spark):
+    rows = [(1, "l", [1.0, 0.0]), (1, "m", [0.0, 1.0]), (2, "l", [1.0, 0.01]), (3, "m", [0.01, 1.0])]
+    got = ego_join.near_vectors(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_distant_intervals_are_never_opened(spark, monkeypatch):
+    """Vectors on an arc: each meets its neighbours in the sequence, so pairs of blocks grow with the blocks, not with their square."""
+    monkeypatch.setattr(ego_join, "BLOCK", 4)
+    n = 2000
+    angle = np.linspace(0, 1.9, n)
+    df = spark.createDataFrame([(k, 0, [float(np.cos(a)), float(np.sin(a)), 0.0]) for k, a in enumerate(angle)], "vec_id long, label int, embedding array<double>")
+    seen = []
+    pairs = ego_join._near_pairs
+    monkeypatch.setattr(ego_join, "_near_pairs", lambda b, e: seen.append((b.count(), (p := pairs(b, e)).count())) or p)
+    got = ego_join.near_vectors(df, cosine=1 - 2e-5).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.n_links for r in got) > 10 * n
+    assert seen[0][0] >= n / 4 and seen[0][1] < 10 * seen[0][0]
+
+
 def test_near_vectors_of_nothing(spark):
     assert ego_join.near_vectors(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
     odd = spark.createDataFrame([(1, None, [1.0])], "vec_id long, label int, embedding array<float>")
