@@ -14,13 +14,14 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from cutlab.llm.common import text_or_empty
 
@@ -77,15 +78,23 @@ class Vocabulary:
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[^\s", f"[^{_WHITE_CLASS}"))
         self.find_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.symbols = byte_symbols()
+        self.path = path
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
 
     def pieces(self, word: str) -> list[str]:
         """The byte-level pieces of a word without white space.
 
-        Characters that Unicode versions disagree on (assigned lately) can fall
-        otherwise than in the library.
+        Python and the library may go by different versions of Unicode. Words
+        with a character that is not assigned in Python's are normalised and cut
+        by the library itself.
         """
         if word.isascii() and word.isprintable():
             return self.split.findall(word.lower())
+        if any(unicodedata.category(c) in ("Cn", "Co") for c in word):
+            return [piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word))]
         low = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
         return ["".join([self.symbols[b] for b in piece.encode("utf-8")]) for piece in self.split.findall(low)]
 

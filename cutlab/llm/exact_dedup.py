@@ -25,8 +25,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts are equal when they are identical without ASCII white space; a null
     text counts as empty. Of equal texts the one with most code points before
-    that stays, then the smallest id. Rows that repeat an id are counted each
-    and all get the group's keep_id; ``kept`` is then true for each of them.
+    that stays, then the smallest id, null ids last. Rows that repeat an id are
+    counted each and all get the group's keep_id; ``kept`` is then true for each
+    of them, and never null. An empty table gives no rows; other columns do not
+    matter.
 
     Only a few dozen bytes a document are grouped and joined by hash; texts are
     shuffled by id, and of those only the ones whose hash occurs again go on.
@@ -48,10 +50,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     drop_stored(slim, groups)
 
     again = rows.filter("n > 1").select("id", "hash", "n", "first_id").distinct()
-    members = texts.select("id", "hash", "text").join(again, ["id", "hash"])
+    again = again.select(F.col("id").alias("own_id"), F.col("hash").alias("own_hash"), "n", "first_id")
+    members = texts.select("id", "hash", "text").join(again, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash"))).drop("own_id", "own_hash")
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
     members = stored(members.withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")))
-    first = members.filter("id = first_id").groupBy("hash", "salts").agg(F.min("text").alias("first_text"))
+    first = members.filter("id <=> first_id").groupBy("hash", "salts").agg(F.min("text").alias("first_text"))
     first = first.select("hash", "first_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     clashes = stored(members.join(first, ["hash", "salt"]).filter("text <> first_text").select("hash").distinct())
 
@@ -62,5 +65,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         settled = settled.select("id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), "n", (-F.col("best.minus_id")).alias("keep_id"))
         rows = rows.join(clashes, "hash", "left_anti").select("id", "sha", "n", "keep_id").unionByName(settled)
     return rows.select(
-        F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
+        F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )

@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cutlab.llm.common import drop_stored, stored
+
 #: Predicted where a text is null or has no letter.
 UNDETERMINED = "und"
 #: Characters handled at once, so that a very long text needs no more memory than this.
 WINDOW = 1 << 19
+#: Languages that one model may know.
+MOST_LANGUAGES = 200
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], dtype=np.uint32)
 
 
@@ -64,8 +68,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
     """Counts n-grams of all labelled rows and turns them into log-probabilities.
 
     Tasks add up their own counts before the shuffle; the driver gets at most
-    languages * n_buckets sums, however many rows there are. Rows with a null
-    text or language are left out; with no row left the model knows no language.
+    languages * n_buckets sums of 16 bytes, however many rows there are. More
+    than MOST_LANGUAGES languages raise, since that table is kept by the driver
+    and every worker. Rows with a null text or language are left out; with no
+    row left the model knows no language.
     """
     assert n_buckets & (n_buckets - 1) == 0, "a power of two"
 
@@ -82,11 +88,16 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
             yield pd.DataFrame({"lang": lang, "bucket": used.astype(np.int32), "n": own[used]})
 
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    sums = rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = tuple(sorted(sums["lang"].unique()))
+    sums = stored(rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    languages = tuple(sorted(r.lang for r in sums.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()))
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     counts = np.zeros((n_buckets + 1, max(1, len(languages))))
     if languages:
-        counts[sums["bucket"].to_numpy(), sums["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy()] = sums["n"].to_numpy()
+        place = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).cast("int") - 1
+        found = sums.select("bucket", place.alias("at"), "n").toArrow()
+        counts[found["bucket"].to_numpy(), found["at"].to_numpy()] = found["n"].to_numpy()
+    drop_stored(sums)
     grams, docs = counts[:n_buckets] + smoothing, counts[n_buckets] + 1
     return Model(languages, np.log(grams / grams.sum(axis=0)), np.log(docs / docs.sum()), orders)
 

@@ -22,6 +22,8 @@ WORDS = 5
 WINDOW = 1 << 20
 #: Documents of a bucket that meet others at once.
 BLOCK = 128
+#: Shingles of all documents of such a block, about; a longer document is a block of its own.
+BLOCK_SHINGLES = 1 << 19
 _RANDOM = np.random.default_rng(0xC0FFEE)
 _BYTE_CODE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -188,11 +190,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = connected_components(links)
 
     # Heads have met everyone in their bucket; of the others, those in buckets that span components meet in blocks.
-    left = left.join(heads.select("bucket", "a"), "bucket").filter("id <> a").select("bucket", "id")
-    left = left.join(component.withColumnRenamed("component", "c"), "id", "left").select("bucket", "id", F.coalesce("c", "id").alias("component"))
+    left = left.join(heads.select("bucket", "a"), "bucket").filter("id <> a").select("bucket", "id", "n")
+    left = left.join(component.withColumnRenamed("component", "c"), "id", "left").select("bucket", "id", "n", F.coalesce("c", "id").alias("component"))
     left = stored(left)
-    spanning = left.groupBy("bucket").agg(F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    spanning = stored(spanning.select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")))
+    spanning = left.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    spanning = stored(spanning.select("bucket", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
     if not spanning.isEmpty():
         left = left.join(spanning, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         more = _met_in_blocks(left.select("bucket", "block", "id", "component"), texts, words, percent)
@@ -207,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _met_in_blocks(left: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): links that connect the components of every bucket, from rows (bucket, block, id, component).
 
-    A block holds about BLOCK documents of a bucket. Tasks take pairs of blocks
+    A block holds about BLOCK documents of a bucket, fewer where they are long. Tasks take pairs of blocks
     of a bucket, count the shared shingles of all their documents at once, and
     return one link a document, to the head of what it is connected with there.
     """

@@ -35,16 +35,16 @@ DOCS = [(0, "a b"), (1, "ab "), (2, "a\tb\n"), (3, None), (4, ""), (5, " "), (6,
 def brute_exact(rows):
     groups = {}
     for i, t in rows:
-        groups.setdefault(SPACE.sub("", t or ""), []).append((-len(t or ""), i))
-    return sorted((i, min(g)[1], len(g), i == min(g)[1], hashlib.sha256(n.encode()).hexdigest()) for n, g in groups.items() for _, i in g)
+        groups.setdefault(SPACE.sub("", t or ""), []).append((-len(t or ""), i is None, i or 0, i))
+    return sorted(((i, min(g)[3], len(g), i == min(g)[3], hashlib.sha256(n.encode()).hexdigest()) for n, g in groups.items() for *_, i in g), key=repr)
 
 
 @pytest.mark.parametrize("hashed", [exact_dedup.content_hash, lambda t: F.unhex(F.md5(F.left(t, F.lit(1)).cast("binary")))])
 def test_exact_duplicates(spark, hashed):
-    rows = DOCS + [(k, "hot text") for k in range(100, 1400)] + [(2000 + k, f"xx{k % 3}") for k in range(9)]
+    rows = DOCS + [(k, "hot text") for k in range(100, 1400)] + [(2000 + k, f"xx{k % 3}") for k in range(9)] + [(None, "ab"), (None, "only null"), (None, "only  null"), (None, "x y long one"), (3000, "xylongone")]
     df = spark.createDataFrame([(i, t, 0, "z") for i, t in rows], "doc_id long, text string, hash int, n string")
     got = exact_dedup.exact_duplicates(df, hashed=hashed)
-    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got.collect()) == brute_exact(rows)
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got.collect()), key=repr) == brute_exact(rows)
 
 
 def test_exact_duplicates_of_nothing(spark):
