@@ -21,6 +21,8 @@ MOST = 3.0
 BLOCK = 4096
 #: Probabilities nearer than this to 0 or 1 are settled.
 EPSILON = 1e-9
+#: Up to so many sources have their row sent to all tasks.
+MOST_SHARED = 100_000
 
 
 def word_count(text_col: str = "text") -> Column:
@@ -51,6 +53,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: f
     return s.select("source", F.col("source_size").cast("long").alias("source_size"), F.least("limit", F.col("weight") * F.col("level")).alias("target"))
 
 
+def _per_source(rows: DataFrame) -> DataFrame:
+    """One row a source, stored; sent to all tasks only where sources are few, and joined by source beyond that."""
+    rows = stored(rows)
+    return F.broadcast(rows) if rows.limit(MOST_SHARED + 1).count() <= MOST_SHARED else rows
+
+
 def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """The flight phase: moves probabilities through the null space of the two totals until at most two stay fractional.
 
@@ -131,9 +139,8 @@ def mixed(units: DataFrame, block: int = BLOCK) -> DataFrame:
         most = counts.agg(F.max("blocks")).first()[0]
         if most is None:
             break
-        # One row a source: broadcasting it is safe, and null sources need the null-safe test.
-        c = counts.withColumnRenamed("source", "of")
-        dealt = left.join(F.broadcast(c), left.source.eqNullSafe(c.of)).withColumn("block", F.pmod(F.xxhash64("order", F.lit(round_)), F.col("blocks"))).select(*schema.names)
+        c = _per_source(counts.withColumnRenamed("source", "of"))
+        dealt = left.join(c, left.source.eqNullSafe(c.of)).withColumn("block", F.pmod(F.xxhash64("order", F.lit(round_)), F.col("blocks"))).select(*schema.names)
         landing = most == 1
         flown = dealt.groupBy("source", "block").applyInPandas(_flight(round_, landing), schema)
         if landing:
@@ -155,12 +162,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     part for all, one more for those that balanced sampling picks, so that the
     source's taken words and its number of copies come near what is expected.
     Null sources form one source, null texts have size 0 and are taken 0 times;
-    a source without words has target 0. Rows that repeat an id count each.
+    a source without words has target 0. Rows that repeat an id count each, and
+    null ids are drawn like any other. An empty table gives no rows; other
+    columns do not matter. The targets are computed on one row a source.
     """
     sizes = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")))
-    targets = source_targets(sizes, weights, most).withColumnRenamed("source", "of")
-    # One row a source.
-    rows = sizes.join(F.broadcast(targets), sizes.source.eqNullSafe(F.col("of"))).drop("of")
+    targets = _per_source(source_targets(sizes, weights, most).withColumnRenamed("source", "of"))
+    rows = sizes.join(targets, sizes.source.eqNullSafe(F.col("of"))).drop("of")
     times = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("times", F.least(times, F.lit(most))).withColumn("whole", F.floor(F.col("times") + EPSILON)).withColumn("p", F.greatest(F.col("times") - F.col("whole"), F.lit(0.0)))
     copies = (F.col("whole") + F.col("p")).cast("int")

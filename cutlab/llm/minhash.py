@@ -164,7 +164,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingle sets; component_id is the smallest id reachable by links, and kept
     marks that document. A null or blank text has an empty set and links with
     nothing; texts with equal sets form a class that goes on as one; rows that
-    repeat an id are one vertex, linked if any of their texts is.
+    repeat an id are one vertex, linked if any of their texts is. A null id
+    belongs with equal sets and is otherwise like nothing. An empty table gives
+    no rows; other columns do not matter.
 
     In one round the smallest member of every bucket meets all others, so that
     copies, however many, cost one pair each. In buckets that span components
@@ -203,7 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = filled.join(classes, "set_hash").select("id", "n_shingles", "rep")
     out = out.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     empty = sig.filter("set_hash is null").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return out.unionByName(empty).select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.unionByName(empty).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _met_in_blocks(left: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:

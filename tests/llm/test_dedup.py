@@ -105,6 +105,12 @@ def test_chain_of_near_copies_and_rounds(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()) == brute_near(rows)
 
 
+def test_null_ids_belong_with_equal_sets(spark):
+    rows = [(None, "a b c d e f g"), (5, "a b c d e f g"), (None, "x y z u v w"), (None, None), (7, "A b C d e F g")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=repr) == sorted([(None, 3, 5, False), (5, 3, 5, True), (None, 2, None, True), (None, 0, None, True), (7, 3, 5, False)], key=repr)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
