@@ -231,8 +231,7 @@ def trimmed_centroid(spark, d):
 def cosine_to_centroid(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label", normalise(doubles(F.col("embedding"))).alias("unit"))
     c = identity._mean_direction(e, ["label"])
-    # One centroid a label.
-    return e.join(F.broadcast(c), "label").select("vec_id", F.round(similarity(F.col("unit"), F.col("centroid")), 6).alias("sim"))
+    return e.join(c, "label").select("vec_id", F.round(similarity(F.col("unit"), F.col("centroid")), 6).alias("sim"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum([CAST(x AS DOUBLE) * x for x in embedding])), 6) AS norm, round(list_sum([CAST(x AS DOUBLE) for x in embedding[1:4]]), 6) AS head FROM embeddings")
