@@ -1,14 +1,17 @@
-"""Toxicity by compression distance: two zstandard dictionaries, window by window, with calibrated thresholds.
-
-The content of both dictionaries is chosen by how often words stand in toxic and
-in ordinary texts, not by zstandard's own trainer, and a window is one word: the
-README has the figures of the trained dictionaries that this replaces.
+"""Toxicity by compression distance: two trained zstandard dictionaries, window by window, with calibrated thresholds.
+
+A toxic text is mostly ordinary text, and so is a dictionary that is trained on
+all of it. Therefore the toxic dictionary is trained in rounds on the windows of
+toxic texts that a dictionary of the other half of them compresses best against
+the ordinary one; what is left is what toxic texts have in common and ordinary
+ones do not have. Both sides of a comparison end with the ordinary dictionary,
+next to the window; before it stands the toxic one on one side and nothing on the
+other, so that lengths differ only by what the toxic dictionary alone holds.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -19,7 +22,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutlab.llm.bpe import Remembered
 from cutlab.llm.common import text_or_empty
 
 #: The model learns from at most this many labelled documents of either label, those with the smallest id hashes.
@@ -28,130 +30,133 @@ SAMPLE_TOXIC, SAMPLE_ORDINARY = 3000, 5000
 SAMPLE_CHARS = 12_000_000
 #: Longer texts are not learnt from (they are scored like any other).
 SAMPLE_LONGEST = 40_000
-ORDINARY_BYTES, TOXIC_BYTES = 160 << 10, 64 << 10
+#: Bytes of the ordinary dictionary, those that the toxic one may have (calibration picks), and of the segments that it is made of.
+ORDINARY_BYTES, TOXIC_SIZES, TOXIC_SEGMENT = 110_000, (1024, 2048, 4096), 16
 LEVEL = 12
-#: How many times its share of positives the calibration gives a positive.
-POSITIVE_WEIGHT = 2.0
-_MARKS = ".,;:!?\"'()[]{}«»“”…*#%&$|"
+#: Words in a window.
+WINDOW = 8
+#: The share of toxic texts' windows that each round trains on, first by how badly the ordinary dictionary compresses them.
+FIRST_SHARE, SHARES = 0.5, (0.3, 0.2, 0.2, 0.15, 0.12)
+#: Gains in bytes over which windows are counted; calibration gives each count its weight.
+GAINS = (1, 2, 3, 5)
 
 
 @dataclass(frozen=True)
 class Model:
     ordinary: bytes
     toxic: bytes
-    #: Least relative gain of a window that counts, for two counters.
-    thresholds: tuple[float, float]
-    weights: np.ndarray
+    #: Weights of the features of a text; None if a label has no text, and then every score is ``base``.
+    weights: np.ndarray | None
+    base: float = 0.0
 
 
-def windows(text: str) -> list[str]:
-    """The windows of a text: its lower-cased words, without marks around them."""
-    return [w for x in text.lower().split() if (w := x.strip(_MARKS))]
+def windows(text: str) -> list[bytes]:
+    """WINDOW lower-cased words each, with blanks around them."""
+    words = text.lower().split()
+    return [f" {' '.join(words[i : i + WINDOW])} ".encode("utf-8", "replace") for i in range(0, len(words), WINDOW)]
 
 
-def spread(window: str) -> bytes:
-    """Three bytes a character, by a fixed rule, so that a match of a few characters outweighs the fixed costs of a compressed frame."""
-    return b"".join([((ord(c) * 0x9E3779B1 >> 8) & 0xFFFFFF | 0x010101).to_bytes(3, "little") for c in f" {window} "])
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary by zstandard's trainer; the last samples themselves where they are too few to train on."""
+    try:
+        return zstandard.train_dictionary(size, samples, d=8, k=segment, split_point=1.0, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
-def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def _compressor(*contents: bytes) -> zstandard.ZstdCompressor:
+    data = zstandard.ZstdCompressionDict(b"".join(contents) or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     data.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
+def _lengths(compressor: zstandard.ZstdCompressor, samples: list[bytes]) -> np.ndarray:
+    return np.array([len(compressor.compress(s)) for s in samples], float)
+
+
 class Scorer:
-    """How much better the toxic dictionary compresses a window than the ordinary one, as a share of its bytes."""
+    """By how many bytes the toxic side compresses each window of a text better than the ordinary side."""
 
     def __init__(self, ordinary: bytes, toxic: bytes) -> None:
-        self.ordinary, self.toxic = _compressor(ordinary), _compressor(toxic)
-        self.gain = Remembered(self._gain)
+        self.ordinary, self.toxic = _compressor(b"\0" * len(toxic), ordinary), _compressor(toxic, ordinary)
 
-    def _gain(self, window: str) -> float:
-        data = spread(window)
-        return (len(self.ordinary.compress(data)) - len(self.toxic.compress(data))) / len(data)
+    def of(self, samples: list[bytes]) -> np.ndarray:
+        return _lengths(self.ordinary, samples) - _lengths(self.toxic, samples)
 
     def gains(self, text: str) -> np.ndarray:
-        return np.array([self.gain[w] for w in windows(text)])
+        return self.of(windows(text))
 
 
 @lru_cache(maxsize=1)
 def _scorer(ordinary: bytes, toxic: bytes) -> Scorer:
-    """Kept by a worker from task to task, with the windows it remembers."""
+    """Kept by a worker from task to task."""
     return Scorer(ordinary, toxic)
 
 
-def _features(gains: np.ndarray, thresholds: tuple[float, float]) -> np.ndarray:
-    n = len(gains)
-    low, high = ((gains >= t).sum() for t in thresholds)
-    top = np.sort(gains)[-3:]
-    return np.array([1.0, math.log1p(low), math.log1p(high), 100 * low / n if n else 0.0, top[-1] if n else 0.0, top.sum() if n else 0.0, math.log1p(n)])
-
-
-def _contexts(texts: list[str]) -> tuple[Counter, int]:
-    """How often a window stands between different neighbours: copies of a passage count once."""
-    seen: set[int] = set()
-    count: Counter = Counter()
-    for text in texts:
-        w = ["", *windows(text), ""]
-        for i in range(1, len(w) - 1):
-            if (key := hash((w[i - 1], w[i], w[i + 1]))) not in seen:
-                seen.add(key)
-                count[w[i]] += 1
-    return count, len(seen)
-
-
-def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """Raw dictionary content with the best samples at its end, where matches cost least."""
-    return b"".join(samples[::-1])[-size:] or b"\x00" * 8
+def _features(gains: np.ndarray) -> np.ndarray:
+    n, top = len(gains), np.sort(gains)[-3:]
+    counts = [float((gains >= g).sum()) for g in GAINS]
+    shares = [10 * c / n if n else 0.0 for c in counts[:-1]]
+    return np.array([1.0, *map(math.log1p, counts), *shares, gains.mean() if n else 0.0, top[-1] / 5 if n else 0.0, top.sum() / 15, math.log1p(n) / 5])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (weight * (y - p)) - 1e-2 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (y - p) - 0.1 * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def learn(toxic: list[str], ordinary: list[str]) -> Model:
-    """Trains both dictionaries on two thirds of the texts and calibrates on the rest; with no text of a label, scores stay below a half."""
-    parts = lambda texts: ([t for i, t in enumerate(texts) if i % 3], [t for i, t in enumerate(texts) if i % 3 == 0])
-    (toxic_fit, toxic_rest), (ordinary_fit, ordinary_rest) = parts(toxic), parts(ordinary)
-    t, n_t = _contexts(toxic_fit)
-    o, n_o = _contexts(ordinary_fit)
+def _loss(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> float:
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-6, 1 - 1e-6)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
 
-    def surprise(w: str) -> float:
-        expected = (o[w] + 0.5) / max(1, n_o) * n_t
-        return t[w] * math.log(t[w] / expected) - (t[w] - expected) if t[w] > 4 * expected else 0.0
 
-    marked = sorted(((s, w) for w in t if t[w] >= 3 and (s := surprise(w)) > 8), reverse=True)
-    chosen = {w for _, w in marked}
-    common = sorted((w for w in o if w not in chosen), key=lambda w: (-o[w], w))[:60_000]
-    scorer = Scorer(_dictionary([spread(w) for w in common], ORDINARY_BYTES), _dictionary([spread(w) for _, w in marked], TOXIC_BYTES))
-    if not toxic_rest or not ordinary_rest or not marked:
-        return Model(*_contents(common, marked), (9.0, 9.0), np.array([-3.0, 0, 0, 0, 0, 0, 0]))
+def _best(samples: list[bytes], by: np.ndarray, share: float) -> list[bytes]:
+    return [samples[i] for i in by.argsort(kind="stable")[::-1][: max(1, int(share * len(samples)))]]
 
-    gains = [scorer.gains(x) for x in toxic_rest + ordinary_rest]
-    y = np.array([1.0] * len(toxic_rest) + [0.0] * len(ordinary_rest))
 
-    def apart(threshold: float) -> float:
-        hit = np.array([(g >= threshold).any() for g in gains])
-        return hit[y == 1].mean() - hit[y == 0].mean()
+def _toxic_dictionary(halves: list[list[bytes]], base: bytes, size: int) -> bytes:
+    """Trained in rounds: each half trains on its windows that the other half's dictionary compresses best against the ordinary one."""
+    blank = b"\0" * size
+    plain = _compressor(blank, base)
+    before = [_lengths(plain, h) for h in halves]
+    chosen = [_best(h, n / np.array([len(w) for w in h]), FIRST_SHARE) for h, n in zip(halves, before)]
+    for share in SHARES:
+        other = [_compressor(_trained(c, size, TOXIC_SEGMENT).rjust(size, b"\0"), base) for c in chosen[::-1]]
+        chosen = [_best(h, n - _lengths(o, h), share) for h, n, o in zip(halves, before, other)]
+    return _trained(chosen[0] + chosen[1], size, TOXIC_SEGMENT).rjust(size, b"\0")
 
-    grid = np.arange(0.04, 0.7, 0.02)
-    low = max(grid, key=lambda v: (apart(v), -v))
-    thresholds = (float(low), float(low) + 0.12)
-    x = np.array([_features(g, thresholds) for g in gains])
-    # The sample has its own share of positives; weights bring it back towards the corpus's, leaning to recall.
-    return Model(*_contents(common, marked), thresholds, _logistic(x, y, np.where(y == 1, POSITIVE_WEIGHT, 1.0)))
 
+def learn(toxic: list[str], ordinary: list[str]) -> Model:
+    """Trains both dictionaries on three quarters of the texts and calibrates on the rest.
 
-def _contents(common: list[str], marked: list[tuple[float, str]]) -> tuple[bytes, bytes]:
-    return _dictionary([spread(w) for w in common], ORDINARY_BYTES), _dictionary([spread(w) for _, w in marked], TOXIC_BYTES)
+    The toxic dictionary has the size with the least loss on those. Where a
+    label has no text to train or to calibrate on, every score is 0.
+    """
+    parts = lambda texts: ([t for i, t in enumerate(texts) if i % 4], [t for i, t in enumerate(texts) if i % 4 == 0])
+    (toxic_fit, toxic_rest), (ordinary_fit, ordinary_rest) = parts(toxic), parts(ordinary)
+    halves = [[w for t in toxic_fit[h::2] for w in windows(t)] for h in (0, 1)]
+    if not all(halves) or not ordinary_fit or not ordinary_rest or not toxic_rest:
+        return Model(b"", b"", None)
+    long = [b"".join(w[i : i + 4]) for t in ordinary_fit for w in [windows(t)] for i in range(0, len(w), 4)]
+    base = _trained(long, ORDINARY_BYTES, 200)
+    texts = [windows(t) for t in toxic_rest + ordinary_rest]
+    y = np.array([1.0] * len(toxic_rest) + [0.0] * len(ordinary_rest))
+    best = None
+    for size in TOXIC_SIZES:
+        bad = _toxic_dictionary(halves, base, size)
+        scorer = Scorer(base, bad)
+        x = np.array([_features(scorer.of(w)) for w in texts])
+        w = _logistic(x, y)
+        loss = _loss(w, x, y)
+        if best is None or loss < best[0]:
+            best = (loss, Model(base, bad, w))
+    return best[1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -179,8 +184,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(id, score, predicted) for every row: the calibrated probability, and 1 where it is at least a half.
 
     Null and empty texts are scored like any other: no window counts, so they
-    get the calibrated base score. One narrow stage; the model is broadcast, and
-    the two dictionaries have a fixed size.
+    get the calibrated base score. Repeated rows get the same score each, null
+    ids stay, and an empty table gives no rows. One narrow stage; the model is
+    broadcast, and the two dictionaries have a fixed size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -188,8 +194,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m = shared.value
         scorer = _scorer(m.ordinary, m.toxic)
         for batch in batches:
-            x = np.array([_features(scorer.gains(t.as_py()), m.thresholds) for t in batch.column("text")]).reshape(-1, len(m.weights))
-            p = 1 / (1 + np.exp(-np.clip(x @ m.weights, -30, 30)))
+            if m.weights is None:
+                p = np.full(batch.num_rows, m.base)
+            else:
+                x = np.array([_features(scorer.gains(t.as_py())) for t in batch.column("text")]).reshape(-1, len(m.weights))
+                p = 1 / (1 + np.exp(-np.clip(x @ m.weights, -30, 30)))
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))

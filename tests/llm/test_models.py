@@ -33,18 +33,18 @@ def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(2)
     bad = ["vilkur", "smagdor", "tunfeck"]
     rows = []
-    for i in range(900):
+    for i in range(4000):  # a trained dictionary needs more text than a list of words
         w = sentence("xx", rng, rng.randrange(10, 60)).split()
         toxic = int(rng.random() < 0.25)
         for _ in range(rng.randrange(1, 4) * toxic):
             w.insert(rng.randrange(len(w) + 1), rng.choice(bad))
         rows.append((i, " ".join(w), toxic))
-    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(5000, None), (5001, ""), (5002, "karo " * 50_000)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(7777, 1), (5000, None)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(8000, None), (8001, ""), (8002, "karo " * 50_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(7777, 1), (8000, None)], "doc_id long, toxic int")
     out = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, labels.filter(~held_out()))).collect()}
     fresh = [(out[i].predicted, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([p == y for p, y in fresh]) > 0.95
-    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out.values()) and len(out) == 903
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out.values()) and len(out) == 4003
     none = toxicity.fit(docs, labels.limit(0))
     assert {r.predicted for r in toxicity.score(docs.limit(5), none).collect()} == {0}
     assert toxicity.score(docs.limit(0), none).count() == 0
