@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutlab.llm.common import linked_heads, stored, text_or_empty
+from cutlab.llm.common import drop_stored, linked_heads, stored, text_or_empty
 from cutlab.llm.components import connected_components
 
 #: Signature coordinates: BANDS bands of ROWS minima. Two texts of Jaccard similarity 0.75 share no band with probability 1e-4.
@@ -189,19 +189,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component = connected_components(stored(_met_by_heads(left, None, texts, words, percent)))
     for level in range(LEVELS + 1):
-        left = stored(_spanning(left, component))
+        buckets, left = left, _spanning(left, component)
+        drop_stored(buckets)
         if left.isEmpty():
             break
         by_blocks = (F.col("blocks") <= MOST_BLOCKS) | F.lit(level == LEVELS)
-        links = _met_in_blocks(left.filter(by_blocks), texts, words, percent)
+        links = stored(_met_in_blocks(left.filter(by_blocks), texts, words, percent))
         large = left.filter(~by_blocks)
         is_more = not large.isEmpty()
         if is_more:
-            left = stored(_several(_by_rare_shingles(large, texts, words, percent)))
+            spanning, left = left, _by_rare_shingles(large, texts, words, percent)
+            drop_stored(spanning)
             links = links.unionByName(_met_by_heads(left, component, texts, words, percent))
-        component = connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(stored(links)))
+        component = connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
         if not is_more:
             break
+    drop_stored(left, texts)
 
     out = filled.join(classes, "set_hash").select("id", "n_shingles", "rep")
     out = out.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
@@ -230,7 +233,7 @@ def _met_by_heads(rows: DataFrame, component: DataFrame | None, texts: DataFrame
 
 
 def _spanning(rows: DataFrame, component: DataFrame) -> DataFrame:
-    """(bucket, head, block, blocks, id, n, component): the members, but for the heads, of buckets that span components without them."""
+    """(bucket, head, block, blocks, id, n, component), stored: the members, but for the heads, of buckets that span components without them."""
     left = rows.join(_heads(rows).select("bucket", F.col("a").alias("head")), "bucket").filter("id <> head").select("bucket", "head", "id", "n")
     left = stored(_with_component(left, component))
     each = left.groupBy("bucket").agg(
@@ -238,7 +241,9 @@ def _spanning(rows: DataFrame, component: DataFrame) -> DataFrame:
     )
     one = each.filter("low < high").groupBy("k", "size", "x", "y").agg(F.min("bucket").alias("bucket"))
     one = stored(one.select("bucket", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
-    return left.join(one, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    out = stored(left.join(one, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    drop_stored(left, one)
+    return out
 
 
 def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
@@ -252,7 +257,7 @@ def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
 
 
 def _by_rare_shingles(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(bucket, id, n): buckets of documents that share a shingle among the rarest of each, from rows (bucket, head, id, n).
+    """(bucket, id, n), stored: buckets of documents that share a shingle among the rarest of each, from rows (bucket, head, id, n).
 
     What the head of a bucket has counts as frequent there, all else as rare.
     Similar documents of a bucket share one of the first ``prefix_lengths`` of
@@ -278,7 +283,9 @@ def _by_rare_shingles(rows: DataFrame, texts: DataFrame, words: int, percent: in
     sizes = found.groupBy("bucket").agg(F.count("*").alias("k"), F.min(F.when(F.col("first"), F.col("n"))).alias("low"), F.max(F.when(F.col("first"), F.col("n"))).alias("high"))
     sizes = stored(sizes.filter("k > 1 and low is not null").drop("k"))
     goes = F.col("first") | ((F.col("n") >= F.col("low")) & (F.col("n") * percent <= F.col("high") * 100))
-    return found.join(sizes, "bucket").filter(goes).select("bucket", "id", "n")
+    out = stored(_several(found.join(sizes, "bucket").filter(goes).select("bucket", "id", "n")))
+    drop_stored(found, sizes)
+    return out
 
 
 def _met_in_blocks(left: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
