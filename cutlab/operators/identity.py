@@ -62,10 +62,11 @@ def shot_medians(shots: DataFrame, curve: DataFrame, samples: int = 3) -> DataFr
     return near.groupBy(*shots.columns).agg(F.median(F.coalesce("s", F.lit(0.0))).alias("sim"))
 
 
-def _mean_direction(vectors: DataFrame, by: list[str]) -> DataFrame:
-    parts = vectors.select(*by, F.posexplode("unit").alias("pos", "x")).groupBy(*by, "pos").agg(F.avg("x").alias("x"))
-    mean = parts.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"))
-    return mean.select(*by, normalise(F.col("mean")).alias("centroid"))
+def _mean_direction(vectors: DataFrame, by: list[str], least: int = 1) -> DataFrame:
+    """(by, centroid) of the groups with at least ``least`` vectors."""
+    parts = vectors.select(*by, F.posexplode("unit").alias("pos", "x")).groupBy(*by, "pos").agg(F.avg("x").alias("x"), F.count("*").alias("k"))
+    mean = parts.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"), F.max("k").alias("k"))
+    return mean.filter(F.col("k") >= least).select(*by, normalise(F.col("mean")).alias("centroid"))
 
 
 def trimmed_centroid(vectors: DataFrame, by: list[str], vector_col: str = "embedding", inlier: float = 0.35, least: int = 5, passes: int = 4) -> DataFrame:
@@ -80,8 +81,7 @@ def trimmed_centroid(vectors: DataFrame, by: list[str], vector_col: str = "embed
     centre = keep(_mean_direction(units, by))
     for _ in range(passes):
         near = units.join(centre, by).filter(dot(F.col("unit"), F.col("centroid")) >= inlier)
-        enough = near.groupBy(*by).agg(F.count("*").alias("k")).filter(F.col("k") >= least).select(*by)
-        trimmed = _mean_direction(near.join(enough, by, "left_semi"), by).withColumnRenamed("centroid", "trimmed")
+        trimmed = _mean_direction(near, by, least).withColumnRenamed("centroid", "trimmed")
         centre = keep(centre.join(trimmed, by, "left").select(*by, F.coalesce("trimmed", "centroid").alias("centroid")))
     scored = units.join(centre, by).withColumn("near", dot(F.col("unit"), F.col("centroid")) >= inlier)
     counts = scored.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("near").alias("n_inliers"))
