@@ -24,8 +24,6 @@ WINDOW = 1 << 20
 BLOCK = 128
 #: Shingles of all documents of such a block, about; a longer document is a block of its own.
 BLOCK_SHINGLES = 1 << 19
-#: A bucket with more blocks is split by rare shingles before its members meet, at most LEVELS times over.
-MOST_BLOCKS, LEVELS = 16, 3
 _RANDOM = np.random.default_rng(0xC0FFEE)
 _BYTE_CODE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -172,11 +170,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The smallest member of every bucket, its head, meets all others, so that
     copies, however many, cost one pair each. Where the others still span
-    components they meet each other, in blocks; a bucket of more than
-    MOST_BLOCKS blocks is first split into buckets of documents that share one
-    of their rare shingles (``_by_rare_shingles``), which go the same way. That
-    loses no link, and leaves documents apart that share a passage but too
-    little else. Buckets with the same members are taken once.
+    components they meet each other, in blocks, but for those of the bucket's
+    largest component among themselves. So a bucket costs its size times the
+    number of members outside of that component. Buckets with the same members
+    are taken once.
     """
     sig = stored(signatures(docs, id_col, text_col, words, bands, rows))
     filled = sig.filter("set_hash is not null").select("id", "n_shingles", "set_hash")
@@ -187,23 +184,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     texts = stored(texts.join(left.select("id").distinct(), "id", "left_semi"))
 
-    component = connected_components(stored(_met_by_heads(left, None, texts, words, percent)))
-    for level in range(LEVELS + 1):
-        buckets, left = left, _spanning(left, component)
-        drop_stored(buckets)
-        if left.isEmpty():
-            break
-        by_blocks = (F.col("blocks") <= MOST_BLOCKS) | F.lit(level == LEVELS)
-        links = stored(_met_in_blocks(left.filter(by_blocks), texts, words, percent))
-        large = left.filter(~by_blocks)
-        is_more = not large.isEmpty()
-        if is_more:
-            spanning, left = left, _by_rare_shingles(large, texts, words, percent)
-            drop_stored(spanning)
-            links = links.unionByName(_met_by_heads(left, component, texts, words, percent))
-        component = connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
-        if not is_more:
-            break
+    component = connected_components(stored(_met_by_heads(left, texts, words, percent)))
+    buckets, left = left, _spanning(left, component)
+    drop_stored(buckets)
+    if not left.isEmpty():
+        more = stored(_met_in_blocks(left, texts, words, percent))
+        component = connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     drop_stored(left, texts)
 
     out = filled.join(classes, "set_hash").select("id", "n_shingles", "rep")
@@ -218,73 +204,30 @@ def _heads(rows: DataFrame) -> DataFrame:
     return stored(heads.select("bucket", F.col("h.id").alias("a"), F.col("h.n").alias("lead_n")))
 
 
-def _with_component(rows: DataFrame, component: DataFrame) -> DataFrame:
-    return rows.join(component.select("id", F.col("component").alias("c")), "id", "left").withColumn("component", F.coalesce("c", "id")).drop("c")
-
-
-def _met_by_heads(rows: DataFrame, component: DataFrame | None, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): links between the head of every bucket and the others, from rows (bucket, id, n); none inside a component."""
+def _met_by_heads(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links between the head of every bucket and the others, from rows (bucket, id, n)."""
     fits = F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent
-    pairs = rows.join(_heads(rows), "bucket").filter(fits & (F.col("id") != F.col("a"))).select("a", "id").distinct()
-    if component is not None:
-        pairs = _with_component(pairs, component).join(component.select(F.col("id").alias("a"), F.col("component").alias("c")), "a", "left")
-        pairs = pairs.filter(F.col("component") != F.coalesce("c", "a"))
-    return _verified(pairs.select("a", F.col("id").alias("b")), texts, words, percent)
+    pairs = rows.withColumnRenamed("id", "b").join(_heads(rows), "bucket").filter(fits & (F.col("a") != F.col("b")))
+    return _verified(pairs.select("a", "b").distinct(), texts, words, percent)
 
 
 def _spanning(rows: DataFrame, component: DataFrame) -> DataFrame:
-    """(bucket, head, block, blocks, id, n, component), stored: the members, but for the heads, of buckets that span components without them."""
-    left = rows.join(_heads(rows).select("bucket", F.col("a").alias("head")), "bucket").filter("id <> head").select("bucket", "head", "id", "n")
-    left = stored(_with_component(left, component))
-    each = left.groupBy("bucket").agg(
-        F.count("*").alias("k"), F.sum("n").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")
-    )
-    one = each.filter("low < high").groupBy("k", "size", "x", "y").agg(F.min("bucket").alias("bucket"))
-    one = stored(one.select("bucket", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
-    out = stored(left.join(one, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    drop_stored(left, one)
-    return out
-
-
-def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
-    """How many of a set's n elements, the first in any common order, have one in common with those of each similar set.
-
-    The first number is for sets of at least the other's size, the second, smaller one
-    for those of at most the other's size: a similarity p takes an overlap of p times the
-    larger set, and of 2 p / (1 + p) times the smaller one.
-    """
-    return n + (-percent * n // 100) + 1, n + (-2 * percent * n // (100 + percent)) + 1
-
+    """(bucket, block, id, component), stored: the members, but for the heads, of buckets that span components without them.
 
-def _by_rare_shingles(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(bucket, id, n), stored: buckets of documents that share a shingle among the rarest of each, from rows (bucket, head, id, n).
-
-    What the head of a bucket has counts as frequent there, all else as rare.
-    Similar documents of a bucket share one of the first ``prefix_lengths`` of
-    their shingles in that order; a new bucket needs one that has it among the
-    fewer ones, and holds the others only where their sizes go with such a one.
+    Blocks below zero hold members of the bucket's largest component, the others all the rest.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        @lru_cache(maxsize=64)
-        def shingles(text: str) -> np.ndarray:
-            return shingle_set(text, words)
-
-        for batch in batches:
-            for bucket, id_, text, lead in zip(*(batch.column(c) for c in ("bucket", "id", "text", "text_a"))):
-                own = shingle_set(text.as_py(), words)
-                own = own[np.argsort(np.isin(own, shingles(lead.as_py()), assume_unique=True), kind="stable")]
-                longer, shorter = prefix_lengths(len(own), percent)
-                keys = _mix(own[:longer] * _STEP ^ np.uint64(bucket.as_py() & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"bucket": keys, "id": pa.array([id_.as_py()] * len(keys), pa.int64()), "n": pa.array([len(own)] * len(keys), pa.int64()), "first": pa.array(np.arange(len(keys)) < shorter)})
-
-    pairs = rows.select("bucket", "head", "id").join(texts, "id").join(texts.select(F.col("id").alias("head"), F.col("text").alias("text_a")), "head")
-    found = stored(pairs.select("bucket", "id", "text", "text_a").mapInArrow(run, "bucket long, id long, n long, first boolean"))
-    sizes = found.groupBy("bucket").agg(F.count("*").alias("k"), F.min(F.when(F.col("first"), F.col("n"))).alias("low"), F.max(F.when(F.col("first"), F.col("n"))).alias("high"))
-    sizes = stored(sizes.filter("k > 1 and low is not null").drop("k"))
-    goes = F.col("first") | ((F.col("n") >= F.col("low")) & (F.col("n") * percent <= F.col("high") * 100))
-    out = stored(_several(found.join(sizes, "bucket").filter(goes).select("bucket", "id", "n")))
-    drop_stored(found, sizes)
+    left = rows.join(_heads(rows).select("bucket", F.col("a").alias("head")), "bucket").filter("id <> head").select("bucket", "id", "n")
+    left = stored(left.join(component.select("id", F.col("component").alias("c")), "id", "left").select("bucket", "id", "n", F.coalesce("c", "id").alias("component")))
+    parts = left.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    each = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum("size").alias("size"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.max(F.struct("k", "size", "component")).alias("top"))
+    one = each.filter("parts > 1").groupBy("k", "size", "x", "y").agg(F.min(F.struct("bucket", "top")).alias("b"))
+    blocks = lambda k, size: F.ceil(F.greatest(k / BLOCK, size / BLOCK_SHINGLES)).cast("int")
+    top = F.col("b.top")
+    one = stored(one.select("b.bucket", top["component"].alias("top"), blocks(top["k"], top["size"]).alias("inside"), blocks(F.col("k") - top["k"], F.col("size") - top["size"]).alias("outside")))
+    mixed = F.xxhash64("id")
+    block = F.when(F.col("component") == F.col("top"), -1 - F.pmod(mixed, F.col("inside"))).otherwise(F.pmod(mixed, F.col("outside"))).cast("int")
+    out = stored(left.join(one, "bucket").select("bucket", block.alias("block"), "id", "component"))
+    drop_stored(left, one)
     return out
 
 
@@ -317,10 +260,10 @@ def _met_in_blocks(left: DataFrame, texts: DataFrame, words: int, percent: int)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
 
-    blocks = left.select("bucket", "block", "id", "component").join(texts, "id").groupBy("bucket", "block").agg(F.collect_list(F.struct("id", "component", "text")).alias("docs"))
+    blocks = left.join(texts, "id").groupBy("bucket", "block").agg(F.collect_list(F.struct("id", "component", "text")).alias("docs"))
     blocks = stored(blocks)
     names = blocks.select("bucket", "block")
-    pairs = names.withColumnRenamed("block", "block_a").join(names.withColumnRenamed("block", "block_b"), "bucket").filter("block_a <= block_b")
+    pairs = names.withColumnRenamed("block", "block_a").join(names.withColumnRenamed("block", "block_b"), "bucket").filter("block_a <= block_b and block_b >= 0")
     for s in "ab":
         pairs = pairs.join(blocks.select("bucket", F.col("block").alias(f"block_{s}"), F.col("docs").alias(f"docs_{s}")), ["bucket", f"block_{s}"])
     return pairs.select("docs_a", "docs_b").mapInArrow(run, "a long, b long")
