@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 from cutlab.llm.common import text_or_empty
 
 #: Words that a worker remembers in each of two generations.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: Characters that Python splits on but that Unicode does not call white space.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: What the library calls white space.
