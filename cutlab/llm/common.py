@@ -58,6 +58,12 @@ def drop_stored(*frames: DataFrame) -> None:
             hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def few_rows(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """Small rows, stored; sent to all tasks only where they are few, and joined by key beyond that."""
+    rows = stored(rows)
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def linked_heads(near: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows and columns of a matrix of links: the smallest id that each can reach within it."""
     head_a, head_b, top = ids_a.copy(), ids_b.copy(), np.iinfo(np.int64).max
