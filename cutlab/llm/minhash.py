@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import sys
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -11,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutlab.llm.common import drop_stored, linked_heads, stored, text_or_empty
+from cutlab.llm.common import arrow_batches, drop_stored, linked_heads, stored, text_or_empty
 from cutlab.llm.components import connected_components
 
 #: Signature coordinates: BANDS bands of ROWS minima. Two texts of Jaccard similarity 0.75 share no band with probability 1e-4.
@@ -24,6 +26,10 @@ WINDOW = 1 << 20
 BLOCK = 128
 #: Shingles of all documents of such a block, about; a longer document is a block of its own.
 BLOCK_SHINGLES = 1 << 19
+#: Bytes of texts and shingle sets that a task remembers.
+CACHE_BYTES = 16 << 20
+#: Rows that go to a Python worker at once: documents, pairs of documents, pairs of blocks.
+DOCS, PAIRS, BLOCK_PAIRS = 1000, 500, 4
 _RANDOM = np.random.default_rng(0xC0FFEE)
 _BYTE_CODE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -87,6 +93,25 @@ def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(_mix(h))
 
 
+class Recent:
+    """Shingle sets of the texts asked for last, as many as fit into ``most`` bytes; the last one always."""
+
+    def __init__(self, words: int, most: int = CACHE_BYTES) -> None:
+        self.words, self.most, self.bytes = words, most, 0
+        self.sets: OrderedDict[str, np.ndarray] = OrderedDict()
+
+    def __call__(self, text: str) -> np.ndarray:
+        if text in self.sets:
+            self.sets.move_to_end(text)
+            return self.sets[text]
+        found = self.sets[text] = shingle_set(text, self.words)
+        self.bytes += sys.getsizeof(text) + found.nbytes
+        while self.bytes > self.most and len(self.sets) > 1:
+            old, gone = self.sets.popitem(last=False)
+            self.bytes -= sys.getsizeof(old) + gone.nbytes
+        return found
+
+
 def circulant_minima(shingles: np.ndarray, n: int) -> np.ndarray:
     """n MinHash coordinates from two permutations of 32-bit numbers.
 
@@ -140,10 +165,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     """Of the pairs (a, b), those whose whole shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        @lru_cache(maxsize=64)
-        def shingles(text: str) -> np.ndarray:
-            return shingle_set(text, words)
-
+        shingles = Recent(words)
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("text_a"), batch.column("text_b")):
@@ -173,9 +195,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     components they meet each other, in blocks, but for those of the bucket's
     largest component among themselves. So a bucket costs its size times the
     number of members outside of that component. Buckets with the same members
-    are taken once.
+    are taken once. A worker remembers the sets of CACHE_BYTES of texts and gets
+    few rows at a time, so its memory grows with the longest text alone.
     """
-    sig = stored(signatures(docs, id_col, text_col, words, bands, rows))
+    spark = docs.sparkSession
+    with arrow_batches(spark, DOCS):
+        sig = stored(signatures(docs, id_col, text_col, words, bands, rows))
     filled = sig.filter("set_hash is not null").select("id", "n_shingles", "set_hash")
     classes = stored(filled.groupBy("set_hash").agg(F.min("id").alias("rep")))
     reps = sig.join(classes, (sig.set_hash == classes.set_hash) & (sig.id == classes.rep), "left_semi")
@@ -184,11 +209,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     texts = stored(texts.join(left.select("id").distinct(), "id", "left_semi"))
 
-    component = connected_components(stored(_met_by_heads(left, texts, words, percent)))
+    with arrow_batches(spark, PAIRS):
+        met = stored(_met_by_heads(left, texts, words, percent))
+    component = connected_components(met)
     buckets, left = left, _spanning(left, component)
     drop_stored(buckets)
     if not left.isEmpty():
-        more = stored(_met_in_blocks(left, texts, words, percent))
+        with arrow_batches(spark, BLOCK_PAIRS):
+            more = stored(_met_in_blocks(left, texts, words, percent))
         component = connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     drop_stored(left, texts)
 
@@ -240,10 +268,7 @@ def _met_in_blocks(left: DataFrame, texts: DataFrame, words: int, percent: int)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        @lru_cache(maxsize=4 * BLOCK)
-        def shingles(text: str) -> np.ndarray:
-            return shingle_set(text, words)
-
+        shingles = Recent(words)
         for batch in batches:
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for row in range(batch.num_rows):
