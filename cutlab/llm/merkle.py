@@ -24,8 +24,8 @@ from cutlab.llm.common import drop_stored, stored
 ARITY = 3
 #: Levels that one shuffle of ragged nodes finishes; a task's group has some ARITY ** LEVELS nodes at most.
 LEVELS = 8
-#: Rows of a range, about.
-RANGE_ROWS = 100_000
+#: Rows of a range, about: at least so many while there are fewer ranges than shuffle partitions, and at most.
+LEAST_ROWS, MOST_ROWS = 5_000, 100_000
 #: Rows of a batch that a task returns.
 BATCH = 1000
 
@@ -219,10 +219,11 @@ class Forest:
 
     def __init__(self, rows: DataFrame) -> None:
         order = ["g", "k", "digest", "tie"]
-        spark, kinds = rows.sparkSession, dict(rows.dtypes)
+        kinds, partitions = dict(rows.dtypes), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.g, self.k = kinds["g"], kinds["k"]
         rows = stored(rows.withColumn("tie", F.monotonically_increasing_id()))
-        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
+        n = rows.count()
+        ranges = max(1, min(partitions, n // LEAST_ROWS), -(-n // MOST_ROWS))
         self.dealt = stored(rows.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()))
         drop_stored(rows)
         counts = self.dealt.groupBy("g", "part").agg(F.count("*").alias("own"))  # a row a range and group

@@ -50,6 +50,7 @@ def brute_manifest(rows, claim):
 @pytest.mark.parametrize("levels, parts", [(8, 4), (1, 7), (2, 13)])
 def test_manifest_equals_brute_force(spark, monkeypatch, levels, parts):
     monkeypatch.setattr(merkle, "LEVELS", levels)
+    monkeypatch.setattr(merkle, "LEAST_ROWS", 1)
     rng = random.Random(levels)
     rows = [(k, rng.choice(["a", "a", "b", "é", "B", None]), rng.choice(["x\ny", "", None, "z" * 50_000])) for k in range(300)]
     rows += [(900, "lone", "one"), (901, "pair", "1"), (902, "pair", "2"), (903, "", None), (5, "a", "again"), (5, "a", "again"), (None, "a", "no id"), (None, None, None)]
@@ -225,7 +226,7 @@ def test_secrets_equal_plain_searches(spark):
 
 
 def test_secrets_of_the_tables_equal_plain_searches(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     text = {r.doc_id: r.text or "" for r in docs.collect()}
     found = secret_scan.digest(secret_scan.find_secrets(docs)).collect()
     assert len(found) == len(text) and any(r.n_assign for r in found)
