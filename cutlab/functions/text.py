@@ -54,6 +54,11 @@ def frame_number(t: Column, fps: Column) -> Column:
     return F.round(t * fps).cast("long")
 
 
+def nominal_frame(t: Column, fps: Column, total: Column) -> Column:
+    """The frame at a time if all lasted equally long: int(t * fps), at most the last one; below 0 without frames."""
+    return F.least((t * fps).cast("long"), total.cast("long") - 1)
+
+
 def clamp(t: Column, low: Column, high: Column) -> Column:
     return F.least(F.greatest(t, low), high)
 

@@ -135,29 +135,6 @@ def within_shot_cut(curve: DataFrame, threshold: float = 0.35, high: float = 0.4
     return g.select("clip", F.when(fine, F.round("at", digits)).alias("cut"))
 
 
-def label_and_pick(picked: DataFrame, shots: DataFrame, soft: DataFrame, within: DataFrame, low_threshold: DataFrame | None = None, least_shot: float = 0.8) -> DataFrame:
-    """The base decision with its fallbacks: a soft cut where there is none, an earlier one inside the last shot before it, a second detection for single shots.
-
-    A cut inside a shot counts only where that shot is longer than ``least_shot``.
-    """
-    r = picked.join(soft.select("clip", F.col("cut").alias("soft")), "clip", "left")
-    before = F.when(F.col("best") > 0, F.col("best") - 1).when(F.col("cut").isNotNull(), 0)  # the shot before the picked one
-    long = shots.filter(F.col("end") - F.col("start") > least_shot).select("clip", F.col("i").alias("before_"))
-    inner = within.join(long, "clip").select("clip", "before_", F.col("cut").alias("inner"))
-    r = r.withColumn("before_", before).join(inner, ["clip", "before_"], "left")
-    use_soft = F.col("cut").isNull() & F.col("soft").isNotNull()
-    use_inner = F.col("cut").isNotNull() & (F.col("inner") >= F.col("cut") - 2.5) & (F.col("inner") < F.col("cut") - 0.4)
-    cut = F.when(use_soft, F.col("soft")).when(use_inner, F.col("inner")).otherwise(F.col("cut"))
-    method = F.when(use_soft, "creator_to_meme_soft").when(use_inner, "creator_to_meme_softcut").otherwise(F.col("method"))
-    r = r.select("clip", "n", cut.alias("cut"), method.alias("method"))
-    if low_threshold is None:
-        return r
-    low = low_threshold.select("clip", F.col("n").alias("low_n"), F.col("cut").alias("low_cut"), F.col("method").alias("low_method"))
-    r = r.join(low, "clip", "left")
-    again = (F.col("n") == 1) & F.col("cut").isNull() & (F.col("low_n") > 1) & F.col("low_cut").isNotNull()
-    return r.select("clip", "n", F.when(again, F.col("low_cut")).otherwise(F.col("cut")).alias("cut"), F.when(again, F.col("low_method")).otherwise(F.col("method")).alias("method"))
-
-
 def seed_index(curve: DataFrame, firsts: DataFrame) -> DataFrame:
     """(clip, seed): the last position whose time is not after the clip's ``first``, 0 if there is none."""
     r = curve.join(firsts.select("clip", "first"), "clip")

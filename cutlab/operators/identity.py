@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutlab.functions.vectors import dot, doubles, normalise
+from cutlab.functions.text import nominal_frame
+from cutlab.functions.vectors import dot, doubles, normalise, similarity
+from cutlab.operators.series import nearest
 from cutlab.sources.shared import keep
 
 
@@ -54,8 +56,6 @@ def largest_face(faces: DataFrame, *by: str) -> DataFrame:
 
 def shot_medians(shots: DataFrame, curve: DataFrame, samples: int = 3) -> DataFrame:
     """Shots with sim: the median score at ``samples`` times spread evenly over the shot."""
-    from cutlab.operators.series import nearest
-
     k = F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
     p = shots.withColumn("k", k).withColumn("at", F.col("start") + (F.col("end") - F.col("start")) * (F.col("k") + 0.5) / samples)
     near = nearest(p, curve.select("clip", F.col("i").alias("idx"), F.col("t").alias("pts"))).join(curve.select("clip", F.col("i").alias("idx"), F.col("sim").alias("s")), ["clip", "idx"], "left")
@@ -63,29 +63,64 @@ def shot_medians(shots: DataFrame, curve: DataFrame, samples: int = 3) -> DataFr
 
 
 def _mean_direction(vectors: DataFrame, by: list[str], least: int = 1) -> DataFrame:
-    """(by, centroid) of the groups with at least ``least`` vectors."""
-    parts = vectors.select(*by, F.posexplode("unit").alias("pos", "x")).groupBy(*by, "pos").agg(F.avg("x").alias("x"), F.count("*").alias("k"))
-    mean = parts.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"), F.max("k").alias("k"))
-    return mean.filter(F.col("k") >= least).select(*by, normalise(F.col("mean")).alias("centroid"))
+    """(by, centroid) of the groups with at least ``least`` vectors.
+
+    Sums are one aggregation with a sum a component, merged on the way: a task
+    sends one vector a group, however many rows it has.
+    """
+    first = vectors.select(F.size("unit").alias("n")).first()
+    sums = F.array(*[F.sum(F.get("unit", F.lit(i))) for i in range(first.n if first else 0)]).cast("array<double>")
+    mean = vectors.groupBy(*by).agg(sums.alias("total"), F.count("*").alias("k")).filter(F.col("k") >= least)
+    return mean.select(*by, normalise(F.transform("total", lambda x: x / F.col("k"))).alias("centroid"))
+
+
+def _beside(vectors: DataFrame, centres: DataFrame, by: list[str]) -> DataFrame:
+    """Vectors with their group's centroid; without groups there is one row of it."""
+    return vectors.join(centres, by) if by else vectors.crossJoin(F.broadcast(centres))
 
 
 def trimmed_centroid(vectors: DataFrame, by: list[str], vector_col: str = "embedding", inlier: float = 0.35, least: int = 5, passes: int = 4) -> DataFrame:
     """(by, centroid, n, n_inliers, coverage): the mean direction, trimmed to its inliers again and again.
 
     A pass that leaves fewer than ``least`` inliers keeps the centroid of the
-    pass before it. No vector gives no row. Means are summed position by
-    position, so a group of any size works. Unit vectors and the centroids of
-    each pass (one row a group) are kept, so that passes add up.
+    pass before it. No vector gives no row. Unit vectors and the centroids of
+    each pass (one row a group) are kept, so that passes add up. Without ``by``
+    all rows are one group.
     """
     units = keep(vectors.select(*by, normalise(doubles(F.col(vector_col))).alias("unit")))
     centre = keep(_mean_direction(units, by))
     for _ in range(passes):
-        near = units.join(centre, by).filter(dot(F.col("unit"), F.col("centroid")) >= inlier)
+        near = _beside(units, centre, by).filter(dot(F.col("unit"), F.col("centroid")) >= inlier)
         trimmed = _mean_direction(near, by, least).withColumnRenamed("centroid", "trimmed")
-        centre = keep(centre.join(trimmed, by, "left").select(*by, F.coalesce("trimmed", "centroid").alias("centroid")))
-    scored = units.join(centre, by).withColumn("near", dot(F.col("unit"), F.col("centroid")) >= inlier)
+        both = centre.join(trimmed, by, "left") if by else centre.join(trimmed, F.lit(True), "left")
+        centre = keep(both.select(*by, F.coalesce("trimmed", "centroid").alias("centroid")))
+    scored = _beside(units, centre, by).withColumn("near", dot(F.col("unit"), F.col("centroid")) >= inlier)
     counts = scored.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("near").alias("n_inliers"))
-    return centre.join(counts, by).withColumn("coverage", F.col("n_inliers") / F.col("n"))
+    return _beside(counts, centre, by).select(*by, "centroid", "n", "n_inliers", (F.col("n_inliers") / F.col("n")).alias("coverage"))
+
+
+def area(bbox: Column) -> Column:
+    side = lambda a, b: F.get(bbox, F.lit(b)) - F.get(bbox, F.lit(a))
+    return side(0, 2) * side(1, 3)
+
+
+def enrol(faces: DataFrame, clips: DataFrame, at: float = 1.0, **options) -> DataFrame:
+    """One row (centroid, n, n_inliers, coverage): the identity that opens most clips; no row without faces.
+
+    faces: clip, idx, face_no, bbox, embedding; clips: clip, fps, total. Of each
+    clip the largest face of the frame at ``at`` seconds counts, the first of
+    equals; clips without one are left out.
+    """
+    frame = clips.select("clip", nominal_frame(F.lit(at), F.col("fps"), F.col("total")).alias("idx"))
+    seen = faces.join(frame, ["clip", "idx"]).withColumn("area", area(F.col("bbox")))
+    largest = largest_face(seen, "clip").select("clip", "face_no")
+    return trimmed_centroid(seen.join(largest, ["clip", "face_no"]).select("embedding"), [], **options)
+
+
+def frame_scores(faces: DataFrame, identity: DataFrame) -> DataFrame:
+    """(clip, idx, sim): the highest similarity of each frame's faces to the one row of ``identity``, at least 0; frames without faces have no row."""
+    seen = faces.crossJoin(F.broadcast(identity.select("centroid")))
+    return seen.groupBy("clip", "idx").agg(F.max(similarity(F.col("embedding"), F.col("centroid"))).alias("sim"))
 
 
 def rank_within(rows: DataFrame, by: list[str], *order) -> DataFrame:

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cutlab.functions import text as X
 from cutlab.functions.vectors import doubles, dot, norm, normalise, similarity
-from cutlab.operators import decode, identity, match, place, report, series, truth
+from cutlab.operators import decode, identity, match, place, relabel, report, series, truth
 from cutlab.plans.sweep import PENALTIES, THRESHOLDS, sweep
 from cutlab.sources import documents
 from cutlab.sources.shared import keep
@@ -219,10 +219,36 @@ def _centroid_sql(passes: int, inlier: float) -> str:
 
 
 @query(_centroid_sql(4, 0.1) + """ SELECT CAST(label AS BIGINT) AS label, CAST(count(*) AS BIGINT) AS n, CAST(count(CASE WHEN list_dot_product(unit, c) >= 0.1 THEN 1 END) AS BIGINT) AS n_inliers,
-    round(count(CASE WHEN list_dot_product(unit, c) >= 0.1 THEN 1 END) / count(*), 6) AS coverage, round(any_value(c)[1], 6) AS c_first FROM u JOIN c4 USING (label) GROUP BY label""")
+    round(count(CASE WHEN list_dot_product(unit, c) >= 0.1 THEN 1 END) / count(*), 6) AS coverage, array_to_string([printf('%.6f', round(x, 6) + 0.0) for x in any_value(c)], ',') AS centroid FROM u JOIN c4 USING (label) GROUP BY label""")
 def trimmed_centroid(spark, d):
     c = identity.trimmed_centroid(table(spark, d, "embeddings"), ["label"], inlier=0.1)
-    return c.select("label", "n", "n_inliers", F.round("coverage", 6).alias("coverage"), F.round(F.get("centroid", F.lit(0)), 6).alias("c_first"))
+    return c.select("label", "n", "n_inliers", F.round("coverage", 6).alias("coverage"), numbers(F.col("centroid")).alias("centroid"))
+
+
+def numbers(xs) -> Column:
+    """All components as text, with six digits each."""
+    return F.concat_ws(",", F.transform(xs, lambda x: F.format_string("%.6f", F.round(x, 6) + 0.0)))
+
+
+ENROLLED = """fc AS (SELECT vec_id // 4 AS clip, vec_id % 2 AS idx, vec_id AS face_no, 10.0::DOUBLE + vec_id % 7 AS side, embedding FROM embeddings WHERE vec_id % 9 <> 0),
+    op AS (SELECT clip, face_no, embedding FROM (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY side * side DESC, face_no) AS rn FROM fc WHERE idx = CASE WHEN clip % 3 = 0 THEN 0 ELSE 1 END) WHERE rn = 1),
+    u AS (SELECT 0 AS label, face_no AS vec_id, [x / sqrt(list_sum([CAST(y AS DOUBLE) * y for y in embedding])) for x in CAST(embedding AS DOUBLE[])] AS unit FROM op)"""
+
+
+@query(_centroid_sql(4, 0.1).replace(UNITS, ENROLLED) + """, e AS (SELECT count(*) AS n, count(CASE WHEN list_dot_product(unit, c) >= 0.1 THEN 1 END) AS n_inliers, any_value(c) AS c FROM u, c4),
+    s AS (SELECT clip, idx, max(list_dot_product([CAST(x AS DOUBLE) for x in embedding], c) / sqrt(list_sum([CAST(y AS DOUBLE) * y for y in embedding]))) AS sim FROM fc, e GROUP BY clip, idx)
+    SELECT clip, idx, round(greatest(0.0, sim), 6) AS sim, n, n_inliers FROM s, e""")
+def enrolled_scores(spark, d):
+    """The identity of the largest faces one second into each clip, and how like it each frame's faces are; a clip is four vectors."""
+    v = F.col("vec_id")
+    rows = table(spark, d, "embeddings").withColumn("clip", F.expr("vec_id div 4"))
+    side = (v % 7 + 10).cast("double")
+    faces = rows.filter("vec_id % 9 <> 0").select("clip", (v % 2).alias("idx"), v.alias("face_no"), F.array(F.lit(0.0), F.lit(0.0), side, side).alias("bbox"), "embedding")
+    # Of some clips the last frame lies before that second.
+    clips = rows.select("clip").distinct().select("clip", F.lit(1.0).alias("fps"), F.when(F.col("clip") % 3 == 0, 1).otherwise(2).alias("total"))
+    one = keep(identity.enrol(faces, clips, inlier=0.1))
+    scores = identity.frame_scores(faces, one).crossJoin(F.broadcast(one.select("n", "n_inliers")))
+    return scores.select("clip", "idx", F.round("sim", 6).alias("sim"), "n", "n_inliers")
 
 
 @query(f"""WITH {UNITS}, p AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(unit) AS x, unnest(range(1, len(unit) + 1)) AS pos FROM u) GROUP BY label, pos),
@@ -700,34 +726,92 @@ def first_flips(spark, d):
     return f.select("pos", F.round("old", 6).alias("old_cut"), F.round("new", 6).alias("new_cut"))
 
 
-def few_shots(s: DataFrame) -> DataFrame:
-    return s.filter("i <= clip % 4").withColumn("end", F.col("start") + F.when(F.col("clip") % 6 == 0, F.lit(0.5)).otherwise(F.lit(2.5)))
+#: Frames a second of the clips of the second stage, which have a frame an event.
+FPS = 3.0
+
+
+def split_sql(source: str, name: str) -> str:
+    """The best split of each clip of source (clip, i, flag)."""
+    return f"""{name}_0 AS (SELECT *, sum(CASE WHEN flag THEN 1 ELSE -1 END) OVER (PARTITION BY clip ORDER BY i ROWS UNBOUNDED PRECEDING) AS s, row_number() OVER (PARTITION BY clip ORDER BY i) AS pos FROM {source}),
+    {name}_1 AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY s DESC, pos) AS rn, count(*) OVER (PARTITION BY clip) AS n FROM {name}_0),
+    {name} AS (SELECT clip, n, CAST(CASE WHEN s <= 0 THEN 0 ELSE pos END AS BIGINT) AS best FROM {name}_1 WHERE rn = 1)"""
+
+
+def scan_sql(spans: str, name: str, rate: float, least: int, flag: float) -> str:
+    """Scores at the centres of equal bins of spans (clip, a, b), and their best split."""
+    return f"""{name}_n AS (SELECT *, greatest({least}, CAST(trunc((b - a) * {rate}::DOUBLE) AS BIGINT)) AS bins FROM {spans}),
+    {name}_t AS (SELECT clip, k AS i, bins, a + (b - a) * (k + 0.5::DOUBLE) / bins AS t FROM {name}_n, unnest(range(bins)) u(k)),
+    {name}_s AS (SELECT q.clip, q.i, q.t, bins, coalesce(sim, 0.0) AS sim, coalesce(sim, 0.0) >= {flag} AS flag FROM {name}_t q JOIN total_ USING (clip)
+        LEFT JOIN score_ c ON c.clip = q.clip AND c.idx = least(CAST(trunc(q.t * {FPS}::DOUBLE) AS BIGINT), total - 1)),
+    {split_sql(f"{name}_s", f"{name}_b")},
+    {name} AS (SELECT s.*, best, greatest(2, bins // 5) AS lead_ FROM {name}_s s JOIN {name}_b USING (clip))"""
+
+
+def stage_sql(t: str, shots: str) -> str:
+    """Decisions {t} (clip, n, cut, method) and scores {t}_l (clip, i, start_, sim) of shots (clip, i, start_, end_)."""
+    near = "inner_ >= cut - 2.5 AND inner_ < cut - 0.4"
+    return f"""{t}_l AS (SELECT clip, i, any_value(start_) AS start_, any_value(end_) AS end_, median(sim) AS sim, median(sim) >= 0.35 AS flag FROM (
+        SELECT s.clip, s.i, start_, end_, coalesce(sim, 0.0) AS sim FROM {shots} s JOIN total_ USING (clip), unnest(range(3)) u(k)
+        LEFT JOIN score_ c ON c.clip = s.clip AND c.idx = least(CAST(trunc((start_ + (end_ - start_) * (k + 0.5::DOUBLE) / 3) * {FPS}::DOUBLE) AS BIGINT), total - 1)) GROUP BY clip, i),
+    {split_sql(f"{t}_l", f"{t}_b")},
+    {t}_p AS (SELECT b.clip, n, best, CASE WHEN n = 1 OR best = n OR best = 0 AND top < 0.15 THEN NULL ELSE greatest(best, 1) END AS at_,
+        CASE WHEN (n = 1 OR best = 0) AND top < 0.15 THEN 'all_meme_no_creator' WHEN n = 1 THEN 'single_shot_creator' WHEN best = n THEN 'all_creator_no_transition' WHEN best = 0 THEN 'creator_to_meme_prior' ELSE 'creator_to_meme' END AS method
+        FROM {t}_b b JOIN (SELECT clip, max(sim) AS top FROM {t}_l GROUP BY clip) USING (clip)),
+    {t}_q AS MATERIALIZED (SELECT p.*, l.start_ AS cut FROM {t}_p p LEFT JOIN {t}_l l ON l.clip = p.clip AND l.i = at_),
+    {scan_sql(f"(SELECT clip, 0.0::DOUBLE AS a, total / {FPS}::DOUBLE AS b FROM {t}_q JOIN total_ USING (clip) WHERE cut IS NULL)", f"{t}_w", 4.0, 2, 0.35)},
+    {t}_soft AS (SELECT clip, CASE WHEN count(*) FILTER (WHERE i < lead_ AND flag) >= 0.7 * any_value(lead_) AND any_value(best) > 0 AND any_value(best) < any_value(bins)
+        AND max(t) - max(t) FILTER (WHERE i = best) >= 1.0 AND avg(CASE WHEN flag THEN 0.0 ELSE 1.0 END) FILTER (WHERE i >= best) >= 0.8 THEN round(max(t) FILTER (WHERE i = best), 3) END AS soft FROM {t}_w GROUP BY clip),
+    {scan_sql(f"(SELECT l.clip, start_ AS a, end_ AS b FROM {t}_q q JOIN {t}_l l ON l.clip = q.clip AND l.i = at_ - 1 WHERE end_ - start_ > 0.8)", f"{t}_v", 6.0, 3, 0.45)},
+    {t}_in AS (SELECT clip, CASE WHEN avg(sim) FILTER (WHERE i < lead_) >= 0.55 AND any_value(best) > 0 AND any_value(best) < any_value(bins) AND avg(CASE WHEN flag THEN 0.0 ELSE 1.0 END) FILTER (WHERE i >= best) >= 0.6
+        AND median(sim) FILTER (WHERE i >= best) < 0.35 THEN round(max(t) FILTER (WHERE i = best), 3) END AS inner_ FROM {t}_v GROUP BY clip),
+    {t} AS MATERIALIZED (SELECT clip, n, CASE WHEN cut IS NULL THEN soft WHEN {near} THEN inner_ ELSE cut END AS cut,
+        CASE WHEN cut IS NULL AND soft IS NOT NULL THEN 'creator_to_meme_soft' WHEN {near} THEN 'creator_to_meme_softcut' ELSE method END AS method
+        FROM {t}_q LEFT JOIN {t}_soft USING (clip) LEFT JOIN {t}_in USING (clip))"""
+
+
+def _shots_sql(name: str, mark: str) -> str:
+    starts = f"SELECT clip, 0.0::DOUBLE AS start_ FROM total_ UNION SELECT clip, i / {FPS}::DOUBLE FROM curve WHERE {mark}"
+    return f"{name} AS (SELECT clip, row_number() OVER w - 1 AS i, start_, coalesce(lead(start_) OVER w, total / {FPS}::DOUBLE) AS end_ FROM ({starts}) JOIN total_ USING (clip) WINDOW w AS (PARTITION BY clip ORDER BY start_))"
+
+
+STAGE = f"""{CURVE}, total_ AS (SELECT clip, count(*) AS total FROM curve GROUP BY clip),
+    score_ AS MATERIALIZED (SELECT c.clip, i AS idx, CASE WHEN c.clip % 4 <> 0 THEN sim WHEN i < total // 2 THEN sim * 0.4::DOUBLE + 0.6::DOUBLE ELSE sim * 0.3::DOUBLE END AS sim FROM curve c JOIN total_ USING (clip) WHERE event_type <> 'view'),
+    {_shots_sql("shot_1", "event_type = 'purchase' AND clip % 3 <> 0")}, {_shots_sql("shot_2", "event_type = 'signup' AND clip % 2 = 0")},
+    {stage_sql("one", "shot_1")}, {stage_sql("two", "(SELECT s.* FROM shot_2 s JOIN one o USING (clip) WHERE o.n = 1 AND o.cut IS NULL)")},
+    decided AS (SELECT * FROM one WHERE clip NOT IN (SELECT clip FROM two WHERE n > 1) UNION ALL SELECT * FROM two WHERE n > 1),
+    labelled AS (SELECT l.*, CASE WHEN CASE method WHEN 'creator_to_meme_prior' THEN start_ < cut - 1e-6 WHEN 'single_shot_creator' THEN true WHEN 'all_creator_no_transition' THEN true ELSE flag END THEN 'person' ELSE 'meme' END AS label
+        FROM (SELECT * FROM one_l WHERE clip NOT IN (SELECT clip FROM two WHERE n > 1) UNION ALL SELECT * FROM two_l WHERE clip IN (SELECT clip FROM two WHERE n > 1)) l JOIN decided USING (clip))"""
+
+
+def stage_inputs(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(shots, clips, scores, shots of a second detection): a frame an event, purchases and signups as shot boundaries."""
+    c = keep(curve(spark, d))
+    clips = c.groupBy("clip").agg(F.count("*").alias("total")).withColumn("fps", F.lit(FPS))
+    early = F.col("i") < F.expr("total div 2")
+    sim = F.when(F.col("clip") % 4 != 0, F.col("sim")).when(early, F.col("sim") * 0.4 + 0.6).otherwise(F.col("sim") * 0.3)
+    scores = c.filter("event_type <> 'view'").join(clips, "clip").select("clip", F.col("i").alias("idx"), sim.alias("sim"))
 
+    def shots_at(marks: DataFrame) -> DataFrame:
+        starts = clips.select("clip", F.lit(0.0).alias("start")).union(marks.select("clip", F.col("i") / FPS)).distinct().join(clips, "clip")
+        w = Window.partitionBy("clip").orderBy("start")
+        return starts.select("clip", (F.row_number().over(w) - 1).alias("i"), "start", F.coalesce(F.lead("start").over(w), F.col("total") / FPS).alias("end"))
 
-FEW = PICK.replace("FROM conversations)", "FROM conversations WHERE turn <= conv_id % 4)")
+    return shots_at(c.filter("event_type = 'purchase' and clip % 3 <> 0")), clips, scores, shots_at(c.filter("event_type = 'signup' and clip % 2 = 0"))
 
 
-def _low(sql: str) -> str:
-    """The same shots, found and scored a second time."""
-    sql = sql.replace("(length(text) % 100) / 100.0::DOUBLE", "(length(text) % 70) / 80.0::DOUBLE").replace("turn <= conv_id % 4", "turn <= conv_id % 4 + conv_id % 2")
-    for name in ("sh", "fl", "sp0", "sp1", "split", "top", "picked"):
-        sql = sql.replace(f"{name} AS (", f"{name}_2 AS (").replace(f"FROM {name}", f"FROM {name}_2").replace(f"JOIN {name} ", f"JOIN {name}_2 ").replace(f"{name}.", f"{name}_2.")
-    return sql
+@query(f"WITH {STAGE} SELECT clip, n, round(cut, 3) AS cut, method FROM decided")
+def base_decisions(spark, d):
+    """The second stage: the pick, a gradual cut where there is none, one inside the shot before it, and a second detection of single shots."""
+    shots_1, clips, scores, shots_2 = stage_inputs(spark, d)
+    return relabel.relabel(shots_1, clips, scores, shots_2)[1]
 
 
-@query(f"""WITH {FEW}, {_low(FEW)}, j AS (SELECT p.clip, p.n, p.best, p.cut, p.method, CASE WHEN p.clip % 3 = 0 THEN 4.0::DOUBLE END AS soft, CASE WHEN p.clip % 6 <> 0 THEN p.cut - p.clip % 4 END AS inner_ FROM picked p),
-    k AS (SELECT clip, n, CASE WHEN cut IS NULL AND soft IS NOT NULL THEN soft WHEN cut IS NOT NULL AND inner_ >= cut - 2.5 AND inner_ < cut - 0.4 THEN inner_ ELSE cut END AS cut,
-        CASE WHEN cut IS NULL AND soft IS NOT NULL THEN 'creator_to_meme_soft' WHEN cut IS NOT NULL AND inner_ >= cut - 2.5 AND inner_ < cut - 0.4 THEN 'creator_to_meme_softcut' ELSE method END AS method FROM j)
-    SELECT k.clip, k.n, CASE WHEN again THEN l.cut ELSE k.cut END AS cut, CASE WHEN again THEN l.method ELSE k.method END AS method
-    FROM (SELECT k.*, k.n = 1 AND k.cut IS NULL AND coalesce(q.n > 1 AND q.cut IS NOT NULL, false) AS again FROM k LEFT JOIN picked_2 q USING (clip)) k LEFT JOIN picked_2 l ON l.clip = k.clip""")
-def base_decisions(spark, d):
-    """The base pick with a soft cut, a cut inside the last shot before it, and a second detection for single shots."""
-    s = few_shots(shots(spark, d))
-    picked = decode.pick(s)
-    soft = picked.select("clip", F.when(F.col("clip") % 3 == 0, F.lit(4.0)).alias("cut"))
-    within = picked.select("clip", (F.col("cut") - F.col("clip") % 4).alias("cut"))
-    again = table(spark, d, "conversations").filter("turn <= conv_id % 4 + conv_id % 2").select(F.col("conv_id").alias("clip"), F.col("turn").cast("int").alias("i"), (F.col("turn") * 2.5).cast("double").alias("start"), ((F.length("text") % 70) / 80.0).alias("sim"))
-    return decode.label_and_pick(picked, s, soft, within, decode.pick(again))
+@query(f"WITH {STAGE} SELECT clip, i, round(start_, 6) AS start, round(sim, 6) AS sim, label FROM labelled")
+def relabelled_shots(spark, d):
+    """The shots that the second stage settles on, with their labels."""
+    shots_1, clips, scores, shots_2 = stage_inputs(spark, d)
+    s = relabel.relabel(shots_1, clips, scores, shots_2)[0]
+    return s.select("clip", "i", F.round("start", 6).alias("start"), F.round("sim", 6).alias("sim"), "label")
 
 
 @query(f"""WITH {CURVE}, n AS (SELECT clip, dur, rate, greatest(2, CAST(trunc(dur * rate) AS BIGINT)) AS n FROM dur, (VALUES (0.05::DOUBLE), (0.08::DOUBLE)) v(rate)),

@@ -168,14 +168,6 @@ def test_evaluation_rules(spark):
     assert rule("none") == {"a": a, "b": ([], "missed", False), "c": ([], "correct_none", True), "d": ([], "missed", False)}
 
 
-def test_label_and_pick_wants_a_long_shot(spark):
-    shots = spark.createDataFrame([(c, i, 2.0 * i, 2.0 * i + (0.8 if c == "short" else 2.0), s) for c in ("short", "long", "soft", "one") for i, s in enumerate([0.9] if c == "one" else [0.9, 0.9, 0.0] if c != "soft" else [0.9, 0.9])], "clip string, i int, start double, end double, sim double")
-    cuts = lambda *rows: spark.createDataFrame(list(rows), "clip string, cut double")
-    low = spark.createDataFrame([("one", 2, 1, 0.7, "creator_to_meme")], "clip string, n int, best int, cut double, method string")
-    got = decode.label_and_pick(decode.pick(shots), shots, cuts(("soft", 3.3), ("long", 1.0)), cuts(("short", 3.0), ("long", 3.0)), low)
-    assert {r.clip: (r.cut, r.method) for r in got.collect()} == {"short": (4.0, "creator_to_meme"), "long": (3.0, "creator_to_meme_softcut"), "soft": (3.3, "creator_to_meme_soft"), "one": (0.7, "creator_to_meme")}
-
-
 def test_command_line(spark, tmp_path, capsys):
     from cutlab import cli
 
