@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutlab.operators.series import by_clip, next_seen
+from cutlab.operators.scan import folded
+from cutlab.operators.series import by_clip
 
 PERSON, MEME = 0, 1
 _FORCED = 1e9
@@ -17,7 +18,7 @@ def _between(x: Column, limit: Column) -> Column:
     return F.greatest(F.least(x, limit), -limit)
 
 
-def viterbi_states(curve: DataFrame, threshold: float | Column = 0.32, penalty: float | Column = 1.0, seeds: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def viterbi_states(curve: DataFrame, threshold: float | Column = 0.32, penalty: float | Column = 1.0, seeds: DataFrame | None = None, block: int = BLOCK, long: bool = False) -> DataFrame:
     """Adds state: 0 where the curve is above the threshold, 1 below, with ``penalty`` for each switch.
 
     All samples up to the clip's seed (default 0) are state 0; ties favour
@@ -31,6 +32,7 @@ def viterbi_states(curve: DataFrame, threshold: float | Column = 0.32, penalty:
     block does to D is a shift between two limits, and so is what blocks in a
     row do; a clip gives one such map a block, from which each block's first D
     follows. Rows of one block fold side by side with those of the others.
+    ``long`` spreads what looks ahead over tasks too (see ``scan``).
     """
     limit, level = (x if isinstance(x, Column) else F.lit(float(x)) for x in (penalty, threshold))
     rows = curve.groupBy("clip", F.expr(f"cast(i div {block} as long)").alias("block")).agg(F.array_sort(F.collect_list(F.struct("i", "t", "sim"))).alias("s"))
@@ -63,18 +65,20 @@ def viterbi_states(curve: DataFrame, threshold: float | Column = 0.32, penalty:
     start = F.struct(F.col("first").alias("d"), F.array().cast("array<double>").alias("all"))
     rows = rows.withColumn("lead", F.aggregate("s", start, step, lambda done: done["all"])).select("clip", "limit", F.explode(F.arrays_zip("s", "lead")).alias("x"))
     rows = rows.select("clip", "limit", "x.s.i", "x.s.t", "x.s.sim", F.col("x.lead").alias("lead"))
-    last = F.lead("i").over(by_clip().orderBy("i")).isNull()
+    rows = folded(rows, ["i"], {"next_i": ("lead", "i")}, long)
+    last = F.col("next_i").isNull()
     sure = F.when(F.col("lead") > F.col("limit"), PERSON).when(F.col("lead") < -F.col("limit"), MEME).when(last & (F.col("lead") >= 0), PERSON).when(last, MEME)
-    return rows.withColumn("sure", sure).select("clip", "i", "t", "sim", next_seen("sure", "i").alias("state"))
+    rows = folded(rows.withColumn("sure", sure), ["i"], {"state": ("next", "sure")}, long)
+    return rows.select("clip", "i", "t", "sim", "state")
 
 
-def best_split(rows: DataFrame, flag: str = "flag") -> DataFrame:
+def best_split(rows: DataFrame, flag: str = "flag", long: bool = False) -> DataFrame:
     """(clip, n, best): the index 0..n with the most true flags before it and false ones after it, the first of equals."""
-    order = by_clip().orderBy("i")
     value = F.when(F.col(flag), 1).otherwise(-1)
-    rows = rows.withColumn("sum", F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    top = rows.withColumn("pos", F.row_number().over(order)).groupBy("clip").agg(F.count("*").alias("n"), F.max(F.struct("sum", -F.col("pos"))).alias("top"))
-    return top.select("clip", "n", F.when(F.col("top.sum") <= 0, 0).otherwise(-F.col("top.col2")).cast("int").alias("best"))
+    rows = rows.select("clip", "i", value.alias("gain"), F.lit(1).alias("one"))
+    rows = folded(rows, ["i"], {"sum": ("sum", "gain"), "pos": ("sum", "one")}, long)
+    top = rows.groupBy("clip").agg(F.count("*").alias("n"), F.max(F.struct("sum", (-F.col("pos")).alias("minus"))).alias("top"))
+    return top.select("clip", "n", F.when(F.col("top.sum") <= 0, 0).otherwise(-F.col("top.minus")).cast("int").alias("best"))
 
 
 def pick(shots: DataFrame, threshold: float = 0.35, evidence_floor: float = 0.15) -> DataFrame:

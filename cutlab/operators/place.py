@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cutlab.functions.text import bar, pattern
 from cutlab.operators.decode import seed_index, viterbi_states
-from cutlab.operators.series import interval_median, last_seen, nearest, next_seen, run_segments, runs
+from cutlab.operators.scan import folded
+from cutlab.operators.series import inside, interval_median, nearest, run_segments, runs
 from cutlab.sources.shared import keep
 
 
@@ -29,7 +30,7 @@ class Config:
     hard_step: float = 34.0
 
 
-def fade_times(boundaries: DataFrame, luma: DataFrame, curve: DataFrame, threshold: float = 0.35, dark: float = 48.0, bright: float = 212.0, hard_step: float = 34.0, back: float = 0.3, forward: float = 0.5) -> DataFrame:
+def fade_times(boundaries: DataFrame, luma: DataFrame, curve: DataFrame, threshold: float = 0.35, dark: float = 48.0, bright: float = 212.0, hard_step: float = 34.0, back: float = 0.3, forward: float = 0.5, long: bool = False) -> DataFrame:
     """(clip, b, fade): where a fade bottoms out (or tops out) around each boundary b, else null.
 
     Luma samples in [b - back, b + forward] count: at least three, none more than
@@ -37,10 +38,12 @@ def fade_times(boundaries: DataFrame, luma: DataFrame, curve: DataFrame, thresho
     ``threshold`` the darkest gives the time if it is dark, else the brightest if
     it is bright; the first of equals.
     """
-    near = nearest(luma.select("clip", "i", F.col("t").alias("at"), "luma"), curve.select("clip", F.col("i").alias("idx"), F.col("t").alias("pts")))
+    near = nearest(luma.select("clip", "i", F.col("t").alias("at"), "luma"), curve.select("clip", F.col("i").alias("idx"), F.col("t").alias("pts")), long)
     scored = near.join(curve.select("clip", F.col("i").alias("idx"), "sim"), ["clip", "idx"], "left")
-    c = scored.select(F.col("clip").alias("c"), F.col("i").alias("li"), F.col("at").alias("lt"), "luma", "sim")
-    w = boundaries.select("clip", "b").join(c, (F.col("clip") == F.col("c")) & (F.col("lt") >= F.col("b") - back) & (F.col("lt") <= F.col("b") + forward))
+    spans = boundaries.select("clip", "b").distinct().withColumn("a", F.col("b") - back)
+    ends = spans.select("clip", F.col("b").alias("at_"), "a", (F.col("b") + forward).alias("b"))
+    c = scored.select("clip", F.col("at").alias("t"), F.col("i").alias("li"), "luma", "sim")
+    w = inside(ends, c, closed=True, long=long).join(ends, ["clip", "a", "b"]).select("clip", F.col("at_").alias("b"), F.col("t").alias("lt"), "li", "luma", "sim")
     jump = F.abs(F.lead("luma").over(Window.partitionBy("clip", "b").orderBy("li")) - F.col("luma"))
     w = w.withColumn("jump", jump).withColumn("low", F.col("sim") < threshold)
     g = w.groupBy("clip", "b").agg(
@@ -51,7 +54,7 @@ def fade_times(boundaries: DataFrame, luma: DataFrame, curve: DataFrame, thresho
     return g.select("clip", "b", F.when((F.col("n") >= 3) & (F.col("jump") <= hard_step), at).alias("fade"))
 
 
-def snap_times(boundaries: DataFrame, cuts: DataFrame, window: float = 0.35, back: float = 0.8, forward: float = 0.3) -> DataFrame:
+def snap_times(boundaries: DataFrame, cuts: DataFrame, window: float = 0.35, back: float = 0.8, forward: float = 0.3, long: bool = False) -> DataFrame:
     """(clip, b, near_cut, return_cut) for boundaries (clip, b) against hard cuts (clip, t).
 
     near_cut is the nearest cut at most ``window`` away; return_cut the nearest
@@ -60,7 +63,7 @@ def snap_times(boundaries: DataFrame, cuts: DataFrame, window: float = 0.35, bac
     """
     c = cuts.select("clip", F.col("t").alias("b"), F.col("t").alias("cut"), F.lit(0).alias("is_boundary"))
     both = boundaries.select("clip", "b", F.lit(None).cast("double").alias("cut"), F.lit(1).alias("is_boundary")).unionByName(c)
-    both = both.withColumn("lo", last_seen("cut", "b", "is_boundary")).withColumn("hi", next_seen("cut", "b", "is_boundary"))
+    both = folded(both, ["b", "is_boundary"], {"lo": ("last", "cut"), "hi": ("next", "cut")}, long)
 
     def nearer(lo_ok: Column, hi_ok: Column) -> Column:
         lo, hi = F.when(lo_ok, F.col("lo")), F.when(hi_ok, F.col("hi"))

@@ -5,33 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-def by_clip() -> WindowSpec:
-    return Window.partitionBy("clip")
-
-
-def last_seen(value: str, *order: str) -> Column:
-    """The last value of the clip that is not null, up to this row."""
-    return F.last(value, ignorenulls=True).over(by_clip().orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+from cutlab.operators.scan import folded
+from cutlab.sources.shared import keep
 
 
-def next_seen(value: str, *order: str) -> Column:
-    """The first one from this row on: looked up backwards, since a window that reaches to the end is summed anew for every row."""
-    return F.last(value, ignorenulls=True).over(by_clip().orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0))
+def by_clip() -> WindowSpec:
+    return Window.partitionBy("clip")
 
 
-def nearest(probes: DataFrame, frames: DataFrame) -> DataFrame:
+def nearest(probes: DataFrame, frames: DataFrame, long: bool = False) -> DataFrame:
     """Adds idx and pts of the frame nearest in time to each probe's ``at``; a tie goes to the earlier frame.
 
     One shuffle by clip: probes and frames are sorted together, and every probe
-    looks at the last frame before it and the first one after it. Works for
-    clips of any length; a clip without frames gives nulls. Of frames at one
-    time the one with the lowest idx counts.
+    looks at the last frame before it and the first one after it. ``long`` is
+    for tables in which one clip may hold millions of rows (see ``scan``). A
+    clip without frames gives nulls. Of frames at one time the one with the
+    lowest idx counts.
     """
     f = frames.groupBy("clip", F.col("pts").alias("at")).agg(F.min("idx").alias("idx")).select("clip", "at", F.struct(F.col("at").alias("pts"), "idx").alias("_frame"), F.lit(0).alias("_probe"))
     both = probes.drop("idx", "pts").withColumn("_probe", F.lit(1))
     names = both.columns[:-1]
     both = both.unionByName(f, allowMissingColumns=True)
-    both = both.withColumn("_before", last_seen("_frame", "at", "_probe")).withColumn("_after", next_seen("_frame", "at", "_probe"))
+    both = folded(both, ["at", "_probe"], {"_before": ("last", "_frame"), "_after": ("next", "_frame")}, long)
     before, after = F.col("_before.pts"), F.col("_after.pts")
     earlier = after.isNull() | (before.isNotNull() & (F.col("at") - before <= after - F.col("at")))
     hit = F.when(earlier, F.col("_before")).otherwise(F.col("_after"))
@@ -80,15 +75,16 @@ def true_clock(shots: DataFrame, frames: DataFrame, digits: int = 3) -> DataFram
     )
 
 
-def runs(rows: DataFrame, value: str = "state") -> DataFrame:
+def runs(rows: DataFrame, value: str = "state", long: bool = False) -> DataFrame:
     """(clip, run, value, i0, i1, t0, t1, before, after): maximal stretches of equal values, and the times next to them.
 
-    Nulls equal each other. One sort by clip.
+    Nulls equal each other. One sort by clip; ``long`` as in ``nearest``.
     """
-    order = by_clip().orderBy("i")
-    rows = rows.withColumn("prev_t", F.lag("t").over(order)).withColumn("next_t", F.lead("t").over(order))
-    new = F.when(F.lag("i").over(order).isNotNull() & F.lag(value).over(order).eqNullSafe(F.col(value)), 0).otherwise(1)
-    rows = rows.withColumn("run", F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    rows = rows.select("clip", "i", "t", value).withColumn("_row", F.struct("i", "t", value))
+    rows = folded(rows, ["i"], {"_prev": ("lag", "_row"), "_next": ("lead", "_row")}, long)
+    new = F.when(F.col("_prev").isNotNull() & F.col(f"_prev.{value}").eqNullSafe(F.col(value)), 0).otherwise(1)
+    rows = rows.select("clip", "i", "t", value, new.alias("_new"), F.col("_prev.t").alias("prev_t"), F.col("_next.t").alias("next_t"))
+    rows = folded(rows, ["i"], {"run": ("sum", "_new")}, long).withColumn("run", F.col("run") - 1)
     first, last = F.min(F.struct("i", "t", "prev_t", value)), F.max(F.struct("i", "t", "next_t"))
     out = rows.groupBy("clip", "run").agg(first.alias("f"), last.alias("l"))
     return out.select("clip", "run", F.col(f"f.{value}").alias(value), F.col("f.i").alias("i0"), F.col("l.i").alias("i1"), F.col("f.t").alias("t0"), F.col("l.t").alias("t1"), F.col("f.prev_t").alias("before"), F.col("l.next_t").alias("after"))
@@ -115,8 +111,29 @@ def label_counter(segments: DataFrame) -> DataFrame:
     return segments.withColumn("k", F.row_number().over(Window.partitionBy("clip", "label").orderBy("seg_idx")))
 
 
-def interval_median(segments: DataFrame, curve: DataFrame, digits: int = 3) -> DataFrame:
+def inside(spans: DataFrame, samples: DataFrame, closed: bool = False, long: bool = False) -> DataFrame:
+    """(clip, a, b, and the samples' columns): every span (clip, a, b) with each sample of its clip that lies in it.
+
+    Spans are [a, b), or [a, b] if ``closed``; they may overlap, and empty ones
+    give no row. Ends and samples are sorted together, once: the number of
+    samples before an end is a position, so a span is a range of positions, and
+    its samples follow by an equi-join on (clip, position). Work is linear in
+    samples, spans and pairs that come out; no key holds more rows than that.
+    """
+    spans = spans.select("clip", "a", "b").distinct()
+    edge = lambda side, at, after: spans.select("clip", F.col(at).alias("at_"), F.lit(after).alias("after_"), F.lit(0).alias("is_"), F.struct("a", "b").alias("span_"), F.lit(side).alias("side_"))
+    own = samples.select("clip", F.col("t").alias("at_"), F.lit(1).alias("after_"), F.lit(1).alias("is_"), F.struct(*[c for c in samples.columns if c != "clip"]).alias("row_"))
+    both = own.unionByName(edge("a", "a", 0), allowMissingColumns=True).unionByName(edge("b", "b", 2 if closed else 0), allowMissingColumns=True)
+    # Rows that tie are ends of other spans, or samples at one time: any order of them gives the same ranges.
+    both = keep(folded(both.withColumn("tie_", F.monotonically_increasing_id()), ["at_", "after_", "tie_"], {"n_": ("sum", "is_")}, long))
+    ranges = both.filter("is_ = 0").groupBy("clip", "span_").agg(F.max(F.when(F.col("side_") == "a", F.col("n_"))).alias("low"), F.max(F.when(F.col("side_") == "b", F.col("n_"))).alias("high"))
+    ranges = ranges.filter("low < high").select("clip", "span_", F.explode(F.sequence(F.col("low") + 1, F.col("high"))).alias("n_"))
+    rows = both.filter("is_ = 1").select("clip", "n_", "row_")
+    return ranges.join(rows, ["clip", "n_"]).select("clip", "span_.a", "span_.b", "row_.*")
+
+
+def interval_median(segments: DataFrame, curve: DataFrame, digits: int = 3, long: bool = False) -> DataFrame:
     """Segments with face_sim: the median sim of samples in [start, end), 0 if there is none."""
-    c = curve.select(F.col("clip").alias("c"), "t", "sim")
-    inside = segments.join(c, (segments.clip == c.c) & (c.t >= segments.start) & (c.t < segments.end), "left")
-    return inside.groupBy(*segments.columns).agg(F.coalesce(F.round(F.median("sim"), digits), F.lit(0.0)).alias("face_sim"))
+    pairs = inside(segments.select("clip", F.col("start").alias("a"), F.col("end").alias("b")), curve.select("clip", "t", "sim"), long=long)
+    middle = pairs.groupBy("clip", F.col("a").alias("start"), F.col("b").alias("end")).agg(F.median("sim").alias("middle_"))
+    return segments.join(middle, ["clip", "start", "end"], "left").select(*segments.columns, F.coalesce(F.round("middle_", digits), F.lit(0.0)).alias("face_sim"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cutlab.functions import text as X
 from cutlab.functions.vectors import doubles, dot, norm, normalise, similarity
+from cutlab.operators.scan import folded
 from cutlab.operators import decode, identity, match, place, relabel, report, series, truth
 from cutlab.plans.sweep import PENALTIES, THRESHOLDS, sweep
 from cutlab.sources import documents
@@ -678,6 +679,49 @@ def seed_index(spark, d):
     return decode.seed_index(c, c.filter("event_type = 'purchase'").groupBy("clip").agg(F.min("t").alias("first")))
 
 
+ONE = """one AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY us, event_id) - 1 AS BIGINT) AS i, (us - min(us) OVER ()) / 3.6e9 AS t, least(value, 100.0::DOUBLE) / 100.0::DOUBLE AS sim, event_type
+    FROM (SELECT epoch_us(ts) AS us, event_id, value, event_type FROM events))"""
+
+
+def one_clip(spark, d) -> DataFrame:
+    """All events as one clip, which no task may hold alone."""
+    us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    e = table(spark, d, "events").select(F.lit(0).alias("clip"), "event_id", us.alias("us"), "value", "event_type", F.lit(1).alias("row"))
+    first = e.agg(F.min("us").alias("first"))  # a row
+    e = folded(e, ["us", "event_id"], {"n": ("sum", "row")}, long=True).crossJoin(F.broadcast(first))
+    return keep(e.select("clip", (F.col("n") - 1).alias("i"), ((F.col("us") - F.col("first")) / F.lit(HOUR)).alias("t"), (F.least("value", F.lit(100.0)) / 100.0).alias("sim"), "event_type"))
+
+
+@query(f"""WITH {ONE}, f AS (SELECT i AS idx, t AS pts FROM one WHERE event_type <> 'purchase'),
+    b AS (SELECT p.i AS probe, p.t, f.idx, f.pts FROM one p ASOF JOIN (SELECT min(idx) AS idx, pts FROM f GROUP BY pts) f ON p.t >= f.pts WHERE p.event_type = 'purchase'),
+    a AS (SELECT p.i AS probe, p.t, f.idx, f.pts FROM one p ASOF JOIN (SELECT min(idx) AS idx, pts FROM f GROUP BY pts) f ON p.t <= f.pts WHERE p.event_type = 'purchase'),
+    u AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY abs(pts - t), pts) AS rn FROM (SELECT * FROM a UNION ALL SELECT * FROM b))
+    SELECT probe, idx, round(pts, 6) AS pts FROM u WHERE rn = 1""")
+def long_clip_nearest(spark, d):
+    """Nearest-time lookup in one clip that holds the whole table."""
+    c = one_clip(spark, d)
+    probes = c.filter("event_type = 'purchase'").select("clip", F.col("i").alias("probe"), F.col("t").alias("at"))
+    frames = c.filter("event_type <> 'purchase'").select("clip", F.col("i").alias("idx"), F.col("t").alias("pts"))
+    return series.nearest(probes, frames, long=True).select("probe", "idx", F.round("pts", 6).alias("pts"))
+
+
+@query(f"""WITH {ONE}, st AS (SELECT 0 AS clip, i, t, sim, CASE WHEN sim >= 0.35 THEN 0 ELSE 1 END AS state FROM one), dur AS (SELECT 0 AS clip, max(t) AS dur FROM one), {RUNS}
+    SELECT s.seg_idx, s.state, round(start_, 6) AS start, round(end_, 6) AS "end", coalesce(round(median(sim), 6), 0.0) AS face_sim FROM seg s LEFT JOIN one c ON c.t >= s.start_ AND c.t < s.end_ GROUP BY ALL""")
+def long_clip_segments(spark, d):
+    """Runs, segments and their medians in one clip that holds the whole table."""
+    c = one_clip(spark, d)
+    rows = series.runs(c.withColumn("state", F.when(F.col("sim") >= 0.35, 0).otherwise(1)), long=True)
+    s = keep(series.run_segments(rows, durations(c)))
+    m = series.interval_median(s, c, 6, long=True)
+    return m.select("seg_idx", "state", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "face_sim")
+
+
+@query(f"WITH {ONE}, fl AS (SELECT 0 AS clip, i, sim >= 0.35 AS flag FROM one), {SPLIT} SELECT n, best FROM split")
+def long_clip_split(spark, d):
+    """The best split of one clip that holds the whole table."""
+    return decode.best_split(one_clip(spark, d).withColumn("flag", F.col("sim") >= 0.35), long=True).select("n", "best")
+
+
 def of_kind(c: DataFrame, kind: str, name: str) -> DataFrame:
     """(clip, name): the ordered times of one kind of event."""
     return c.filter(F.col("event_type") == kind).groupBy("clip").agg(F.array_sort(F.collect_list("t")).alias(name))
