@@ -1,4 +1,4 @@
-"""Command line over the documents that the stages exchange: segment, evaluate, sweep, inspect, split, report."""
+"""Command line over the documents that the stages exchange: relabel, curves, segment, evaluate, sweep, inspect, split, report."""
 
 from __future__ import annotations
 
@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutlab.functions.text import short_id
-from cutlab.operators import match, place, report, series
+from cutlab.operators import curves, identity, match, place, relabel, report, series
 from cutlab.plans.sweep import sweep
 from cutlab.sources import documents as D
+from cutlab.sources.shared import keep
 
 
 def curves_of(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(clips, samples, luma, cuts) of a curve document, keyed by short name."""
     # A curve names a first time where the key is there, even with a null; a schema alone cannot tell that.
-    raw = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string, string>")).alias("key", "raw"))
-    docs = D.required(lambda: raw.select(F.col("key").alias("short"), F.array_contains(F.json_object_keys("raw"), "first_true").alias("has_first"), F.from_json("raw", D.CURVE).alias("v")), "run the curve stage first")
+    raw = D.required(lambda: spark.read.option("wholetext", True).text(path), f"no curves at {path}: run the curves stage first")
+    raw = raw.select(F.explode(F.from_json("value", "map<string, string>")).alias("key", "raw"))
+    docs = raw.select(F.col("key").alias("short"), F.array_contains(F.json_object_keys("raw"), "first_true").alias("has_first"), F.from_json("raw", D.CURVE).alias("v"))
     docs = docs.select("short", "has_first", "v.*").withColumnRenamed("clip", "name").withColumnRenamed("short", "clip")
     return docs.select("clip", "name", "dur", "has_first", "first_true", "method"), *D.long_curves(docs)
 
@@ -79,10 +81,53 @@ def do_inspect(spark: SparkSession, a: argparse.Namespace) -> None:
     place.inspect(samples, truth.unionByName(cuts.select("clip", "t", F.lit("cut").alias("kind"))), a.clip).orderBy("i").show(100_000, truncate=False)
 
 
+def do_relabel(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Faces and frames are tables that the models' adapters write: faces (clip, idx, face_no, bbox, det_score, embedding), frames (clip, fps, total, height)."""
+    records = D.only(D.required(lambda: D.read_rows(spark, a.transitions, D.TRANSITIONS), f"no records at {a.transitions}: run the detection first"), limit=a.limit)
+    files = D.list_files(spark, a.clips).select(F.col("name").alias("clip"))
+    frames = spark.read.parquet(a.frames)
+    faces = spark.read.parquet(a.faces)
+    if a.min_det_score > 0:
+        faces = faces.filter(F.coalesce("det_score", F.lit(1.0)) >= a.min_det_score)
+    if a.min_face_frac > 0:
+        height = F.get("bbox", F.lit(3)) - F.get("bbox", F.lit(1))
+        faces = faces.join(frames.select("clip", "height"), "clip").filter(height / F.greatest("height", F.lit(1)) >= a.min_face_frac).drop("height")
+    usable = D.usable(records, files.withColumnRenamed("clip", "name"))
+    one = keep(identity.enrol(faces.join(usable.select("clip"), "clip", "left_semi"), frames))
+    scores = identity.frame_scores(faces, one)
+    options = relabel.Options(a.threshold, a.frames_per_shot, soft=not a.no_soft, second=not a.no_second)
+    second = long_shots(D.read_rows(spark, a.second, D.TRANSITIONS)) if a.second else None
+    shots, decided = relabel.relabel(long_shots(usable), frames, scores, second, options)
+    out = keep(relabel.documents(records, files, shots, decided))
+    D.write_document(out.orderBy("clip"), a.out, optional=("qa_image", "error", "face_error"))
+    report.counts_by(out, "method", "clip").show(truncate=False)
+    one.select("n", "n_inliers", "coverage").show()
+
+
+def long_shots(records: DataFrame) -> DataFrame:
+    s = records.select("clip", F.posexplode("shots").alias("i", "s"))
+    return s.select("clip", "i", F.col("s.start_sec").alias("start"), F.col("s.end_sec").alias("end"), "s.start_frame", "s.end_frame")
+
+
+def do_curves(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Frames, scores and luma are tables that the models' adapters write: (clip, idx, pts), (clip, idx, sim), (clip, idx, mean)."""
+    records = D.required(lambda: D.read_rows(spark, a.transitions, D.TRANSITIONS), f"no records at {a.transitions}: run the detection first")
+    tables = curves.dump(records, *(spark.read.parquet(p) for p in (a.frames, a.scores, a.luma)), a.sample_fps, a.luma_fps)
+    if a.table:
+        curves.save(tables, a.table)
+    rows = curves.documents(tables, a.sample_fps, a.luma_fps)
+    # The document names a clip by its short id, as the key, and in full, as a field.
+    D.write_document(rows.orderBy("short"), a.out, "short")
+
+
 def do_split(spark: SparkSession, a: argparse.Namespace) -> None:
-    files = D.list_files(spark, a.clips).select(short_id(F.col("name")).alias("clip"), "name", F.lit(True).alias("exists"))
-    plan = report.split_plan(segment_rows(spark, a.segments), D.only(files, a.only, a.limit))
-    D.write_document(report.manifest(plan).orderBy("clip"), a.out)
+    """Every record gets a row, whether its file is there or not."""
+    records = D.only(D.required(lambda: D.read_rows(spark, a.segments, D.SEGMENTS), f"no segments at {a.segments}: run the segmentation first"), a.only, a.limit, "short")
+    files = D.list_files(spark, a.clips).select("name", F.lit(True).alias("there"))
+    s = records.select("clip", F.posexplode("segments").alias("seg_idx", "s")).select("clip", "seg_idx", "s.start", "s.end", "s.label")
+    clips = records.select("clip", F.col("clip").alias("name")).join(files, "name", "left").select("clip", "name", F.coalesce("there", F.lit(False)).alias("exists"))
+    rows = records.withColumn("n_segments", F.coalesce(F.size("segments"), F.lit(0)))
+    D.write_document(report.manifest(report.split_plan(s, clips), rows).orderBy("clip"), a.out)
 
 
 def do_report(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -111,6 +156,8 @@ def parser() -> argparse.ArgumentParser:
             else:
                 c.add_argument(flag, type=type(default), default=default)
 
+    command("relabel", do_relabel, "transitions", "clips", "frames", "faces", "out", second="", threshold=0.35, frames_per_shot=3, no_soft=False, no_second=False, min_det_score=0.0, min_face_frac=0.0, limit=0)
+    command("curves", do_curves, "transitions", "frames", "scores", "luma", "out", table="", sample_fps=10.0, luma_fps=15.0)
     command("segment", do_segment, "curves", "base", "out-segments", "out-transitions", threshold=0.32, penalty=1.0, snap_window=0.35, no_snap=False, no_refine=False)
     command("evaluate", do_evaluate, "truth", "segments", "transitions", tolerance=0.5, rule="flips", most=1000)
     command("sweep", do_sweep, "curves", "base", "truth", tolerance=0.5, top=15)

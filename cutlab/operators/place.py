@@ -119,13 +119,15 @@ def decode_clips(clips: DataFrame, curve: DataFrame, threshold: float | Column,
     """Segments (clip, seg_idx, start, end, state) of clips (clip, dur, first, method), before boundaries are placed.
 
     A clip without a first time is one segment, of the second label only if its
-    method says so; the others are decoded from their seed on and cut into runs.
+    method says so; so is one without samples, of the first label. The others
+    are decoded from their seed on and cut into runs.
     """
     whole = clips.filter("first is null").select("clip", F.lit(0).alias("seg_idx"), F.lit(0.0).alias("start"), F.round("dur", digits).alias("end"), F.when(F.col("method") == "all_meme_no_creator", 1).otherwise(0).alias("state"))
     cut = clips.filter("first is not null")
     own = curve.join(cut.select("clip", "first"), "clip")
     seeds = seed_index(own.drop("first"), cut)
-    return whole.unionByName(run_segments(runs(viterbi_states(own, threshold, penalty, seeds)), cut.select("clip", "dur"), digits))
+    bare = cut.join(seeds.select("clip"), "clip", "left_anti").select("clip", F.lit(0).alias("seg_idx"), F.lit(0.0).alias("start"), F.round("dur", digits).alias("end"), F.lit(0).alias("state"))
+    return whole.unionByName(bare).unionByName(run_segments(runs(viterbi_states(own, threshold, penalty, seeds)), cut.select("clip", "dur"), digits))
 
 
 def segment_clips(clips: DataFrame, curve: DataFrame, cuts: DataFrame, luma: DataFrame, config: Config = Config(), digits: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -114,7 +114,7 @@ def split_plan(segments: DataFrame, clips: DataFrame, root: str = "split") -> Da
     s = label_counter(segments).withColumn("n", n).select("clip", "seg_idx", "label", "k", "start", "end", "n")
     r = clips.join(s, "clip", "left").withColumn("stem", stem(F.col("name")))
     usable = F.col("exists") & F.col("n").isNotNull()
-    disposition = F.when(~F.col("exists"), "missing_source").when(F.col("n").isNull(), "no_segments").when(F.col("n") == 1, "single").otherwise(F.format_string("multi_%dseg", "n"))
+    disposition = F.when(~F.col("exists"), "skip_missing_src").when(F.col("n").isNull(), "skip_no_segments").when(F.col("n") == 1, "single_segment").otherwise(F.format_string("multi_%dseg", "n"))
     file = F.concat(F.lit(f"{root}/"), F.col("label"), F.lit("/"), F.col("stem"), F.lit("_"), F.col("label"), F.lit("_"), F.col("k").cast("string"), F.lit(".mp4"))
     r = r.select(
         "clip", "name", disposition.alias("disposition"), F.when(usable, F.col("seg_idx")).alias("seg_idx"), F.when(usable, F.col("label")).alias("label"), F.when(usable, F.col("k")).alias("index"), F.when(usable, file).alias("file"),
@@ -122,8 +122,8 @@ def split_plan(segments: DataFrame, clips: DataFrame, root: str = "split") -> Da
         F.when(usable & (F.col("n") == 1), "copy").when(usable, "cut").alias("mode"),
     )
     # A missing source gives one row, however many segments it has.
-    first = F.row_number().over(Window.partitionBy("clip", F.col("disposition") == "missing_source").orderBy("seg_idx", "start")) == 1
-    return r.withColumn("one", first).filter((F.col("disposition") != "missing_source") | F.col("one")).drop("one")
+    first = F.row_number().over(Window.partitionBy("clip", F.col("disposition") == "skip_missing_src").orderBy("seg_idx", "start")) == 1
+    return r.withColumn("one", first).filter((F.col("disposition") != "skip_missing_src") | F.col("one")).drop("one")
 
 
 def clip_video_plan(segments: DataFrame, clips: DataFrame, root: str = "segments") -> DataFrame:
@@ -133,10 +133,13 @@ def clip_video_plan(segments: DataFrame, clips: DataFrame, root: str = "segments
     return s.select("clip", "seg_idx", file.alias("file"), "start", F.greatest(F.lit(0.05), F.col("end") - F.col("start")).alias("dur"))
 
 
-def manifest(plan: DataFrame) -> DataFrame:
-    """One nested row a clip from the actions of a split plan."""
-    out = F.array_sort(F.collect_list(F.when(F.col("file").isNotNull(), F.struct("seg_idx", "label", "index", "file", "start", "end", "dur", "mode"))))
-    return plan.groupBy("clip", "name", "disposition").agg(out.alias("outputs"))
+def manifest(plan: DataFrame, records: DataFrame) -> DataFrame:
+    """One nested row for every record (clip, short, pattern, n_segments), with its disposition and the files of its split plan."""
+    fields = ("label", "index", "file", "start", "end", "dur", "mode")
+    row = F.struct("seg_idx", *fields[:2], F.element_at(F.split("file", "/"), -1).alias("file"), *fields[3:])
+    out = F.array_sort(F.collect_list(F.when(F.col("file").isNotNull(), row)))
+    listed = plan.groupBy("clip", "disposition").agg(F.transform(out, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("outputs"))
+    return records.select("clip", "short", "pattern", F.coalesce("n_segments", F.lit(0)).alias("n_segments")).join(listed, "clip").select("clip", "short", "pattern", "n_segments", "disposition", "outputs")
 
 
 def qa_frames(cuts: DataFrame, step: float = 0.15) -> DataFrame:

@@ -261,10 +261,10 @@ def cosine_to_centroid(spark, d):
     return e.join(c, "label").select("vec_id", F.round(similarity(F.col("unit"), F.col("centroid")), 6).alias("sim"))
 
 
-@query("SELECT vec_id, round(sqrt(list_sum([CAST(x AS DOUBLE) * x for x in embedding])), 6) AS norm, round(list_sum([CAST(x AS DOUBLE) for x in embedding[1:4]]), 6) AS head FROM embeddings")
+@query("SELECT vec_id, round(sqrt(list_sum([CAST(x AS DOUBLE) * x for x in embedding])), 6) AS norm, array_to_string([printf('%.6f', round(x / sqrt(list_sum([CAST(y AS DOUBLE) * y for y in embedding])), 6) + 0.0) for x in CAST(embedding AS DOUBLE[])], ',') AS unit FROM embeddings")
 def vector_norms(spark, d):
     v = doubles(F.col("embedding"))
-    return table(spark, d, "embeddings").select("vec_id", F.round(norm(v), 6).alias("norm"), F.round(dot(F.slice(v, 1, 4), F.array(*[F.lit(1.0)] * 4)), 6).alias("head"))
+    return table(spark, d, "embeddings").select("vec_id", F.round(norm(v), 6).alias("norm"), numbers(normalise(v)).alias("unit"))
 
 
 SPLIT = """sp0 AS (SELECT *, sum(CASE WHEN flag THEN 1 ELSE -1 END) OVER (PARTITION BY clip ORDER BY i ROWS UNBOUNDED PRECEDING) AS s, row_number() OVER (PARTITION BY clip ORDER BY i) AS pos FROM fl),
@@ -581,10 +581,10 @@ def pattern_by_count(spark, d):
 
 @query(SEGMENTS + """, k AS (SELECT *, CASE state WHEN 0 THEN 'person' ELSE 'meme' END AS label, count(*) OVER (PARTITION BY clip) AS n, row_number() OVER (PARTITION BY clip, state ORDER BY seg_idx) AS k FROM seg WHERE clip % 9 <> 1),
     u AS (SELECT user_id AS clip, concat('u', user_id, '.mp4') AS name, user_id % 10 <> 3 AS ex FROM events GROUP BY user_id),
-    p AS (SELECT u.clip, name, CASE WHEN NOT ex THEN 'missing_source' WHEN n IS NULL THEN 'no_segments' WHEN n = 1 THEN 'single' ELSE concat('multi_', n, 'seg') END AS disposition, ex AND n IS NOT NULL AS ok, seg_idx, label, k, start_, end_, n,
+    p AS (SELECT u.clip, name, CASE WHEN NOT ex THEN 'skip_missing_src' WHEN n IS NULL THEN 'skip_no_segments' WHEN n = 1 THEN 'single_segment' ELSE concat('multi_', n, 'seg') END AS disposition, ex AND n IS NOT NULL AS ok, seg_idx, label, k, start_, end_, n,
         row_number() OVER (PARTITION BY u.clip ORDER BY seg_idx, start_) AS rn FROM u LEFT JOIN k ON u.clip = k.clip)
     SELECT clip, disposition, CASE WHEN ok THEN seg_idx END AS seg_idx, CASE WHEN ok THEN concat('split/', label, '/u', clip, '_', label, '_', k, '.mp4') END AS file, CASE WHEN ok THEN round(end_ - start_, 6) END AS dur,
-        CASE WHEN ok AND n = 1 THEN 'copy' WHEN ok THEN 'cut' END AS mode FROM p WHERE disposition <> 'missing_source' OR rn = 1""")
+        CASE WHEN ok AND n = 1 THEN 'copy' WHEN ok THEN 'cut' END AS mode FROM p WHERE disposition <> 'skip_missing_src' OR rn = 1""")
 def split_plan(spark, d):
     s = segments(spark, d).filter("clip % 9 <> 1").withColumn("label", F.when(F.col("state") == 0, "person").otherwise("meme"))
     clips = table(spark, d, "events").select(F.col("user_id").alias("clip")).distinct().select("clip", F.concat(F.lit("u"), F.col("clip").cast("string"), F.lit(".mp4")).alias("name"), (F.col("clip") % 10 != 3).alias("exists"))
@@ -665,12 +665,12 @@ def shot_medians(spark, d):
 
 @query(f"""WITH {CURVE}, s AS (SELECT clip, i, t + 0.7 AS start_, t + 5.3 AS end_ FROM curve WHERE event_type = 'error'), f AS (SELECT clip, i AS idx, t AS pts FROM curve WHERE event_type <> 'error'),
     a AS (SELECT s.clip, s.i, (SELECT idx FROM f WHERE f.clip = s.clip ORDER BY abs(pts - start_), pts LIMIT 1) AS sf, (SELECT idx FROM f WHERE f.clip = s.clip ORDER BY abs(pts - end_), pts LIMIT 1) AS ef FROM s)
-    SELECT clip, i AS shot_idx, sf AS start_frame, ef AS end_frame FROM a""")
+    SELECT a.clip, a.i AS shot_idx, sf AS start_frame, ef AS end_frame, round(x.t, 3) AS start, round(y.t, 3) AS "end" FROM a JOIN curve x ON x.clip = a.clip AND x.i = sf JOIN curve y ON y.clip = a.clip AND y.i = ef""")
 def project_true_clock(spark, d):
     c = curve(spark, d)
     s = c.filter("event_type = 'error'").select("clip", F.col("i").alias("shot_idx"), (F.col("t") + 0.7).alias("start"), (F.col("t") + 5.3).alias("end"))
     frames = c.filter("event_type <> 'error'").select("clip", F.col("i").alias("idx"), F.col("t").alias("pts"))
-    return series.true_clock(s, frames).select("clip", "shot_idx", "start_frame", "end_frame")
+    return series.true_clock(s, frames).select("clip", "shot_idx", "start_frame", "end_frame", "start", "end")
 
 
 @query(f"WITH {CURVE}, f AS (SELECT clip, min(t) FILTER (WHERE event_type = 'purchase') AS first_ FROM curve GROUP BY clip) SELECT c.clip, coalesce(max(i) FILTER (WHERE t <= first_), 0) AS seed FROM curve c JOIN f USING (clip) GROUP BY c.clip")
@@ -957,9 +957,13 @@ def bad_clips(spark, d):
     return report.bad_clips(table(spark, d, "labels").select(F.col("doc_id").alias("clip"), F.when(F.col("toxic") == 1, "bad").otherwise("ok").alias("flag")))
 
 
-@query("SELECT conv_id AS clip, CASE WHEN n % 2 = 1 THEN flag END AS flag FROM (SELECT conv_id, count(*) AS n, 'ok' AS flag FROM conversations GROUP BY conv_id)")
+@query("""WITH f AS (SELECT conv_id, turn, CASE length(text) % 3 WHEN 0 THEN 'ok' ELSE 'bad' END AS flag FROM conversations),
+    r AS (SELECT *, sum(CASE WHEN flag = prev THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT *, lag(flag) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM f)),
+    n AS (SELECT conv_id, run, flag, count(*) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY run DESC) AS rn FROM r GROUP BY conv_id, run, flag)
+    SELECT conv_id AS clip, CASE WHEN n % 2 = 1 THEN flag END AS flag FROM n WHERE rn = 1""")
 def flag_toggles(spark, d):
-    return truth.latest_flags(table(spark, d, "conversations").select(F.col("conv_id").alias("clip"), F.col("turn").alias("pos"), F.lit("ok").alias("flag")))
+    flag = F.when(F.length("text") % 3 == 0, "ok").otherwise("bad")
+    return truth.latest_flags(table(spark, d, "conversations").select(F.col("conv_id").alias("clip"), F.col("turn").alias("pos"), flag.alias("flag")))
 
 
 @query()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 import uuid
 
@@ -83,12 +82,37 @@ def long_curves(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def write_version(df: DataFrame, root: str) -> str:
-    """Writes a new version of a dataset beside the old ones, so that a job may read the one it replaces; returns its path."""
+    """Writes a new version of a dataset beside the old ones and makes it the current one; returns its path.
+
+    A job may read the version that it replaces: the pointer moves in one step,
+    after the new version is whole. Of two writers at once the last one to
+    finish stays current.
+    """
     path = f"{root.rstrip('/')}/version={uuid.uuid4().hex}"
     df.write.parquet(path)
+    _replace(df.sparkSession, f"{root.rstrip('/')}/CURRENT", [path.rsplit("/", 1)[1].encode()])
     return path
 
 
+def current_version(spark: SparkSession, root: str) -> str:
+    """The path of the current version; whoever reads it goes on reading that version, whatever is written meanwhile."""
+    row = required(lambda: spark.read.text(f"{root.rstrip('/')}/CURRENT").first(), f"no version of {root} has been written")
+    return f"{root.rstrip('/')}/{row.value}"
+
+
+def expire_versions(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Deletes versions beyond the ``keep`` last written ones, never the current one; returns how many. Readers of a deleted version fail."""
+    current = current_version(spark, root).rsplit("/", 1)[1]
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((f.getModificationTime(), f.getPath().getName()) for f in fs.listStatus(place) if f.getPath().getName().startswith("version="))
+    old = [name for _, name in found if name != current]
+    gone = old[: max(0, len(found) - keep)]
+    for name in gone:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(place, name), True)
+    return len(gone)
+
+
 def only(rows: DataFrame, ids: list[str] | None = None, limit: int | None = None, key: str = "clip") -> DataFrame:
     """The rows of the named clips, or the first ones by name; all of them without either."""
     rows = rows.filter(F.col(key).isin(ids)) if ids else rows
@@ -100,31 +124,54 @@ def write_documents(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_document(df: DataFrame, path: str, key: str | None = None, most: int = 1_000_000) -> str:
+def write_document(df: DataFrame, path: str, key: str | None = None, optional: tuple[str, ...] = ()) -> str:
     """One JSON file that people and other tools read: an array of the rows, or with ``key`` a map from that column to the row.
 
-    It is written aside and then put in place in one step. Such documents are
-    small; more than ``most`` rows raise, and belong into ``write_documents``.
+    Nulls stand in the file, since whether a key is there has a meaning; rows in
+    which all ``optional`` columns are null leave those out. Tasks
+    write the rows as parts, in the order of ``df``; the parts are then copied
+    one after the other into a file aside, which is put in place in one step.
+    So a document may have any size, and no process holds it.
     """
-    rows = df.select(*([F.col(key).cast("string").alias("key_")] if key else []), F.to_json(F.struct(*df.columns)).alias("json_")).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows; use write_documents")
-    body = {r.key_: json.loads(r.json_) for r in rows} if key else [json.loads(r.json_) for r in rows]
-    _replace(df.sparkSession, path, json.dumps(body, indent=2, ensure_ascii=False).encode())
+    spark, parts = df.sparkSession, f"{path.rsplit('/', 1)[0] if '/' in path else '.'}/.{uuid.uuid4().hex}"
+    as_json = lambda columns: F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false", "pretty": "true"})
+    row = as_json(df.columns)
+    if optional:
+        row = F.when(F.coalesce(*[F.col(c).cast("string") for c in optional]).isNull(), as_json([c for c in df.columns if c not in optional])).otherwise(row)
+    if key:
+        name = F.to_json(F.array(F.col(key).cast("string")))  # quoted, within brackets
+        row = F.concat(F.substr(name, F.lit(2), F.length(name) - 2), F.lit(": "), row)
+    df.select(F.concat(F.lit(","), row).alias("value")).write.text(parts)
+    place = spark._jvm.org.apache.hadoop.fs.Path(parts)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(place) if f.getLen() and f.getPath().getName().startswith("part-"))
+    try:
+        _replace(spark, path, [b"{\n" if key else b"[\n", *(f"{parts}/{n}" for n in names), b"}\n" if key else b"]\n"])
+    finally:
+        fs.delete(place, True)
     return path
 
 
-def _replace(spark: SparkSession, path: str, content: bytes) -> None:
-    """Writes a file beside ``path`` and renames it over it."""
+def _replace(spark: SparkSession, path: str, content: list[bytes | str]) -> None:
+    """Writes a file beside ``path`` and renames it over it: bytes as they are, names as the files' content; of the first file without its first byte."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     place = jvm.org.apache.hadoop.fs.Path(path)
-    aside = jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{uuid.uuid4().hex}")
-    out = place.getFileSystem(conf).create(aside)
-    out.write(bytearray(content))
+    aside = jvm.org.apache.hadoop.fs.Path(place.getParent() or jvm.org.apache.hadoop.fs.Path("."), f".{uuid.uuid4().hex}")
+    full = place.getFileSystem(conf)
+    out, first = full.create(aside), True
+    for piece in content:
+        if isinstance(piece, bytes):
+            out.write(bytearray(piece))
+            continue
+        part = full.open(jvm.org.apache.hadoop.fs.Path(piece))
+        if first:
+            part.read()
+        first = False
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+        part.close()
     out.close()
     overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    full = place.getFileSystem(conf)
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(full.getUri(), conf).rename(full.makeQualified(aside), full.makeQualified(place), overwrite)
 
 

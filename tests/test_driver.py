@@ -6,6 +6,8 @@ import random
 import statistics
 import time
 
+import pytest
+
 from cutlab.operators import decode, match, place, series
 from cutlab.plans.sweep import sweep
 from pyspark.sql import functions as F
@@ -188,11 +190,18 @@ def test_command_line(spark, tmp_path, capsys):
     for k, v in clips.items():
         segments, cut, _ = drive({**v, "method": v["method"] or "x"}, place.Config())
         assert [(s["start"], s["end"], s["label"], s["face_sim"]) for s in out[k]["segments"]] == segments
-    assert {r["clip"]: r.get("transition_sec") for r in json.loads((tmp_path / "transitions.json").read_text())} == {f"{k}.mp4": drive({**v, "method": v["method"] or "x"}, place.Config())[1] for k, v in clips.items()}
+    assert {r["clip"]: r["transition_sec"] for r in json.loads((tmp_path / "transitions.json").read_text())} == {f"{k}.mp4": drive({**v, "method": v["method"] or "x"}, place.Config())[1] for k, v in clips.items()}
     cli.main(["evaluate", "--truth", path("truth"), "--segments", path("segments"), "--transitions", path("transitions")])
     cli.main(["sweep", "--curves", path("curves"), "--base", path("base"), "--truth", path("truth"), "--top", "2"])
     cli.main(["inspect", "--curves", path("curves"), "--truth", path("truth"), "--clip", "c1"])
     cli.main(["split", "--segments", path("segments"), "--clips", str(tmp_path), "--out", path("manifest")])
     cli.main(["report", "--transitions", path("transitions"), "--verification", path("ver")])
-    assert [r["clip"] for r in json.loads((tmp_path / "manifest.json").read_text())] == ["c0"]
+    listed = {r["clip"]: r for r in json.loads((tmp_path / "manifest.json").read_text())}
+    assert set(listed) == {f"{k}.mp4" for k in clips}
+    for k in clips:
+        r = listed[f"{k}.mp4"]
+        assert (r["short"], r["pattern"], r["n_segments"]) == (k, out[k]["pattern"], out[k]["n_segments"])
+        assert (len(r["outputs"]) == r["n_segments"]) if k == "c0" else (r["disposition"], r["outputs"]) == ("skip_missing_src", [])
+    with pytest.raises(FileNotFoundError, match="run the curves stage first"):
+        cli.main(["sweep", "--curves", path("nothing"), "--base", path("base"), "--truth", path("truth")])
     assert "precision" in capsys.readouterr().out

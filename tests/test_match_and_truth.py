@@ -129,8 +129,11 @@ def test_split_plan(spark):
     clips = spark.createDataFrame([("a", "a.MP4", True), ("b", "b.mp4", True), ("m", "m.mp4", False), ("n", "n.mp4", True)], "clip string, name string, exists boolean")
     plan = report.split_plan(seg, clips)
     got = sorted((r.clip, r.disposition, r.file or "", r.mode or "") for r in plan.collect())
-    assert got == [("a", "multi_3seg", "split/meme/a_meme_1.mp4", "cut"), ("a", "multi_3seg", "split/person/a_person_1.mp4", "cut"), ("a", "multi_3seg", "split/person/a_person_2.mp4", "cut"), ("b", "single", "split/meme/b_meme_1.mp4", "copy"), ("m", "missing_source", "", ""), ("n", "no_segments", "", "")]
-    assert {r.clip: len(r.outputs) for r in report.manifest(plan).collect()} == {"a": 3, "b": 1, "m": 0, "n": 0}
+    assert got == [("a", "multi_3seg", "split/meme/a_meme_1.mp4", "cut"), ("a", "multi_3seg", "split/person/a_person_1.mp4", "cut"), ("a", "multi_3seg", "split/person/a_person_2.mp4", "cut"), ("b", "single_segment", "split/meme/b_meme_1.mp4", "copy"), ("m", "skip_missing_src", "", ""), ("n", "skip_no_segments", "", "")]
+    records = spark.createDataFrame([(c, c * 2, "p", k) for c, k in (("a", 3), ("b", 1), ("m", 2), ("n", None))], "clip string, short string, pattern string, n_segments int")
+    m = {r.clip: r for r in report.manifest(plan, records).collect()}
+    assert {c: (r.short, r.n_segments, r.disposition, len(r.outputs)) for c, r in m.items()} == {"a": ("aa", 3, "multi_3seg", 3), "b": ("bb", 1, "single_segment", 1), "m": ("mm", 2, "skip_missing_src", 0), "n": ("nn", 0, "skip_no_segments", 0)}
+    assert tuple(m["a"].outputs[1]) == ("meme", 1, "a_meme_1.mp4", 1.0, 2.0, 1.0, "cut")
 
 
 def test_names_and_formats(spark):
@@ -158,9 +161,13 @@ def test_documents(spark, tmp_path):
     documents.save_truth(first, str(tmp_path), "ground_truth.json")
     assert json.loads(open(place).read()) == [{"n": 1}] and json.loads(open(place + ".bak").read()) == [{"n": 1}]
     named = spark.createDataFrame([("a", 1.5), ("b", None)], "short string, x double")
-    assert json.loads(open(documents.write_document(named, str(tmp_path / "m.json"), "short")).read()) == {"a": {"short": "a", "x": 1.5}, "b": {"short": "b"}}
-    with pytest.raises(ValueError, match="more than 1 rows"):
-        documents.write_document(named, str(tmp_path / "m.json"), most=1)
+    assert json.loads(open(documents.write_document(named, str(tmp_path / "m.json"), "short")).read()) == {"a": {"short": "a", "x": 1.5}, "b": {"short": "b", "x": None}}
+    many = spark.range(5000).select("id", F.lit("a\n\"ü").alias("s")).repartition(7, "id").orderBy(F.desc("id"))
+    assert json.loads(open(documents.write_document(many, str(tmp_path / "m.json"))).read()) == [{"id": k, "s": 'a\n"ü'} for k in reversed(range(5000))]
+    assert json.loads(open(documents.write_document(many.limit(0), str(tmp_path / "m.json"))).read()) == [] and json.loads(open(documents.write_document(many.limit(0), str(tmp_path / "m.json"), "id")).read()) == {}
+    gaps = spark.createDataFrame([("a", None, None), ("b", None, "e")], "clip string, cut double, error string")
+    assert json.loads(open(documents.write_document(gaps, str(tmp_path / "m.json"), optional=("error",))).read()) == [{"clip": "a", "cut": None}, {"clip": "b", "cut": None, "error": "e"}]
+    assert not [f for f in tmp_path.iterdir() if f.name.startswith(".") and not f.name.endswith(".crc")]
     for name in ("b.mp4", "a.mp4", "c.txt"):
         (tmp_path / name).write_text("x")
     assert [r.name for r in documents.list_files(spark, str(tmp_path)).collect()] == ["a.mp4", "b.mp4"]
