@@ -14,11 +14,58 @@ _FORCED = 1e9
 BLOCK = 1024
 
 
-def _between(x: Column, limit: Column) -> Column:
-    return F.greatest(F.least(x, limit), -limit)
+def _leads(curve: DataFrame, points: list[tuple[float, float]], seeds: DataFrame | None, block: int) -> DataFrame:
+    """Rows (clip, i, t, sim) with lead_0, lead_1, ...: for each (threshold, penalty), the lead of state 0 over state 1.
 
+    All points are folded at once, so the curve is shuffled once for any number
+    of them. What a block does to a lead is a shift between two limits, and so
+    is what blocks in a row do; clips of several blocks give one such map a
+    block, from which each block's first lead follows.
+    """
+    rows = curve.groupBy("clip", F.expr(f"cast(i div {block} as long)").alias("block")).agg(F.array_sort(F.collect_list(F.struct("i", "t", "sim"))).alias("s"))
+    rows = rows.join(seeds.select("clip", "seed"), "clip", "left") if seeds is not None else rows.withColumn("seed", F.lit(0))
+    rows = rows.select("clip", "block", "s", F.coalesce("seed", F.lit(0)).alias("seed"))
+    each = range(len(points))
+    # The folds are written as SQL: they are the same few terms once a point.
+    gain = [f"2.0D * (x.sim - {float(t)!r}D)" for t, _ in points]
+    between = lambda c, k: f"greatest(least({c}, {float(points[k][1])!r}D), -{float(points[k][1])!r}D)"
+    moved = lambda c, k: f"if(x.i <= seed, {_FORCED}D, {between(c, k)} + {gain[k]})"
+    fields = lambda of: "named_struct(" + ", ".join(f"'p{k}', {of(k)}" for k in each) + ")"
+    infinite = lambda sign: fields(lambda k: f"double('{sign}Infinity')")
+    forced, kind = fields(lambda k: f"{_FORCED}D"), "struct<" + ",".join(f"p{k}:double" for k in each) + ">"
+
+    nothing = f"named_struct('shift', {fields(lambda k: '0.0D')}, 'low', {infinite('-')}, 'high', {infinite('')})"
+    then = f"named_struct('shift', {fields(lambda k: f'm.shift.p{k} + {gain[k]}')}, 'low', {fields(lambda k: moved(f'm.low.p{k}', k))}, 'high', {fields(lambda k: moved(f'm.high.p{k}', k))})"
+    maps = rows.select("clip", "block", F.expr(f"aggregate(s, {nothing}, (m, x) -> {then})").alias("map"))
+    maps = maps.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("block", "map"))).alias("maps")).filter(F.size("maps") > 1)
+
+    after = fields(lambda k: f"greatest(least(done.d.p{k} + x.map.shift.p{k}, x.map.high.p{k}), x.map.low.p{k})")
+    none = f"named_struct('d', {forced}, 'all', cast(array() as array<struct<block:bigint,d:{kind}>>))"
+    begin = f"named_struct('d', {after}, 'all', concat(done.all, array(named_struct('block', x.block, 'd', done.d))))"
+    starts = maps.select("clip", F.expr(f"explode(aggregate(maps, {none}, (done, x) -> {begin}, done -> done.all))").alias("b")).select("clip", "b.block", F.col("b.d").alias("first"))
+    rows = rows.join(starts, ["clip", "block"], "left").withColumn("first", F.coalesce("first", F.expr(forced)))
+
+    step = fields(lambda k: moved(f"element_at(done, -1).p{k}", k))
+    rows = rows.select("clip", "s", F.expr(f"slice(aggregate(s, array(first), (done, x) -> concat(done, array({step}))), 2, size(s))").alias("lead"))
+    rows = rows.select("clip", F.explode(F.arrays_zip("s", "lead")).alias("x"))
+    return rows.select("clip", "x.s.i", "x.s.t", "x.s.sim", *[F.col(f"x.lead.p{k}").alias(f"lead_{k}") for k in each])
+
+
+def viterbi_grid(curve: DataFrame, points: list[tuple[float, float]], seeds: DataFrame | None = None, block: int = BLOCK, long: bool = False) -> DataFrame:
+    """Rows (clip, i, t, sim) with state_0, state_1, ...: the states under each (threshold, penalty); see ``viterbi_states``."""
+    rows = folded(_leads(curve, points, seeds, block), ["i"], {"next_i": ("lead", "i")}, long)
+    last = F.col("next_i").isNull()
+
+    def sure(k: int, penalty: float) -> Column:
+        lead = F.col(f"lead_{k}")
+        return F.when(lead > penalty, PERSON).when(lead < -penalty, MEME).when(last & (lead >= 0), PERSON).when(last, MEME).alias(f"sure_{k}")
+
+    rows = rows.select("clip", "i", "t", "sim", *[sure(k, penalty) for k, (_, penalty) in enumerate(points)])
+    rows = folded(rows, ["i"], {f"state_{k}": ("next", f"sure_{k}") for k in range(len(points))}, long)
+    return rows.select("clip", "i", "t", "sim", *[f"state_{k}" for k in range(len(points))])
 
-def viterbi_states(curve: DataFrame, threshold: float | Column = 0.32, penalty: float | Column = 1.0, seeds: DataFrame | None = None, block: int = BLOCK, long: bool = False) -> DataFrame:
+
+def viterbi_states(curve: DataFrame, threshold: float = 0.32, penalty: float = 1.0, seeds: DataFrame | None = None, block: int = BLOCK, long: bool = False) -> DataFrame:
     """Adds state: 0 where the curve is above the threshold, 1 below, with ``penalty`` for each switch.
 
     All samples up to the clip's seed (default 0) are state 0; ties favour
@@ -26,50 +73,11 @@ def viterbi_states(curve: DataFrame, threshold: float | Column = 0.32, penalty:
     D becomes clamp(D, -penalty, penalty) + 2 (sim - threshold) from sample to
     sample, and a state is the first certain one from there on: 0 where D is
     above the penalty, 1 where it is below minus the penalty, at the end by sign.
-    Threshold and penalty may be columns of ``clip``.
 
-    A clip of any length is folded in blocks of ``block`` positions. What a
-    block does to D is a shift between two limits, and so is what blocks in a
-    row do; a clip gives one such map a block, from which each block's first D
-    follows. Rows of one block fold side by side with those of the others.
-    ``long`` spreads what looks ahead over tasks too (see ``scan``).
+    A clip of any length is folded in blocks of ``block`` positions, side by
+    side. ``long`` spreads what looks ahead over tasks too (see ``scan``).
     """
-    limit, level = (x if isinstance(x, Column) else F.lit(float(x)) for x in (penalty, threshold))
-    rows = curve.groupBy("clip", F.expr(f"cast(i div {block} as long)").alias("block")).agg(F.array_sort(F.collect_list(F.struct("i", "t", "sim"))).alias("s"))
-    rows = rows.join(seeds.select("clip", "seed"), "clip", "left") if seeds is not None else rows.withColumn("seed", F.lit(0))
-    # Limits as columns, so that the folds below see plain values.
-    rows = rows.select("clip", "block", "s", F.coalesce("seed", F.lit(0)).alias("seed"), limit.alias("limit"), level.alias("level"))
-    gain = lambda x: F.lit(2.0) * (x["sim"] - F.col("level"))
-    forced = lambda x: x["i"] <= F.col("seed")
-
-    def then(m: Column, x: Column) -> Column:
-        edge = lambda c: F.when(forced(x), F.lit(_FORCED)).otherwise(_between(c, F.col("limit")) + gain(x))
-        return F.struct((m["shift"] + gain(x)).alias("shift"), edge(m["low"]).alias("low"), edge(m["high"]).alias("high"))
-
-    nothing = F.struct(F.lit(0.0).alias("shift"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
-    maps = rows.select("clip", "block", F.aggregate("s", nothing, then).alias("map"))
-    maps = maps.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("block", "map"))).alias("maps")).filter(F.size("maps") > 1)
-
-    def begin(done: Column, x: Column) -> Column:
-        after = F.greatest(F.least(done["d"] + x["map"]["shift"], x["map"]["high"]), x["map"]["low"])
-        return F.struct(after.alias("d"), F.concat(done["all"], F.array(F.struct(x["block"].alias("block"), done["d"].alias("d")))).alias("all"))
-
-    none = F.struct(F.lit(_FORCED).alias("d"), F.array().cast("array<struct<block:bigint,d:double>>").alias("all"))
-    starts = maps.select("clip", F.explode(F.aggregate("maps", none, begin, lambda done: done["all"])).alias("b")).select("clip", "b.block", F.col("b.d").alias("first"))
-    rows = rows.join(starts, ["clip", "block"], "left").withColumn("first", F.coalesce("first", F.lit(_FORCED)))
-
-    def step(done: Column, x: Column) -> Column:
-        d = F.when(forced(x), F.lit(_FORCED)).otherwise(_between(done["d"], F.col("limit")) + gain(x))
-        return F.struct(d.alias("d"), F.concat(done["all"], F.array(d)).alias("all"))
-
-    start = F.struct(F.col("first").alias("d"), F.array().cast("array<double>").alias("all"))
-    rows = rows.withColumn("lead", F.aggregate("s", start, step, lambda done: done["all"])).select("clip", "limit", F.explode(F.arrays_zip("s", "lead")).alias("x"))
-    rows = rows.select("clip", "limit", "x.s.i", "x.s.t", "x.s.sim", F.col("x.lead").alias("lead"))
-    rows = folded(rows, ["i"], {"next_i": ("lead", "i")}, long)
-    last = F.col("next_i").isNull()
-    sure = F.when(F.col("lead") > F.col("limit"), PERSON).when(F.col("lead") < -F.col("limit"), MEME).when(last & (F.col("lead") >= 0), PERSON).when(last, MEME)
-    rows = folded(rows.withColumn("sure", sure), ["i"], {"state": ("next", "sure")}, long)
-    return rows.select("clip", "i", "t", "sim", "state")
+    return viterbi_grid(curve, [(threshold, penalty)], seeds, block, long).withColumnRenamed("state_0", "state")
 
 
 def best_split(rows: DataFrame, flag: str = "flag", long: bool = False) -> DataFrame:
@@ -107,7 +115,7 @@ def relabel(shots: DataFrame, picked: DataFrame, threshold: float = 0.35) -> Dat
     return r.select(*shots.columns, F.when(person, "person").otherwise("meme").alias("label"))
 
 
-def _leads(rows: DataFrame) -> DataFrame:
+def _windows(rows: DataFrame) -> DataFrame:
     """Adds pos (0-based), m (samples) and lead (the length of the leading window)."""
     rows = rows.withColumn("pos", F.row_number().over(by_clip().orderBy("i")) - 1).withColumn("m", F.count("*").over(by_clip()))
     return rows.withColumn("lead", F.greatest(F.lit(2), F.expr("m div 5").cast("int")))
@@ -115,7 +123,7 @@ def _leads(rows: DataFrame) -> DataFrame:
 
 def soft_cut(curve: DataFrame, threshold: float = 0.35, presence: float = 0.7, least_tail: float = 1.0, absence: float = 0.8, digits: int = 3) -> DataFrame:
     """(clip, cut): a gradual change over the whole clip; null unless the start is present, the tail long and absent enough."""
-    rows = _leads(curve.withColumn("flag", F.col("sim") >= threshold))
+    rows = _windows(curve.withColumn("flag", F.col("sim") >= threshold))
     rows = rows.join(best_split(rows).select("clip", "best"), "clip")
     tail = F.col("pos") >= F.col("best")
     g = rows.groupBy("clip").agg(
@@ -128,7 +136,7 @@ def soft_cut(curve: DataFrame, threshold: float = 0.35, presence: float = 0.7, l
 
 def within_shot_cut(curve: DataFrame, threshold: float = 0.35, high: float = 0.45, presence: float = 0.55, absence: float = 0.6, digits: int = 3) -> DataFrame:
     """(clip, cut): a change inside one shot, from clear presence to a tail that is mostly and by its median absent."""
-    rows = _leads(curve.withColumn("flag", F.col("sim") >= high))
+    rows = _windows(curve.withColumn("flag", F.col("sim") >= high))
     rows = rows.join(best_split(rows).select("clip", "best"), "clip")
     tail = F.col("pos") >= F.col("best")
     g = rows.groupBy("clip").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutlab.functions.text import bar, pattern
-from cutlab.operators.decode import seed_index, viterbi_states
+from cutlab.operators.decode import seed_index, viterbi_grid, viterbi_states
 from cutlab.operators.scan import folded
 from cutlab.operators.series import inside, interval_median, nearest, run_segments, runs
 from cutlab.sources.shared import keep
@@ -89,11 +89,14 @@ def with_returns(segments: DataFrame) -> DataFrame:
     return s.withColumn("b", F.when(F.col("prev").isNotNull(), F.col("start"))).withColumn("returns", (F.col("prev") == 1) & (F.col("state") == 0)).drop("prev")
 
 
+def new_place(snap: Column, refine: Column) -> Column:
+    """Where a boundary goes, null if it stays: on a return to a cut nearby, else to a fade, else to the nearest cut."""
+    return F.coalesce(F.when(snap & F.col("returns"), F.col("return_cut")), F.when(refine, F.col("fade")), F.when(snap, F.col("near_cut")))
+
+
 def moved_segments(segments: DataFrame, snap: bool = True, refine: bool = True, digits: int = 3) -> DataFrame:
-    """Segments with b, returns, near_cut, return_cut and fade, moved: on a return to a cut nearby, else to a fade, else to the nearest cut."""
-    on, fades = F.lit(snap), F.lit(refine)
-    new = F.coalesce(F.when(on & F.col("returns"), F.col("return_cut")), F.when(fades, F.col("fade")), F.when(on, F.col("near_cut")))
-    s = segments.withColumn("new", F.when(F.col("b").isNotNull(), F.round(new, digits)))
+    """Segments with b, returns, near_cut, return_cut and fade, with each interior boundary at its new place."""
+    s = segments.withColumn("new", F.when(F.col("b").isNotNull(), F.round(new_place(F.lit(snap), F.lit(refine)), digits)))
     start, end = F.coalesce("new", "start"), F.coalesce(F.lead("new").over(Window.partitionBy("clip").orderBy("seg_idx")), F.col("end"))
     return s.select("clip", "seg_idx", start.alias("start"), end.alias("end"), "state", (end - start).alias("dur"), (end - start <= 0).alias("negative_dur"))
 
@@ -115,19 +118,46 @@ def first_cuts(clips: DataFrame) -> DataFrame:
     return clips.withColumn("first", first).withColumn("method", F.nullif("method", F.lit("")))
 
 
-def decode_clips(clips: DataFrame, curve: DataFrame, threshold: float | Column, penalty: float | Column, digits: int = 3) -> DataFrame:
+def undecoded(clips: DataFrame, seeds: DataFrame, digits: int = 3) -> DataFrame:
+    """One segment for each clip without a first time, of the second label only if its method says so, and for each without samples (a seed), of the first label."""
+    single = lambda df, state: df.select("clip", F.lit(0).alias("seg_idx"), F.lit(0.0).alias("start"), F.round("dur", digits).alias("end"), state.alias("state"))
+    whole = single(clips.filter("first is null"), F.when(F.col("method") == "all_meme_no_creator", 1).otherwise(0))
+    bare = single(clips.filter("first is not null").join(seeds.select("clip"), "clip", "left_anti"), F.lit(0))
+    return whole.unionByName(bare)
+
+
+def decode_clips(clips: DataFrame, curve: DataFrame, threshold: float, penalty: float, digits: int = 3) -> DataFrame:
     """Segments (clip, seg_idx, start, end, state) of clips (clip, dur, first, method), before boundaries are placed.
 
-    A clip without a first time is one segment, of the second label only if its
-    method says so; so is one without samples, of the first label. The others
-    are decoded from their seed on and cut into runs.
+    Clips with a first time and samples are decoded from their seed on and cut
+    into runs; the others are one segment (``undecoded``).
+    """
+    cut = clips.filter("first is not null")
+    own = curve.join(cut.select("clip", "first"), "clip")
+    seeds = seed_index(own.drop("first"), cut)
+    return undecoded(clips, seeds, digits).unionByName(run_segments(runs(viterbi_states(own, threshold, penalty, seeds)), cut.select("clip", "dur"), digits))
+
+
+def decode_grid(clips: DataFrame, curve: DataFrame, points: list[tuple[float, float]], digits: int = 3) -> DataFrame:
+    """The same with g, under each (threshold, penalty) of ``points``, in one pass over the curve.
+
+    A sample gives a row only where a state changes: there a segment begins,
+    midway from the sample before it, and the one before it ends.
     """
-    whole = clips.filter("first is null").select("clip", F.lit(0).alias("seg_idx"), F.lit(0.0).alias("start"), F.round("dur", digits).alias("end"), F.when(F.col("method") == "all_meme_no_creator", 1).otherwise(0).alias("state"))
     cut = clips.filter("first is not null")
     own = curve.join(cut.select("clip", "first"), "clip")
     seeds = seed_index(own.drop("first"), cut)
-    bare = cut.join(seeds.select("clip"), "clip", "left_anti").select("clip", F.lit(0).alias("seg_idx"), F.lit(0.0).alias("start"), F.round("dur", digits).alias("end"), F.lit(0).alias("state"))
-    return whole.unionByName(bare).unionByName(run_segments(runs(viterbi_states(own, threshold, penalty, seeds)), cut.select("clip", "dur"), digits))
+    names = [f"state_{g}" for g in range(len(points))]
+    rows = viterbi_grid(own, points, seeds).withColumn("row", F.struct("t", *names))
+    rows = folded(rows, ["i"], {"prev": ("lag", "row")})
+    each = ", ".join(f"named_struct('g', {g}, 'state', {c}, 'old', prev.{c})" for g, c in enumerate(names))
+    changes = F.expr(f"filter(array({each}), x -> prev is null or x.state <> x.old)")
+    rows = rows.select("clip", "i", ((F.col("prev.t") + F.col("t")) / 2).alias("mid"), F.explode(changes).alias("x")).select("clip", "i", "mid", "x.g", "x.state")
+    w = Window.partitionBy("clip", "g").orderBy("i")
+    rows = rows.withColumn("seg_idx", F.row_number().over(w) - 1).withColumn("next", F.lead("mid").over(w)).join(cut.select("clip", "dur"), "clip")
+    rows = rows.select("clip", "g", "seg_idx", F.round(F.coalesce("mid", F.lit(0.0)), digits).alias("start"), F.round(F.coalesce("next", "dur"), digits).alias("end"), "state")
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(points) - 1)))
+    return rows.unionByName(undecoded(clips, seeds, digits).withColumn("g", every))
 
 
 def segment_clips(clips: DataFrame, curve: DataFrame, cuts: DataFrame, luma: DataFrame, config: Config = Config(), digits: int = 3) -> tuple[DataFrame, DataFrame]:

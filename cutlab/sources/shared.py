@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: What this process has kept and not yet released.
+_KEPT: list[str] = []
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -18,5 +21,15 @@ def keep(df: DataFrame) -> DataFrame:
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    _KEPT.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all that ``keep`` has written so far, once no frame that reads it is needed any more; returns how many tables."""
+    done = len(_KEPT)
+    while _KEPT:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return done

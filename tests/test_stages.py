@@ -68,6 +68,16 @@ def test_actions_give_outcomes_and_resume(spark, tmp_path):
     assert not os.path.exists(f"{folder}/out/x.mp4") and len(os.listdir(tmp_path / "out")) == 12
 
 
+def test_kept_tables_go_when_released(spark):
+    from cutlab.sources import shared
+
+    shared.release(spark)
+    kept = shared.keep(spark.range(5))
+    path = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert kept.count() == 5 and os.path.exists(path)
+    assert shared.release(spark) == 1 and not os.path.exists(path) and shared.release(spark) == 0
+
+
 def clip_tables(spark):
     """Two clips of 60 frames at a varying rate; one record has no frames."""
     pts = [0.1 * k + (0.04 if k % 3 == 1 else 0.0) for k in range(60)]
