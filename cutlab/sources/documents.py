@@ -81,35 +81,46 @@ def long_curves(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return samples, luma, cuts
 
 
+def _listed(spark: SparkSession, root: str):
+    """The file system of a dataset, and its names with their times of writing."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, place, {f.getPath().getName(): f.getModificationTime() for f in fs.listStatus(place)} if fs.exists(place) else {}
+
+
 def write_version(df: DataFrame, root: str) -> str:
     """Writes a new version of a dataset beside the old ones and makes it the current one; returns its path.
 
-    A job may read the version that it replaces: the pointer moves in one step,
-    after the new version is whole. Of two writers at once the last one to
-    finish stays current.
+    A job may read the version that it replaces. What makes a version current is
+    an empty file whose name holds a number and the version; it appears in one
+    step, after the version is whole, and is never changed. Of two writers at
+    once one is the last; none is lost.
     """
-    path = f"{root.rstrip('/')}/version={uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _replace(df.sparkSession, f"{root.rstrip('/')}/CURRENT", [path.rsplit("/", 1)[1].encode()])
-    return path
+    name = uuid.uuid4().hex
+    df.write.parquet(f"{root.rstrip('/')}/version={name}")
+    fs, place, names = _listed(df.sparkSession, root)
+    number = max((int(n.split("-")[1]) for n in names if n.startswith("current-")), default=0) + 1
+    fs.create(df.sparkSession._jvm.org.apache.hadoop.fs.Path(place, f"current-{number:012d}-{name}"), False).close()
+    return f"{root.rstrip('/')}/version={name}"
 
 
 def current_version(spark: SparkSession, root: str) -> str:
     """The path of the current version; whoever reads it goes on reading that version, whatever is written meanwhile."""
-    row = required(lambda: spark.read.text(f"{root.rstrip('/')}/CURRENT").first(), f"no version of {root} has been written")
-    return f"{root.rstrip('/')}/{row.value}"
+    names = [n for n in _listed(spark, root)[2] if n.startswith("current-")]
+    if not names:
+        raise FileNotFoundError(f"no version of {root} has been written")
+    return f"{root.rstrip('/')}/version={max(names).split('-')[2]}"
 
 
 def expire_versions(spark: SparkSession, root: str, keep: int = 2) -> int:
     """Deletes versions beyond the ``keep`` last written ones, never the current one; returns how many. Readers of a deleted version fail."""
-    current = current_version(spark, root).rsplit("/", 1)[1]
-    place = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = sorted((f.getModificationTime(), f.getPath().getName()) for f in fs.listStatus(place) if f.getPath().getName().startswith("version="))
-    old = [name for _, name in found if name != current]
-    gone = old[: max(0, len(found) - keep)]
-    for name in gone:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(place, name), True)
+    current = current_version(spark, root).rsplit("=", 1)[1]
+    fs, place, names = _listed(spark, root)
+    found = sorted((at, n.removeprefix("version=")) for n, at in names.items() if n.startswith("version="))
+    gone = [n for _, n in found if n != current][: max(0, len(found) - keep)]
+    for name in names:
+        if any(name.endswith(old) for old in gone):
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(place, name), True)
     return len(gone)
 
 
