@@ -82,7 +82,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("tokens", tokens)]
 
-#: Language ID and MinHash have no SQL form; tests hold the stages against brute force.
+#: Language ID and MinHash have no SQL form; tests plant copies, passages and junk in a small corpus and follow them through the stages.
 ORACLE_SQL = None
 
 
