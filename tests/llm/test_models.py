@@ -232,5 +232,34 @@ def test_importance_is_the_entropy_of_the_definition(spark):
     rows = [(1, 1, 1, 100)] * 16 + [(1, 1, 1, 101)] * 4 + [(1, 1, 0, f) for f in [7] * 8 + [8] * 4 + [9] * 4]
     got = site_style.node_importance(spark.createDataFrame(rows, "node long, path long, kind int, feature long")).collect()
     p = np.array([8, 4, 4]) / 16
-    own = 0.1 * -(p * np.log(p)).sum() / np.log(16) + 0.9 * (1 - (1.0 + 0.5) / 2)
+    own = 0.1 * -(p * np.log(p)).sum() / np.log(16) + 0.9 * (1 - (16 * 1.0 + 4 * 0.5) / 20)
     assert [r.node for r in got] == [1] and abs(got[0].importance - (16 * own + 8) / 24) < 1e-9
+
+
+WRAPPED = {
+    "form": "<form id=aspnetForm><div class=top><a>Home</a> <a>About us</a></div>{body}<div class=newsletter>Sign up now</div></form>",
+    "comment": "<div class=top>Our site</div><div id=content><div class='post comment'>{body}</div></div><footer>All about us</footer>",
+    "widget": "<div class='main has widget'>{body}</div><div class=sidebar>Latest offers here</div>",
+}
+
+
+@pytest.mark.parametrize("name", sorted(WRAPPED))
+def test_names_do_not_overrule_the_tree(spark, name):
+    """A form or a class that wraps the whole body does not take it away; what is named or dull inside still goes."""
+    rng = random.Random(5)
+    bodies = {k: " ".join(sentence("xx", rng, 30).split()) for k in range(30)}
+    rows = [page("wrapped.example", k, WRAPPED[name].format(body=f"<p>{t}</p>")) for k, t in bodies.items()]
+    got = {r.page_id: r.text for r in site_style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == bodies
+
+
+def test_varying_bylines_are_dull(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for k in range(40):
+        want[k] = sentence("yy", rng, 40)
+        menu = " ".join(rng.sample(["Home", "News", "Sport", "Money", "Travel", "Food"], 4))
+        byline = f"Published on {k % 28 + 1} {rng.choice(['May', 'June'])} by {sentence('xx', rng, 1)} in {rng.choice(['News', 'Sport'])}"
+        rows.append(page("byline.example", k, f"<div class=b0>{menu}</div><div class=b1>{byline}</div><div class=b2><p>{want[k]}</p></div>"))
+    got = {r.page_id: r.text for r in site_style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
