@@ -3,7 +3,12 @@
 Vectors are sorted by grid cells along their leading principal axes and cut into
 blocks. Blocks in a row form intervals, those again longer ones. The join starts
 with the longest intervals and opens only pairs of them whose bounding boxes are
-not provably further apart than epsilon, level by level down to the blocks.
+not provably further apart than epsilon, level by level down to the blocks. The
+task that gets a pair of blocks goes on likewise inside of it, down to leaves.
+
+Vectors without any structure are close on all leading axes, so that most pairs
+of blocks have to be opened. Blocks are therefore as large as memory allows: what
+is shipped falls with their size, and leaves keep the boxes narrow.
 """
 
 from __future__ import annotations
@@ -17,13 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutlab.llm.common import drop_stored, linked_heads, stored
+from cutlab.llm.common import arrow_batches, drop_stored, linked_heads, stored
 from cutlab.llm.components import connected_components
 
 #: Leading principal dimensions that order the grid and bound the blocks.
 GRID_DIMS = 8
-#: Vectors in a block, the shortest interval of the sorted sequence.
-BLOCK = 256
+#: Vectors in a block, the shortest interval that is shipped, and their bytes; vectors in a leaf, the shortest one that is compared.
+BLOCK, BLOCK_BYTES, LEAF = 4096, 1 << 21, 256
+#: Pairs of blocks that a Python worker gets at once.
+PAIRS_AT_ONCE = 4
+#: Longer vectors have their axes along their first components, so that the driver gets a bounded number of sums.
+AXES_DIMS = 512
 #: An interval holds 2 ** FAN_BITS intervals of the level below.
 FAN_BITS = 4
 
@@ -52,19 +61,21 @@ def _unit_vectors(rows: DataFrame) -> DataFrame:
 
 
 def _principal_axes(units: DataFrame, dim: int, k: int) -> np.ndarray:
-    """The k leading principal axes of all vectors with ``dim`` parts; the driver gets dim * (dim + 1) + 1 sums."""
+    """The k leading principal axes of all vectors with ``dim`` parts, along the first AXES_DIMS ones; the driver gets a sum for each two of those."""
+    whole, dim = dim, min(dim, AXES_DIMS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(dim * dim + dim + 1)
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("unit").to_pylist()), np.float64).reshape(-1, dim)
+            x = np.frombuffer(b"".join(batch.column("unit").to_pylist()), np.float64).reshape(-1, whole)[:, :dim]
             total += np.concatenate(((x.T @ x).ravel(), x.sum(axis=0), [len(x)]))
         yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(total), dtype=np.int32)), "v": pa.array(total)})
 
-    sums = units.filter(F.col("dim") == dim).select("unit").mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toPandas()["v"].to_numpy()
+    sums = units.filter(F.col("dim") == whole).select("unit").mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toPandas()["v"].to_numpy()
     n = max(1.0, sums[-1])
     mean = sums[dim * dim : -1] / n
-    return np.linalg.eigh(sums[: dim * dim].reshape(dim, dim) / n - np.outer(mean, mean))[1][:, ::-1][:, :k]
+    axes = np.linalg.eigh(sums[: dim * dim].reshape(dim, dim) / n - np.outer(mean, mean))[1][:, ::-1][:, :k]
+    return np.pad(axes, ((0, whole - dim), (0, 0)))
 
 
 def _placed(classes: DataFrame, axes: dict[int, np.ndarray], epsilon: float) -> DataFrame:
@@ -86,7 +97,7 @@ def _placed(classes: DataFrame, axes: dict[int, np.ndarray], epsilon: float) ->
 
 
 def _blocks(placed: DataFrame) -> DataFrame:
-    """Cuts the epsilon grid order into blocks of at most BLOCK vectors of one label and length, with their bounding boxes.
+    """Cuts the epsilon grid order into blocks of at most BLOCK vectors and BLOCK_BYTES of one label and length, with their bounding boxes.
 
     (part, number) is the place of a block: the range of the sequence that a task held, and the block's number in it.
     """
@@ -101,13 +112,13 @@ def _blocks(placed: DataFrame) -> DataFrame:
             columns = {
                 "part": pa.array([held[0][4]], pa.int64()), "number": pa.array([number], pa.int64()), "label": pa.array([key[0]], pa.string()), "dim": pa.array([key[1]], pa.int32()),
                 "lo": pa.array([places.min(axis=0)], pa.list_(pa.float64())), "hi": pa.array([places.max(axis=0)], pa.list_(pa.float64())),
-                "ids": pa.array([np.array([h[0] for h in held], np.int64).tobytes()], pa.binary()), "counts": pa.array([np.array([h[1] for h in held], np.int64).tobytes()], pa.binary()), "units": pa.array([b"".join(h[3] for h in held)], pa.binary()),
+                "ids": pa.array([np.array([h[0] for h in held], np.int64).tobytes()], pa.binary()), "counts": pa.array([np.array([h[1] for h in held], np.int64).tobytes()], pa.binary()), "units": pa.array([b"".join(h[3] for h in held)], pa.binary()), "places": pa.array([places.tobytes()], pa.binary()),
             }
             return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
             for cid, n, label, dim, place, unit, part in zip(*(batch.column(c).to_pylist() for c in ("cid", "n", "label", "dim", "place", "unit", "part"))):
-                if held and ((label, dim) != key or len(held) == BLOCK):
+                if held and ((label, dim) != key or len(held) >= max(1, min(BLOCK, BLOCK_BYTES // (8 * dim)))):
                     yield block()
                     number, held = number + 1, []
                 key = (label, dim)
@@ -115,7 +126,7 @@ def _blocks(placed: DataFrame) -> DataFrame:
         if held:
             yield block()
 
-    return rows.mapInArrow(run, "part long, number long, label string, dim int, lo array<double>, hi array<double>, ids binary, counts binary, units binary")
+    return rows.mapInArrow(run, "part long, number long, label string, dim int, lo array<double>, hi array<double>, ids binary, counts binary, units binary, places binary")
 
 
 _LO, _HI = [f"lo{i}" for i in range(GRID_DIMS)], [f"hi{i}" for i in range(GRID_DIMS)]
@@ -152,33 +163,55 @@ def _near_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
     return found.select("a", "b")
 
 
-def _links(pairs: DataFrame, blocks: DataFrame, cosine: float) -> DataFrame:
-    """(id, linked, root): for every class of a block pair with a link in it, the vectors it links with there, and the head of its connected part."""
+def _boxes(places: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """The corners of the boxes around each ``leaf`` places in a row."""
+    at = np.arange(0, len(places), leaf)
+    return np.minimum.reduceat(places, at), np.maximum.reduceat(places, at)
+
+
+def _near_leaves(a: np.ndarray, b: np.ndarray, same: bool, epsilon: float, leaf: int) -> list[tuple[int, int]]:
+    """Pairs of leaves of two blocks, by their places, that are not provably further apart than epsilon."""
+    (lo_a, hi_a), (lo_b, hi_b) = _boxes(a, leaf), _boxes(b, leaf)
+    gaps = np.maximum(np.maximum(lo_a[:, None] - hi_b[None], lo_b[None] - hi_a[:, None]), 0.0)
+    near = (gaps * gaps).sum(axis=2) <= epsilon * epsilon
+    return [(int(i), int(j)) for i, j in np.argwhere(np.triu(near) if same else near)]
+
+
+def _links(pairs: DataFrame, blocks: DataFrame, cosine: float, epsilon: float) -> DataFrame:
+    """(id, linked, root): for every class of a pair of leaves with a link in it, the vectors it links with there, and the head of its connected part."""
+
+    leaf = LEAF
+
+    def met(r: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        side = {}
+        for s in "ab":
+            ids = np.frombuffer(r[f"ids_{s}"], np.int64)
+            side[s] = (ids, np.frombuffer(r[f"counts_{s}"], np.int64), np.frombuffer(r[f"units_{s}"], np.float64).reshape(len(ids), -1), np.frombuffer(r[f"places_{s}"], np.float64).reshape(len(ids), -1))
+        same = r["a"] == r["b"]
+        for i, j in _near_leaves(side["a"][3], side["b"][3], same, epsilon, leaf):
+            ids_a, n_a, x, _ = (v[i * leaf : (i + 1) * leaf] for v in side["a"])
+            ids_b, n_b, y, _ = (v[j * leaf : (j + 1) * leaf] for v in side["b"])
+            near = x @ y.T >= cosine
+            itself = same and i == j
+            if itself:
+                np.fill_diagonal(near, False)
+            if not near.any():
+                continue
+            rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            near = near[np.ix_(rows, columns)]
+            head_a, head_b = linked_heads(near, ids_a[rows], ids_b[columns])
+            yield ids_a[rows], near @ n_b[columns], head_a
+            if not itself:
+                yield ids_b[columns], near.T @ n_a[rows], head_b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for row in range(batch.num_rows):
-                r = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-                ids_a, ids_b = np.frombuffer(r["ids_a"], np.int64), np.frombuffer(r["ids_b"], np.int64)
-                x, y = np.frombuffer(r["units_a"], np.float64).reshape(len(ids_a), -1), np.frombuffer(r["units_b"], np.float64).reshape(len(ids_b), -1)
-                near = x @ y.T >= cosine
-                if r["a"] == r["b"]:
-                    np.fill_diagonal(near, False)
-                if not near.any():
-                    continue
-                rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-                near = near[np.ix_(rows, columns)]
-                ids_a, ids_b = ids_a[rows], ids_b[columns]
-                n_a, n_b = np.frombuffer(r["counts_a"], np.int64)[rows], np.frombuffer(r["counts_b"], np.int64)[columns]
-                head_a, head_b = linked_heads(near, ids_a, ids_b)
-                found.append((ids_a, near @ n_b, head_a))
-                if r["a"] != r["b"]:
-                    found.append((ids_b, near.T @ n_a, head_b))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["id", "linked", "root"])
-
-    side = lambda s: blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "counts", "units")])
+                found = list(met({c: batch.column(c)[row].as_py() for c in batch.schema.names}))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["id", "linked", "root"])
+
+    side = lambda s: blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "counts", "units", "places")])
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "id long, linked long, root long")
 
 
@@ -196,8 +229,8 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     counts with its size. On unit vectors the limit is a distance epsilon. They
     are sorted by grid cells of side epsilon along leading principal axes and
     joined interval by interval (``_near_pairs``). A task handles one pair of
-    blocks at a time and returns counts and the heads of connected parts, never
-    the links one by one.
+    blocks at a time, of BLOCK_BYTES each however long the vectors are, and
+    returns counts and the heads of connected parts, never the links one by one.
     """
     epsilon = math.sqrt(2 - 2 * cosine) * (1 + 1e-9)
     source = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("vector"))
@@ -211,7 +244,8 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     blocks = stored(_blocks(_placed(classes.select("cid", "n", "label", "dim", "unit"), axes, epsilon)))
     bits = int(blocks.agg(F.max("number")).first()[0]).bit_length()
     blocks = blocks.withColumn("block", F.shiftleft("part", bits) + F.col("number"))
-    links = stored(_links(_near_pairs(blocks, epsilon), blocks, cosine))
+    with arrow_batches(rows.sparkSession, PAIRS_AT_ONCE):
+        links = stored(_links(_near_pairs(blocks, epsilon), blocks, cosine, epsilon))
     component = connected_components(links, "id", "root").withColumnRenamed("id", "cid")
     counts = links.groupBy(F.col("id").alias("cid")).agg(F.sum("linked").alias("linked"))
 

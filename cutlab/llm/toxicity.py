@@ -33,8 +33,8 @@ SAMPLE_LONGEST = 40_000
 #: Bytes of the ordinary dictionary, those that the toxic one may have (calibration picks), and of the segments that it is made of.
 ORDINARY_BYTES, TOXIC_SIZES, TOXIC_SEGMENT = 110_000, (1024, 2048, 4096), 16
 LEVEL = 12
-#: Words in a window.
-WINDOW = 8
+#: Words in a window, and characters in one where blanks are further apart than that, as in Chinese or Japanese.
+WINDOW, LONG_WORD = 8, 40
 #: The share of toxic texts' windows that each round trains on, first by how badly the ordinary dictionary compresses them.
 FIRST_SHARE, SHARES = 0.5, (0.3, 0.2, 0.2, 0.15, 0.12)
 #: Gains in bytes over which windows are counted; calibration gives each count its weight.
@@ -51,9 +51,20 @@ class Model:
 
 
 def windows(text: str) -> list[bytes]:
-    """WINDOW lower-cased words each, with blanks around them."""
-    words = text.lower().split()
-    return [f" {' '.join(words[i : i + WINDOW])} ".encode("utf-8", "replace") for i in range(0, len(words), WINDOW)]
+    """WINDOW lower-cased words each, with blanks around them; longer words than LONG_WORD are cut into windows of their own."""
+    found: list[str] = []
+    held: list[str] = []
+    for word in text.lower().split():
+        if held and (len(word) > LONG_WORD or len(held) == WINDOW):
+            found.append(" ".join(held))
+            held = []
+        if len(word) > LONG_WORD:
+            found.extend(word[i : i + LONG_WORD] for i in range(0, len(word), LONG_WORD))
+        else:
+            held.append(word)
+    if held:
+        found.append(" ".join(held))
+    return [f" {w} ".encode("utf-8", "replace") for w in found]
 
 
 def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
@@ -184,7 +195,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(id, score, predicted) for every row: the calibrated probability, and 1 where it is at least a half.
 
     Null and empty texts are scored like any other: no window counts, so they
-    get the calibrated base score. Repeated rows get the same score each, null
+    get the calibrated base score. Texts of any length are scored whole, with or
+    without blanks. Repeated rows get the same score each, null
     ids stay, and an empty table gives no rows. One narrow stage; the model is
     broadcast, and the two dictionaries have a fixed size.
     """

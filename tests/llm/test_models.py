@@ -45,6 +45,8 @@ def test_toxicity_on_held_out_rows(spark):
     fresh = [(out[i].predicted, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([p == y for p, y in fresh]) > 0.95
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out.values()) and len(out) == 4003
+    assert toxicity.windows("語" * 55_000) == [f" {'語' * n} ".encode() for n in [toxicity.LONG_WORD] * (55_000 // toxicity.LONG_WORD) + [55_000 % toxicity.LONG_WORD] * (55_000 % toxicity.LONG_WORD > 0)]
+    assert toxicity.windows("a " * 9 + "b" * 50 + " C") == [b" a a a a a a a a ", b" a ", b" " + b"b" * 40 + b" ", b" " + b"b" * 10 + b" ", b" c "]
     none = toxicity.fit(docs, labels.limit(0))
     assert {r.predicted for r in toxicity.score(docs.limit(5), none).collect()} == {0}
     assert toxicity.score(docs.limit(0), none).count() == 0
@@ -73,10 +75,12 @@ def brute_vectors(rows, limit):
     return sorted((i, n, c, c == i) for i, n, c in found)
 
 
-@pytest.mark.parametrize("block", [256, 7])
-def test_near_vectors_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, leaf", [(4096, 256), (4096, 5), (7, 256), (30, 4)])
+def test_near_vectors_equal_brute_force(spark, monkeypatch, block, leaf):
     rng = np.random.default_rng(3)
     monkeypatch.setattr(ego_join, "BLOCK", block)
+    monkeypatch.setattr(ego_join, "LEAF", leaf)
+    monkeypatch.setattr(ego_join, "AXES_DIMS", 16 if leaf > 4 else 10)
     rows = []
     for c in range(25):
         centre = rng.normal(size=16)
@@ -112,6 +116,16 @@ def test_distant_intervals_are_never_opened(spark, monkeypatch):
     assert seen[0][0] >= n / 4 and seen[0][1] < 10 * seen[0][0]
 
 
+def test_near_leaves_hold_all_near_places():
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(900, 8)) * 0.3, rng.normal(size=(700, 8)) * 0.3
+    a, b = a[a[:, 0].argsort()], b[b[:, 0].argsort()]
+    near = np.argwhere(((a[:, None] - b[None]) ** 2).sum(axis=2) <= 0.2**2) // 64
+    found = set(ego_join._near_leaves(a, b, False, 0.2, 64))
+    assert {tuple(p) for p in near.tolist()} <= found and len(found) < 15 * 11
+    assert all(i <= j for i, j in ego_join._near_leaves(a, a, True, 0.2, 64))
+
+
 def test_near_vectors_of_nothing(spark):
     assert ego_join.near_vectors(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
     odd = spark.createDataFrame([(1, None, [1.0])], "vec_id long, label int, embedding array<float>")
