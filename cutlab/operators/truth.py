@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,13 +93,40 @@ def latest_flags(toggles: DataFrame) -> DataFrame:
     return top.select("clip", F.when(F.col("l.n") % 2 == 1, F.col("l.flag")).alias("flag"))
 
 
-def _normal(cuts: list[float]) -> list[float]:
-    s = sorted(max(0.0, round(c, 3)) for c in cuts)
-    return [c for i, c in enumerate(s) if i == 0 or c - s[i - 1] > LEAST_GAP]
-
-
-def _guess(n: int, pattern: str) -> str:
-    return PATTERNS[min(n, 3) - 1] if n else pattern if pattern.startswith("all") else ""
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def normal_cuts(cuts: Column) -> Column:
+    """An array of times as ``normalise_events`` leaves it: sorted, rounded, not negative, without repeats; null times are dropped."""
+    known = F.filter(cuts, lambda c: c.isNotNull() & ~F.isnan(c))
+    tidy = F.array_sort(F.transform(known, lambda c: F.greatest(F.round(c, 3), F.lit(0.0))))
+    return _once(tidy, lambda s: F.filter(s, lambda c, i: (i == 0) | (c - F.get(s, i - 1) > LEAST_GAP)))
+
+
+def _edited(state: Column, edit: Column, reference: Column) -> Column:
+    """The state (cuts, edited, pattern) after one edit."""
+    cuts, at, value = state["cuts"], edit["index"], edit["value"]
+    empty = F.array().cast("array<double>")
+    op = F.when((edit["op"] == "set") & value.isNull(), "remove").otherwise(F.coalesce(edit["op"], F.lit("")))
+    here = F.coalesce((at >= 0) & (at < F.size(cuts)), F.lit(False))
+    whole = F.coalesce(edit["text"].startswith("all"), F.lit(False))
+    idle = (op.isin("nudge", "set", "remove") & ~here) | (op.isin("add", "nudge") & value.isNull())
+    with_one = lambda f: F.transform(cuts, lambda c, i: F.when(i == at, f(c)).otherwise(c))
+    raw = (
+        F.when(op == "add", F.concat(cuts, F.array(value)))
+        .when(op == "nudge", with_one(lambda c: c + value))
+        .when(op == "set", with_one(lambda c: value))
+        .when(op == "remove", F.filter(cuts, lambda c, i: i != at))
+        .when(op == "copy", F.when(reference.isNotNull(), F.array(reference)).otherwise(empty))
+        .when((op == "clear") | ((op == "pattern") & whole), empty)
+    )
+    changed = F.coalesce(normal_cuts(raw), cuts)
+    pattern = lambda c: F.when(op == "pattern", F.coalesce(edit["text"], F.lit(""))).when(op.isin("add", "remove", "clear", "copy"), predict_pattern(F.size(c), state["pattern"])).otherwise(state["pattern"])
+    after = _once(changed, lambda c: F.struct(c.alias("cuts"), F.lit(True).alias("edited"), pattern(c).alias("pattern")))
+    mark_off = F.struct(cuts.alias("cuts"), F.lit(False).alias("edited"), state["pattern"].alias("pattern"))
+    return F.when(op == "reset", mark_off).when(idle, state).otherwise(after)
 
 
 def apply_edits(clips: DataFrame, edits: DataFrame) -> DataFrame:
@@ -112,43 +136,26 @@ def apply_edits(clips: DataFrame, edits: DataFrame) -> DataFrame:
     (index, seconds), set (index, seconds; without a value it removes), remove
     (index), clear, pattern (text; one for the whole clip clears the cuts), copy
     (the reference's cut, or none), reset. All normalise, and mark the clip
-    edited; add, remove, clear and copy guess the pattern anew. An index out of
-    range does nothing. Reset takes the mark off and leaves the cuts. A clip's
-    edits are a hand-made list, so one group is small.
+    edited; add, remove, clear and copy guess the pattern anew. Any other op, a
+    null one too, is an edit of another field: it marks the clip. An index out
+    of range does nothing, nor does a null or NaN value to add or nudge by.
+    Reset takes the mark off and leaves the cuts. Edits at the same place go by
+    op, index, value and text. Null cuts are none, a null mark is off, a null
+    pattern or text empty; a null clip has no edits, edits of unknown clips are left out.
+
+    A clip's edits are a hand-made list: they are put in order in one array, and
+    a fold over it, whose state is the clip's labels, makes every step.
     """
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame({"clip": [], "cuts": [], "edited": [], "pattern": []}, dtype=object)
-        own = left.iloc[0]
-        cuts, edited, pattern = [] if own["cuts"] is None else [float(c) for c in own["cuts"]], bool(own["edited"]), own["pattern"] or ""
-        for e in right.sort_values("pos").itertuples():
-            i = int(e.index_) if pd.notna(e.index_) else -1
-            here, value = 0 <= i < len(cuts), float(e.value) if pd.notna(e.value) else None
-            op = "remove" if e.op == "set" and value is None else e.op
-            if op == "reset":
-                edited = False
-                continue
-            if op in ("nudge", "set", "remove") and not here or op == "add" and value is None:
-                continue
-            if op == "add":
-                cuts = _normal([*cuts, value])
-            elif op in ("nudge", "set"):
-                cuts = _normal([*cuts[:i], value + (cuts[i] if op == "nudge" else 0.0), *cuts[i + 1 :]])
-            elif op == "remove":
-                cuts = _normal(cuts[:i] + cuts[i + 1 :])
-            elif op == "clear" or (op == "pattern" and str(e.text).startswith("all")):
-                cuts = []
-            elif op == "copy":
-                cuts = _normal([float(own["reference"])]) if pd.notna(own["reference"]) else []
-            if op == "pattern":
-                pattern = e.text
-            elif op in ("add", "remove", "clear", "copy"):
-                pattern = _guess(len(cuts), pattern)
-            edited = True
-        return pd.DataFrame({"clip": [own["clip"]], "cuts": [cuts], "edited": [edited], "pattern": [pattern]})
-
-    kind = clips.schema["clip"].dataType.simpleString()
-    right = edits.select("clip", "pos", "op", F.col("index").alias("index_"), "value", "text")
-    left = clips.select("clip", "cuts", "edited", "pattern", "reference")
-    return left.groupBy("clip").cogroup(right.groupBy("clip")).applyInPandas(run, f"clip {kind}, cuts array<double>, edited boolean, pattern string")
+    value = F.col("value").cast("double")
+    # Nulls in an ordered struct come first; a value that is not a number counts as none.
+    rows = edits.select("clip", F.struct("pos", "op", F.col("index").cast("int").alias("index"), F.when(~F.isnan(value), value).alias("value"), "text").alias("edit"))
+    lists = rows.groupBy("clip").agg(F.array_sort(F.collect_list("edit")).alias("steps"))
+    reference = F.col("reference").cast("double")
+    joined = clips.select(
+        F.col("clip"), F.coalesce("cuts", F.array()).cast("array<double>").alias("cuts"), F.coalesce("edited", F.lit(False)).alias("edited"),
+        F.coalesce("pattern", F.lit("")).alias("pattern"), F.when(~F.isnan(reference), reference).alias("reference"),
+    ).join(lists, "clip", "left")
+    begin = F.struct("cuts", "edited", "pattern")
+    # Whoever has no edits stays as it is.
+    end = F.when(F.col("steps").isNull(), begin).otherwise(F.aggregate("steps", begin, lambda state, edit: _edited(state, edit, F.col("reference"))))
+    return joined.select("clip", end.alias("end")).select("clip", "end.cuts", "end.edited", "end.pattern")

@@ -966,9 +966,25 @@ def flag_toggles(spark, d):
     return truth.latest_flags(table(spark, d, "conversations").select(F.col("conv_id").alias("clip"), F.col("turn").alias("pos"), flag.alias("flag")))
 
 
-@query()
+# Every step of a clip's edits is a step of the recursion; ``raw`` is the list that an edit makes, before it is normalised.
+EDITED = """ops AS (SELECT conv_id AS clip, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, CASE length(text) % 11 % 8 WHEN 0 THEN 'add' WHEN 1 THEN 'nudge' WHEN 2 THEN 'remove' WHEN 3 THEN 'set'
+        WHEN 4 THEN 'pattern' WHEN 5 THEN 'copy' WHEN 6 THEN 'clear' ELSE 'reset' END AS op, turn % 3 + 1 AS at_, CAST(length(text) % 50 AS DOUBLE) AS val, CASE WHEN turn % 2 = 0 THEN 'all meme' ELSE 'person->meme' END AS name FROM conversations),
+step AS (SELECT clip, CAST(0 AS BIGINT) AS k, truth AS cuts, false AS edited, 'person->meme' AS pattern, CASE WHEN clip % 2 = 0 THEN pred[1] END AS ref FROM lists
+    UNION ALL SELECT clip, k, cuts, edited, CASE WHEN op = 'pattern' THEN name WHEN op IN ('add', 'remove', 'clear', 'copy') AND NOT idle THEN CASE WHEN len(cuts) = 1 THEN 'person->meme' WHEN len(cuts) = 2 THEN 'person->meme->person'
+            WHEN len(cuts) > 2 THEN 'person->meme->person->meme' WHEN pattern LIKE 'all%' THEN pattern ELSE '' END ELSE pattern END AS pattern, ref
+        FROM (SELECT clip, k, op, name, idle, pattern, ref, CASE WHEN op = 'reset' THEN false ELSE edited OR NOT idle END AS edited,
+                CASE WHEN idle OR raw IS NULL THEN cuts ELSE [sorted_[j] FOR j IN range(1, len(sorted_) + 1) IF j = 1 OR sorted_[j] - sorted_[j - 1] > 0.0005] END AS cuts
+            FROM (SELECT *, list_sort([greatest(round(x, 3), 0.0::DOUBLE) FOR x IN raw]) AS sorted_
+                FROM (SELECT s.clip, o.k, o.op, o.name, s.cuts, s.edited, s.pattern, s.ref, o.op IN ('nudge', 'set', 'remove') AND at_ > len(cuts) AS idle,
+                        CASE o.op WHEN 'add' THEN list_append(cuts, val) WHEN 'nudge' THEN list_append(cuts[:at_ - 1], cuts[at_] + val) || cuts[at_ + 1:] WHEN 'set' THEN list_append(cuts[:at_ - 1], val) || cuts[at_ + 1:]
+                            WHEN 'remove' THEN cuts[:at_ - 1] || cuts[at_ + 1:] WHEN 'copy' THEN CASE WHEN ref IS NULL THEN CAST([] AS DOUBLE[]) ELSE [ref] END WHEN 'clear' THEN CAST([] AS DOUBLE[])
+                            WHEN 'pattern' THEN CASE WHEN name LIKE 'all%' THEN CAST([] AS DOUBLE[]) END END AS raw
+                    FROM step s JOIN ops o ON o.clip = s.clip AND o.k = s.k + 1))))"""
+
+
+@query(f"WITH RECURSIVE {CURVE}, {LISTS}, {EDITED} SELECT clip, edited, pattern, len(cuts) AS n, round(coalesce(list_sum(cuts), 0.0), 3) AS cut_sum FROM step QUALIFY row_number() OVER (PARTITION BY clip ORDER BY k DESC) = 1")
 def apply_edits(spark, d):
-    """Ordered edits of hand labels, a fold in Python per clip."""
+    """Ordered edits of hand labels, folded in the clip's own list."""
     lists = cut_lists(spark, d).select("clip", F.col("truth").alias("cuts"), F.lit(False).alias("edited"), F.lit("person->meme").alias("pattern"), F.when(F.col("clip") % 2 == 0, F.get("pred", F.lit(0))).alias("reference"))
     ops = ["add", "nudge", "remove", "set", "pattern", "copy", "clear", "reset"]
     op = F.element_at(F.array(*map(F.lit, ops)), (F.length("text") % 11 % 8 + 1).cast("int"))

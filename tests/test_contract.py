@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from cutlab.plans.queries import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-CHEAP = ["threshold_flags", "viterbi_segments", "greedy_match", "normalize_events", "split_plan", "best_per_group"]
+CHEAP = ["threshold_flags", "viterbi_segments", "greedy_match", "normalize_events", "split_plan", "best_per_group", "apply_edits"]
 
 
 def test_every_query_is_registered():

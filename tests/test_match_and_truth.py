@@ -83,6 +83,19 @@ def test_edits(spark):
     assert got == {c: edited_by_hand(cuts, ops[c], ref) for c, (cuts, ref) in clips.items()}
 
 
+def test_edits_of_nulls_and_of_nothing(spark):
+    schema = "clip string, cuts array<double>, edited boolean, pattern string, reference double"
+    df = spark.createDataFrame([("a", None, None, None, None), ("b", [1.0], True, "p", float("nan")), (None, [2.0], False, "p", 1.0), ("c", [3.0], False, "p", 1.0)], schema)
+    rows = [("a", 0, "add", None, None, None), ("a", 1, None, None, None, None), ("b", 0, "add", None, float("nan"), None), ("b", 1, "copy", None, None, None), ("b", 2, "pattern", None, None, None), (None, 0, "clear", None, None, None), ("z", 0, "clear", None, None, None)]
+    edits = spark.createDataFrame(rows, "clip string, pos int, op string, index int, value double, text string")
+    got = {r.clip: (r.cuts, r.edited, r.pattern) for r in truth.apply_edits(df, edits).collect()}
+    assert got == {"a": ([], True, ""), "b": ([], True, ""), None: ([2.0], False, "p"), "c": ([3.0], False, "p")}
+    assert truth.apply_edits(df.limit(0), edits).count() == 0 and truth.apply_edits(df, edits.limit(0)).count() == 4
+    # Equal places go by op and value, whatever the order of rows.
+    ties = [("c", 0, "add", None, v, None) for v in (9.0, 3.0004, 5.0)] + [("c", 0, "add", None, 5.0, None)]
+    assert truth.apply_edits(df, spark.createDataFrame(ties, edits.schema)).filter("clip = 'c'").first().cuts == [3.0, 5.0, 9.0]
+
+
 def test_flags_toggle(spark):
     t = [("a", 0, "ok"), ("a", 1, "ok"), ("b", 0, "ok"), ("b", 1, "bad"), ("c", 0, "ok"), ("c", 1, "ok"), ("c", 2, "ok")]
     got = {r.clip: r.flag for r in truth.latest_flags(spark.createDataFrame(t, "clip string, pos int, flag string")).collect()}
