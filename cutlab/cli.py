@@ -1,4 +1,4 @@
-"""Command line over the documents that the stages exchange: relabel, curves, segment, evaluate, sweep, inspect, split, report."""
+"""Command line over the documents that the stages exchange: relabel, curves, segment, evaluate, sweep, inspect, split, report, blank, debug."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutlab.functions.text import short_id
-from cutlab.operators import curves, identity, match, place, relabel, report, series
+from cutlab.operators import curves, identity, match, place, relabel, report, series, truth
 from cutlab.plans.sweep import sweep
 from cutlab.sources import documents as D
 from cutlab.sources.shared import keep
@@ -102,6 +102,18 @@ def do_relabel(spark: SparkSession, a: argparse.Namespace) -> None:
     D.write_document(out.orderBy("clip"), a.out, optional=("qa_image", "error", "face_error"))
     report.counts_by(out, "method", "clip").show(truncate=False)
     one.select("n", "n_inliers", "coverage").show()
+    if a.truth:
+        graded = keep(against_truth(records, out, truth_of(spark, a.truth)))
+        match.grade_totals(graded).show(truncate=False)
+        match.first_flips(graded).select("clip", "old", "new", "true").show(40, truncate=False)
+
+
+def against_truth(old: DataFrame, new: DataFrame, known: DataFrame) -> DataFrame:
+    """(pos, clip, old, new, true, grade, flipped) of each record: the cut before, after, and the first true one."""
+    cut = lambda rows, name: rows.select("clip", F.col("transition_sec").alias(name))
+    rows = cut(new, "new").join(cut(old, "old"), "clip", "left").select(F.col("clip").alias("pos"), short_id(F.col("clip")).alias("clip"), "old", "new")
+    rows = rows.join(known.select("clip", F.get(match.truth_cuts(F.col("cuts"), F.col("cut")), F.lit(0)).alias("true")), "clip", "left")
+    return rows.select("*", match.grade(F.col("true"), F.col("new")).alias("grade"), match.flipped(F.col("old"), F.col("new")).alias("flipped"))
 
 
 def long_shots(records: DataFrame) -> DataFrame:
@@ -138,11 +150,28 @@ def do_report(spark: SparkSession, a: argparse.Namespace) -> None:
     report.by_section(r.withColumn("section", report.section(F.col("verdict"), F.col("cut"), F.col("n_shots")))).show(a.most, truncate=False)
 
 
+def do_blank(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The first version of the labels stays beside them; running it again changes nothing."""
+    document = keep(D.required(lambda: D.read_rows(spark, f"{a.folder}/{a.name}", D.TRUTH), f"no labels at {a.folder}/{a.name}"))
+    truth.blanking_counts(document.select(F.inline("clips"))).show()
+    D.save_truth(truth.blanked_document(document), a.folder, a.name, (a.name,))
+
+
+def do_debug(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A folder of JSON lines that says what to draw on each frame. Tables as for relabel, frames with a row a frame in ``every``: (clip, idx, fps)."""
+    records = D.required(lambda: D.read_rows(spark, a.transitions, D.TRANSITIONS), f"no records at {a.transitions}: run the detection first")
+    faces, frames, every = (spark.read.parquet(p) for p in (a.faces, a.frames, a.every))
+    one = keep(identity.enrol(faces.join(records.select("clip"), "clip", "left_semi"), frames))
+    chosen = D.only(records.select("clip", short_id(F.col("clip")).alias("short")), a.only, a.limit, "short").select("clip")
+    seen = identity.face_similarities(faces.join(chosen, "clip", "left_semi"), one)
+    D.write_documents(identity.overlay(every.join(chosen, "clip", "left_semi"), seen, a.threshold, a.stride), a.out)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="cutlab", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
 
-    def command(name: str, act, *paths: str, **options) -> None:
+    def command(name: str, act, /, *paths: str, **options) -> None:
         c = sub.add_parser(name)
         c.set_defaults(act=act)
         for path in paths:
@@ -156,7 +185,7 @@ def parser() -> argparse.ArgumentParser:
             else:
                 c.add_argument(flag, type=type(default), default=default)
 
-    command("relabel", do_relabel, "transitions", "clips", "frames", "faces", "out", second="", threshold=0.35, frames_per_shot=3, no_soft=False, no_second=False, min_det_score=0.0, min_face_frac=0.0, limit=0)
+    command("relabel", do_relabel, "transitions", "clips", "frames", "faces", "out", second="", truth="", threshold=0.35, frames_per_shot=3, no_soft=False, no_second=False, min_det_score=0.0, min_face_frac=0.0, limit=0)
     command("curves", do_curves, "transitions", "frames", "scores", "luma", "out", table="", sample_fps=10.0, luma_fps=15.0)
     command("segment", do_segment, "curves", "base", "out-segments", "out-transitions", threshold=0.32, penalty=1.0, snap_window=0.35, no_snap=False, no_refine=False)
     command("evaluate", do_evaluate, "truth", "segments", "transitions", tolerance=0.5, rule="flips", most=1000)
@@ -164,6 +193,8 @@ def parser() -> argparse.ArgumentParser:
     command("inspect", do_inspect, "curves", "truth", "clip")
     command("split", do_split, "segments", "clips", "out", only=[], limit=0)
     command("report", do_report, "transitions", "verification", most=1000)
+    command("blank", do_blank, "folder", name="ground_truth.json")
+    command("debug", do_debug, "transitions", "frames", "every", "faces", "out", threshold=0.35, stride=2, only=[], limit=0)
     return p
 
 

@@ -117,10 +117,46 @@ def enrol(faces: DataFrame, clips: DataFrame, at: float = 1.0, **options) -> Dat
     return trimmed_centroid(seen.join(largest, ["clip", "face_no"]).select("embedding"), [], **options)
 
 
+def face_similarities(faces: DataFrame, identity: DataFrame) -> DataFrame:
+    """Faces with sim, the similarity to the one row of ``identity``; none without that row."""
+    return faces.crossJoin(F.broadcast(identity.select("centroid"))).withColumn("sim", similarity(F.col("embedding"), F.col("centroid"))).drop("centroid")
+
+
 def frame_scores(faces: DataFrame, identity: DataFrame) -> DataFrame:
     """(clip, idx, sim): the highest similarity of each frame's faces to the one row of ``identity``, at least 0; frames without faces have no row."""
-    seen = faces.crossJoin(F.broadcast(identity.select("centroid")))
-    return seen.groupBy("clip", "idx").agg(F.max(similarity(F.col("embedding"), F.col("centroid"))).alias("sim"))
+    return face_similarities(faces, identity).groupBy("clip", "idx").agg(F.max("sim").alias("sim"))
+
+
+def similarity_colour(sim: Column, threshold: float = 0.35, band: float = 0.10) -> Column:
+    """green from the threshold on, yellow within ``band`` below it, else red (a null or NaN similarity too)."""
+    known = F.when(~F.isnan(sim), sim)
+    return F.when(known >= threshold, "green").when(known >= threshold - band, "yellow").otherwise("red")
+
+
+def overlay(frames: DataFrame, faces: DataFrame, threshold: float = 0.35, stride: int = 2, band: float = 0.10) -> DataFrame:
+    """What to draw on each frame: (clip, idx, t, boxes, best, label, caption).
+
+    frames: clip, idx, fps; faces: clip, idx, face_no, bbox, sim. Faces are
+    looked at on every ``stride``-th frame, and the frames up to the next one
+    hold them. boxes are ordered by face_no, equal ones by bbox and similarity, each with its
+    colour and the similarity as text; best is the highest one, at least 0, and ``CREATOR``
+    from the threshold on, else ``meme``. A frame without faces has no boxes.
+    A missing or zero rate counts as 25. A similarity that is null or NaN is
+    drawn as 0. Frames in the outcome are as many as given.
+
+    A frame's boxes are one small group; frames meet them by (clip, frame looked
+    at), one shuffle of each side.
+    """
+    sim = F.coalesce(F.when(~F.isnan("sim"), F.col("sim")), F.lit(0.0))
+    box = F.struct("face_no", "bbox", sim.alias("sim"), similarity_colour(sim, threshold, band).alias("colour"), F.format_string("%.2f", sim).alias("text"))
+    seen = faces.filter(F.col("idx") % stride == 0).groupBy("clip", F.col("idx").alias("from")).agg(F.array_sort(F.collect_list(box)).alias("boxes"), F.max(sim).alias("top"))
+    rate = F.coalesce(F.when(F.col("fps") > 0, F.col("fps")), F.lit(25.0))
+    held = frames.withColumn("from", F.col("idx") - F.col("idx") % stride).join(seen, ["clip", "from"], "left")
+    none = F.array().cast(seen.schema["boxes"].dataType)
+    r = held.select("clip", "idx", (F.col("idx") / rate).alias("t"), F.coalesce("boxes", none).alias("boxes"), F.greatest(F.coalesce("top", F.lit(0.0)), F.lit(0.0)).alias("best"))
+    r = r.withColumn("label", F.when(F.col("best") >= threshold, "CREATOR").otherwise("meme"))
+    # Fixed format of the line below a frame.
+    return r.withColumn("caption", F.format_string("t=%4.2fs  max=%.2f  thr=%.2f  -> %s", "t", "best", F.lit(float(threshold)), "label"))
 
 
 def rank_within(rows: DataFrame, by: list[str], *order) -> DataFrame:

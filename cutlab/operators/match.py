@@ -81,7 +81,7 @@ def grade_totals(graded: DataFrame) -> DataFrame:
 
 
 def first_flips(graded: DataFrame, most: int = 40) -> DataFrame:
-    """The first ``most`` flipped rows in input order, as the report lists them."""
+    """The first ``most`` flipped rows in input order, as the report lists them, with all their columns (old, new and true times)."""
     return graded.filter("flipped").orderBy("pos").limit(most)
 
 

@@ -66,6 +66,21 @@ def blank_unedited(clips: DataFrame, blanks: dict[str, Column]) -> DataFrame:
     return clips.select(*[F.when(edited, F.col(c)).otherwise(blanks[c].cast(clips.schema[c].dataType)).alias(c) if c in blanks else F.col(c) for c in clips.columns])
 
 
+def blanked_document(document: DataFrame) -> DataFrame:
+    """A label document (one row, ``clips`` an array) whose unedited clips lose cuts, pattern and flags; notes and confidence stay.
+
+    A null array stays null. A document is hand-made, and one row by its format.
+    """
+
+    def blank(c: Column) -> Column:
+        kind = {f.name: f.dataType for f in document.schema["clips"].dataType.elementType.fields}
+        values = {"cuts": F.array(), "cut_sec": F.lit(None), "has_transition": F.lit(False), "pattern": F.lit(""), "returns_to_creator": F.lit(False)}
+        bare = F.struct(*[values[n].cast(t).alias(n) if n in values else c[n].alias(n) for n, t in kind.items()])
+        return F.when(F.coalesce(c["edited"], F.lit(False)), c).otherwise(bare)
+
+    return document.withColumn("clips", F.transform("clips", blank))
+
+
 def blanking_counts(before: DataFrame) -> DataFrame:
     edited = F.coalesce("edited", F.lit(False))
     return before.agg(F.count_if(edited).alias("kept"), F.count_if(~edited).alias("cleared"), F.count("*").alias("total"))

@@ -761,13 +761,13 @@ def stage_totals(spark, d):
     return match.grade_totals(cut_lists(spark, d).select(match.grade(old, new, 15.0, 5.0).alias("grade"), match.flipped(old, new, 5.0).alias("flipped")))
 
 
-@query(f"""WITH {CURVE}, {LISTS}, g AS (SELECT clip AS pos, truth[1] AS old_, pred[1] AS new_ FROM lists) SELECT pos, round(old_, 6) AS old_cut, round(new_, 6) AS new_cut FROM g
+@query(f"""WITH {CURVE}, {LISTS}, g AS (SELECT clip AS pos, truth[1] AS old_, pred[1] AS new_, truth[2] AS true_ FROM lists) SELECT pos, round(old_, 6) AS old_cut, round(new_, 6) AS new_cut, round(true_, 6) AS true_cut FROM g
     WHERE ((old_ IS NULL) <> (new_ IS NULL)) OR coalesce(abs(old_ - new_) > 5, false) ORDER BY pos LIMIT 40""")
 def first_flips(spark, d):
-    """The report lists the first 40 clips whose cut changed."""
+    """The report lists the first 40 clips whose cut changed, with the true time beside."""
     old, new = F.get("truth", F.lit(0)), F.get("pred", F.lit(0))
-    f = match.first_flips(cut_lists(spark, d).select(F.col("clip").alias("pos"), old.alias("old"), new.alias("new"), match.flipped(old, new, 5.0).alias("flipped")))
-    return f.select("pos", F.round("old", 6).alias("old_cut"), F.round("new", 6).alias("new_cut"))
+    rows = cut_lists(spark, d).select(F.col("clip").alias("pos"), old.alias("old"), new.alias("new"), F.get("truth", F.lit(1)).alias("true"), match.flipped(old, new, 5.0).alias("flipped"))
+    return match.first_flips(rows).select("pos", *[F.round(c, 6).alias(f"{c}_cut") for c in ("old", "new", "true")])
 
 
 #: Frames a second of the clips of the second stage, which have a frame an event.
@@ -966,6 +966,22 @@ def flag_toggles(spark, d):
     return truth.latest_flags(table(spark, d, "conversations").select(F.col("conv_id").alias("clip"), F.col("turn").alias("pos"), flag.alias("flag")))
 
 
+@query("""WITH fr AS (SELECT o_custkey AS clip, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS idx, o_orderkey FROM orders),
+    fa AS (SELECT clip, idx, l_linenumber AS no, l_quantity AS side, CASE WHEN l_linenumber % 7 <> 6 THEN l_discount * 10 ELSE 0.0 END AS sim FROM fr JOIN lineitem ON l_orderkey = o_orderkey WHERE idx % 2 = 0),
+    seen AS (SELECT clip, idx, count(*) AS n, max(sim) AS best, string_agg(CASE WHEN sim >= 0.35 THEN 'green' WHEN sim >= 0.25 THEN 'yellow' ELSE 'red' END, ',' ORDER BY no, side, sim) AS colours FROM fa GROUP BY clip, idx),
+    held AS (SELECT fr.clip, fr.idx, fr.idx / 25.0::DOUBLE AS t, coalesce(n, 0) AS n_boxes, greatest(coalesce(best, 0.0), 0.0) AS best, coalesce(colours, '') AS colours FROM fr LEFT JOIN seen ON seen.clip = fr.clip AND seen.idx = fr.idx - fr.idx % 2)
+    SELECT clip, idx, round(t, 6) AS t, n_boxes, round(best, 6) AS best, colours, CASE WHEN best >= 0.35 THEN 'CREATOR' ELSE 'meme' END AS label,
+        concat('t=', printf('%.2f', t), 's  max=', printf('%.2f', best), '  thr=0.35  -> ', CASE WHEN best >= 0.35 THEN 'CREATOR' ELSE 'meme' END) AS caption FROM held""")
+def debug_overlay(spark, d):
+    """Boxes, colours and the caption of every frame: a customer's orders as frames, their lines as faces, some without a similarity."""
+    w = Window.partitionBy("clip").orderBy("o_orderkey")
+    frames = table(spark, d, "orders").select(F.col("o_custkey").alias("clip"), "o_orderkey").withColumn("idx", F.row_number().over(w) - 1).withColumn("fps", F.lit(None).cast("double"))
+    lines = table(spark, d, "lineitem").join(frames, F.col("l_orderkey") == F.col("o_orderkey"))
+    faces = lines.select("clip", "idx", F.col("l_linenumber").alias("face_no"), F.array("l_quantity").alias("bbox"), F.when(F.col("l_linenumber") % 7 != 6, F.col("l_discount") * 10).alias("sim"))
+    o = identity.overlay(frames, faces)
+    return o.select("clip", "idx", F.round("t", 6).alias("t"), F.size("boxes").alias("n_boxes"), F.round("best", 6).alias("best"), F.array_join("boxes.colour", ",").alias("colours"), "label", "caption")
+
+
 # Every step of a clip's edits is a step of the recursion; ``raw`` is the list that an edit makes, before it is normalised.
 EDITED = """ops AS (SELECT conv_id AS clip, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, CASE length(text) % 11 % 8 WHEN 0 THEN 'add' WHEN 1 THEN 'nudge' WHEN 2 THEN 'remove' WHEN 3 THEN 'set'
         WHEN 4 THEN 'pattern' WHEN 5 THEN 'copy' WHEN 6 THEN 'clear' ELSE 'reset' END AS op, turn % 3 + 1 AS at_, CAST(length(text) % 50 AS DOUBLE) AS val, CASE WHEN turn % 2 = 0 THEN 'all meme' ELSE 'person->meme' END AS name FROM conversations),

@@ -135,9 +135,11 @@ def write_documents(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_document(df: DataFrame, path: str, key: str | None = None, optional: tuple[str, ...] = ()) -> str:
+def write_document(df: DataFrame, path: str, key: str | None = None, optional: tuple[str, ...] = (), single: bool = False) -> str:
     """One JSON file that people and other tools read: an array of the rows, or with ``key`` a map from that column to the row.
 
+    With ``single`` it is the one row of ``df`` itself; any other number of rows raises.
+
     Nulls stand in the file, since whether a key is there has a meaning; rows in
     which all ``optional`` columns are null leave those out. Tasks
     write the rows as parts, in the order of ``df``; the parts are then copied
@@ -156,8 +158,11 @@ def write_document(df: DataFrame, path: str, key: str | None = None, optional: t
     place = spark._jvm.org.apache.hadoop.fs.Path(parts)
     fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
     names = sorted(f.getPath().getName() for f in fs.listStatus(place) if f.getLen() and f.getPath().getName().startswith("part-"))
+    begin, end = (b"", b"\n") if single else (b"{\n", b"}\n") if key else (b"[\n", b"]\n")
     try:
-        _replace(spark, path, [b"{\n" if key else b"[\n", *(f"{parts}/{n}" for n in names), b"}\n" if key else b"]\n"])
+        if single and (n := spark.read.text(parts, wholetext=False, lineSep="\n,").count()) != 1:
+            raise ValueError(f"{path} is a document of one row, not of {n}")
+        _replace(spark, path, [begin, *(f"{parts}/{n}" for n in names), end])
     finally:
         fs.delete(place, True)
     return path
@@ -187,7 +192,7 @@ def _replace(spark: SparkSession, path: str, content: list[bytes | str]) -> None
 
 
 def save_truth(df: DataFrame, folder: str, name: str, allowed: tuple[str, ...] = ("ground_truth.json",)) -> str:
-    """Saves a label document, a row a document, under one of the allowed names; the first version of it stays as ``.bak``."""
+    """Saves a label document, the one row of ``df``, under one of the allowed names; the first version of it stays as ``.bak``."""
     if not re.fullmatch(r"[\w.-]+", name) or name not in allowed:
         raise PermissionError(f"{name} is not one of {allowed}")
     spark, place = df.sparkSession, f"{folder}/{name}"
@@ -195,4 +200,4 @@ def save_truth(df: DataFrame, folder: str, name: str, allowed: tuple[str, ...] =
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(path(place)) and not fs.exists(path(f"{place}.bak")):
         spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, path(place), fs, path(f"{place}.bak"), False, spark._jsc.hadoopConfiguration())
-    return write_document(df, place)
+    return write_document(df, place, single=True)

@@ -168,11 +168,11 @@ def test_documents(spark, tmp_path):
         documents.required(lambda: documents.read_rows(spark, str(tmp_path / "no.json"), documents.SEGMENTS), "run it first")
     with pytest.raises(PermissionError):
         documents.save_truth(spark.range(1), str(tmp_path), "../evil.json")
-    first, second = spark.createDataFrame([(1,)], "n int"), spark.createDataFrame([(2,), (3,)], "n int")
+    first, second = spark.createDataFrame([(1,)], "n int"), spark.createDataFrame([(2,)], "n int")
     place = documents.save_truth(first, str(tmp_path), "ground_truth.json")
     documents.save_truth(second, str(tmp_path), "ground_truth.json")
     documents.save_truth(first, str(tmp_path), "ground_truth.json")
-    assert json.loads(open(place).read()) == [{"n": 1}] and json.loads(open(place + ".bak").read()) == [{"n": 1}]
+    assert json.loads(open(place).read()) == {"n": 1} and json.loads(open(place + ".bak").read()) == {"n": 1}
     named = spark.createDataFrame([("a", 1.5), ("b", None)], "short string, x double")
     assert json.loads(open(documents.write_document(named, str(tmp_path / "m.json"), "short")).read()) == {"a": {"short": "a", "x": 1.5}, "b": {"short": "b", "x": None}}
     many = spark.range(5000).select("id", F.lit("a\n\"ü").alias("s")).repartition(7, "id").orderBy(F.desc("id"))

@@ -2,11 +2,12 @@
 
 import json
 import os
+import random
 import threading
 
 import pytest
 from cutlab import cli
-from cutlab.operators import curves, place
+from cutlab.operators import curves, identity, place
 from cutlab.sources import adapters, documents
 from pyspark.sql import functions as F
 
@@ -131,9 +132,13 @@ def test_relabel_and_curves_commands(spark, tmp_path, capsys):
     shots = [{"start_sec": 0.0, "end_sec": 3.0, "start_frame": 0, "end_frame": 30}, {"start_sec": 3.0, "end_sec": 6.0, "start_frame": 30, "end_frame": 60}]
     body = [{"clip": "a.mp4", "transition_sec": None, "method": None, "shots": shots}, {"clip": "b.mp4", "shots": [{"start_sec": 0.0, "end_sec": 6.0}]}, {"clip": "gone.mp4", "shots": shots}, {"clip": "bad.mp4", "error": "no frames"}]
     (tmp_path / "t.json").write_text(json.dumps(body))
+    # Two of four records are within the tolerance: a.mp4, and gone.mp4, which has no cut on either side.
+    (tmp_path / "gt.json").write_text(json.dumps({"clips": [{"clip": "a.mp4", "short": "a", "cut_sec": 3.25, "cuts": [{"sec": 3.25}]}, {"clip": "b.mp4", "short": "b", "cut_sec": 9.0}, {"clip": "bad.mp4", "short": "bad", "cut_sec": 1.0}]}))
     for name in ("a.mp4", "b.mp4", "bad.mp4"):
         (tmp_path / name).write_text("x")
-    cli.main(["relabel", "--transitions", path("t.json"), "--clips", str(tmp_path), "--frames", path("frames"), "--faces", path("faces"), "--out", path("out.json"), "--min-det-score", "0.5", "--min-face-frac", "0.4"])
+    cli.main(["relabel", "--transitions", path("t.json"), "--clips", str(tmp_path), "--frames", path("frames"), "--faces", path("faces"), "--out", path("out.json"), "--min-det-score", "0.5", "--min-face-frac", "0.4", "--truth", path("gt.json")])
+    printed = capsys.readouterr().out.replace(" ", "")
+    assert "|a|NULL|3.0|3.25|" in printed and "|4|2|0|2|2|50.0|50.0|" in printed
     out = {r["clip"]: r for r in json.loads((tmp_path / "out.json").read_text())}
     assert (out["a.mp4"]["transition_sec"], out["a.mp4"]["method"], [s["label"] for s in out["a.mp4"]["shots"]]) == (3.0, "creator_to_meme", ["person", "meme"])
     assert "error" not in out["a.mp4"] and "face_error" not in out["a.mp4"]
@@ -147,6 +152,56 @@ def test_relabel_and_curves_commands(spark, tmp_path, capsys):
         cli.main(["curves", "--transitions", path("none.json"), "--frames", path("pts"), "--scores", path("scores"), "--luma", path("luma"), "--out", path("c.json")])
 
 
+def test_debug_command(spark, tmp_path):
+    path = lambda name: str(tmp_path / name)
+    rows = [(c, k, 0, [0.0, 0.0, 2.0, 9.0], 0.9, [1.0, 0.0] if k < 15 else [0.3, 0.954]) for c in ("a.mp4", "b.mp4") for k in range(20)]
+    spark.createDataFrame(rows, "clip string, idx int, face_no int, bbox array<double>, det_score double, embedding array<double>").write.parquet(path("faces"))
+    spark.createDataFrame([(c, 10.0, 20, 20) for c in ("a.mp4", "b.mp4")], "clip string, fps double, total int, height int").write.parquet(path("frames"))
+    spark.createDataFrame([(c, k, 10.0) for c in ("a.mp4", "b.mp4") for k in range(20)], "clip string, idx int, fps double").write.parquet(path("every"))
+    (tmp_path / "t.json").write_text(json.dumps([{"clip": "a.mp4", "shots": []}, {"clip": "b.mp4", "shots": []}]))
+    cli.main(["debug", "--transitions", path("t.json"), "--frames", path("frames"), "--every", path("every"), "--faces", path("faces"), "--out", path("debug"), "--only", "b", "--stride", "5"])
+    got = {(r.clip, r.idx): r for r in spark.read.json(path("debug")).collect()}
+    assert set(got) == {("b.mp4", k) for k in range(20)}
+    assert [got["b.mp4", k].boxes[0].colour for k in (0, 14, 15, 19)] == ["green", "green", "yellow", "yellow"]
+    assert got["b.mp4", 12].caption == "t=1.20s  max=1.00  thr=0.35  -> CREATOR" and got["b.mp4", 19].caption == "t=1.90s  max=0.30  thr=0.35  -> meme"
+
+
+def test_overlay_against_a_loop_over_frames(spark):
+    rng = random.Random(3)
+    frames = [(c, k, fps) for c, fps in (("a", 30.0), ("b", None), ("c", 0.0)) for k in range(23)]
+    faces = [(c, k, n, [float(n)], rng.choice([None, float("nan"), -0.2, 0.1, 0.25, 0.26, 0.35, 0.9])) for c in "abz" for k in range(23) for n in range(rng.randrange(4))]
+    expected = {}
+    for c in "abc":
+        boxes = []
+        for _, k, fps in (f for f in frames if f[0] == c):
+            if k % 3 == 0:
+                boxes = sorted((n, 0.0 if s is None or s != s else s) for cc, kk, n, _, s in faces if (cc, kk) == (c, k))
+            best = max([0.0, *(s for _, s in boxes)])
+            expected[c, k] = (round(k / (fps or 25.0), 9), [(n, "green" if s >= 0.35 else "yellow" if s >= 0.25 else "red") for n, s in boxes], best, "CREATOR" if best >= 0.35 else "meme")
+    f = spark.createDataFrame(faces, "clip string, idx int, face_no int, bbox array<double>, sim double").repartition(3)
+    of = spark.createDataFrame(frames, "clip string, idx int, fps double")
+    got = {(r.clip, r.idx): (round(r.t, 9), [(b.face_no, b.colour) for b in r.boxes], r.best, r.label) for r in identity.overlay(of, f, stride=3).collect()}
+    assert got == expected
+    assert identity.overlay(of.limit(0), f).count() == 0 and {r.label for r in identity.overlay(of, f.limit(0)).collect()} == {"meme"}
+
+
+def test_blank_command(spark, tmp_path):
+    clips = [{"clip": "a.mp4", "short": "a", "cut_sec": 1.0, "cuts": [{"sec": 1.0, "to": "meme"}], "has_transition": True, "pattern": "p", "returns_to_creator": True, "notes": "n", "confidence": "high", "edited": e} for e in (True, False, None)]
+    place = tmp_path / "ground_truth.json"
+    place.write_text(json.dumps({"source": "s", "clips": clips}))
+    before = place.read_text()
+    for _ in range(2):
+        cli.main(["blank", "--folder", str(tmp_path)])
+        out = json.loads(place.read_text())
+        assert out["source"] == "s" and [c["edited"] for c in out["clips"]] == [True, False, None]
+        bare = {"cut_sec": None, "cuts": [], "has_transition": False, "pattern": "", "returns_to_creator": False}
+        assert [{k: v for k, v in c.items() if k in clips[0] and k != "edited"} for c in out["clips"]] == [{k: v for k, v in {**clip, **(bare if k else {})}.items() if k != "edited"} for k, clip in enumerate(clips)]
+    assert (tmp_path / "ground_truth.json.bak").read_text() == before
+    with pytest.raises(ValueError, match="of one row, not of 2"):
+        documents.save_truth(spark.range(2), str(tmp_path), "ground_truth.json")
+    assert json.loads(place.read_text()) == out
+
+
 def test_a_clip_without_samples_is_one_segment(spark):
     clips = spark.createDataFrame([("x", 4.0, False, None, 1.0, "m")], "clip string, dur double, has_first boolean, first_true double, base_cut double, method string")
     none = lambda s: spark.createDataFrame([], s)
