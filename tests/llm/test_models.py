@@ -1,3 +1,5 @@
+import math
+import os
 import random
 import zlib
 
@@ -29,6 +31,43 @@ def test_language_id_on_held_out_rows(spark):
     assert langid.predict(df.limit(0), nothing).count() == 0
 
 
+def grams(text):
+    """The buckets of a text's runs of letters, gram by gram."""
+    line = " " + "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "") + " "
+    while "  " in line:
+        line = line.replace("  ", " ")
+    for n in (1, 2, 3) if line != " " else ():
+        for gram in (line[k : k + n] for k in range(len(line) - n + 1)):
+            h = 0
+            for place, c in enumerate(gram, 1):
+                h = (h * 0x9E3779B1 + (ord(c) + place) * 0x85EBCA6B) % 2**32
+            yield ((h ^ (h >> 15)) * 0xC2B2AE35 % 2**32 >> 7) % 2**16
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_language_id_equals_naive_bayes_in_plain_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").filter("doc_id % 3 <> 1 or lang is null")
+    rows = docs.collect()
+    counts, n_docs = {}, {}
+    for r in rows:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            n_docs[r.lang] = n_docs.get(r.lang, 0) + 1
+            own = counts.setdefault(r.lang, {})
+            for g in grams(r.text):
+                own[g] = own.get(g, 0) + 1
+    langs = sorted(counts)
+    total = {l: sum(counts[l].values()) + 0.5 * 2**16 for l in langs}
+    expected = {}
+    for r in rows:
+        seen = list(grams(r.text))
+        logs = [math.log((n_docs[l] + 1) / (sum(n_docs.values()) + len(langs))) + math.fsum(math.log((counts[l].get(g, 0) + 0.5) / total[l]) for g in seen) for l in langs]
+        best = max(range(len(langs)), key=lambda k: (logs[k], -k))
+        expected[r.doc_id] = (langs[best], 1 / sum(math.exp(x - logs[best]) for x in logs)) if seen else ("und", 0.0)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langid.fit(docs.filter(~held_out()))).collect()}
+    assert set(got) == set(expected) and len(langs) > 1
+    assert all(got[k][0] == expected[k][0] and got[k][1] == pytest.approx(expected[k][1], abs=1e-6) for k in got)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(2)
     bad = ["vilkur", "smagdor", "tunfeck"]
