@@ -170,7 +170,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     Returns (id, n_tokens, ids_sha256, decoded_sha256) and, with ``content``,
     ids array<int> and decoded string. A null text counts as empty: no ids, an
     empty decoded string. Repeated rows and ids give a row each; other columns
-    are left out. One narrow stage: nothing is shuffled.
+    are left out. No rows give no rows. One narrow stage: nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

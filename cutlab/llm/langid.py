@@ -70,8 +70,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
     Tasks add up their own counts before the shuffle; the driver gets at most
     languages * n_buckets sums of 16 bytes, however many rows there are. More
     than MOST_LANGUAGES languages raise, since that table is kept by the driver
-    and every worker. Rows with a null text or language are left out; with no
-    row left the model knows no language.
+    and every worker. Rows with a null text or language are left out; repeated
+    rows count each. With no row left, as from an empty table, the model knows
+    no language.
     """
     assert n_buckets & (n_buckets - 1) == 0, "a power of two"
 
@@ -141,8 +142,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Adds lang_pred and score (the posterior of lang_pred) to every row, replacing columns of these names.
 
     A null text, one without a letter, and any text under a model that knows no
-    language get "und" and 0. One narrow stage; the model is broadcast, and its
-    size depends on languages * n_buckets alone.
+    language get "und" and 0. Of languages with equal posteriors the first by name
+    is predicted; repeated rows are predicted each, and no rows give no rows.
+    Texts are read in windows, so a very long one needs no more memory than
+    another. One narrow stage; the model is broadcast, and its size depends on languages * n_buckets alone.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -80,6 +80,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_co
     rows that repeat an id follow each other, ordered by their text. Texts are
     range-partitioned by id before they are encoded, so that each is encoded once;
     a partition is a shard. A document longer than a chunk has a chunk of its own.
+    Other columns are left out; an empty table gives a store without chunks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
