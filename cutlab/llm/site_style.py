@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutlab.llm.common import drop_stored, stored
+from cutlab.llm import contents
+from cutlab.llm.common import drop_stored, few_rows, stored
 
 #: Branches whose importance, times the weight of their markup, is below this go.
 IMPORTANCE = 0.75
@@ -35,8 +36,6 @@ PRIOR_PAGES = 8
 IN_ARTICLE, NEUTRAL, NAMED, ASIDE = 1.2, 1.0, 0.7, 0.5
 #: Names that would take a larger share of what is important on a page are not believed.
 MOST_NAMED = 0.9
-#: Content features of a node on one page: those of its word pairs with the smallest hashes; None takes all.
-FEATURES: int | None = 8
 #: Up to so many dull nodes (16 bytes each) are sent to all tasks; more are joined to the pages.
 MOST_SHARED = 1_000_000
 
@@ -234,15 +233,6 @@ def parse_page(html: str) -> list[tuple[_Node, float, str]]:
     return [(node, weight(node), text) for node, text in page.blocks]
 
 
-def _features(texts: list[str]) -> np.ndarray:
-    """The FEATURES smallest hashes of the word pairs of all texts; of the words where a text has only one."""
-    found = []
-    for text in texts:
-        words = np.array([_hash(w) for w in text.split()], np.uint64)
-        found.append(words if len(words) == 1 else (words[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (words[1:] >> np.uint64(7))) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return np.unique(np.concatenate(found))[:FEATURES].view(np.int64)
-
-
 def _host(url: str | None) -> str:
     try:
         return (urlsplit(url or "").hostname or "").lower()
@@ -251,7 +241,7 @@ def _host(url: str | None) -> str:
 
 
 _SIGN = 1 << 63
-_TREE = "page_id {id}, url string, blocks array<struct<node:bigint,weight:double,text:string>>, digest bigint, seen array<struct<node:bigint,path:bigint,form:bigint,said:array<bigint>>>"
+_TREE = "page_id {id}, url string, blocks array<struct<node:bigint,weight:double,text:string>>, digest bigint, seen array<struct<node:bigint,path:bigint,form:bigint>>"
 
 
 def _structs(offsets: list[int], **columns: pa.Array) -> pa.Array:
@@ -267,41 +257,37 @@ def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
     """(page_id, url, blocks, digest, seen, uid) for every page.
 
     A node is the hash of host and path. ``seen`` holds each node of the page
-    once, with its presentation and its content features; ``digest`` stands for
-    the page's host, paths and texts.
+    once, with its presentation; ``digest`` stands for the page's host, paths
+    and texts.
     """
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             block, weights, texts, block_ends = [], [], [], [0]
-            nodes, paths, forms, said, said_ends, node_ends, digests = [], [], [], [np.empty(0, np.int64)], [0], [0], []
+            nodes, paths, forms, node_ends, digests = [], [], [], [0], []
             for url, html in zip(batch.column("url"), batch.column("html")):
                 host, leaves = _hash(_host(url.as_py())), {}
                 digest = xxhash.xxh3_64(host.to_bytes(8, "little"))
                 for node, weight, text in parse_page(html.as_py()):
                     own = leaves.get(node.path)
                     if own is None:
-                        own = leaves[node.path] = (_mixed(host, node.path), [], set())
-                    own[1].append(text)
-                    own[2].add(node.form)
+                        own = leaves[node.path] = (_mixed(host, node.path), set())
+                    own[1].add(node.form)
                     block.append(own[0])
                     weights.append(weight)
                     texts.append(text)
                     digest.update(f"{node.path}{text}".encode("utf-8", "replace"))
-                for path, (node, own_texts, own_forms) in leaves.items():
+                for path, (node, own_forms) in leaves.items():
                     nodes.append(node)
                     paths.append(path)
                     forms.append(xxhash.xxh3_64_intdigest(repr(sorted(own_forms))))
-                    said.append(_features(own_texts))
-                    said_ends.append(said_ends[-1] + len(said[-1]))
                 block_ends.append(len(block))
                 node_ends.append(len(nodes))
                 digests.append(digest.intdigest())
-            features = pa.ListArray.from_arrays(pa.array(said_ends, pa.int32()), pa.array(np.concatenate(said), pa.int64()))
             columns = {
                 "page_id": batch.column("page_id"), "url": batch.column("url"), "blocks": _structs(block_ends, node=_long(block), weight=pa.array(weights, pa.float64()), text=pa.array(texts, pa.string())),
-                "digest": _long(digests), "seen": _structs(node_ends, node=_long(nodes), path=_long(paths), form=_long(forms), said=features),
+                "digest": _long(digests), "seen": _structs(node_ends, node=_long(nodes), path=_long(paths), form=_long(forms)),
             }
             yield pa.RecordBatch.from_pydict(columns)
 
@@ -309,15 +295,14 @@ def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
     return rows.mapInArrow(run, _TREE.format(id=kind)).withColumn("uid", F.monotonically_increasing_id())
 
 
-def _features_of(tree: DataFrame) -> DataFrame:
-    """(node, path, kind, feature) of all distinct pages: kind 0 for presentations, 1 for contents."""
-    nodes = tree.select("digest", "seen").dropDuplicates(["digest"]).select(F.explode("seen").alias("s"))
-    both = F.concat(F.array(F.struct(F.lit(0).alias("kind"), F.col("s.form").alias("feature"))), F.transform("s.said", lambda x: F.struct(F.lit(1).alias("kind"), x.alias("feature"))))
-    return nodes.select("s.node", "s.path", F.explode(both).alias("f")).select("node", "path", "f.kind", "f.feature")
+def _distinct(tree: DataFrame) -> DataFrame:
+    """The pages of which a tree is made: the first one of those that are copies."""
+    copies = few_rows(tree.groupBy("digest").agg(F.min("uid").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"))
+    return tree.join(copies, "digest", "left").filter(F.col("first").isNull() | (F.col("first") == F.col("uid")))
 
 
-def _importance(counts: DataFrame, *by: str) -> DataFrame:
-    """(by, importance) of the nodes of a merged tree, from rows (by, kind, feature, c): pages, or hosts, with that feature.
+def _importance(sums: DataFrame, by: str) -> DataFrame:
+    """(by, importance) of the nodes of a merged tree, from rows (by, kind, n, n_log): sums of c and c log c over features that c pages, or hosts, carry.
 
     Presentation counts by the entropy of its forms over the pages; a content
     feature found on c of m pages has the normalised entropy log c / log m, and
@@ -325,22 +310,30 @@ def _importance(counts: DataFrame, *by: str) -> DataFrame:
     line of constant words around a date or a name is dull. With m pages, what
     they say counts m of m + PRIOR_PAGES times.
     """
-    shown, said = F.col("kind") == 0, F.col("kind") == 1
-    node = counts.groupBy(*by).agg(F.sum(F.when(shown, F.col("c"))).alias("pages"), F.sum(F.when(shown, F.col("c") * F.log("c"))).alias("form"), (F.sum(F.when(said, F.col("c") * F.log("c"))) / F.sum(F.when(said, F.col("c")))).alias("said")).filter("pages > 1")
+    of = lambda kind, column: F.sum(F.when(F.col("kind") == kind, F.col(column)))
+    node = sums.groupBy(by).agg(of(contents.FORM, "n").alias("pages"), of(contents.FORM, "n_log").alias("form"), (of(contents.CONTENT, "n_log") / of(contents.CONTENT, "n")).alias("said")).filter("pages > 1")
     log_m = F.log("pages")
     own = PRESENTATION_WEIGHT * (log_m - F.col("form") / F.col("pages")) / log_m + (1 - PRESENTATION_WEIGHT) * (1 - F.least(F.col("said") / log_m, F.lit(1.0)))
-    return node.select(*by, ((own * F.col("pages") + PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)).alias("importance"))
+    return node.select(by, ((own * F.col("pages") + PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)).alias("importance"))
 
 
-def node_importance(seen: DataFrame) -> DataFrame:
-    """(node, importance) from rows (node, path, kind, feature), each once per distinct page: the lesser one of the host's tree and of all hosts' together, where a host counts like a page."""
-    host = stored(seen.groupBy("node", "path", "kind", "feature").agg(F.count("*").alias("c")))
-    web = stored(_importance(host.groupBy("path", "kind", "feature").agg(F.count("*").alias("c")), "path").withColumnRenamed("importance", "web"))
-    nodes = stored(host.select("node", "path").distinct().join(web, "path", "left"))
+def _judged(sums: DataFrame) -> DataFrame:
+    """(node, importance): the lesser one of the host's tree and of all hosts' together, from rows (path, node, kind, n, n_log); the latter's come without node."""
+    sums = stored(sums.groupBy("path", "node", "kind").agg(F.sum("n").alias("n"), F.sum("n_log").alias("n_log")))
+    host = sums.filter("node IS NOT NULL")
+    web = stored(_importance(sums.filter("node IS NULL"), "path").withColumnRenamed("importance", "web"))
+    nodes = host.select("node", "path").distinct().join(web, "path", "left")
     out = nodes.join(_importance(host, "node"), "node", "left")
     return out.select("node", F.least(F.coalesce("importance", F.lit(1.0)), F.coalesce("web", F.lit(1.0))).alias("importance"))
 
 
+def node_importance(seen: DataFrame) -> DataFrame:
+    """(node, importance) from rows (node, path, kind, feature), each once per distinct page; in the tree of all hosts, a host counts like a page."""
+    host = stored(seen.groupBy("node", "path", "kind", "feature").agg(F.count("*").alias("c")))
+    web = host.groupBy("path", "kind", "feature").agg(F.lit(None).cast("bigint").alias("node"), F.count("*").alias("c"))
+    return _judged(host.unionByName(web.select(*host.columns)).select("path", "node", "kind", F.col("c").cast("double").alias("n"), (F.col("c") * F.log("c")).alias("n_log")))
+
+
 def _cleaned(tree: DataFrame, dull: DataFrame | None, shared: dict[int, float], threshold: float) -> DataFrame:
     """(page_id, url, text, n_removed, n_by_tree) from pages with their blocks; dull nodes come as a column ``dull`` or as a shared map."""
     nodes = tree.sparkSession.sparkContext.broadcast(shared)
@@ -394,7 +387,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     and an empty table gives no rows.
     """
     tree = stored(parsed(pages, id_col, url_col, html_col), compression="zstd")
-    dull = stored(node_importance(_features_of(tree)).filter(F.col("importance") < threshold))
+    dull = stored(_judged(contents.sums(_distinct(tree))).filter(F.col("importance") < threshold))
     if dull.limit(most_shared + 1).count() <= most_shared:
         found = dull.toPandas()
         out = _cleaned(tree, None, dict(zip(found["node"].tolist(), found["importance"].tolist())), threshold)

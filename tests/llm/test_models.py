@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from cutlab.llm import cube_mix, ego_join, langid, site_style, toxicity
+from cutlab.llm import contents, cube_mix, ego_join, langid, site_style, toxicity
 from cutlab.llm.common import held_out
 
 SYLLABLES = {"xx": ["ka", "ro", "mi", "tu"], "yy": ["shlo", "vre", "gnu", "pfa"], "zz": ["éa", "où", "çi", "âe"]}
@@ -289,6 +289,47 @@ def test_importance_is_the_entropy_of_the_definition(spark):
     assert [r.node for r in got] == [1] and abs(got[0].importance - (16 * own + 8) / 24) < 1e-9
 
 
+@pytest.mark.parametrize("bits, most", [(0, 1 << 18), (5, 100)])
+def test_every_word_pair_counts(spark, monkeypatch, bits, most):
+    """Packed sums equal those of plain rows of all pairs of words, on hosts of many, few and single pages, with copies."""
+    monkeypatch.setattr(contents, "PAGES_PER_BUCKET", 120 >> bits or 1)
+    monkeypatch.setattr(contents, "SUMMED_FEATURES", most)
+    monkeypatch.setattr(contents, "HASHED_BYTES", 50)
+    rng = random.Random(7)
+    text = lambda: " ".join(rng.choice(["a", "ü", "of", "words", "日本", "x" * 70]) for _ in range(rng.choice([1, 2, 60])))
+    rows = [page(f"h{rng.choice([0, 0, 0, k])}.example", k, f"<h1>{text()}</h1><p>{text()}</p><div class=c{k % 3}>{text()}<p>{text()}</p></div>") for k in range(90)]
+    rows += [(100 + i, *r[1:]) for i, r in enumerate(rows[:20])] + [page("none.example", 200, "")]
+    tree = site_style.parsed(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), "page_id", "url", "html").cache()
+    plain, copies = set(), set()
+    for n, r in enumerate(tree.collect()):
+        if r.digest in copies:
+            continue
+        copies.add(r.digest)
+        for s in r.seen:
+            plain.add((n, s.node, s.path, 0, s.form))
+        paths = {s.node: s.path for s in r.seen}
+        for b in r.blocks:
+            words = b.text.split(" ")
+            plain |= {(n, b.node, paths[b.node], 1, hash((v, w))) for v, w in zip(words, words[1:])} if len(words) > 1 else {(n, b.node, paths[b.node], 1, hash(words[0]))}
+    want = {r.node: r.importance for r in site_style.node_importance(spark.createDataFrame([r[1:] for r in plain], "node long, path long, kind int, feature long")).collect()}
+    got = {r.node: r.importance for r in site_style._judged(contents.sums(site_style._distinct(tree))).collect()}
+    assert got.keys() == want.keys() and len({round(v, 6) for v in want.values()}) > 10
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_few_constant_pairs_do_not_decide(spark):
+    """Eight pairs that stand on every page among 160 that do not: those eight have the smallest hashes, which a sketch kept alone."""
+    constant = ["nikesa kimibe", "boleti netesa", "lunanu kumesi", "limole sotise", "betesa bediki", "kedile nubora", "toluna rasibe", "kunida limeme"]
+    rng = random.Random(8)
+    rows, want = [], {}
+    for k in range(40):
+        lines = [f"{c} {' '.join(str(rng.randrange(10**6)) for _ in range(20))}" for c in constant]
+        want[k] = " ".join(["Page", str(k), *lines])
+        rows.append(page("pairs.example", k, f"<h2>Page {k}</h2><div class=z>" + "".join(f"<p>{line}</p>" for line in lines) + "</div>"))
+    got = {r.page_id: r.text for r in site_style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(want[k].split(" ", 2)[2] in got[k] for k in want)
+
+
 WRAPPED = {
     "form": "<form id=aspnetForm><div class=top><a>Home</a> <a>About us</a></div>{body}<div class=newsletter>Sign up now</div></form>",
     "comment": "<div class=top>Our site</div><div id=content><div class='post comment'>{body}</div></div><footer>All about us</footer>",
