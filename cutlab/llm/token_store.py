@@ -18,22 +18,26 @@ reads will do.
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cutlab.llm.bpe import Encoder, Vocabulary
+from cutlab.llm.bpe import _SEPARATORS, _WHITE, CACHE_WORDS, Encoder, Remembered, Vocabulary
 from cutlab.llm.common import scratch_folder, text_or_empty
 
 BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 20
+#: Words of a text that are encoded at once.
+STEP_WORDS = 1 << 16
 _HEAD = struct.Struct("<4sIII")
 _MAGIC = b"IDP1"
 
@@ -66,11 +70,62 @@ def unpack(chunk: bytes, block_ids: int = BLOCK_IDS) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
+class BulkEncoder(Encoder):
+    """An encoder that normalises and cuts all words of a text that it does not remember at once."""
+
+    def __init__(self, vocabulary: Vocabulary, merge: Callable[[str], list[int]]) -> None:
+        super().__init__(vocabulary, merge)
+        self.piece = Remembered(lambda p: struct.pack(f"<{len(ids := merge(p))}I", *ids))
+        self.cut = regex.compile(f"{vocabulary.split.pattern}|\n")
+        self.bytes = {b: s for b, s in enumerate(vocabulary.symbols) if b not in b"\t\n"}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def plain(self, text: str) -> bytes:
+        words = _WHITE.split(text) if any(c in text for c in _SEPARATORS) else text.split()
+        return b"".join([self._words(words[at : at + STEP_WORDS]) for at in range(0, len(words), STEP_WORDS)])
+
+    def _words(self, words: list[str]) -> bytes:
+        """The ids of some words; two generations of words are remembered, long ones never."""
+        known, new = self.known, []
+        for word in set(words).difference(known):
+            if (ids := self.old.get(word)) is None:
+                new.append(word)
+            else:
+                known[word] = ids
+        if new:
+            known.update(zip(new, self._new(new)))
+        out = b"".join(map(known.__getitem__, words))
+        for word in new:
+            if len(word) > 64:
+                del known[word]
+        if len(known) >= CACHE_WORDS:
+            self.old, self.known = known, {}
+        return out
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        text, piece = "\n".join(words), self.piece
+        if not text.isascii():
+            if any(unicodedata.category(c) in ("Cn", "Co") for c in set(text)):  # as pieces() has it, word by word
+                return [b"".join([piece[p] for p in self.vocabulary.pieces(w)]) for w in words]
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        pieces = "\t".join(self.cut.findall(text.lower())).encode("utf-8").decode("latin-1").translate(self.bytes).split("\t")
+        out: list[bytes] = []
+        own: list[bytes] = []
+        for p in pieces:
+            if p == "\n":
+                out.append(b"".join(own))
+                own = []
+            else:
+                own.append(piece[p])
+        return [*out, b"".join(own)]
+
+
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> Encoder:
     """The tokenizers library's merges for every word that a worker has not seen lately."""
     model = Tokenizer.from_file(path).model
-    return Encoder(Vocabulary(path), lambda piece: [t.id for t in model.tokenize(piece)])
+    return BulkEncoder(Vocabulary(path), lambda piece: [t.id for t in model.tokenize(piece)])
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:

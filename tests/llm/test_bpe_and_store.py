@@ -46,6 +46,25 @@ def test_memory_stays_bounded():
     assert len(seen) <= 10 and len(seen.old) <= 10
 
 
+def test_new_words_are_taken_at_once_and_memory_stays_bounded(monkeypatch):
+    """One search for all unknown words of a text, which count as the library has them; small steps and memories change nothing."""
+    monkeypatch.setattr(token_store, "CACHE_WORDS", 20)
+    rng = random.Random(9)
+    letters = "aBcΣσİẞé́\u1100\u1161,.'s1½日\x00\x1f\x85\u0378\ue000🙂"
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 5, 70]))) for _ in range(40)) for _ in range(60)]
+    for step in (1, 7, 1 << 16):
+        monkeypatch.setattr(token_store, "STEP_WORDS", step)
+        enc = token_store.library_encoder.__wrapped__(PATH)
+        for text in [*texts, *(t or "" for t in TEXTS), *texts[:9]]:
+            assert np.frombuffer(enc.encode(text), "<u4").tolist() == expected(text)[0]
+            assert len(enc.known) < 20 and len(enc.old) < 20 + 3000
+    enc, searches = token_store.library_encoder.__wrapped__(PATH), []
+    pieces = enc.vocabulary.pieces
+    monkeypatch.setattr(enc.vocabulary, "pieces", lambda word: searches.append(word) or pieces(word))
+    text = " ".join(f"wörd{chr(97 + k % 26)}{chr(97 + k // 26)}x, ok" for k in range(600))
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == expected(text)[0] and not searches
+
+
 def test_query_digests_with_repeats_and_other_columns(spark):
     rows = [(i, t, "x", 1) for i, t in enumerate(TEXTS)] + [(0, "again", "y", 2), (0, "again", "y", 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens int")
